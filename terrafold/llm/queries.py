@@ -15,6 +15,20 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrafold.llm.common import split_remainder
+    from terrafold.llm.toxicity import detect
+
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), split_remainder("doc_id", 3) == 1)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrafold.llm.common import split_remainder
+    from terrafold.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"), split_remainder("doc_id", 3) == 1)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -31,5 +45,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_best_fit_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
