@@ -51,6 +51,12 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrafold.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,5 +65,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_exact_topk, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_exact_topk, op7_license_scan, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
