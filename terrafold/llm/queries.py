@@ -57,6 +57,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrafold.llm.common import split_remainder
+    from terrafold.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents"), split_remainder("doc_id", 7) == 2)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,5 +72,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_exact_topk, op7_license_scan, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_exact_topk, op7_license_scan, op8_lm_score, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
