@@ -90,6 +90,34 @@ def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, decide, column: str = "text") -> DataFrame:
+    """The rows for which decide(texts) holds; df's columns pass unchanged. A null reads as empty."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
+                yield b.filter(pa.array(decide([x or "" for x in b.column(column).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """df with 128 bits (k1, k2) that are the same for rows the same in all columns."""
+    every = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*every, F.xxhash64(*every).alias("k1"), F.xxhash64(F.lit(1), *every).alias("k2"))
+
+
+def copies_of(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """df's rows by row_keys, each key `copies` times in all. chosen: k1, k2, rows, copies.
+
+    rows: how many rows of df have the key; only keys of several rows are reduced to one first.
+    """
+    joined = row_keys(df).join(chosen.where("copies > 0"), ["k1", "k2"])
+    one = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates(["k1", "k2"]))
+    return one.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
 def ragged(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for every n of lengths, one after the other."""
     ends = np.cumsum(lengths)

@@ -98,12 +98,26 @@ def by_position(k: int) -> float:
     return float(k % 3 + 1)
 
 
-def mix(docs: DataFrame, weight: Callable[[int], float] = by_position, block: int = 16, seed: int = 42, ceiling: int = 3, shard_words: int = 1 << 18, shard_rows: int = 1 << 16, max_sources: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) of every row.
+def whole_copies(size: np.ndarray, taken: np.ndarray, ceiling: int) -> np.ndarray:
+    """Copies of whole documents, in this order, whose running words follow the words taken."""
+    out = np.zeros(len(size), dtype=np.int64)
+    owed = 0.0
+    for k, (s, t) in enumerate(zip(size.tolist(), taken.tolist(), strict=True)):
+        owed += t
+        out[k] = min(ceiling, max(0, int(owed / s + 0.5))) if s else 0
+        owed -= out[k] * s
+    return out
+
+
+def mix(docs: DataFrame, weight: Callable[[int], float] = by_position, block: int = 16, seed: int = 42, ceiling: int = 3, shard_words: int = 1 << 18, shard_rows: int = 1 << 16, max_sources: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, copies, and the columns `keep`).
+
+    copies: how often to write the whole document so that the source's words come near its
+    target without cutting any text.
 
     weight: of the source at each position, in the order of code points with null last.
     """
-    sized = materialize(plain(docs, doc_id=id_col, source=F.col(f"`{source_col}`").cast("string"), size=F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"), dealt=F.xxhash64(f"`{id_col}`", f"`{text_col}`", F.lit(seed))))
+    sized = materialize(plain(docs, doc_id=id_col, source=F.col(f"`{source_col}`").cast("string"), size=F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"), dealt=F.xxhash64(f"`{id_col}`", f"`{text_col}`", F.lit(seed)), **{c: c for c in keep}))
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"over {max_sources} sources: group them, or raise max_sources")
@@ -129,14 +143,15 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = by_position, block: in
             got = apportion(size, int(seats[k]), ceiling * (-(-size // block)))
             quotas += [(k, r["shard"], int(q)) for r, q in zip(shards, got, strict=True)]
     quota = spark.createDataFrame(quotas, "source_no long, shard long, quota long")
-    id_type = sized.schema["doc_id"].dataType.simpleString()
 
     def select(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["dealt", "doc_id", "size"], kind="stable")
         pdf["taken"] = draw(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), block, [seed, int(key[0]), int(key[1])])
-        return pdf[["doc_id", "size", "source_size", "target", "taken", "source"]]
+        pdf["copies"] = whole_copies(pdf["size"].to_numpy(), pdf["taken"].to_numpy(), ceiling)
+        return pdf[["doc_id", "size", "source_size", "target", "taken", "source", "copies", *keep]]
 
-    schema = f"doc_id {id_type}, size bigint, source_size bigint, target double, taken bigint, source string"
+    kinds = dict(sized.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, size bigint, source_size bigint, target double, taken bigint, source string, copies bigint" + "".join(f", `{c}` {kinds[c]}" for c in keep)
     chosen = dealt.where("size > 0").join(F.broadcast(quota), ["source_no", "shard"]).groupBy("source_no", "shard").applyInPandas(select, schema)
-    nothing = dealt.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "source")
+    nothing = dealt.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "source", F.lit(0).cast("long").alias("copies"), *keep)
     return chosen.unionByName(nothing)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,7 @@ class Encoder:
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None) -> None:
         import json
 
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         with open(json_path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.fast = None
@@ -59,6 +56,13 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.json_path)
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or len(text) > LONG_TEXT or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids

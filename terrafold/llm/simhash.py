@@ -47,19 +47,19 @@ def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the columns `keep`) of every row; fp holds the 64 bits as a signed long."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 fp = np.array([fingerprint(x or b"", words) for x in b.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *(b.column(c) for c in keep)], names=["doc_id", "fp", *keep])
 
-    rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, fp bigint")
+    rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary"), **{c: c for c in keep})
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", dict(rows.dtypes)["doc_id"]), ("fp", "bigint"), *((c, dict(rows.dtypes)[c]) for c in keep)])
+    return rows.mapInArrow(run, schema)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,16 +229,19 @@ def components(edges: DataFrame) -> DataFrame:
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
-    signed = materialize(fingerprints(docs, words, id_col, text_col))
+def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, and the columns `keep`) of every row.
+
+    component_id is the smallest doc_id reachable.
+    """
+    signed = materialize(fingerprints(docs, words, id_col, text_col, keep))
     nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = materialize(components(links(nodes.select("fp"), budget, tile)))
     member = materialize(reach.join(nodes, reach["node"] == nodes["fp"]).select("fp", "root", "least"))
     first = materialize(member.groupBy("root").agg(F.min("least").alias("component_id")))
     linked = materialize(member.join(first, "root").select("fp", "component_id"))
     named = materialize(nodes.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id")
+    return signed.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
