@@ -72,5 +72,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_exact_topk, op7_license_scan, op8_lm_score, op9_token_counts)}
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images: the media column is a picture of each page."""
+    from terrafold.llm.media import find_copies, page_images
+
+    return find_copies(page_images(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_exact_topk, op7_license_scan, op8_lm_score, op9_token_counts, op10_media_copies)}
 ORACLE_SQL: dict[str, str] = {}
