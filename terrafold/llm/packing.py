@@ -227,9 +227,9 @@ def runs(plan: list[tuple[int, tuple[int, ...]]], capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, encoder_args: tuple, capacity: int = 2048, end_id: int = 0, **names: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     cuts = materialize(pieces(docs, encoder_args, capacity, end_id, **names))
-    by_task = materialize(cuts.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")))
-    before = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    # A few numbers a row are read again here, which is cheaper than to write the counts.
+    before = cuts.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")).select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     table = runs(reduce_and_fit(counts, capacity), capacity)
     # A number is below 2^50: length and number make one sorted key.
     keys, sequences, offsets = (table[:, 0] << 50) + table[:, 1], table[:, 2].copy(), table[:, 3].copy()
