@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrafold.plans import cloud_queries, graph_queries, stream_queries
+
 FLAGSHIP = "voxel_mean"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = [m.catalog for m in (cloud_queries, graph_queries, stream_queries)]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for c in _PARTS for k, f in c.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: s for c in _PARTS for k, s in c.sql.items()}
