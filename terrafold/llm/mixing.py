@@ -68,7 +68,8 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
             low = mid
         else:
             high = mid
-    got = np.minimum(np.floor(votes / high + 0.5), most).astype(np.int64)
+    # A slightly larger divisor leaves equal quotients to the heap, which breaks ties by position.
+    got = np.minimum(np.floor(votes / (high * (1 + 1e-9)) + 0.5), most).astype(np.int64)
     heap = [(-votes[k] / (2 * got[k] + 1), k) for k in np.flatnonzero((got < most) & (votes > 0))]
     heapq.heapify(heap)
     for _ in range(seats - int(got.sum())):
