@@ -9,11 +9,13 @@ Good-Turing. Words are in lower case (A-Z); each text closes with an end token.
 
 Work goes by chunks of texts (one task's input, at most CHUNK_BYTES each). A chunk is
 written once as word numbers of its own vocabulary; its vocabulary with counts is what is
-shuffled: counts add up over the corpus and come back to the chunks that use the word. So a
-frequent word costs a row for each chunk, not for each occurrence. Training runs over all
-learned texts: each task takes gradient steps (AdaGrad, minibatches) over its chunks from the
-shared weights and sends its change, and the changes are averaged by block of features (iterative
-parameter mixing). Texts are scored in numpy batches of sparse features.
+shuffled, by a 64-bit hash of the word: counts add up over the corpus and come back to the
+chunks that use the word. So a frequent word costs a row for each chunk, not for each
+occurrence. Training runs over all learned texts: each task takes gradient steps (AdaGrad,
+minibatches) over its chunks from the shared weights and sends its change, and the changes are
+averaged by block of features (iterative parameter mixing). Texts are scored in numpy batches of
+sparse features. Words whose hashes (XXH64) agree would count as one: for ten thousand million
+different words that is to be expected for a few.
 
 Null and empty texts have the end token alone. Without any text to learn from, all counts are 0
 and the only event is the unseen one: every base score and score is 0. Repeated rows are scored
@@ -23,15 +25,17 @@ and counted one by one.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import materialize, plain
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 24 << 20
 #: Classes: the rare and unseen words, the end token, and SUFFIXES of word endings.
 RARE, END, SUFFIXES = 0, 1, 62
 CLASSES = SUFFIXES + 2
@@ -39,55 +43,87 @@ CLASSES = SUFFIXES + 2
 BUCKETS = 1 << 12
 #: Rows of the weights: previous word, skipped word, pair of classes.
 ROWS = 2 * BUCKETS + CLASSES * CLASSES
+#: Tokens in a piece (or one text), words in a piece, and tokens in a gradient step. Pieces keep
+#: rows far smaller than the chunks, which spares the JVM large objects.
+PIECE, WORDS, STEP = 1 << 16, 1 << 15, 1 << 13
+#: Rows of the weights in a block, and changes that are added up at once.
+BLOCK, FAN = 256, 128
 
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-def class_of(word: bytes) -> int:
-    """By the last two letters, or else the last two bytes; the empty word is the end."""
-    if not word:
-        return END
-    text = word.decode("utf-8", "replace")
-    core = text.rstrip("".join(c for c in set(text) if not c.isalnum()))
-    tail = core[-2:] if core else text[-2:]
-    value = 0
-    for c in tail:
-        value = (value * 131 + ord(c)) & 0xFFFFFFFF
-    return 2 + (value * 2654435761 & 0xFFFFFFFF) * SUFFIXES // (1 << 32)
+
+def classes_of(words: list[bytes]) -> np.ndarray:
+    """By the last two bytes before any punctuation (or of it); the empty word is the end."""
+    tails = np.array([int.from_bytes((w.rstrip(_PUNCTUATION) or w)[-2:], "big") for w in words], dtype=np.uint64)
+    kind = 2 + ((tails * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(SUFFIXES) >> np.uint64(32)).astype(np.int32)
+    return np.where(np.array([not w for w in words], dtype=bool), END, kind).astype(np.int32)
+
+
+def pack_tokens(tokens: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_tokens(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32)
+
+
+#: Kinds of a chunk's rows, in the order in which they are read back; VOCABULARY rows aren't.
+COUNTS, ABOUT, TEXTS, VOCABULARY = 0, 1, 2, 3
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def expand(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, held_out, text as binary. Rows of two kinds for each chunk.
+    """docs: doc_id, held_out, text as binary. Rows of three kinds for each chunk.
 
-    local -1: the texts as numbers (tokens, ends) with their ids; others: a word and its count
-    in the learned texts of the chunk.
+    VOCABULARY: a word's number (part), hash, class and count in the learned texts. TEXTS: some
+    texts as numbers (body, ends) with their ids. ABOUT: class and bucket of some words.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk bigint, local int, word binary, n bigint, ids array<{id_type}>, held array<boolean>, ends binary, tokens binary"
+    schema = f"chunk bigint, kind int, part int, h bigint, n bigint, class int, ids array<{id_type}>, held array<boolean>, ends binary, body binary"
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=1).compress
         number: dict[bytes, int] = {b"": 0}
         ids, held, ends, parts, total, size = [], [], [], [], 0, 0
+        names = ["chunk", "kind", "part", "h", "n", "class", "ids", "held", "ends", "body"]
+        kinds: list = []
+
+        def rows(many: int, chunk: int, sort: int, part, **own) -> pa.RecordBatch:
+            own |= {"chunk": np.full(many, chunk), "kind": np.full(many, sort, dtype=np.int32), "part": part}
+            return pa.RecordBatch.from_arrays([pa.array(own[c], k) if c in own else pa.nulls(many, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
         def flush():
             nonlocal made, number, ids, held, ends, parts, total, size
             chunk, words = (task << 24) + made, list(number)
-            lengths = np.diff(np.array([0, *ends]))
-            tokens = np.concatenate(parts)
-            learned = tokens[np.repeat(~np.array(held), lengths)]
-            n = np.bincount(learned, minlength=len(words))
-            one = lambda x, kind: pa.array([x], kind)
-            yield pa.RecordBatch.from_arrays([one(chunk, pa.int64()), one(-1, pa.int32()), one(None, pa.binary()), one(None, pa.int64()), one(ids, kinds["ids"]), one(held, pa.list_(pa.bool_())), one(np.array(ends, dtype="<i8").tobytes(), pa.binary()), one(pack(tokens.astype("<i4").tobytes()), pa.binary())], names=names)
-            for at in range(0, len(words), 50_000):
-                m = len(words[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(words[at : at + m], pa.binary()), pa.array(n[at : at + m]), pa.nulls(m, kinds["ids"]), pa.nulls(m, pa.list_(pa.bool_())), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-            made, number = made + 1, {b"": 0}
-            ids, held, ends, parts, total, size = [], [], [], [], 0, 0
-
-        names = ["chunk", "local", "word", "n", "ids", "held", "ends", "tokens"]
-        kinds: dict = {}
+            number = {b"": 0}
+            tokens, ends_, out = np.concatenate(parts), np.array(ends), np.array(held)
+            parts = []
+            lengths = np.diff(np.concatenate(([0], ends_)))
+            n = np.bincount(tokens, np.repeat(~out, lengths), minlength=len(words)).astype(np.int64)
+            for part, texts in enumerate(np.split(np.arange(len(ends_)), np.flatnonzero(np.diff((ends_ - lengths) // PIECE)) + 1)):
+                first, last = int(texts[0]), int(texts[-1]) + 1
+                at = int(ends_[first] - lengths[first])
+                yield rows(1, chunk, TEXTS, [part], ids=[ids[first:last]], held=[held[first:last]], ends=[(ends_[first:last] - at).astype("<i8").tobytes()], body=[pack_tokens(tokens[at : int(ends_[last - 1])])])
+            for part, at in enumerate(range(0, len(words), WORDS)):
+                some = words[at : at + WORDS]
+                kind = classes_of(some)
+                h = np.array([xxhash.xxh64_intdigest(w) for w in some], dtype=np.uint64)
+                yield rows(1, chunk, ABOUT, [part], body=[squeeze(np.stack((kind, (h >> np.uint64(40)).astype(np.int64) % BUCKETS)).astype("<u2"))])
+                yield rows(len(some), chunk, VOCABULARY, np.arange(at, at + len(some), dtype=np.int32), h=h.view(np.int64), n=n[at : at + WORDS], **{"class": kind})
+            made += 1
+            ids, held, ends, total, size = [], [], [], 0, 0
+
         for whole in batches:
-            kinds["ids"] = pa.list_(whole.schema.field("doc_id").type)
+            kinds[:] = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(whole.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 for key, out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -107,47 +143,33 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def with_classes(totals: DataFrame) -> DataFrame:
-    """totals: word, c. Adds class, bucket."""
+def by_chunk(counted: DataFrame) -> DataFrame:
+    """counted: chunk, part (a word's number), c. The counts of each chunk in pieces, in order."""
 
     def run(batches):
-        for b in batches:
-            words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
-            kind = np.array([class_of(w) for w in words], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(kind), b.column("bucket")], names=["word", "c", "class", "bucket"])
+        chunk, part, held = None, 0, np.zeros(0, dtype=np.int64)
 
-    hashed = totals.select("word", "c", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    return hashed.mapInArrow(run, "word binary, c bigint, class int, bucket int")
-
-
-def by_chunk(known: DataFrame) -> DataFrame:
-    """known: chunk, local, c, class, bucket. A row for each chunk with arrays by local number."""
-
-    def run(batches):
-        chunk, parts = None, []
-
-        def flush():
-            c, kind, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((c, "<i8"), (kind, "u1"), (bucket, "<u2")))], names=["chunk", "c", "class", "bucket"])
+        def cut(everything: bool):
+            nonlocal part, held
+            while len(held) >= WORDS or (everything and len(held)):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([squeeze(held[:WORDS].astype("<i8"))], pa.binary())], names=["chunk", "part", "body"])
+                part, held = part + 1, held[WORDS:]
 
         for b in batches:
-            keys, c, kind, bucket = (b.column(x).to_numpy() for x in ("chunk", "c", "class", "bucket"))
-            for at, to in _spans(keys):
-                if chunk is not None and keys[at] != chunk:
-                    yield flush()
-                    parts = []
-                chunk = int(keys[at])
-                parts.append((c[at:to], kind[at:to], bucket[at:to]))
-        if parts:
-            yield flush()
-
-    rows = known.repartition("chunk").sortWithinPartitions("chunk", "local")
-    return rows.select("chunk", "c", "class", "bucket").mapInArrow(run, "chunk bigint, c binary, class binary, bucket binary")
-
-
-def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
-    cut = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-    return [(a, b) for a, b in zip(cut, cut[1:], strict=False) if a < b]
+            keys, c = b.column("chunk").to_numpy(), b.column("c").to_numpy()
+            spans = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for at, to in zip(spans, spans[1:], strict=False):
+                if at < to:
+                    if chunk is not None and keys[at] != chunk:
+                        yield from cut(True)
+                        part = 0
+                    chunk = int(keys[at])
+                    held = np.concatenate((held, c[at:to]))
+                    yield from cut(False)
+        yield from cut(True)
+
+    rows = counted.select("chunk", "part", "c").repartition("chunk").sortWithinPartitions("chunk", "part")
+    return rows.select("chunk", "c").mapInArrow(run, "chunk bigint, part int, body binary")
 
 
 class Prior:
@@ -167,82 +189,115 @@ class Prior:
         """log P(word | class) for counts and effective classes."""
         return np.where(c == 0, self.log_unseen, np.where(kind == RARE, self.log_once, np.log(np.maximum(c, 1) / np.maximum(self.sums[kind], 1))))
 
+    def weights(self) -> np.ndarray:
+        """Nothing but the class totals, held by the rows of the class pairs (one fires always)."""
+        w = np.zeros((ROWS, CLASSES), dtype=np.float32)
+        w[2 * BUCKETS :] = self.bias
+        return w
+
 
 def history(kind: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """Rows of the weights that fire at each token. starts: a text begins here."""
-    place = np.arange(len(kind))
-    begin = np.maximum.accumulate(np.where(starts, place, 0))
-    before = lambda x, k, none: np.where(place - k >= begin, np.roll(x, k), none)
-    end_bucket = 0
-    one, two = before(bucket, 1, end_bucket), before(bucket, 2, end_bucket)
-    pair = before(kind, 1, END).astype(np.int64) * CLASSES + before(kind, 2, END)
-    return [one.astype(np.int64), BUCKETS + two.astype(np.int64), 2 * BUCKETS + pair]
-
-
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def read_chunk(row: dict, keep_held: bool) -> tuple:
-    """(c, class, effective class, rows, lengths) of the tokens of a chunk."""
-    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), dtype="<i4")
-    ends = np.frombuffer(row["ends"], dtype="<i8")
-    lengths = np.diff(np.concatenate(([0], ends)))
-    if not keep_held:
-        learn = ~np.array(row["held"], dtype=bool)
-        tokens, lengths = tokens[np.repeat(learn, lengths)], lengths[learn]
-    c = np.frombuffer(row["c"], dtype="<i8")
-    kind = np.frombuffer(row["class"], dtype="u1").astype(np.int32)
-    bucket = np.frombuffer(row["bucket"], dtype="<u2").astype(np.int32)
-    effective = np.where((c == 0) | ((c < 2) & (kind != END)), RARE, kind).astype(np.int32)
-    starts = np.zeros(len(tokens), dtype=bool)
-    starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    return c[tokens], effective[tokens], history(kind[tokens], bucket[tokens], starts), lengths
-
-
-def train_step(ready: DataFrame, weights: np.ndarray, prior: Prior, batch: int = 8192, rate: float = 0.3) -> np.ndarray:
+    second = np.append(False, starts[:-1])
+
+    def before(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+        one, two = np.roll(x, 1), np.roll(x, 2)
+        one[starts] = none
+        two[starts | second] = none
+        return one, two
+
+    (one, two), (kind1, kind2) = before(bucket, 0), before(kind, END)
+    return [r.astype(np.uint16) for r in (one, BUCKETS + two, 2 * BUCKETS + kind1 * CLASSES + kind2)]
+
+
+def logits(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    z = weights.take(rows[0], axis=0)
+    z += weights.take(rows[1], axis=0)
+    z += weights.take(rows[2], axis=0)
+    return np.clip(z, -60, 60, out=z)
+
+
+def together(packed: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Each chunk's counts, word classes and texts in one task, in this order."""
+    counts = arrays.withColumn("kind", F.lit(COUNTS))
+    rows = packed.where(F.col("kind").isin(ABOUT, TEXTS)).select("chunk", "kind", "part", "ids", "held", "ends", "body").unionByName(counts, allowMissingColumns=True)
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+
+
+def pieces(batches, keep_held: bool):
+    """(ids, held, c, effective class, rows, lengths) of the texts of each piece."""
+    chunk, counts, about, known = None, [], [], None
+    for b in batches:
+        for k in range(b.num_rows):
+            row = b.slice(k, 1).to_pylist()[0]
+            if row["chunk"] != chunk:
+                chunk, counts, about, known = row["chunk"], [], [], None
+            if row["kind"] == COUNTS:
+                counts.append(expand(row["body"], "<i8"))
+                continue
+            if row["kind"] == ABOUT:
+                about.append(expand(row["body"], "<u2").reshape(2, -1))
+                continue
+            if known is None:
+                c = np.concatenate(counts)
+                kind, bucket = np.concatenate(about, axis=1).astype(np.int32)
+                known = c, kind, bucket, np.where((c == 0) | ((c < 2) & (kind != END)), RARE, kind).astype(np.int32)
+            c, kind, bucket, effective = known
+            tokens, ids, held = unpack_tokens(row["body"]), row["ids"], row["held"]
+            lengths = np.diff(np.concatenate(([0], np.frombuffer(row["ends"], dtype="<i8"))))
+            learn = np.ones(len(ids), dtype=bool) if keep_held else ~np.array(held, dtype=bool)
+            if not learn.all():
+                tokens, lengths = tokens[np.repeat(learn, lengths)], lengths[learn]
+            if len(tokens):
+                starts = np.zeros(len(tokens), dtype=bool)
+                starts[np.cumsum(lengths) - lengths] = True
+                yield ids, held, c[tokens], effective[tokens], history(kind[tokens], bucket[tokens], starts), lengths
+
+
+def train_step(ready: DataFrame, weights: np.ndarray, rate: float = 0.3) -> np.ndarray:
     """One pass of gradient steps over all learned texts; the tasks' changes averaged."""
     sc = ready.sparkSession.sparkContext
-    shared = sc.broadcast((weights, prior.bias))  # ROWS * CLASSES numbers, whatever the corpus
-    block = 256
+    shared = sc.broadcast(weights)  # ROWS * CLASSES numbers, whatever the corpus
 
     def run(batches):
-        start, bias = shared.value
+        start = shared.value
         own, grown = start.copy(), np.full(start.shape, 1.0, dtype=np.float32)
         seen = 0
-        for b in batches:
-            for row in b.to_pylist():
-                _, kind, rows, _ = read_chunk(row, keep_held=False)
-                seen += len(kind)
-                for at in range(0, len(kind), batch):
-                    part = [r[at : at + batch] for r in rows]
-                    g = np.exp(log_softmax(own, bias, part))
-                    g[np.arange(len(g)), kind[at : at + batch]] -= 1
-                    for r in part:
-                        order = np.argsort(r, kind="stable")
-                        first = np.flatnonzero(np.append(True, np.diff(r[order]) > 0))
-                        sums = np.add.reduceat(g[order], first, axis=0)
-                        at_row = r[order][first]
-                        grown[at_row] += sums * sums
-                        own[at_row] -= rate * sums / np.sqrt(grown[at_row])
+        for _, _, _, kind, rows, _ in pieces(batches, keep_held=False):
+            seen += len(kind)
+            for at in range(0, len(kind), STEP):
+                part = [r[at : at + STEP] for r in rows]
+                g = logits(own, part)
+                np.exp(g, out=g)
+                g /= g.sum(axis=1, keepdims=True)
+                g[np.arange(len(g)), kind[at : at + STEP]] -= 1
+                for r in part:
+                    order = np.argsort(r, kind="stable")
+                    ordered = r[order]
+                    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                    sums = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+                    at_row = ordered[first]
+                    grown[at_row] += sums * sums
+                    own[at_row] -= rate * sums / np.sqrt(grown[at_row])
         if seen:
-            change = (own - start).astype(np.float16).reshape(-1, CLASSES)
-            at = np.arange(0, len(change), block)
-            yield pa.RecordBatch.from_arrays([pa.array(at // block), pa.array(np.full(len(at), float(seen))), pa.array([(change[k : k + block].astype(np.float64) * seen).ravel().astype(np.float32).tolist() for k in at], pa.list_(pa.float32()))], names=["block", "seen", "change"])
-
-    changes = ready.select("held", "ends", "tokens", "c", "class", "bucket").mapInArrow(run, "block bigint, seen double, change array<float>")
-    summed = changes.select("block", "seen", F.posexplode("change").alias("k", "x")).groupBy("block", "k").agg((F.sum("x") / F.sum("seen")).alias("x"))
-    packed = summed.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("x")).collect()  # ROWS * CLASSES numbers
+            change = (own - start) * np.float32(seen)
+            at = range(0, len(change), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK for k in at], pa.int64()), pa.array(np.full(len(at), TaskContext.get().partitionId())), pa.array(np.full(len(at), float(seen))), pa.array([change[k : k + BLOCK].astype("<f4").tobytes() for k in at], pa.binary())], names=["block", "part", "seen", "change"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, dtype="<f4") for x in pdf["change"]], axis=0, dtype=np.float64).astype("<f4")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [pdf["part"].iloc[0]], "seen": [pdf["seen"].sum()], "change": [total.tobytes()]})
+
+    schema = "block bigint, part bigint, seen double, change binary"
+    changes = materialize(ready.mapInArrow(run, schema))
+    parts = (changes.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:  # FAN changes are added in one task, whatever the number of tasks
+        changes = changes.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInPandas(add, schema)
+        parts = -(-parts // FAN)
     out = weights.copy()
-    for r in packed:
-        part = np.array(r["x"], dtype=np.float32).reshape(-1, CLASSES)
-        out[r["block"] * block : r["block"] * block + len(part)] += part
+    for r in changes.collect():  # ROWS * CLASSES numbers
+        part = np.frombuffer(r["change"], dtype="<f4").reshape(-1, CLASSES) / np.float32(r["seen"])
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] += part
     return out
 
 
@@ -254,35 +309,40 @@ def score(docs: DataFrame, held_out: Column, passes: int = 1, id_col: str = "doc
     rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     packed = materialize(chunks(rows))
-    words = packed.where("local >= 0").select("chunk", "local", "word", "n")
-    totals = materialize(with_classes(words.groupBy("word").agg(F.sum("n").alias("c"))))
-    seen = totals.where("c > 0")
-    n, v, once, twice = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    # A word has a row for each chunk that uses it: its rows meet once, and go back with the sum.
+    word = Window.partitionBy("h")
+    words = packed.where(F.col("kind") == VOCABULARY).select("h", "chunk", "part", "n", "class")
+    counted = materialize(words.withColumn("c", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("chunk")) == 1).select("chunk", "part", "c", "class", "first"))
     kind = F.when((F.col("c") < 2) & (F.col("class") != END), RARE).otherwise(F.col("class"))
-    sums = np.zeros(CLASSES)
-    for r in seen.groupBy(kind.alias("kind")).agg(F.sum("c").alias("c")).collect():  # CLASSES rows
+    sums, n, v, once, twice = np.zeros(CLASSES), 0, 0, 0, 0
+    for r in counted.where("first and c > 0").groupBy(kind.alias("kind")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect():  # CLASSES rows
         sums[r["kind"]] = r["c"]
+        n, v, once, twice = n + r["c"], v + r["v"], once + r["once"], twice + r["twice"]
     prior = Prior(n, v, once, twice, sums)
-    arrays = materialize(by_chunk(words.join(totals, "word").select("chunk", "local", "c", "class", "bucket")))
-    ready = materialize(packed.where("local = -1").select("chunk", "ids", "held", "ends", "tokens").join(arrays, "chunk"))
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
+    ready = together(packed, materialize(by_chunk(counted)))
+    weights = prior.weights()
     for _ in range(passes if n else 0):
-        weights = train_step(ready, weights, prior)
+        weights = train_step(ready, weights)
     shared = docs.sparkSession.sparkContext.broadcast((weights, prior))
 
     def run(batches):
         weights, prior = shared.value
-        for b in batches:
-            kind = b.schema.field("ids").type.value_type
-            for row in b.to_pylist():
-                c, effective, rows, lengths = read_chunk(row, keep_held=True)
-                base = np.log10(c + 1.0) - np.log10(prior.n + prior.v + 1.0)
-                p = prior.log_in_class(c, effective)
-                for at in range(0, len(c), 8192):
-                    z = log_softmax(weights, prior.bias, [r[at : at + 8192] for r in rows])
-                    p[at : at + 8192] += z[np.arange(len(z)), effective[at : at + 8192]]
-                first = np.cumsum(lengths) - lengths
-                add = lambda x: np.add.reduceat(x, first)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"], pa.bool_()), pa.array(lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(lengths), prior.n)), pa.array(add(base)), pa.array(add(p) / np.log(10))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        id_kind: list = []
+
+        def typed(batches):
+            for b in batches:
+                id_kind[:] = [b.schema.field("ids").type.value_type]
+                yield b
+
+        for ids, held, c, effective, rows, lengths in pieces(typed(batches), keep_held=True):
+            base = np.log10(c + 1.0) - np.log10(prior.n + prior.v + 1.0)
+            p = prior.log_in_class(c, effective)
+            for at in range(0, len(c), STEP):
+                z = logits(weights, [r[at : at + STEP] for r in rows])
+                p[at : at + STEP] += z[np.arange(len(z)), effective[at : at + STEP]]
+                p[at : at + STEP] -= np.log(np.exp(z, out=z).sum(axis=1))
+            first = np.cumsum(lengths) - lengths
+            add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind[0]), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(lengths), prior.n)), pa.array(add(base)), pa.array(add(p) / np.log(10))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return ready.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
