@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from math import radians
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: WGS84.
 A, INVERSE_F = 6378137.0, 298.257223563
@@ -183,10 +186,6 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
 
 def vincenty(lon1, lat1, lon2, lat2):
     """Ellipsoidal distance in metres as a vectorised function (a pandas UDF): it iterates."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def solve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         u1, u2 = np.arctan((1 - _F) * np.tan(np.radians(b))), np.arctan((1 - _F) * np.tan(np.radians(d)))
         away = np.radians(c - a)

@@ -1 +1 @@
-"""Part of terrafold; see the README for the map of modules."""
+"""Readers and writers: text tables here, binary point files and grids beside."""
