@@ -11,7 +11,7 @@ one such geometry (consensus). Links give components.
 
 Images of equal pixels are one class first; only its representative (the smallest id) is
 matched. A table's key may be very common (a shared banner): its members, in the order of
-their class, meet their `window` successors, not all others, so work stays in proportion; members are
+their images' corners and class, meet their `window` successors, not all others, so work stays in proportion; members are
 dealt by ranges of (key, class), and the rows at the seams of the ranges are matched apart.
 Copies share many keys, most of them of few members, where all meet.
 
@@ -36,10 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, plain
+from terrafold.llm.common import materialize, plain, ragged
 from terrafold.llm.simhash import components
 
-RADIUS, DISC, TURNS, TESTS = 10, 7, 16, 128
+#: A corner is the highest within SUPPRESS pixels; its tests lie within RADIUS.
+SUPPRESS, RADIUS, DISC, TURNS, TESTS = 12, 10, 7, 16, 128
 
 _HIDDEN = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:p|div|h\d|li|ul|ol|nav|article|section|header|footer|table|tr|td|th|br|blockquote|pre)\b[^>]*>", re.I)
@@ -121,53 +122,59 @@ def pattern() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sum over a square of side 2 r + 1, zeros outside."""
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (r + 1, r)
-        c = np.cumsum(np.pad(a, pad), axis=axis)
-        n = a.shape[axis]
-        a = np.take(c, range(2 * r + 1, 2 * r + 1 + n), axis=axis) - np.take(c, range(n), axis=axis)
-    return a
+    """Sum over a square of side 2 r + 1, zeros outside; exact for integers."""
+    h, w = a.shape
+    c = np.zeros((h + 2 * r + 1, w), dtype=np.int64)
+    np.cumsum(a, axis=0, out=c[r + 1 : r + 1 + h])
+    c[r + 1 + h :] = c[r + h]
+    a = c[2 * r + 1 :] - c[:h]
+    c = np.zeros((h, w + 2 * r + 1), dtype=np.int64)
+    np.cumsum(a, axis=1, out=c[:, r + 1 : r + 1 + w])
+    c[:, r + 1 + w :] = c[:, r + w : r + w + 1]
+    return c[:, 2 * r + 1 :] - c[:, :w]
 
 
 def _highest(a: np.ndarray, r: int) -> np.ndarray:
-    """Maximum over a square of side 2 r + 1."""
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (r, r)
-        w, have = np.pad(a, pad, constant_values=-np.inf), 1
-        cut = lambda x, lo, hi: x[lo:hi] if axis == 0 else x[:, lo:hi]  # noqa: B023, E731
-        while have < 2 * r + 1:
-            step = min(have, 2 * r + 1 - have)
-            n = w.shape[axis]
-            w, have = np.maximum(cut(w, 0, n - step), cut(w, step, n)), have + step
-        a = w
-    return a
+    """Maximum over a square of side 2 r + 1; below zero counts as zero."""
+    h, w = a.shape
+    m = np.zeros((h + 2 * r, w + 2 * r))
+    m[r : r + h, r : r + w] = a
+    have = 1
+    while have < 2 * r + 1:
+        step = min(have, 2 * r + 1 - have)
+        m = np.maximum(m[:-step], m[step:])
+        m = np.maximum(m[:, :-step], m[:, step:])
+        have += step
+    return m
 
 
 def corners(grey: np.ndarray, scales: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, turn, scale) of each corner, in pixels of the full image, and its 4 words."""
+    """(x, y, turn, scale) of each corner, in pixels of the full image, and its 4 words.
+
+    Sums are of integers, so a copied patch gives the same numbers wherever it lies.
+    """
     disc, tests = pattern()
     places, words = [], []
-    image = grey.astype(np.float64)
+    image = np.rint(grey).astype(np.int64)
     for scale in range(scales):
         if scale:
-            h, w = image.shape[0] // 2 * 2, image.shape[1] // 2 * 2
-            image = image[:h, :w].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
+            h, w = image.shape[0] // 2, image.shape[1] // 2
+            image = image[: 2 * h : 2, : 2 * w] + image[1 : 2 * h : 2, : 2 * w]
+            image = image[:, ::2] + image[:, 1::2]
         if min(image.shape) < 4:
             break
         gy, gx = np.zeros_like(image), np.zeros_like(image)
         gy[1:-1], gx[:, 1:-1] = image[2:] - image[:-2], image[:, 2:] - image[:, :-2]
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        measure = np.round(xx * yy - xy * xy - 0.05 * (xx + yy) ** 2, 3)
-        y, x = np.nonzero((measure > 1e4) & (measure == _highest(measure, RADIUS)))
+        xx, yy, xy = (_box(g, 2).astype(np.float64) for g in (gx * gx, gy * gy, gx * gy))
+        measure = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+        y, x = np.nonzero((measure > 1e4 * 256**scale) & (measure == _highest(measure, SUPPRESS)))
         if not len(y):
             continue
-        soft = np.pad(_box(image, 1), 2 * RADIUS)
+        soft = np.zeros((image.shape[0] + 4 * RADIUS, image.shape[1] + 4 * RADIUS), dtype=np.int64)
+        soft[2 * RADIUS : -2 * RADIUS, 2 * RADIUS : -2 * RADIUS] = _box(image, 1)
         y, x = y + 2 * RADIUS, x + 2 * RADIUS
         ring = soft[y[:, None] + disc[:, 0], x[:, None] + disc[:, 1]]
-        angle = np.arctan2(ring @ disc[:, 0], ring @ disc[:, 1])
+        angle = np.arctan2((ring * disc[:, 0]).sum(axis=1), (ring * disc[:, 1]).sum(axis=1))
         turn = np.rint(angle / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
         at = tests[turn]
         pair = soft[y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
@@ -183,60 +190,74 @@ def pixel_class(grey: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(struct.pack("<II", *grey.shape) + np.rint(grey).astype(np.uint8).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-#: A corner in a table: key, class, geometry, the four words, the image's corners.
-ENTRY = "key bigint, cls bigint, kp int, x int, y int, turn int, scale int, w array<bigint>, n int"
+#: A corner in a table. key: table, word and (in the low COUNT bits) how many corners its image
+#: has; w1 and w2: its four words; g: its number, x, y, turn and scale.
+ENTRY = "key bigint, cls bigint, w1 bigint, w2 bigint, g bigint"
+FIELDS = ["key", "cls", "w1", "w2", "g"]
+COUNT = 28
+VOTE = "a bigint, b bigint, kp int, geometry bigint, least int"
 
 
-def entries(classes: DataFrame) -> DataFrame:
-    """classes: cls, image (one for each class). Four entries for each corner."""
+def features(images: DataFrame) -> DataFrame:
+    """images: id, image. (id, cls, corners as bytes: x, y, turn, scale and four words each)."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
-                out = []
-                for cls, raw in zip(b.column("cls").to_pylist(), b.column("image").to_pylist(), strict=True):
-                    place, word = corners(decode(raw))
-                    for k, (p, w) in enumerate(zip(place.tolist(), word.tolist(), strict=True)):
-                        out += [((t << 32) | w[t], cls, k, *p, w, len(place)) for t in range(4)]
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.int64()), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "cls", "kp", "x", "y", "turn", "scale", "w", "n"])
+                cls, packed = [], []
+                for raw in b.column("image").to_pylist():
+                    grey = decode(raw)
+                    cls.append(None if grey is None else pixel_class(grey))
+                    packed.append(None if grey is None else np.concatenate(corners(grey), axis=1).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["id", "cls", "corners"])
 
-    return classes.mapInArrow(run, ENTRY)
+    return images.mapInArrow(run, f"id {dict(images.dtypes)['id']}, cls bigint, corners binary")
 
 
-VOTE = "a bigint, b bigint, kp int, geometry bigint, least int"
+def entries(classes: DataFrame) -> DataFrame:
+    """classes: cls, corners. Four entries for each corner."""
 
+    def run(batches):
+        for b in batches:
+            raw = b.column("corners").to_pylist()
+            n = np.array([len(x) // 32 for x in raw])
+            if not n.sum():
+                continue
+            f = np.frombuffer(b"".join(raw), dtype="<u4").reshape(-1, 8).astype(np.int64)
+            cls, kp = np.repeat(b.column("cls").to_numpy(), n), ragged(n)
+            g = (kp << 46) | (f[:, 0] << 28) | (f[:, 1] << 10) | (f[:, 2] << 4) | f[:, 3]
+            w1, w2 = (f[:, 4] << 32) | f[:, 5], (f[:, 6] << 32) | f[:, 7]
+            every = lambda x: pa.array(np.repeat(x, 4))
+            key = (((np.arange(4)[None, :] << 32) | f[:, 4:]) << COUNT) | np.repeat(n, n)[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), every(cls), every(w1), every(w2), every(g)], names=FIELDS)
 
-def vote(f: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, budget: int, cell: int = 6) -> pd.DataFrame:
+    return classes.mapInArrow(run, ENTRY)
+
+
+def vote(f: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, budget: int, cell: int = 6) -> dict[str, np.ndarray]:
     """Votes of entries i against j (positions in f) whose descriptors are near enough."""
-    near = np.bitwise_count((f["w"][i] ^ f["w"][j]).astype(np.uint64)).sum(axis=1) <= budget
+    bits = lambda w: np.bitwise_count((f[w][i] ^ f[w][j]).view(np.uint64))
+    near = bits("w1").astype(int) + bits("w2") <= budget
     i, j = i[near], j[near]
     swap = f["cls"][i] > f["cls"][j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    turn = (f["turn"][j] - f["turn"][i]) % TURNS
-    scale = f["scale"][j] - f["scale"][i]
+    part = lambda k, shift, width: (f["g"][k] >> shift) & ((1 << width) - 1)
+    (xi, yi, ti, si), (xj, yj, tj, sj) = ([part(k, 28, 18), part(k, 10, 18), part(k, 4, 6), part(k, 0, 4)] for k in (i, j))
+    turn, scale = (tj - ti) % TURNS, sj - si
     angle, grow = 2 * np.pi * turn / TURNS, 2.0**scale
-    dx = f["x"][j] - grow * (np.cos(angle) * f["x"][i] - np.sin(angle) * f["y"][i])
-    dy = f["y"][j] - grow * (np.sin(angle) * f["x"][i] + np.cos(angle) * f["y"][i])
+    dx = xj - grow * (np.cos(angle) * xi - np.sin(angle) * yi)
+    dy = yj - grow * (np.sin(angle) * xi + np.cos(angle) * yi)
+    mask = (1 << COUNT) - 1
     code = (((scale + 8) * TURNS + turn) << 48) + ((np.rint(dx / cell).astype(np.int64) + (1 << 23)) << 24) + np.rint(dy / cell).astype(np.int64) + (1 << 23)
-    return pd.DataFrame({"a": f["cls"][i], "b": f["cls"][j], "kp": f["kp"][i].astype(np.int32), "geometry": code, "least": np.minimum(f["n"][i], f["n"][j]).astype(np.int32)})
-
-
-def fields(table: pa.Table | pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {c: table.column(c).to_numpy() for c in ("key", "cls", "kp", "x", "y", "turn", "scale", "n")}
-    flat = table.column("w").combine_chunks() if isinstance(table, pa.Table) else table.column("w")
-    out["w"] = flat.flatten().to_numpy().reshape(-1, 4)
-    return out
+    return {"a": f["cls"][i], "b": f["cls"][j], "kp": part(i, 46, 17).astype(np.int32), "geometry": code, "least": (np.minimum(f["key"][i] & mask, f["key"][j] & mask)).astype(np.int32)}
 
 
 def meetings(f: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of entries of one key and two classes, at most `window` apart in order."""
-    i, j = [], []
+    word, i, j = f["key"] >> COUNT, [], []
     for step in range(1, window + 1):
-        at = np.flatnonzero((f["key"][:-step] == f["key"][step:]) & (f["cls"][:-step] != f["cls"][step:]))
+        at = np.flatnonzero((word[:-step] == word[step:]) & (f["cls"][:-step] != f["cls"][step:]))
         i.append(at)
         j.append(at + step)
     return np.concatenate(i), np.concatenate(j)
@@ -248,78 +269,56 @@ def find_copies(images: DataFrame, votes: int = 4, share: float = 0.3, budget: i
     image_class: the smallest id of the same pixels; component_id: the smallest id reachable
     by links; links: classes that the row's class is linked to.
     """
+    known = materialize(features(plain(images, id=id_col, image=F.col(f"`{image_col}`").cast("binary"))))
+    classes = known.where("cls is not null").groupBy("cls").agg(F.min("id").alias("image_class"), (F.max(F.length("corners")) / 32).cast("int").alias("corners"))
+    one = known.where("corners is not null").select("cls", "corners").dropDuplicates(["cls"])
+    names = [*FIELDS, "a", "b", "kp", "geometry", "least", "seam", "side"]
+    kinds = [*[pa.int64()] * 7, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
-    def digest(batches):
-        for b in batches:
-            grey = [decode(x) for x in b.column("image").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([None if g is None else pixel_class(g) for g in grey], pa.int64()), b.column("image")], names=["id", "cls", "image"])
-
-    rows = plain(images, id=id_col, image=F.col(f"`{image_col}`").cast("binary"))
-    id_type = dict(rows.dtypes)["id"]
-    known = materialize(rows.mapInArrow(digest, f"id {id_type}, cls bigint, image binary"))
-    classes = known.where("cls is not null").groupBy("cls").agg(F.min("id").alias("image_class"))
-    one = known.where("cls is not null").select("cls", "image").dropDuplicates(["cls"])
+    def batch(n: int, own: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own[c], k) if c in own else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def pairs(batches):
-        task = TaskContext.get().partitionId()
-        tail: pa.Table | None = None
-        head = None
+        task, head, tail, old = TaskContext.get().partitionId(), None, None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
+            f = {c: b.column(c).to_numpy() for c in FIELDS}
             if head is None:
-                head = t.slice(0, window)
+                head = {c: x[:window] for c, x in f.items()}
             if tail is not None:
-                t = pa.concat_tables([tail, t])
-            f = fields(t)
+                f = {c: np.concatenate((tail[c], x)) for c, x in f.items()}
             i, j = meetings(f, window)
-            fresh = j >= (0 if tail is None else tail.num_rows)
-            v = vote(f, i[fresh], j[fresh], budget)
-            if len(v):
-                yield tagged(v)
-            tail = t.slice(max(0, t.num_rows - window))
+            v = vote(f, i[j >= old], j[j >= old], budget)
+            if len(v["a"]):
+                yield batch(len(v["a"]), v)
+            tail = {c: x[-window:] for c, x in f.items()}
+            old = len(tail["key"])
         if head is not None:
             # The seams: this range's last entries meet the next range's first ones.
-            for part, seam, order in ((tail, task, 0), (head, task - 1, 1)):
-                yield edge(part, seam, order)
-
-
-    def tagged(v: pd.DataFrame) -> pa.RecordBatch:
-        n = len(v)
-        blank = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.int64()), pa.int32())]
-        return pa.RecordBatch.from_arrays([*blank, *(pa.array(v[c].to_numpy()) for c in ("a", "b", "kp", "geometry", "least")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
-
-    def edge(t: pa.Table, seam: int, side: int) -> pa.RecordBatch:
-        b = t.combine_chunks().to_batches()[0]
-        n = b.num_rows
-        blank = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())]
-        return pa.RecordBatch.from_arrays([*b.columns, *blank, pa.array(np.full(n, seam)), pa.array(np.full(n, side, dtype=np.int32))], names=names)
-
-    names = ["key", "cls", "kp", "x", "y", "turn", "scale", "w", "n", "a", "b", "vkp", "geometry", "least", "seam", "side"]
-    wide = ENTRY + ", a bigint, b bigint, vkp int, geometry bigint, least int, seam bigint, side int"
-    table = materialize(entries(one))
-    made = materialize(table.repartitionByRange("key", "cls", "kp").sortWithinPartitions("key", "cls", "kp").mapInArrow(pairs, wide))
+            for part, seam, side in ((tail, task, 0), (head, task - 1, 1)):
+                n = len(part["key"])
+                yield batch(n, part | {"seam": np.full(n, seam), "side": np.full(n, side, dtype=np.int32)})
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "key", "cls", "kp"], kind="stable")
-        f = {c: pdf[c].to_numpy(dtype=np.int64) for c in ("key", "cls", "kp", "x", "y", "turn", "scale", "n")}
-        f["w"] = np.array(pdf["w"].tolist(), dtype=np.int64).reshape(-1, 4)
+        pdf = pdf.sort_values(["side", "key", "cls", "g"], kind="stable")
+        f = {c: pdf[c].to_numpy(dtype=np.int64) for c in FIELDS}
         i, j = meetings(f, window)
         side = pdf["side"].to_numpy()
         cross = side[i] != side[j]
-        return vote(f, i[cross], j[cross], budget)
+        return pd.DataFrame(vote(f, i[cross], j[cross], budget))
 
-    seams = made.where("seam is not null").select("key", "cls", "kp", "x", "y", "turn", "scale", "w", "n", "seam", "side").groupBy("seam").applyInPandas(across, VOTE)
-    cast = made.where("a is not null").select("a", "b", F.col("vkp").alias("kp"), "geometry", "least").unionByName(seams)
+    table = entries(one.repartition("cls"))
+    met = materialize(table.repartitionByRange("key", "cls", "g").sortWithinPartitions("key", "cls", "g").mapInArrow(pairs, ", ".join([ENTRY, VOTE, "seam bigint", "side int"])))
+    seams = met.where("seam is not null").select(*FIELDS, "seam", "side").groupBy("seam").applyInPandas(across, VOTE)
+    cast = met.where("a is not null").select("a", "b", "kp", "geometry", "least").unionByName(seams)
     agreed = cast.distinct().groupBy("a", "b", "geometry").agg(F.count(F.lit(1)).alias("votes"), F.max("least").alias("least"))
     linked = materialize(agreed.where((F.col("votes") >= votes) & (F.col("votes") >= share * F.col("least"))).select("a", "b").distinct())
     reach = materialize(components(linked))
     degree = linked.select(F.col("a").alias("cls")).unionByName(linked.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    counts = table.groupBy("cls").agg(F.max("n").alias("corners"))
-    least = classes.join(reach.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    first = least.groupBy("root").agg(F.min("image_class").alias("component_id"))
-    about = materialize(least.join(first, "root").join(degree, "cls", "left").join(counts, "cls", "left").select("cls", "image_class", "component_id", F.coalesce("corners", F.lit(0)).alias("corners"), F.coalesce("links", F.lit(0)).alias("links")))
+    least = materialize(classes.join(reach.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    first = materialize(least.groupBy("root").agg(F.min("image_class").alias("component_id")))
+    about = materialize(least.join(first, "root").join(degree, "cls", "left").select("cls", "image_class", "component_id", "corners", F.coalesce("links", F.lit(0)).alias("links")))
     return known.select("id", "cls").join(about, "cls", "left").select("id", "image_class", "component_id", "corners", "links")
 
 
