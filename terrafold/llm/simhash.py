@@ -12,6 +12,13 @@ bits at a time as tables, with the same budget, until a pair has few enough. Eac
 its group's pairs level by level in numpy and reports a spanning forest, not all pairs.
 Components come from alternating star contractions over tables in the shared folder.
 
+`similarity` asks for more than near fingerprints: texts whose five-word shingles agree in that
+share. Such texts differ in up to about a dozen bits, so node pairs are walked with a budget of
+WIDE bits, of which at most FRONT fall into the block that is turned to the front (one of four
+blocks of 16 bits has no more). A task compares two tiles of fingerprints whose first bits differ
+in FRONT at most, and keeps a forest of its nearest pairs. Each is then verified by one-permutation
+MinHash sketches of the five-word shingles (BINS bins: a standard error of 0.025 at 0.8).
+
 Words are runs of anything but space and \\t..\\r, with A-Z in lower case; a text of fewer words
 than a shingle is one shingle, one without words (or null) has fingerprint zero and is linked
 like any other. Rows with the same fingerprint are one node. A null doc_id counts in no minimum
@@ -31,34 +38,82 @@ from terrafold.llm.common import materialize, plain, ragged
 SEED = 42
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
+#: Bits that texts of a similarity asked for may differ in, and of these in the front block.
+WIDE, FRONT, BINS = 11, 2, 256
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The 64-bit hashes of all shingles, in order; none without words."""
     own = text.lower().split()  # bytes: ASCII case and ASCII white space only
     if not own:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     n = max(1, len(own) - words + 1)
     joined = b" ".join(own)
     ends = np.cumsum([len(w) + 1 for w in own])
     starts = np.concatenate(([0], ends[: n - 1]))
     stops = ends[len(own) - n :] - 1
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    digest, out = xxhash.xxh64_digest, []
     for at in range(0, n, 50_000):
-        hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : at + 50_000].tolist(), stops[at : at + 50_000].tolist(), strict=True)])
-        ones += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        out += [np.frombuffer(b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : at + 50_000].tolist(), stops[at : at + 50_000].tolist(), strict=True)]), dtype=">u8")]
+    return np.concatenate(out)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits that over half of the hashes (big-endian) have."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 50_000):
+        ones += np.unpackbits(hashes[at : at + 50_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
+    return fingerprint_of(shingle_hashes(text, words, seed))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, and the columns `keep`) of every row; fp holds the 64 bits as a signed long."""
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """One-permutation MinHash of the five-word shingles, from the hashes of three-word ones.
+
+    Two three-word shingles two words apart make a five-word one. A byte a bin, 0 for an empty
+    bin; a text of under five words is one shingle.
+    """
+    h = hashes.astype(np.uint64)
+    if not len(h):
+        return bytes(BINS)
+    odd = lambda x: x * np.uint64(0x9E3779B97F4A7C15) ^ (x >> np.uint64(29))
+    five = odd(h[:-2]) + (odd(h[2:]) ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(3) if len(h) > 2 else np.bitwise_xor.reduce(odd(h), keepdims=True)
+    five = odd(odd(five))
+    low = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(low, (five >> np.uint64(56)).astype(np.int64), five & np.uint64((1 << 56) - 1))
+    return np.where(low == np.iinfo(np.uint64).max, 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of bins that agree, of those that either text fills; rows of BINS bytes."""
+    used = (a > 0) | (b > 0)
+    return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sketches: bool = False) -> DataFrame:
+    """(doc_id, fp, sketch if asked for, and the columns `keep`) of every row; fp as a signed long."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                fp = np.array([fingerprint(x or b"", words) for x in b.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *(b.column(c) for c in keep)], names=["doc_id", "fp", *keep])
-
+                fp, sketch = [], []
+                for x in b.column(1).to_pylist():
+                    h = shingle_hashes(x or b"", words)
+                    fp.append(fingerprint_of(h))
+                    if sketches:
+                        sketch.append(sketch_of(h))
+                more = [pa.array(sketch, pa.binary())] if sketches else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *more, *(b.column(c) for c in keep)], names=["doc_id", "fp", *(["sketch"] if sketches else []), *keep])
+
+    if sketches and words != 3:
+        raise ValueError("sketches of five-word shingles are made of three-word ones")
     rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary"), **{c: c for c in keep})
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", dict(rows.dtypes)["doc_id"]), ("fp", "bigint"), *((c, dict(rows.dtypes)[c]) for c in keep)])
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", kinds["doc_id"]), ("fp", "bigint"), *([("sketch", "binary")] if sketches else []), *((c, kinds[c]) for c in keep)])
     return rows.mapInArrow(run, schema)
 
 
@@ -80,15 +135,24 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def trie_pairs(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs within the budget below the roots [lo, hi); v ascends in each."""
-    lo1, hi1, lo2, hi2, err = lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int64)
+    return walk_pairs(v, np.stack((lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int64))), 63, lambda bit: budget)
+
+
+def walk_pairs(v: np.ndarray, pairs: np.ndarray, first: int, budget) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of leaves below the given node pairs that stay within the budget.
+
+    pairs: rows lo1, hi1, lo2, hi2 and the bits in which the two nodes differ so far; v ascends
+    in each node. first: the next bit to read. budget(bit): bits allowed once that bit is read.
+    """
+    lo1, hi1, lo2, hi2, err = pairs
     a, b = [], []
-    for bit in range(63, -1, -1):
+    for bit in range(first, -1, -1):
         if not len(lo1):
             break
         single = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
         if single.any():
             x, y = lo1[single], lo2[single]
-            near = (x != y) & (np.bitwise_count(v[x] ^ v[y]) <= budget)
+            near = (x != y) & (np.bitwise_count(v[x] ^ v[y]) <= budget(0))
             a.append(x[near])
             b.append(y[near])
             lo1, hi1, lo2, hi2, err = (z[~single] for z in (lo1, hi1, lo2, hi2, err))
@@ -98,7 +162,7 @@ def trie_pairs(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tu
         both = np.stack((lo1, mid1, lo2, mid2, err)), np.stack((mid1, hi1, mid2, hi2, err))
         cross = np.stack((lo1, mid1, mid2, hi2, err + 1)), np.stack((mid1, hi1, lo2, mid2, err + 1))[:, ~same]
         step = np.concatenate((*both, *cross), axis=1)
-        lo1, hi1, lo2, hi2, err = step[:, (step[0] < step[1]) & (step[2] < step[3]) & (step[4] <= budget)]
+        lo1, hi1, lo2, hi2, err = step[:, (step[0] < step[1]) & (step[2] < step[3]) & (step[4] <= budget(bit))]
         alone = (lo1 == lo2) & (hi1 - lo1 == 1) & (hi2 == hi1)
         lo1, hi1, lo2, hi2, err = (z[~alone] for z in (lo1, hi1, lo2, hi2, err))
     if len(lo1):  # all bits read: equal values or pairs within the budget
@@ -107,6 +171,32 @@ def trie_pairs(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tu
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def nearest_forest(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions in a and b of a spanning forest that takes the nearest pairs first."""
+    label, out = np.arange(len(v)), []
+    far = np.bitwise_count(v[a] ^ v[b])
+    for bits in np.unique(far):
+        left = np.flatnonzero(far == bits)
+        while True:
+            x, y = label[a[left]], label[b[left]]
+            left = left[x != y]
+            if not len(left):
+                break
+            x, y = label[a[left]], label[b[left]]
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            # Each component but the smallest takes one pair to a smaller one: no cycles.
+            pick = np.full(len(v), -1)
+            pick[high] = np.arange(len(left))
+            chosen = pick[pick >= 0]
+            out.append(left[chosen])
+            up = np.arange(len(v))
+            up[high[chosen]] = low[chosen]
+            while not np.array_equal(up, two := up[up]):
+                up = two
+            label = up[label]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
 def links_of(groups: np.ndarray, turn: np.ndarray, v: np.ndarray, budget: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of each group's links, as unturned fingerprints."""
     lo = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
@@ -208,6 +298,66 @@ def links(fps: DataFrame, budget: int = 3, tile: int = 2048) -> DataFrame:
     return out.unionByName(walk(spots.join(sides, ["r", "depth", "node"]).select("g", "r", "v"), budget, width))
 
 
+def similar_links(nodes: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
+    """(a, b): verified links between fingerprints of texts of that similarity. nodes: fp, sketch."""
+    n = nodes.count()
+    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / tile)), 8, 16))
+    fp = F.col("fp")
+    turned = F.array(*[F.struct(F.lit(k).cast("long").alias("r"), (fp if not k else F.shiftleft(fp, k * 16).bitwiseOR(F.shiftrightunsigned(fp, 64 - k * 16))).alias("v")) for k in range(4)])
+    rows = nodes.select(F.explode(turned).alias("t")).select("t.r", "t.v").withColumn("p", F.shiftrightunsigned("v", 64 - depth))
+    # A tile is a node of at most about `tile` fingerprints; a larger node is dealt into several.
+    sizes = rows.groupBy("r", "p").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("parts"))  # 4 * 2^16 rows at most
+    dealt = rows.join(F.broadcast(sizes), ["r", "p"]).withColumn("part", F.pmod(F.xxhash64("v"), "parts"))
+    tiles = materialize(dealt.groupBy("r", "p", "part").agg(F.collect_list("v").alias("v")))
+    masks = [m for m in range(1 << depth) if m.bit_count() <= FRONT]
+    other = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
+    left = tiles.withColumn("mask", other).withColumn("q", F.col("p").bitwiseXOR(F.col("mask"))).where("q >= p").select("r", "q", F.col("part").alias("part_a"), F.col("p").alias("p_a"), F.col("v").alias("v_a"))
+    right = tiles.select("r", F.col("p").alias("q"), F.col("part").alias("part_b"), F.col("v").alias("v_b"))
+    both = left.join(right, ["r", "q"]).where("p_a < q OR part_a <= part_b").select("r", (F.col("p_a") == F.col("q")).alias("same_p"), (F.col("part_a") == F.col("part_b")).alias("same_part"), "p_a", "q", "v_a", "v_b")
+
+    def budget(bit: int) -> int:
+        return FRONT if bit >= 48 else WIDE
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4):
+                b = whole.slice(at, 4)
+                values, pairs, turns, end = [], [], [], 0
+                for k in range(b.num_rows):
+                    one, two = (np.sort(b.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in ("v_a", "v_b"))
+                    own = b.column("same_p")[k].as_py() and b.column("same_part")[k].as_py()
+                    err = (b.column("p_a")[k].as_py() ^ b.column("q")[k].as_py()).bit_count()
+                    parts = [one] if own else [one, two]
+                    values += parts
+                    turns += [np.full(len(x), b.column("r")[k].as_py()) for x in parts]
+                    pairs.append((end, end + len(one), *((end, end + len(one)) if own else (end + len(one), end + len(one) + len(two))), err))
+                    end += sum(map(len, parts))
+                v, r = np.concatenate(values), np.concatenate(turns).astype(np.uint64) * np.uint64(16)
+                i, j = walk_pairs(v, np.array(pairs, dtype=np.int64).T, 63 - depth, budget)
+                if not len(i):
+                    continue
+                flat = ((v >> r) | np.where(r > 0, v << ((np.uint64(64) - r) & np.uint64(63)), np.uint64(0))).view(np.int64)
+                # A fingerprint may lie in several tiles here: it is one node of the forest.
+                names, node = np.unique(flat, return_inverse=True)
+                node_v = names.view(np.uint64)
+                i, j = node[i], node[j]
+                keep = nearest_forest(node_v, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(names[i[keep]], names[j[keep]])), pa.array(np.minimum(names[i[keep]], names[j[keep]]))], names=["a", "b"])
+
+    candidates = materialize(both.select("r", "same_p", "same_part", "p_a", "q", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint").distinct())
+    of = lambda c: nodes.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    half = materialize(candidates.join(of("a"), "a"))
+
+    def verify(batches):
+        for b in batches:
+            if b.num_rows:
+                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+                ok = pa.array(sketch_similarity(one, two) >= similarity)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    return half.join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(verify, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge. edges: a, b.
 
@@ -229,14 +379,42 @@ def components(edges: DataFrame) -> DataFrame:
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def told_apart(signed: DataFrame, similarity: float) -> DataFrame:
+    """signed with another fp for rows whose sketch isn't similar to their fingerprint's smallest one.
+
+    A few repeated words can outvote the rest of a text: fingerprints agree, texts don't.
+    """
+    mixed = materialize(signed.groupBy("fp").agg(F.min("sketch").alias("low"), F.max("sketch").alias("high")).where("low <> high").select("fp", "low"))
+
+    def judge(batches):
+        for b in batches:
+            if b.num_rows:
+                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sketch", "low"))
+                apart = sketch_similarity(one, two) < similarity
+                fp = [xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True) + bytes(s)) if out else int(x) & (2**64 - 1) for x, s, out in zip(b.column("fp").to_pylist(), one, apart, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(fp, dtype=np.uint64).view(np.int64)) if c == "fp" else b.column(c) for c in names], names=names)
+
+    names = signed.columns
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in signed.dtypes)
+    suspects = signed.join(mixed, "fp").select(*names, "low").mapInArrow(judge, schema)
+    return signed.join(mixed, "fp", "left_anti").select(*names).unionByName(suspects)
+
+
+def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id, and the columns `keep`) of every row.
 
-    component_id is the smallest doc_id reachable.
+    component_id is the smallest doc_id reachable: by fingerprints within the budget, or with
+    `similarity` by texts whose five-word shingles agree in that share.
     """
-    signed = materialize(fingerprints(docs, words, id_col, text_col, keep))
-    nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    reach = materialize(components(links(nodes.select("fp"), budget, tile)))
+    signed = materialize(fingerprints(docs, words, id_col, text_col, keep, similarity is not None))
+    if similarity is None:
+        nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        found = links(nodes.select("fp"), budget, tile)
+    else:
+        signed = materialize(told_apart(signed, similarity))
+        nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
+        found = similar_links(nodes.select("fp", "sketch"), similarity, tile)
+    reach = materialize(components(found))
     member = materialize(reach.join(nodes, reach["node"] == nodes["fp"]).select("fp", "root", "least"))
     first = materialize(member.groupBy("root").agg(F.min("least").alias("component_id")))
     linked = materialize(member.join(first, "root").select("fp", "component_id"))
