@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -80,4 +82,34 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_exact_topk, op7_license_scan, op8_lm_score, op9_token_counts, op10_media_copies)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _license_sql() -> str:
+    """The windows of the scan and their shares of each template, without any band."""
+    from terrafold.llm.license_scan import TEMPLATES, geometry
+
+    rows = []
+    for name, template in sorted(TEMPLATES.items()):
+        words = re.findall(r"[^\W_]+", template.lower())
+        own = [" ".join(words[k : k + 5]) for k in range(len(words) - 4)]
+        stride, length = geometry(len(own))
+        rows += [f"('{name}', '{x}', {len(set(own))}, {stride}, {length})" for x in sorted(set(own))]
+    return f"""
+WITH t(license, shingle, n, stride, length) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 4))) AS i FROM w),
+h AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] || ' ' || w[i + 5] AS shingle FROM s),
+m AS (SELECT doc_id, i, license, shingle, n, unnest(range(greatest(0, CAST(ceil((i - length + 1) / stride) AS BIGINT)), CAST(floor(i / stride) AS BIGINT) + 1)) AS j FROM h JOIN t USING (shingle)),
+c AS (SELECT doc_id, license, j, count(DISTINCT shingle) / any_value(n) AS share, min(i) AS place FROM m GROUP BY 1, 2, 3 HAVING count(DISTINCT shingle) >= 0.8 * any_value(n))
+SELECT doc_id, license, max(share) AS containment, min(place) AS first_word, count(*) AS windows FROM c GROUP BY 1, 2"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda t: t[1] * t[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_license_scan": _license_sql(),
+}
