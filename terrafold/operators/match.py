@@ -17,13 +17,15 @@ def dot(a: str, b: str) -> Column:
 def best_two(left: DataFrame, right: DataFrame, pair: list[str]) -> DataFrame:
     """(pair, ia, ib, d1, d2): the nearest and second distance of each left descriptor in its pair.
 
-    left: pair columns, ia, da; right: pair columns, ib, db. The two nearest are kept as a
-    sorted pair while rows are aggregated; ties go to the smaller ib. d2 is null for one candidate.
+    left: pair columns, ia, da; right: pair columns, ib, db. Ties go to the smaller ib; d2 is null
+    for one candidate. A limit of two ranks is pushed below the shuffle, so each task sends at most
+    two candidates of a descriptor.
     """
-    both = left.join(right, pair).withColumn("d", squared_distance("da", "db"))
-    two = both.groupBy(*pair, "ia").agg(F.min(F.struct("d", "ib")).alias("m"), F.count(F.lit(1)).alias("n"))
-    rest = both.select(*pair, "ia", "ib", "d").join(two.select(*pair, "ia", F.col("m.ib").alias("first")), [*pair, "ia"]).where("ib <> first").groupBy(*pair, "ia").agg(F.min("d").alias("d2"))
-    return two.join(rest, [*pair, "ia"], "left").select(*pair, "ia", F.col("m.ib").alias("ib"), F.col("m.d").alias("d1"), "d2")
+    order = Window.partitionBy(*pair, "ia").orderBy("d", "ib")
+    both = left.join(right, pair).select(*pair, "ia", "ib", squared_distance("da", "db").alias("d"))
+    two = both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2)
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    return two.groupBy(*pair, "ia").agg(at(1, "ib").alias("ib"), at(1, "d").alias("d1"), at(2, "d").alias("d2"))
 
 
 def ratio_matches(left: DataFrame, right: DataFrame, pair: list[str], ratio: float = 0.8, mutual: bool = True) -> DataFrame:
@@ -36,14 +38,21 @@ def ratio_matches(left: DataFrame, right: DataFrame, pair: list[str], ratio: flo
     return ahead.join(back.select(*pair, F.col("ia").alias("ib"), F.col("ib").alias("ia")), [*pair, "ia", "ib"], "left_semi")
 
 
-def top_similar(vectors: DataFrame, k: int, group: list[str] | None = None) -> DataFrame:
-    """(id, rank, other, score): the k largest dot products within each group, ties to the smaller id."""
-    group = group or []
-    a = vectors.select(*group, F.col("id"), F.col("v").alias("va"))
-    b = vectors.select(*group, F.col("id").alias("other"), F.col("v").alias("vb"))
-    joined = (a.join(b, group) if group else a.crossJoin(b)).where("id <> other").withColumn("score", dot("va", "vb"))
-    order = Window.partitionBy(*group, "id").orderBy(F.desc("score"), "other")
-    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*group, "id", "rank", "other", "score")
+def top_similar(vectors: DataFrame, k: int, group: list[str] | None = None, blocks: int = 32) -> DataFrame:
+    """(id, rank, other, score): the k largest dot products within each group, ties to the smaller id.
+
+    Without a group every vector is a query against all others, in blocks dealt by a hash: a
+    task holds one block, and sends at most k candidates of a query.
+    """
+    keys = group or ["_block"]
+    a = vectors.select(*(group or []), F.col("id"), F.col("v").alias("va"))
+    b = vectors.select(*(group or []), F.col("id").alias("other"), F.col("v").alias("vb"))
+    if not group:
+        a = a.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        b = b.withColumn("_block", F.pmod(F.xxhash64("other"), F.lit(blocks).cast("bigint")))
+    joined = a.join(b, keys).where("id <> other").select(*(group or []), "id", "other", dot("va", "vb").alias("score"))
+    order = Window.partitionBy(*(group or []), "id").orderBy(F.desc("score"), "other")
+    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*(group or []), "id", "rank", "other", "score")
 
 
 def symmetric_pairs(ranked: DataFrame) -> DataFrame:

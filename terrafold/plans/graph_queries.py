@@ -59,6 +59,11 @@ def topk_similar(spark, d):
     return _top(spark, d).select("id", "rank", "other", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH s AS (SELECT a.vec_id id, b.vec_id other, {_DOT} score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) rank FROM s) SELECT id, rank, other, round(score,6) score FROM t WHERE rank <= 3")
+def topk_everywhere(spark, d):
+    return M.top_similar(V.descriptors(spark, d).select("id", "v"), 3, blocks=4).withColumns(r6("score"))
+
+
 @query(f"WITH {_TOP} SELECT DISTINCT least(id,other) id_a, greatest(id,other) id_b FROM t WHERE rank <= 5")
 def pairs_symmetric(spark, d):
     return M.symmetric_pairs(_top(spark, d))
