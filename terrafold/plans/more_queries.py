@@ -208,3 +208,68 @@ def cloud_normals(spark, d):
 def filter_chain(spark, d):
     steps = [("range", {"z_min": 2}), ("isolated", {"size": 3.0}), ("outlier", {"reach": 8.0})]
     return C.filter_chain(V.sparse_points(spark, d), steps).select("pid")
+
+
+_PAIRS = V.EDGES + ", p AS (SELECT id_a, id_b, inliers, CASE WHEN (id_a+id_b) % 13 = 0 THEN 'error' ELSE 'done' END status, inliers < 10 weak, (id_a*id_b) % 7 <> 0 enabled, CASE WHEN (id_a+id_b) % 3 = 0 THEN inliers ELSE 0 END shared FROM edges)"
+
+
+@query(f"WITH {_PAIRS} SELECT count(*) FILTER (status='done' AND inliers > 0) verified, count(*) FILTER (status='done' AND inliers > 0 AND weak) weak, count(*) FILTER (NOT enabled) excluded, count(*) FILTER (status='running') running, count(*) FILTER (status='error') \"error\", count(*) FILTER (status='done' AND inliers > 0 AND shared > 0) used, min(inliers) FILTER (status='done' AND inliers > 0 AND enabled AND NOT weak) least, quantile_cont(inliers, 0.5) FILTER (status='done' AND inliers > 0 AND enabled AND NOT weak) median, max(inliers) FILTER (status='done' AND inliers > 0 AND enabled AND NOT weak) most FROM p")
+def pair_stats(spark, d):
+    from terrafold.operators import survey
+
+    a, b = F.col("id_a"), F.col("id_b")
+    e = V.edges(spark, d)
+    pairs = e.select(a, b, "inliers", F.when((a + b) % 13 == 0, "error").otherwise("done").alias("status"), (F.col("inliers") < 10).alias("weak"), ((a * b) % 7 != 0).alias("enabled"))
+    return survey.pair_stats(pairs, e.where((a + b) % 3 == 0).select("id_a", "id_b", F.col("inliers").alias("shared")))
+
+
+@query("WITH g AS (SELECT c_custkey name_, CASE c_custkey % 3 WHEN 0 THEN 'check' ELSE 'control' END role, c_custkey % 11 <> 0 enabled, CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal END z FROM customer), m AS (SELECT o_custkey name_, count(DISTINCT o_orderkey % 9) marks FROM orders GROUP BY 1), j AS (SELECT *, coalesce(marks, 0) k, enabled AND role = 'control' AND z IS NOT NULL ok FROM g LEFT JOIN m USING (name_)) SELECT count(*) FILTER (ok AND k >= 2) ready, count(*) FILTER (ok AND k < 2) want_marks, count(*) FILTER (role = 'control' AND NOT ok) want_coordinates, count(*) FILTER (role = 'check') checks FROM j")
+def control_readiness(spark, d):
+    from terrafold.operators import survey
+
+    k = F.col("c_custkey")
+    gcps = V.table(spark, d, "customer").select(k.alias("name"), F.when(k % 3 == 0, "check").otherwise("control").alias("role"), (k % 11 != 0).alias("enabled"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.when(k % 17 != 0, F.col("c_acctbal")).alias("z"))
+    marks = V.table(spark, d, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_orderkey") % 9).alias("image_id"))
+    return survey.control_readiness(gcps, marks)
+
+
+_RING_SQL = "r AS (SELECT o_custkey id, list(struct_pack(x := (o_orderkey % 97)::DOUBLE, y := (o_orderkey % 89)::DOUBLE) ORDER BY o_orderkey) p FROM orders GROUP BY 1)"
+
+
+@query(f"WITH {_RING_SQL}, k AS (SELECT id, p, unnest(range(len(p))) k FROM r), s AS (SELECT id, any_value(len(p)) n, sum(CASE WHEN k > 0 THEN sqrt((p[k+1].x-p[k].x)**2+(p[k+1].y-p[k].y)**2) ELSE 0 END) length, sum((p[k+1].x-p[1].x)*(p[(k+1)%len(p)+1].y-p[1].y)-(p[(k+1)%len(p)+1].x-p[1].x)*(p[k+1].y-p[1].y)) twice FROM k GROUP BY 1) SELECT id, round(CASE WHEN n < 2 THEN 0 ELSE length END,6) length, round(CASE WHEN n < 3 THEN 0 ELSE abs(twice)/2 END,6) area FROM s")
+def ring_measures(spark, d):
+    from terrafold.operators import survey
+
+    k = F.col("o_orderkey")
+    rows = V.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.struct(k.alias("k"), (k % 97).cast("double").alias("x"), (k % 89).cast("double").alias("y")).alias("v"))
+    rings = rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("p"))
+    return rings.select("id", F.round(survey.polyline("p"), 6).alias("length"), F.round(survey.shoelace("p"), 6).alias("area"))
+
+
+@query("WITH t AS (SELECT DISTINCT l_suppkey image_id, l_partkey kp, l_partkey % 700 pt FROM lineitem), u AS (SELECT image_id, kp, min(pt) pt FROM t GROUP BY 1,2), m AS (SELECT l_suppkey id_a, l_suppkey % 40 + 1 id_b, l_partkey kp_a, l_orderkey % 2000 kp_b, l_quantity / 10.0 AS err FROM lineitem WHERE l_linenumber = 2), j AS (SELECT m.*, a.pt pa, b.pt pb FROM m LEFT JOIN u a ON a.image_id = id_a AND a.kp = kp_a LEFT JOIN u b ON b.image_id = id_b AND b.kp = kp_b), s AS (SELECT id_a, id_b, count(*) n, count(*) FILTER (pa = pb) together, count(*) FILTER (pa <> pb) split, count(*) FILTER (pa = pb OR ((pa IS NULL OR pb IS NULL) AND err <= 4)) fits FROM j GROUP BY 1,2) SELECT id_a, id_b, n, together, split, CASE WHEN n < 8 THEN 'unknown' WHEN fits >= 0.5*n THEN 'agrees' ELSE 'conflicts' END verdict FROM s")
+def pair_agreement(spark, d):
+    from terrafold.operators import survey
+
+    li = V.table(spark, d, "lineitem")
+    tracks = li.groupBy(F.col("l_suppkey").alias("image_id"), F.col("l_partkey").alias("kp")).agg(F.min(F.col("l_partkey") % 700).alias("pt"))
+    matches = li.where("l_linenumber = 2").select(F.col("l_suppkey").alias("id_a"), (F.col("l_suppkey") % 40 + 1).alias("id_b"), F.col("l_partkey").alias("kp_a"), (F.col("l_orderkey") % 2000).alias("kp_b"), (F.col("l_quantity") / 10.0).alias("error"))
+    return survey.pair_agreement(matches, tracks)
+
+
+@query()
+def core_extent(spark, d):
+    """Two rounds of histograms; held against a made scene in the tests."""
+    from terrafold.operators import survey
+
+    e = survey.core_extent(V.points(spark, d))
+    return spark.createDataFrame([tuple(round(e[k], 6) for k in sorted(e))], ", ".join(f"{k} double" for k in sorted(e)))
+
+
+@query()
+def dem_enclosed_fill(spark, d):
+    """Pull and push over a pyramid; which cells are filled is checked by enclosed_gaps."""
+    from terrafold.operators import survey
+
+    r, c = F.col("row"), F.col("col")
+    dense = V.cells(spark, d).where(((r * 7 + c * 3) % 5 != 0) & ~(r.between(8, 11) & c.between(8, 14)) & ~((r < 3) & (c > 20)))
+    return survey.fill_enclosed(dense).withColumn("z", F.round("z", 6))
