@@ -16,7 +16,7 @@ Components come from alternating star contractions over tables in the shared fol
 share. Such texts differ in up to about a dozen bits, so node pairs are walked with a budget of
 WIDE bits, of which at most FRONT fall into the block that is turned to the front (one of four
 blocks of 16 bits has no more). A task compares two tiles of fingerprints whose first bits differ
-in FRONT at most, and keeps a forest of its nearest pairs. Each is then verified by one-permutation
+in FRONT at most, and keeps FORESTS forests of its nearest pairs. Each is then verified by one-permutation
 MinHash sketches of the five-word shingles (BINS bins: a standard error of 0.025 at 0.8).
 
 Words are runs of anything but space and \\t..\\r, with A-Z in lower case; a text of fewer words
@@ -40,6 +40,9 @@ SEED = 42
 
 #: Bits that texts of a similarity asked for may differ in, and of these in the front block.
 WIDE, FRONT, BINS = 11, 2, 256
+#: Forests without a common pair that a task keeps: what they connect stays connected if fewer
+#: pairs than this of any cut fail the verification.
+FORESTS = 4
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -298,13 +301,13 @@ def links(fps: DataFrame, budget: int = 3, tile: int = 2048) -> DataFrame:
     return out.unionByName(walk(spots.join(sides, ["r", "depth", "node"]).select("g", "r", "v"), budget, width))
 
 
-def similar_links(nodes: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
-    """(a, b): verified links between fingerprints of texts of that similarity. nodes: fp, sketch."""
-    n = nodes.count()
+def near_pairs(fps: DataFrame, tile: int = 1024) -> DataFrame:
+    """(a, b): pairs of fingerprints within WIDE bits, several forests of them. fps: distinct fp."""
+    n = fps.count()
     depth = int(np.clip(np.ceil(np.log2(max(n, 1) / tile)), 8, 16))
     fp = F.col("fp")
     turned = F.array(*[F.struct(F.lit(k).cast("long").alias("r"), (fp if not k else F.shiftleft(fp, k * 16).bitwiseOR(F.shiftrightunsigned(fp, 64 - k * 16))).alias("v")) for k in range(4)])
-    rows = nodes.select(F.explode(turned).alias("t")).select("t.r", "t.v").withColumn("p", F.shiftrightunsigned("v", 64 - depth))
+    rows = fps.select(F.explode(turned).alias("t")).select("t.r", "t.v").withColumn("p", F.shiftrightunsigned("v", 64 - depth))
     # A tile is a node of at most about `tile` fingerprints; a larger node is dealt into several.
     sizes = rows.groupBy("r", "p").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("parts"))  # 4 * 2^16 rows at most
     dealt = rows.join(F.broadcast(sizes), ["r", "p"]).withColumn("part", F.pmod(F.xxhash64("v"), "parts"))
@@ -341,12 +344,31 @@ def similar_links(nodes: DataFrame, similarity: float, tile: int = 1024) -> Data
                 names, node = np.unique(flat, return_inverse=True)
                 node_v = names.view(np.uint64)
                 i, j = node[i], node[j]
-                keep = nearest_forest(node_v, i, j)
+                left, keep = np.arange(len(i)), []
+                for _ in range(FORESTS):
+                    taken = left[nearest_forest(node_v, i[left], j[left])]
+                    keep.append(taken)
+                    left = np.setdiff1d(left, taken, assume_unique=True)
+                keep = np.concatenate(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(names[i[keep]], names[j[keep]])), pa.array(np.minimum(names[i[keep]], names[j[keep]]))], names=["a", "b"])
 
-    candidates = materialize(both.select("r", "same_p", "same_part", "p_a", "q", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint").distinct())
-    of = lambda c: nodes.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    half = materialize(candidates.join(of("a"), "a"))
+    return both.select("r", "same_p", "same_part", "p_a", "q", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def similar_links(nodes: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
+    """(a, b): verified links between nodes. nodes: id, fp, sketch (each fp and sketch once).
+
+    Near fingerprints are candidates. A few repeated words can outvote the rest of a text, so
+    texts of one fingerprint may differ: its nodes are held against the one of its smallest
+    sketch, and against that of each near fingerprint.
+    """
+    own = materialize(nodes.groupBy("fp").agg(F.min(F.struct("sketch", "id")).alias("m")).select("fp", F.col("m.sketch").alias("sketch_b"), F.col("m.id").alias("b")))
+    found = materialize(near_pairs(own.select("fp"), tile))
+    both = materialize(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    of_node = nodes.select("fp", F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
+    within = of_node.join(own, "fp").where("a <> b").select("a", "b", "sketch_a", "sketch_b")
+    half = materialize(both.select(F.col("a").alias("fp"), F.col("b").alias("other")).join(of_node, "fp").select("a", "sketch_a", F.col("other").alias("fp")))
+    across = half.join(own, "fp").select("a", "b", "sketch_a", "sketch_b")
 
     def verify(batches):
         for b in batches:
@@ -355,7 +377,7 @@ def similar_links(nodes: DataFrame, similarity: float, tile: int = 1024) -> Data
                 ok = pa.array(sketch_similarity(one, two) >= similarity)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    return half.join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(verify, "a bigint, b bigint")
+    return within.unionByName(across).mapInArrow(verify, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -379,47 +401,28 @@ def components(edges: DataFrame) -> DataFrame:
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def told_apart(signed: DataFrame, similarity: float) -> DataFrame:
-    """signed with another fp for rows whose sketch isn't similar to their fingerprint's smallest one.
-
-    A few repeated words can outvote the rest of a text: fingerprints agree, texts don't.
-    """
-    mixed = materialize(signed.groupBy("fp").agg(F.min("sketch").alias("low"), F.max("sketch").alias("high")).where("low <> high").select("fp", "low"))
-
-    def judge(batches):
-        for b in batches:
-            if b.num_rows:
-                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sketch", "low"))
-                apart = sketch_similarity(one, two) < similarity
-                fp = [xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True) + bytes(s)) if out else int(x) & (2**64 - 1) for x, s, out in zip(b.column("fp").to_pylist(), one, apart, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(fp, dtype=np.uint64).view(np.int64)) if c == "fp" else b.column(c) for c in names], names=names)
-
-    names = signed.columns
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in signed.dtypes)
-    suspects = signed.join(mixed, "fp").select(*names, "low").mapInArrow(judge, schema)
-    return signed.join(mixed, "fp", "left_anti").select(*names).unionByName(suspects)
-
-
 def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id, and the columns `keep`) of every row.
+    """(doc_id, fp, component_id, component, and the columns `keep`) of every row.
 
     component_id is the smallest doc_id reachable: by fingerprints within the budget, or with
-    `similarity` by texts whose five-word shingles agree in that share.
+    `similarity` by texts whose five-word shingles agree in that share. component is a number
+    of the same group that is never null.
     """
     signed = materialize(fingerprints(docs, words, id_col, text_col, keep, similarity is not None))
     if similarity is None:
-        nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        of = ["fp"]
+        nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")))
         found = links(nodes.select("fp"), budget, tile)
     else:
-        signed = materialize(told_apart(signed, similarity))
-        nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
-        found = similar_links(nodes.select("fp", "sketch"), similarity, tile)
+        of = ["fp", "sketch"]
+        nodes = materialize(signed.groupBy(*of).agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64(*of)))
+        found = similar_links(nodes.select("id", *of), similarity, tile)
     reach = materialize(components(found))
-    member = materialize(reach.join(nodes, reach["node"] == nodes["fp"]).select("fp", "root", "least"))
-    first = materialize(member.groupBy("root").agg(F.min("least").alias("component_id")))
-    linked = materialize(member.join(first, "root").select("fp", "component_id"))
-    named = materialize(nodes.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
+    member = materialize(reach.join(nodes, reach["node"] == nodes["id"]).select("id", "root", "least"))
+    first = materialize(member.groupBy("root").agg(F.min("least").alias("first")))
+    linked = materialize(member.select("id", "root").join(first, "root"))
+    named = materialize(nodes.join(linked, "id", "left").select(*of, F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("root", "id").alias("component")))
+    return signed.join(named, of).select("doc_id", "fp", "component_id", "component", *keep)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -78,3 +78,67 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(edges).toPandas()
     assert len(got) == 301 and (got.root == 0).all()
+
+
+def shingle_set(text, words=5):
+    own = text.encode().lower().split()
+    return frozenset(tuple(own[i : i + words]) for i in range(len(own) - words + 1)) or frozenset([tuple(own)])
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited_copies(seed):
+    """Texts of 20 to 400 words, each with copies in which a few words are changed."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    out = []
+    for _ in range(40):
+        own = [word() for _ in range(int(rng.integers(20, 400)))]
+        out.append(" ".join(own))
+        for share in (0.0, 0.005, 0.01, 0.02, 0.05, 0.2):
+            changed = list(own)
+            for k in rng.choice(len(own), int(np.ceil(share * len(own))), replace=False):
+                changed[k] = word()
+            out.append(" ".join(changed))
+    return out
+
+
+def test_similar_texts_are_joined_and_others_left(spark):
+    texts = edited_copies(1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [shingle_set(t) for t in texts]
+    for tile in (1024, 8):
+        root = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8, tile=tile).collect()}
+        close = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.9]
+        assert np.mean([root[a] == root[b] for a, b in close]) > 0.99
+        assert all(root[k] // 7 == k // 7 for k in range(len(texts))), "no text joins another's copies"
+        for k in range(len(texts)):
+            if root[k] != k:
+                own = [j for j in range(k // 7 * 7, k // 7 * 7 + 7) if j != k]
+                assert max(jaccard(sets[k], sets[j]) for j in own) > 0.65
+
+
+def test_sketches_estimate_the_share_of_shingles():
+    texts = edited_copies(2)
+    hashes = [simhash.shingle_hashes(t.encode(), 3) for t in texts]
+    sketches = [np.frombuffer(simhash.sketch_of(h), dtype=np.uint8)[None] for h in hashes]
+    sets = [shingle_set(t) for t in texts]
+    errors = [float(simhash.sketch_similarity(sketches[a], sketches[b])[0]) - jaccard(sets[a], sets[b]) for a in range(len(texts)) for b in range(a // 7 * 7, a)]
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+    assert simhash.sketch_of(np.zeros(0, dtype=np.uint64)) == bytes(simhash.BINS)
+
+
+def test_repeated_words_that_outvote_a_text_are_told_apart(spark):
+    rows = [(k, "same same same " * 40 + " ".join(f"other{k}x{j}" for j in range(9))) for k in range(3)] + [(9, "same same same " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.fp for r in simhash.fingerprints(df).collect()} == {simhash.fingerprints(df).first().fp}
+    assert {r.component_id for r in simhash.near_components(df, similarity=0.8).collect()} == {0, 1, 2, 9}
+
+
+def test_nearest_forest_takes_the_nearest_pairs():
+    v = np.array([0, 1, 3, 0xFF, 0xFE], dtype=np.uint64)
+    a, b = np.array([0, 0, 1, 0, 3]), np.array([1, 2, 2, 3, 4])
+    keep = simhash.nearest_forest(v, a, b)
+    assert sorted(keep.tolist()) == [0, 2, 3, 4]
