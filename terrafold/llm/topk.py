@@ -14,7 +14,8 @@ other. Scores are exact integers; bounds carry a margin for rounding. Both steps
 joins by annulus and query chunk, each evaluated as one matrix product.
 
 The pivots come from a bounded sample (`sample` rows); every row is indexed. The list of annuli
-(one row of five numbers for `annulus` vectors) is read by every task.
+(at most 256 for a pivot, whatever the corpus) is read by every task; one of over `annulus` rows
+is dealt into parts of that size, which a query that needs it visits one by one.
 
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors count
 as filled with zeros. Rows of one id and the same vector count once; a query is compared with
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, plain
+from terrafold.llm.common import materialize, plain, ragged
 
 #: Products of integers below this are exact in float64.
 EXACT = float(1 << 53)
@@ -126,8 +127,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     per = ringed.groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
     parts = per.select("ring", F.ceil(F.col("n") / annulus).cast("long").alias("parts"))  # a row for each ring: bounded by pivots * 257
     index = materialize(ringed.join(F.broadcast(parts), "ring").withColumn("block", F.shiftleft("ring", 32) + F.pmod(F.xxhash64("vec_id", F.lit(9)), "parts")).drop("parts"))
-    found = index.groupBy("block", "pivot").agg(F.min("away").alias("low"), F.max("away").alias("high")).orderBy("block").toPandas()
-    blocks, at_pivot = found["block"].to_numpy(), found["pivot"].to_numpy()
+    found = index.groupBy("ring", "pivot").agg(F.min("away").alias("low"), F.max("away").alias("high"), (F.max(F.col("block") % (1 << 32)) + 1).alias("parts")).orderBy("ring").toPandas()  # 256 a pivot
+    rings, at_pivot, dealt = found["ring"].to_numpy(), found["pivot"].to_numpy(), found["parts"].to_numpy()
     low, high = found["low"].to_numpy(), found["high"].to_numpy()
 
     queries = rows.where(is_query).select("vec_id", "v")
@@ -149,7 +150,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                 for at in range(0, whole.num_rows, 256):
                     b = whole.slice(at, 256)
                     who, what = choose(bounds(b.column("v").to_pylist()), b)
-                    yield pa.RecordBatch.from_arrays([pa.array(blocks[what]), *(b.column(c).take(pa.array(who)) for c in ("chunk", "vec_id", "v"))], names=["block", "chunk", "vec_id", "v"])
+                    parts = dealt[what]
+                    who, block = np.repeat(who, parts), np.repeat(rings[what] << 32, parts) + ragged(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(block), *(b.column(c).take(pa.array(who)) for c in ("chunk", "vec_id", "v"))], names=["block", "chunk", "vec_id", "v"])
 
         return run
 
