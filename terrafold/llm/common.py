@@ -15,21 +15,25 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a row group of written tables.
+ROW_GROUP = 32 << 20
+
+
+#: Folders of sessions that have none set, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='terrafold-')}"
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        if (known := _OWN.get(spark.sparkContext.applicationId)) is not None:
-            return known
-        _OWN[spark.sparkContext.applicationId] = where
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='terrafold-')}"
+        where = _OWN[app]
     return where.rstrip("/")
 
 
-_OWN: dict[str, str] = {}
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -38,7 +42,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrafold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # A writer holds a row group in memory, with two or more writers in an executor.
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
