@@ -273,3 +273,89 @@ def dem_enclosed_fill(spark, d):
     r, c = F.col("row"), F.col("col")
     dense = V.cells(spark, d).where(((r * 7 + c * 3) % 5 != 0) & ~(r.between(8, 11) & c.between(8, 14)) & ~((r < 3) & (c > 20)))
     return survey.fill_enclosed(dense).withColumn("z", F.round("z", 6))
+
+
+@query(f"WITH {V.OBSERVATIONS}, t AS (SELECT pt, count(*) \"views\" FROM observations GROUP BY 1), p AS (SELECT (pt*37 % 997)/10.0 x, (pt*53 % 613)/10.0 y, \"views\" FROM t), b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, greatest(max(x)-min(x), max(y)-min(y))/20 s FROM p) SELECT CAST(least(floor((x-x0)/s), ceil((x1-x0)/s)-1) AS BIGINT) cx, CAST(least(floor((y-y0)/s), ceil((y1-y0)/s)-1) AS BIGINT) cy, count(*) points, max(\"views\") \"views\" FROM p, b GROUP BY 1, 2")
+def coverage_grid(spark, d):
+    from terrafold.operators import rules
+
+    t = V.observations(spark, d).groupBy("pt").agg(F.count(F.lit(1)).alias("views"))
+    return rules.coverage(t.select((F.col("pt") * 37 % 997 / 10.0).alias("x"), (F.col("pt") * 53 % 613 / 10.0).alias("y"), "views"), 20)
+
+
+@query(f"WITH {V.POINTS} SELECT round(quantile_cont(z, 0.02),6) low, round(quantile_cont(z, 0.98),6) high FROM points")
+def display_range(spark, d):
+    from terrafold.operators import rules
+
+    return rules.display_range(V.points(spark, d), "z").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("WITH o AS (SELECT l_suppkey i, (l_extendedprice + 1000) / 1200.0 g FROM lineitem), c AS (SELECT i, list_sort(list(g))[count(*)//2+1] m FROM o GROUP BY 1) SELECT list_sort(list(m))[count(*)//2+1] gsd FROM c")
+def photo_gsd(spark, d):
+    from terrafold.operators import rules
+
+    o = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image_id"), (F.col("l_extendedprice") + 1000).alias("distance"), F.lit(1200.0).alias("fx"))
+    return rules.photo_gsd(o)
+
+
+@query("SELECT vec_id id, round(list_sum(list_transform(embedding, lambda x: sqrt(abs(CAST(x AS DOUBLE))))) / sqrt(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))))), 5) total FROM embeddings")
+def root_sift(spark, d):
+    from terrafold.operators import rules
+
+    v = V.descriptors(spark, d).select("id", rules.root_sift("v").alias("r"))
+    return v.select("id", F.round(F.aggregate("r", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query(f"WITH {V.POINTS}, c AS (SELECT floor(y/8) row, floor(x/8) col, pid % 3 tile, CASE pid % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 1.0 ELSE 2.0 END gsd, max(z) z FROM points GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY gsd, tile) k FROM c) SELECT CAST(row AS BIGINT) row, CAST(col AS BIGINT) col, z FROM r WHERE k = 1")
+def mosaic_grid(spark, d):
+    from terrafold.operators import rules
+
+    p, tile = V.points(spark, d), F.col("pid") % 3
+    c = p.groupBy(F.floor(F.col("y") / 8).alias("row"), F.floor(F.col("x") / 8).alias("col"), tile.alias("tile"), F.when(tile == 1, 1.0).otherwise(2.0).alias("gsd")).agg(F.max("z").alias("z"))
+    return rules.mosaic(c)
+
+
+@query("WITH l AS (SELECT doc_id image_id, n_chars score, regexp_extract(text, 'version ([0-9])', 1) v FROM (SELECT doc_id, n_chars, lower(text) AS text FROM documents)) SELECT v \"value\", count(*) photos, CAST(sum(score) AS BIGINT) weight FROM l WHERE v <> '' GROUP BY 1")
+def text_votes(spark, d):
+    from terrafold.operators import rules
+
+    lines = V.table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.lower("text").alias("text"), F.col("n_chars").alias("score"))
+    return rules.votes(lines, "version ([0-9])")
+
+
+@query("SELECT p_partkey id, round(p_size * CASE p_size % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.3048 WHEN 2 THEN 1000 END, 8) metres, round(1.0/(p_size*p_size/100.0),8) weight, round(CASE WHEN p_size % 5 = 0 THEN p_retailprice WHEN p_size % 5 = 1 THEN 8.8/0.0024 ELSE p_size/36.0*4000 END,6) focal, round(CASE WHEN p_size/20.0 <= 1 THEN p_size*p_size/800.0 ELSE p_size/20.0 - 0.5 END,8) huber FROM part")
+def small_rules(spark, d):
+    from terrafold.operators import rules
+
+    n = F.col("p_size")
+    unit = F.when(n % 4 == 0, "cm").when(n % 4 == 1, "ft").when(n % 4 == 2, "KM").otherwise("cubit")
+    focal = rules.focal_px(F.when(n % 5 == 0, F.col("p_retailprice")), F.lit(8.8), F.when(n % 5 == 1, 0.0024), n.cast("double"), F.lit(4000.0))
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(rules.to_metres(n, unit), 8).alias("metres"), F.round(rules.weight_of(n / 10.0), 8).alias("weight"), F.round(focal, 6).alias("focal"), F.round(rules.robust_cost(n.cast("double"), "huber", 20.0), 8).alias("huber"))
+
+
+@query("WITH i AS (SELECT o_custkey seq, o_orderkey id FROM orders) SELECT seq, id, lag(id) OVER w \"before\", lead(id) OVER w \"after\" FROM i WINDOW w AS (PARTITION BY seq ORDER BY id)")
+def image_order(spark, d):
+    from terrafold.operators import rules
+
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("id"))
+    return rules.neighbours_in_order(o, "seq", "id", "id")
+
+
+@query(f"WITH {V.POINTS}, s AS (SELECT unnest([quantile_cont(x,0.02), quantile_cont(y,0.02), quantile_cont(z,0.02)]) a, unnest([quantile_cont(x,0.98), quantile_cont(y,0.98), quantile_cont(z,0.98)]) b, unnest(['x','y','z']) c FROM points) SELECT c, round(a-(b-a)*0.05,6) low, round(b+(b-a)*0.05,6) high FROM s")
+def robust_box(spark, d):
+    from terrafold.operators import rules
+
+    b = rules.robust_box(V.points(spark, d))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.round(f"{c}_min", 6).alias("low"), F.round(f"{c}_max", 6).alias("high")) for c in "xyz"]))
+    return b.select(rows.alias("r")).select("r.*")
+
+
+@query(f"WITH {V.EDGES}, t AS (SELECT id_a, id_b, CASE WHEN inliers % 3 = 0 THEN 'done' ELSE 'rejected' END status, inliers*2 raw, (id_a+id_b) % 19 = 0 excluded FROM edges), p AS (SELECT s_suppkey id, CASE WHEN s_suppkey % 10 < 8 THEN 0 ELSE s_suppkey % 10 - 7 END piece FROM supplier), x AS (SELECT greatest(a.piece,b.piece) piece, t.*, CASE WHEN raw >= 8 THEN 0 ELSE 2 END kind FROM t JOIN p a ON a.id=id_a JOIN p b ON b.id=id_b WHERE a.piece <> b.piece AND least(a.piece,b.piece) = 0 AND status = 'rejected' AND NOT excluded), r AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY kind, raw DESC, id_a, id_b) rank FROM x) SELECT piece, id_a, id_b, kind, rank FROM r WHERE rank <= 15")
+def gap_plan(spark, d):
+    from terrafold.operators import rules
+
+    e, k = V.edges(spark, d), F.col("s_suppkey")
+    tried = e.select("id_a", "id_b", F.when(F.col("inliers") % 3 == 0, "done").otherwise("rejected").alias("status"), (F.col("inliers") * 2).alias("raw"), ((F.col("id_a") + F.col("id_b")) % 19 == 0).alias("excluded"))
+    pieces = V.table(spark, d, "supplier").select(k.alias("id"), F.when(k % 10 < 8, 0).otherwise(k % 10 - 7).cast("bigint").alias("piece"))
+    none = e.select("id_a", "id_b", F.lit(0.5).alias("share")).where("false")
+    return rules.gap_plan(pieces, tried, none, 15, 200, 8)
