@@ -254,3 +254,76 @@ def mask_algebra(red: Column, alpha: Column, invert: bool = False) -> Column:
     """True where a mask excludes: red paint, and not transparent."""
     out = (red >= 128) & (alpha >= 128)
     return ~out if invert else out
+
+
+def accept_tile(tiles: DataFrame, size: float, least: int = 10, ratio: float = 0.3, spread: float = 0.2) -> DataFrame:
+    """Tiles with enough inliers, a fit share of them, and inliers spread over the tile.
+
+    tiles: tile, x, y, inlier for each match.
+    """
+    good = F.when(F.col("inlier"), F.lit(1))
+    side = lambda c: F.max(good * F.col(c)) - F.min(good * F.col(c))
+    stats = tiles.groupBy("tile").agg(F.count(good).alias("inliers"), F.count(F.lit(1)).alias("n"), F.least(side("x"), side("y")).alias("side"))
+    return stats.where((F.col("inliers") >= least) & (F.col("inliers") >= ratio * F.col("n")) & (F.col("side") >= spread * size))
+
+
+def visibility(points: DataFrame, cameras: DataFrame, cell: float, most: float = 60.0) -> DataFrame:
+    """(pt, image_id): points within an angle of straight below a camera no higher than `cell` above.
+
+    points: pt, x, y, z; cameras: image_id, x, y, z. A camera meets the cells its cone can reach.
+    """
+    reach = int(np.ceil(np.tan(np.radians(most))))
+    spread = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - reach, F.floor(F.col(c) / cell) + reach))
+    cams = cameras.select("image_id", *[F.col(c).alias(f"c{c}") for c in "xyz"]).withColumn("gx", spread("cx")).withColumn("gy", spread("cy"))
+    own = points.select("pt", "x", "y", "z", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
+    up = F.col("cz") - F.col("z")
+    flat = F.sqrt((F.col("cx") - F.col("x")) ** 2 + (F.col("cy") - F.col("y")) ** 2)
+    return own.join(cams, ["gx", "gy"]).where((up > 0) & (up <= cell) & (F.degrees(F.atan2(flat, up)) <= most)).select("pt", "image_id")
+
+
+def dem_anchors(points: DataFrame, heights: DataFrame, sigma: float = 2.0, views: int = 3, most: int = 2000) -> DataFrame:
+    """(pt, dz, weight): the points of most views to hold to a reference height, nearest in height first.
+
+    points: pt, z, views; heights: id (pt), z.
+    """
+    ref = heights.select(F.col("id").alias("pt"), F.col("z").alias("ref")).where("ref is not null")
+    out = points.where(F.col("views") >= views).join(ref, "pt").withColumn("dz", F.col("z") - F.col("ref"))
+    return out.orderBy(F.desc("views"), F.abs("dz"), "pt").limit(most).select("pt", "dz", F.lit(1.0 / sigma**2).alias("weight"))
+
+
+def scaled_px(px: float, scales: DataFrame) -> float:
+    """A threshold in detection pixels as native ones, by the median scale of photographs."""
+    m = scales.agg(F.percentile("scale", 0.5)).first()[0]
+    return px * m if m else px
+
+
+def layout(columns: list[dict[str, str]]) -> dict[str, str]:
+    """The attributes of several clouds together; mixed types become double."""
+    out: dict[str, str] = {}
+    for own in columns:
+        for k, t in own.items():
+            out[k] = t if out.get(k, t) == t else "double"
+    return out
+
+
+def format_problem(version: int | None, known: int) -> str | None:
+    """Why a project can't be opened, if it can't."""
+    if version is None:
+        return "it names no format version"
+    return f"it was written by a later version ({version} > {known})" if version > known else None
+
+
+def memory_plan(points: int, bytes_each: int, budget: int, halo: float = 0.1) -> dict:
+    """Tiles such that one, with its halo, fits a task's memory."""
+    need = int(points * bytes_each * (1 + halo))
+    tiles = max(1, -(-need // max(1, budget)))
+    return {"tiles": tiles, "points_per_tile": -(-points // tiles), "fits": bytes_each <= budget}
+
+
+def spread_subset(keypoints: DataFrame, cells: int, width: float, height: float, n: int) -> DataFrame:
+    """The strongest keypoints of each cell in turn, n an image: a cheap test before a full match."""
+    at = lambda c, size: F.least(F.lit(cells - 1), F.floor(F.col(c) * cells / size))
+    in_cell = Window.partitionBy("image_id", "cx", "cy").orderBy(F.desc("response"), "kp")
+    turn = Window.partitionBy("image_id").orderBy("turn", F.desc("response"), "kp")
+    placed = keypoints.withColumns({"cx": at("x", width), "cy": at("y", height)}).withColumn("turn", F.row_number().over(in_cell))
+    return placed.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= n).drop("cx", "cy", "turn", "rank")
