@@ -213,3 +213,20 @@ def vincenty(lon1, lat1, lon2, lat2):
             return pd.Series(A * (1 - _F) * ka * (sigma - step))
 
     return pandas_udf(solve, "double")(lon1, lat1, lon2, lat2)
+
+
+def grid_to_local(x: Column, y: Column, origin: tuple[float, float], factor: float = 1.0) -> tuple[Column, Column]:
+    """Projected coordinates in a local metric frame; factor is the projection's scale there."""
+    return (x - origin[0]) / factor, (y - origin[1]) / factor
+
+
+def local_to_grid(x: Column, y: Column, origin: tuple[float, float], factor: float = 1.0) -> tuple[Column, Column]:
+    return x * factor + origin[0], y * factor + origin[1]
+
+
+def utm_scale(lon: Column, lat: Column, zone: Column) -> Column:
+    """The point scale of UTM, to the fourth order of the distance from the central meridian."""
+    away = F.radians(lon - (zone * 6 - 183)) * F.cos(F.radians(lat))
+    c = E2 / (1 - E2) * F.pow(F.cos(F.radians(lat)), 2)
+    t = F.pow(F.tan(F.radians(lat)), 2)
+    return 0.9996 * (1 + (1 + c) * away * away / 2 + (5 - 4 * t + 42 * c) * F.pow(away, 4) / 24)

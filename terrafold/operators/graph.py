@@ -154,3 +154,31 @@ def outdated(records: DataFrame, depth: int = 32) -> DataFrame:
             break
         stale = more
     return stale
+
+
+def build_tracks(matches: DataFrame, least: int = 2) -> DataFrame:
+    """(pt, image_id, kp): tie points as components of matched keypoints, without conflicts.
+
+    matches: id_a, kp_a, id_b, kp_b. A photograph of which a component holds several keypoints
+    leaves it; what keeps too few photographs goes. pt is the component's smallest node.
+    """
+    node = lambda i, k: F.shiftleft(F.col(i).cast("bigint"), 32) + F.col(k)
+    edges = settled(matches.select(node("id_a", "kp_a").alias("id_a"), node("id_b", "kp_b").alias("id_b")))
+    labels = components(edges.select(F.col("id_a").alias("id")), edges)
+    seen = labels.select(F.col("component").alias("pt"), F.shiftright("id", 32).alias("image_id"), (F.col("id") % (1 << 32)).alias("kp"))
+    single = seen.groupBy("pt", "image_id").agg(F.count(F.lit(1)).alias("n"), F.min("kp").alias("kp")).where("n = 1").select("pt", "image_id", "kp")
+    enough = single.groupBy("pt").agg(F.count(F.lit(1)).alias("views")).where(F.col("views") >= least)
+    return single.join(enough, "pt", "left_semi")
+
+
+def extend_tracks(tracks: DataFrame, matches: DataFrame) -> DataFrame:
+    """(pt, image_id, kp): keypoints matched to just one tie point join it, if their photograph is new there.
+
+    Of several keypoints of a photograph for one point the smallest joins.
+    """
+    both = matches.select("id_a", "kp_a", "id_b", "kp_b").unionByName(matches.select(F.col("id_b").alias("id_a"), F.col("kp_b").alias("kp_a"), F.col("id_a").alias("id_b"), F.col("kp_a").alias("kp_b")))
+    known = tracks.select("pt", F.col("image_id").alias("id_a"), F.col("kp").alias("kp_a"))
+    free = both.join(known, ["id_a", "kp_a"]).join(tracks.select(F.col("image_id").alias("id_b"), F.col("kp").alias("kp_b")), ["id_b", "kp_b"], "left_anti")
+    one = free.groupBy(F.col("id_b").alias("image_id"), F.col("kp_b").alias("kp")).agg(F.min("pt").alias("pt"), F.count_distinct("pt").alias("n")).where("n = 1")
+    new = one.join(tracks.select("pt", "image_id"), ["pt", "image_id"], "left_anti").groupBy("pt", "image_id").agg(F.min("kp").alias("kp"))
+    return tracks.select("pt", "image_id", "kp").unionByName(new)

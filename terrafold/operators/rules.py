@@ -327,3 +327,36 @@ def spread_subset(keypoints: DataFrame, cells: int, width: float, height: float,
     turn = Window.partitionBy("image_id").orderBy("turn", F.desc("response"), "kp")
     placed = keypoints.withColumns({"cx": at("x", width), "cy": at("y", height)}).withColumn("turn", F.row_number().over(in_cell))
     return placed.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= n).drop("cx", "cy", "turn", "rank")
+
+
+def above_ground(points: DataFrame, least: float = 0.3, flat: float = 0.02, green: float = 0.05) -> DataFrame:
+    """points with a class by height above ground: 2 ground, 3 to 5 vegetation by height, 6 building.
+
+    points: hag, planarity (least share of the spread, null unknown), exg (excess green, null unknown).
+    """
+    plant = F.when(F.col("hag") < 0.5, 3).when(F.col("hag") < 2, 4).otherwise(5)
+    roof = (F.col("hag") >= 2) & (F.col("planarity") <= flat) & (F.coalesce(F.col("exg"), F.lit(0.0)) < green)
+    leafy = (F.col("exg") >= green) | (F.col("planarity") > flat)
+    return points.withColumn("classification", F.when(F.col("hag").isNull(), 0).when(F.col("hag") < least, 2).when(roof, 6).when(leafy, plant).otherwise(1))
+
+
+def local_frame(points: DataFrame) -> dict:
+    """Centroid and axes, the least principal axis up: nine moments come to the driver."""
+    r = points.agg(*[F.avg(c).alias(c) for c in "xyz"], *[F.covar_pop(a, b).alias(a + b) for a in "xyz" for b in "xyz" if a <= b]).first()
+    if r["x"] is None:
+        return {}
+    m = np.array([[r[min(a, b) + max(a, b)] for b in "xyz"] for a in "xyz"])
+    value, vector = np.linalg.eigh(m)
+    up = vector[:, 0] * (1 if vector[2, 0] >= 0 else -1)
+    east = vector[:, 2] - up * (vector[:, 2] @ up)
+    east /= np.linalg.norm(east)
+    return {"centre": np.array([r[c] for c in "xyz"]), "axes": np.stack((east, np.cross(up, east), up)), "spread": value[::-1]}
+
+
+def consistent_views(agreement: DataFrame, overlapping: DataFrame, least: int = 2) -> DataFrame:
+    """Pixels that enough views agree on: `least` of them, or all that overlap if there are fewer.
+
+    agreement: map_id, u, v, other (a view that agrees); overlapping: map_id, views.
+    """
+    n = agreement.groupBy("map_id", "u", "v").agg(F.count_distinct("other").alias("n"))
+    return n.join(overlapping, "map_id").where(F.col("n") >= F.greatest(F.lit(1), F.least(F.lit(least), F.col("views")))).select("map_id", "u", "v")

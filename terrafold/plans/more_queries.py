@@ -359,3 +359,25 @@ def gap_plan(spark, d):
     pieces = V.table(spark, d, "supplier").select(k.alias("id"), F.when(k % 10 < 8, 0).otherwise(k % 10 - 7).cast("bigint").alias("piece"))
     none = e.select("id_a", "id_b", F.lit(0.5).alias("share")).where("false")
     return rules.gap_plan(pieces, tried, none, 15, 200, 8)
+
+
+_TRACKS = "m AS (SELECT l_suppkey % 12 id_a, l_partkey % 40 kp_a, (l_suppkey + 1 + l_linenumber) % 12 id_b, l_orderkey % 40 kp_b FROM lineitem WHERE l_orderkey % 211 = 5 AND (l_suppkey + 1 + l_linenumber) % 12 <> l_suppkey % 12), e AS (SELECT id_a*1000+kp_a a, id_b*1000+kp_b b FROM m UNION SELECT id_b*1000+kp_b, id_a*1000+kp_a FROM m), r AS (SELECT DISTINCT a n, a x FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.x), c AS (SELECT n, min(x) pt FROM r GROUP BY 1), s AS (SELECT pt, n // 1000 i, min(n % 1000) kp FROM c GROUP BY 1, 2 HAVING count(*) = 1)"
+
+
+@query(f"WITH RECURSIVE {_TRACKS} SELECT (pt // 1000) * 4294967296 + pt % 1000 pt, i image_id, kp FROM s WHERE pt IN (SELECT pt FROM s GROUP BY 1 HAVING count(*) >= 2)")
+def build_tracks(spark, d):
+    from terrafold.operators import graph
+
+    s = F.col("l_suppkey")
+    other = (s + 1 + F.col("l_linenumber")) % 12
+    m = V.table(spark, d, "lineitem").where("l_orderkey % 211 = 5").where(other != s % 12)
+    return graph.build_tracks(m.select((s % 12).alias("id_a"), (F.col("l_partkey") % 40).alias("kp_a"), other.alias("id_b"), (F.col("l_orderkey") % 40).alias("kp_b")))
+
+
+@query("SELECT l_orderkey*8+l_linenumber id, min(CASE WHEN hag < 0.3 THEN 2 WHEN hag >= 2 AND p <= 0.02 AND g < 0.05 THEN 6 WHEN g >= 0.05 OR p > 0.02 THEN CASE WHEN hag < 0.5 THEN 3 WHEN hag < 2 THEN 4 ELSE 5 END ELSE 1 END) classification FROM (SELECT *, l_quantity/10.0 hag, l_tax+0.0 p, l_discount-0.03 g FROM lineitem) GROUP BY 1")
+def above_ground(spark, d):
+    from terrafold.operators import rules
+
+    li = V.table(spark, d, "lineitem")
+    p = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 10.0).alias("hag"), (F.col("l_tax") + 0.0).alias("planarity"), (F.col("l_discount") - 0.03).alias("exg"))
+    return rules.above_ground(p).groupBy("id").agg(F.min("classification").alias("classification"))
