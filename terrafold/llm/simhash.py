@@ -200,6 +200,22 @@ def nearest_forest(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
+def certificate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """FORESTS disjoint spanning forests of pairs of fingerprints, the nearest pairs first.
+
+    The certificate of several certificates is one of all their pairs, so tasks merge as they go.
+    """
+    names, node = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j, v = node[: len(a)], node[len(a) :], names.view(np.uint64)
+    left, keep = np.arange(len(i)), []
+    for _ in range(FORESTS):
+        taken = left[nearest_forest(v, i[left], j[left])]
+        keep.append(taken)
+        left = np.setdiff1d(left, taken, assume_unique=True)
+    kept = np.concatenate(keep)
+    return a[kept], b[kept]
+
+
 def links_of(groups: np.ndarray, turn: np.ndarray, v: np.ndarray, budget: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of each group's links, as unturned fingerprints."""
     lo = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
@@ -322,6 +338,7 @@ def near_pairs(fps: DataFrame, tile: int = 1024) -> DataFrame:
         return FRONT if bit >= 48 else WIDE
 
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for whole in batches:
             for at in range(0, whole.num_rows, 4):
                 b = whole.slice(at, 4)
@@ -337,20 +354,21 @@ def near_pairs(fps: DataFrame, tile: int = 1024) -> DataFrame:
                     end += sum(map(len, parts))
                 v, r = np.concatenate(values), np.concatenate(turns).astype(np.uint64) * np.uint64(16)
                 i, j = walk_pairs(v, np.array(pairs, dtype=np.int64).T, 63 - depth, budget)
+                flat = ((v >> r) | np.where(r > 0, v << ((np.uint64(64) - r) & np.uint64(63)), np.uint64(0))).view(np.int64)
+                # A pair belongs to the first turn that finds it: elsewhere it would come again.
+                apart, again = (flat[i] ^ flat[j]).view(np.uint64), np.zeros(len(i), dtype=bool)
+                for k in range(3):
+                    block = apart >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)
+                    again |= (r[i] > 16 * k) & (np.bitwise_count(block) <= FRONT)
+                i, j = i[~again], j[~again]
                 if not len(i):
                     continue
-                flat = ((v >> r) | np.where(r > 0, v << ((np.uint64(64) - r) & np.uint64(63)), np.uint64(0))).view(np.int64)
-                # A fingerprint may lie in several tiles here: it is one node of the forest.
-                names, node = np.unique(flat, return_inverse=True)
-                node_v = names.view(np.uint64)
-                i, j = node[i], node[j]
-                left, keep = np.arange(len(i)), []
-                for _ in range(FORESTS):
-                    taken = left[nearest_forest(node_v, i[left], j[left])]
-                    keep.append(taken)
-                    left = np.setdiff1d(left, taken, assume_unique=True)
-                keep = np.concatenate(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(names[i[keep]], names[j[keep]])), pa.array(np.minimum(names[i[keep]], names[j[keep]]))], names=["a", "b"])
+                held.append(certificate(flat[i], flat[j]))
+                if sum(len(x) for x, _ in held) > 200_000:
+                    held = [certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        if held:
+            one, two = certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
 
     return both.select("r", "same_p", "same_part", "p_a", "q", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
