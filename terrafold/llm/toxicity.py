@@ -58,7 +58,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, least_z: float = 4.0, most: int = 20_000, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positive: list[str], unlabelled: list[str], prior: float, least_z: float = 4.0, most: int = 20_000, rounds: int = 1600, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Full-batch steps (Adam) over the sample."""
     if not positive or not unlabelled:
         return Model({}, None)
