@@ -16,7 +16,7 @@ Components come from alternating star contractions over tables in the shared fol
 share. Such texts differ in up to about a dozen bits, so node pairs are walked with a budget of
 WIDE bits, of which at most FRONT fall into the block that is turned to the front (one of four
 blocks of 16 bits has no more). A task compares two tiles of fingerprints whose first bits differ
-in FRONT at most, and keeps FORESTS forests of its nearest pairs. Each is then verified by one-permutation
+in FRONT at most, and keeps a forest of the pairs whose parts of sketches (PART bins) agree best. Each is then verified by one-permutation
 MinHash sketches of the five-word shingles (BINS bins: a standard error of 0.025 at 0.8).
 
 Words are runs of anything but space and \\t..\\r, with A-Z in lower case; a text of fewer words
@@ -40,10 +40,9 @@ SEED = 42
 
 #: Bits that texts of a similarity asked for may differ in, and of these in the front block.
 WIDE, FRONT, BINS = 11, 2, 256
-#: Forests without a common pair that a task keeps: what they connect stays connected if fewer
-#: pairs than this of any cut fail the verification. Nearest pairs come first and many tasks see a
-#: group, so one was as good as four on the check documents.
-FORESTS = 1
+#: Bins of a sketch that go with a fingerprint where pairs are sought, and how far below the
+#: similarity asked for such a part may put a pair that is kept (three standard errors).
+PART, SLACK = 32, 0.25
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -97,6 +96,12 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
 
 
+def part_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of parts of sketches; 1 where too few bins are filled to tell."""
+    used = ((a > 0) | (b > 0)).sum(axis=1)
+    return np.where(used < 8, 1.0, sketch_similarity(a, b))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sketches: bool = False) -> DataFrame:
     """(doc_id, fp, sketch if asked for, and the columns `keep`) of every row; fp as a signed long."""
 
@@ -175,12 +180,11 @@ def walk_pairs(v: np.ndarray, pairs: np.ndarray, first: int, budget) -> tuple[np
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def nearest_forest(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positions in a and b of a spanning forest that takes the nearest pairs first."""
-    label, out = np.arange(len(v)), []
-    far = np.bitwise_count(v[a] ^ v[b])
-    for bits in np.unique(far):
-        left = np.flatnonzero(far == bits)
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Positions in a and b of a spanning forest of n nodes that takes the nearest pairs first."""
+    label, out = np.arange(n), []
+    for level in np.unique(far):
+        left = np.flatnonzero(far == level)
         while True:
             x, y = label[a[left]], label[b[left]]
             left = left[x != y]
@@ -189,11 +193,11 @@ def nearest_forest(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x, y = label[a[left]], label[b[left]]
             high, low = np.maximum(x, y), np.minimum(x, y)
             # Each component but the smallest takes one pair to a smaller one: no cycles.
-            pick = np.full(len(v), -1)
+            pick = np.full(n, -1)
             pick[high] = np.arange(len(left))
             chosen = pick[pick >= 0]
             out.append(left[chosen])
-            up = np.arange(len(v))
+            up = np.arange(n)
             up[high[chosen]] = low[chosen]
             while not np.array_equal(up, two := up[up]):
                 up = two
@@ -201,20 +205,14 @@ def nearest_forest(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def certificate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """FORESTS disjoint spanning forests of pairs of fingerprints, the nearest pairs first.
+def certificate(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of pairs of fingerprints, the nearest first.
 
-    The certificate of several certificates is one of all their pairs, so tasks merge as they go.
+    The forest of several forests is one of all their pairs, so tasks merge as they go.
     """
     names, node = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j, v = node[: len(a)], node[len(a) :], names.view(np.uint64)
-    left, keep = np.arange(len(i)), []
-    for _ in range(FORESTS):
-        taken = left[nearest_forest(v, i[left], j[left])]
-        keep.append(taken)
-        left = np.setdiff1d(left, taken, assume_unique=True)
-    kept = np.concatenate(keep)
-    return a[kept], b[kept]
+    kept = nearest_forest(len(names), node[: len(a)], node[len(a) :], far)
+    return a[kept], b[kept], far[kept]
 
 
 def links_of(groups: np.ndarray, turn: np.ndarray, v: np.ndarray, budget: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,17 +316,20 @@ def links(fps: DataFrame, budget: int = 3, tile: int = 2048) -> DataFrame:
     return out.unionByName(walk(spots.join(sides, ["r", "depth", "node"]).select("g", "r", "v"), budget, width))
 
 
-def near_pairs(fps: DataFrame, tile: int = 1024) -> DataFrame:
-    """(a, b): pairs of fingerprints within WIDE bits, several forests of them. fps: distinct fp."""
+def near_pairs(fps: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
+    """(a, b): pairs of fingerprints within WIDE bits whose parts of sketches are near enough.
+
+    fps: distinct fp, part. A task keeps a forest of its pairs, the likely most similar first.
+    """
     n = fps.count()
     depth = int(np.clip(np.ceil(np.log2(max(n, 1) / tile)), 8, 16))
     fp = F.col("fp")
     turned = F.array(*[F.struct(F.lit(k).cast("long").alias("r"), (fp if not k else F.shiftleft(fp, k * 16).bitwiseOR(F.shiftrightunsigned(fp, 64 - k * 16))).alias("v")) for k in range(4)])
-    rows = fps.select(F.explode(turned).alias("t")).select("t.r", "t.v").withColumn("p", F.shiftrightunsigned("v", 64 - depth))
+    rows = fps.select("part", F.explode(turned).alias("t")).select("t.r", "t.v", F.col("part").alias("s")).withColumn("p", F.shiftrightunsigned("v", 64 - depth))
     # A tile is a node of at most about `tile` fingerprints; a larger node is dealt into several.
     sizes = rows.groupBy("r", "p").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("parts"))  # 4 * 2^16 rows at most
     dealt = rows.join(F.broadcast(sizes), ["r", "p"]).withColumn("part", F.pmod(F.xxhash64("v"), "parts"))
-    tiles = materialize(dealt.groupBy("r", "p", "part").agg(F.collect_list("v").alias("v")))
+    tiles = materialize(dealt.groupBy("r", "p", "part").agg(F.collect_list(F.struct("v", "s")).alias("v")))
     masks = [m for m in range(1 << depth) if m.bit_count() <= FRONT]
     other = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
     left = tiles.withColumn("mask", other).withColumn("q", F.col("p").bitwiseXOR(F.col("mask"))).where("q >= p").select("r", "q", F.col("part").alias("part_a"), F.col("p").alias("p_a"), F.col("v").alias("v_a"))
@@ -339,17 +340,24 @@ def near_pairs(fps: DataFrame, tile: int = 1024) -> DataFrame:
         return FRONT if bit >= 48 else WIDE
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def tile_of(x) -> tuple[np.ndarray, np.ndarray]:
+            v = x.values.field("v").to_numpy(zero_copy_only=False).view(np.uint64)
+            order = np.argsort(v, kind="stable")
+            return v[order], np.frombuffer(b"".join(x.values.field("s").to_pylist()), dtype=np.uint8).reshape(-1, PART)[order]
+
         for whole in batches:
             for at in range(0, whole.num_rows, 4):
                 b = whole.slice(at, 4)
-                values, pairs, turns, end = [], [], [], 0
+                values, sketches, pairs, turns, end = [], [], [], [], 0
                 for k in range(b.num_rows):
-                    one, two = (np.sort(b.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in ("v_a", "v_b"))
+                    (one, sketch_one), (two, sketch_two) = (tile_of(b.column(c)[k]) for c in ("v_a", "v_b"))
                     own = b.column("same_p")[k].as_py() and b.column("same_part")[k].as_py()
                     err = (b.column("p_a")[k].as_py() ^ b.column("q")[k].as_py()).bit_count()
                     parts = [one] if own else [one, two]
                     values += parts
+                    sketches += [sketch_one] if own else [sketch_one, sketch_two]
                     turns += [np.full(len(x), b.column("r")[k].as_py()) for x in parts]
                     pairs.append((end, end + len(one), *((end, end + len(one)) if own else (end + len(one), end + len(one) + len(two))), err))
                     end += sum(map(len, parts))
@@ -361,14 +369,17 @@ def near_pairs(fps: DataFrame, tile: int = 1024) -> DataFrame:
                 for k in range(3):
                     block = apart >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)
                     again |= (r[i] > 16 * k) & (np.bitwise_count(block) <= FRONT)
-                i, j = i[~again], j[~again]
+                i, j, sketch = i[~again], j[~again], np.concatenate(sketches)
+                share = np.concatenate([part_similarity(sketch[i[at : at + 100_000]], sketch[j[at : at + 100_000]]) for at in range(0, len(i), 100_000)] or [np.zeros(0)])
+                near = share >= similarity - SLACK
+                i, j, share = i[near], j[near], share[near]
                 if not len(i):
                     continue
-                held.append(certificate(flat[i], flat[j]))
-                if sum(len(x) for x, _ in held) > 200_000:
+                held.append(certificate(flat[i], flat[j], np.rint((1 - share) * PART).astype(np.int64)))
+                if sum(len(x[0]) for x in held) > 200_000:
                     held = [certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))]
         if held:
-            one, two = certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            one, two, _ = certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
 
     return both.select("r", "same_p", "same_part", "p_a", "q", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -382,7 +393,7 @@ def similar_links(nodes: DataFrame, similarity: float, tile: int = 1024) -> Data
     sketch, and against that of each near fingerprint.
     """
     own = materialize(nodes.groupBy("fp").agg(F.min(F.struct("sketch", "id")).alias("m")).select("fp", F.col("m.sketch").alias("sketch_b"), F.col("m.id").alias("b")))
-    found = materialize(near_pairs(own.select("fp"), tile))
+    found = materialize(near_pairs(own.select("fp", F.substring("sketch_b", 1, PART).alias("part")), similarity, tile))
     both = materialize(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     of_node = nodes.select("fp", F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
     within = of_node.join(own, "fp").where("a <> b").select("a", "b", "sketch_a", "sketch_b")

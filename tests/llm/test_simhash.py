@@ -140,5 +140,5 @@ def test_repeated_words_that_outvote_a_text_are_told_apart(spark):
 def test_nearest_forest_takes_the_nearest_pairs():
     v = np.array([0, 1, 3, 0xFF, 0xFE], dtype=np.uint64)
     a, b = np.array([0, 0, 1, 0, 3]), np.array([1, 2, 2, 3, 4])
-    keep = simhash.nearest_forest(v, a, b)
+    keep = simhash.nearest_forest(len(v), a, b, np.bitwise_count(v[a] ^ v[b]))
     assert sorted(keep.tolist()) == [0, 2, 3, 4]
