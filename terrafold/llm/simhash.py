@@ -96,12 +96,6 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
 
 
-def part_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same of parts of sketches; 1 where too few bins are filled to tell."""
-    used = ((a > 0) | (b > 0)).sum(axis=1)
-    return np.where(used < 8, 1.0, sketch_similarity(a, b))
-
-
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sketches: bool = False) -> DataFrame:
     """(doc_id, fp, sketch if asked for, and the columns `keep`) of every row; fp as a signed long."""
 
@@ -370,12 +364,17 @@ def near_pairs(fps: DataFrame, similarity: float, tile: int = 1024) -> DataFrame
                     block = apart >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)
                     again |= (r[i] > 16 * k) & (np.bitwise_count(block) <= FRONT)
                 i, j, sketch = i[~again], j[~again], np.concatenate(sketches)
-                share = np.concatenate([part_similarity(sketch[i[at : at + 100_000]], sketch[j[at : at + 100_000]]) for at in range(0, len(i), 100_000)] or [np.zeros(0)])
-                near = share >= similarity - SLACK
+                share, told = np.zeros(len(i)), np.zeros(len(i), dtype=bool)
+                for at in range(0, len(i), 100_000):
+                    one, two = sketch[i[at : at + 100_000]], sketch[j[at : at + 100_000]]
+                    share[at : at + 100_000] = sketch_similarity(one, two)
+                    told[at : at + 100_000] = ((one > 0) | (two > 0)).sum(axis=1) >= 8  # else too few bins to tell
+                near = ~told | (share >= similarity - SLACK)
                 i, j, share = i[near], j[near], share[near]
                 if not len(i):
                     continue
-                held.append(certificate(flat[i], flat[j], np.rint((1 - share) * PART).astype(np.int64)))
+                apart = np.bitwise_count((flat[i] ^ flat[j]).view(np.uint64)).astype(np.int64)
+                held.append(certificate(flat[i], flat[j], np.rint((1 - share) * PART).astype(np.int64) * 64 + apart))
                 if sum(len(x[0]) for x in held) > 200_000:
                     held = [certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))]
         if held:
