@@ -1,4 +1,4 @@
-"""Every query of the library against its SQL in DuckDB, at the smallest scale."""
+"""Every query of the library against its SQL in DuckDB, at the scale where none of them is empty."""
 
 import math
 
@@ -10,6 +10,11 @@ from terrafold.plans import catalog
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
