@@ -16,8 +16,10 @@ Components come from alternating star contractions over tables in the shared fol
 share. Such texts differ in up to about a dozen bits, so node pairs are walked with a budget of
 WIDE bits, of which at most FRONT fall into the block that is turned to the front (one of four
 blocks of 16 bits has no more). A task compares two tiles of fingerprints whose first bits differ
-in FRONT at most, and keeps a forest of the pairs whose parts of sketches (PART bins) agree best. Each is then verified by one-permutation
-MinHash sketches of the five-word shingles (BINS bins: a standard error of 0.025 at 0.8).
+in FRONT at most, and keeps a forest of the pairs whose parts of sketches (PART bins) agree. Such
+pairs only connect: all texts of a connected group are then held against each other, and those
+are linked whose sets of five-word shingles agree. One-permutation MinHash sketches (BINS bins)
+spare the sets of clearly unlike pairs.
 
 Words are runs of anything but space and \\t..\\r, with A-Z in lower case; a text of fewer words
 than a shingle is one shingle, one without words (or null) has fingerprint zero and is linked
@@ -43,6 +45,9 @@ WIDE, FRONT, BINS = 11, 2, 256
 #: Bins of a sketch that go with a fingerprint where pairs are sought, and how far below the
 #: similarity asked for such a part may put a pair that is kept (three standard errors).
 PART, SLACK = 32, 0.25
+EMPTY = np.uint64(2**64 - 1)
+#: A group whose pairs are compared holds so many nodes and bytes of shingle sets a side.
+SIDE, SIDE_BYTES = 512, 8 << 20
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -73,21 +78,31 @@ def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
     return fingerprint_of(shingle_hashes(text, words, seed))
 
 
-def sketch_of(hashes: np.ndarray) -> bytes:
-    """One-permutation MinHash of the five-word shingles, from the hashes of three-word ones.
+def five_of(hashes: np.ndarray) -> np.ndarray:
+    """The hashes of five-word shingles, from those of three-word ones.
 
-    Two three-word shingles two words apart make a five-word one. A byte a bin, 0 for an empty
-    bin; a text of under five words is one shingle.
+    Two three-word shingles two words apart make a five-word one; a text of under five words is
+    one shingle.
     """
     h = hashes.astype(np.uint64)
     if not len(h):
-        return bytes(BINS)
+        return h
     odd = lambda x: x * np.uint64(0x9E3779B97F4A7C15) ^ (x >> np.uint64(29))
     five = odd(h[:-2]) + (odd(h[2:]) ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(3) if len(h) > 2 else np.bitwise_xor.reduce(odd(h), keepdims=True)
-    five = odd(odd(five))
-    low = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    return odd(odd(five))
+
+
+def minima_of(five: np.ndarray) -> np.ndarray:
+    """The least hash of each of BINS bins; EMPTY for a bin without any."""
+    low = np.full(BINS, EMPTY, dtype=np.uint64)
     np.minimum.at(low, (five >> np.uint64(56)).astype(np.int64), five & np.uint64((1 << 56) - 1))
-    return np.where(low == np.iinfo(np.uint64).max, 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+    return low
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """One-permutation MinHash of the five-word shingles: a byte a bin, 0 for an empty bin."""
+    low = minima_of(five_of(hashes))
+    return np.where(low == EMPTY, 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,26 +112,30 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sketches: bool = False) -> DataFrame:
-    """(doc_id, fp, sketch if asked for, and the columns `keep`) of every row; fp as a signed long."""
+    """(doc_id, fp, and the columns `keep`) of every row; fp as a signed long.
+
+    With sketches also sketch and five, the ascending distinct hashes of the five-word shingles.
+    """
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                fp, sketch = [], []
+                fp, sketch, five = [], [], []
                 for x in b.column(1).to_pylist():
                     h = shingle_hashes(x or b"", words)
                     fp.append(fingerprint_of(h))
                     if sketches:
                         sketch.append(sketch_of(h))
-                more = [pa.array(sketch, pa.binary())] if sketches else []
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *more, *(b.column(c) for c in keep)], names=["doc_id", "fp", *(["sketch"] if sketches else []), *keep])
+                        five.append(np.unique(five_of(h)).tobytes())
+                more = [pa.array(sketch, pa.binary()), pa.array(five, pa.binary())] if sketches else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *more, *(b.column(c) for c in keep)], names=["doc_id", "fp", *(["sketch", "five"] if sketches else []), *keep])
 
     if sketches and words != 3:
         raise ValueError("sketches of five-word shingles are made of three-word ones")
     rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary"), **{c: c for c in keep})
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", kinds["doc_id"]), ("fp", "bigint"), *([("sketch", "binary")] if sketches else []), *((c, kinds[c]) for c in keep)])
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", kinds["doc_id"]), ("fp", "bigint"), *([("sketch", "binary"), ("five", "binary")] if sketches else []), *((c, kinds[c]) for c in keep)])
     return rows.mapInArrow(run, schema)
 
 
@@ -384,29 +403,108 @@ def near_pairs(fps: DataFrame, similarity: float, tile: int = 1024) -> DataFrame
     return both.select("r", "same_p", "same_part", "p_a", "q", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar_links(nodes: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
-    """(a, b): verified links between nodes. nodes: id, fp, sketch (each fp and sketch once).
+def candidates(nodes: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
+    """(a, b): links that connect the nodes which may be similar. nodes: id, fp, sketch.
 
-    Near fingerprints are candidates. A few repeated words can outvote the rest of a text, so
-    texts of one fingerprint may differ: its nodes are held against the one of its smallest
-    sketch, and against that of each near fingerprint.
+    Nodes of one fingerprint are linked to that of its smallest sketch, and these to those of
+    near fingerprints. Nothing is decided here: only connected nodes are compared later, all.
     """
-    own = materialize(nodes.groupBy("fp").agg(F.min(F.struct("sketch", "id")).alias("m")).select("fp", F.col("m.sketch").alias("sketch_b"), F.col("m.id").alias("b")))
-    found = materialize(near_pairs(own.select("fp", F.substring("sketch_b", 1, PART).alias("part")), similarity, tile))
-    both = materialize(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    of_node = nodes.select("fp", F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-    within = of_node.join(own, "fp").where("a <> b").select("a", "b", "sketch_a", "sketch_b")
-    half = materialize(both.select(F.col("a").alias("fp"), F.col("b").alias("other")).join(of_node, "fp").select("a", "sketch_a", F.col("other").alias("fp")))
-    across = half.join(own, "fp").select("a", "b", "sketch_a", "sketch_b")
+    own = materialize(nodes.groupBy("fp").agg(F.min(F.struct("sketch", "id")).alias("m")).select("fp", F.col("m.sketch").alias("sketch"), F.col("m.id").alias("b")))
+    found = materialize(near_pairs(own.select("fp", F.substring("sketch", 1, PART).alias("part")), similarity, tile))
+    within = nodes.select("fp", F.col("id").alias("a")).join(own.select("fp", "b"), "fp").where("a <> b").select("a", "b")
+    of = own.select(F.col("fp").alias("b"), F.col("b").alias("id"))
+    across = found.join(of, "b").select("a", F.col("id").alias("to")).join(own.select(F.col("fp").alias("a"), "b"), "a").select(F.col("b").alias("a"), F.col("to").alias("b"))
+    return within.unionByName(across)
+
+
+def share_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets of hashes."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def similar_forest(sketches: np.ndarray, sets: list[np.ndarray], second: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all pairs of a group whose sets agree in `similarity`.
+
+    second: which nodes are of the second side; if any is, only pairs of two sides count. Pairs
+    that are joined already need no check; one that fails is replaced by the next, until none is left.
+    """
+    n, cross = len(sets), second.any() and not second.all()
+    a, b, far = [], [], []
+    for i in range(n):
+        j = np.flatnonzero(second) if cross else np.arange(i + 1, n)
+        if not len(j) or (cross and second[i]):
+            continue
+        used = np.maximum(((sketches[j] > 0) | (sketches[i] > 0)).sum(axis=1), 1)
+        share = sketch_similarity(sketches[j], sketches[i][None])
+        # Four standard errors: an exact share of `similarity` is below that once in 30,000.
+        near = share >= similarity - 4 * np.sqrt(similarity * (1 - similarity) / used)
+        a.append(np.full(int(near.sum()), i))
+        b.append(j[near])
+        far.append(np.rint((1 - share[near]) * 64).astype(np.int64))
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(far)
+    label, one, two = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(a):
+        kept = nearest_forest(n, label[a], label[b], far)
+        good = kept[np.array([share_of(sets[x], sets[y]) >= similarity for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True)], dtype=bool)]
+        one.append(a[good])
+        two.append(b[good])
+        label = forest(n, np.concatenate(one), np.concatenate(two))
+        left = label[a] != label[b]
+        left[kept] = False
+        a, b, far = a[left], b[left], far[left]
+    return np.concatenate(one), np.concatenate(two)
+
+
+def decided(found: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect just what pairs of similar sets within components of `found` connect.
+
+    nodes: id, row, sketch; sets: row, five. All nodes of a component meet: a large one is dealt
+    into parts, and each pair of parts is a group of its own.
+    """
+    reach = materialize(components(found))
+    inner = reach.join(nodes.select("id", "row", "sketch"), reach["node"] == F.col("id")).select("id", "row", "sketch", "root")
+    member = materialize(inner.join(sets.select("row", "five"), "row").select("id", "root", "sketch", "five"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / SIDE, F.sum(F.length("five")) / SIDE_BYTES)).cast("int")
+    sizes = materialize(member.groupBy("root").agg(parts.alias("parts")))
+    dealt = member.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = dealt.select("root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"), "id", "sketch", "five")
+
+    def run(batches):
+        held, last = [], None
+
+        def flush():
+            ids = np.array([x[0] for x in held], dtype=np.int64)
+            sketches = np.frombuffer(b"".join(x[1] for x in held), dtype=np.uint8).reshape(-1, BINS)
+            second = np.array([x[3] for x in held])
+            if last[1] != last[2] and (second.all() or not second.any()):
+                return []  # one side is empty
+            one, two = similar_forest(sketches, [np.frombuffer(x[2], dtype=np.uint64) for x in held], second, similarity)
+            return [pa.RecordBatch.from_arrays([pa.array(ids[one]), pa.array(ids[two])], names=["a", "b"])] if len(one) else []
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                for root, p, q, *x in zip(*(b.column(c).to_pylist() for c in ("root", "p", "q", "id", "sketch", "five", "second")), strict=True):
+                    if (root, p, q) != last and held:
+                        yield from flush()
+                        held = []
+                    last = root, p, q
+                    held.append(x)
+        if held:
+            yield from flush()
+
+    return rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
-    def verify(batches):
-        for b in batches:
-            if b.num_rows:
-                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-                ok = pa.array(sketch_similarity(one, two) >= similarity)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    return within.unionByName(across).mapInArrow(verify, "a bigint, b bigint")
+def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
+    """(a, b): links of similar texts. nodes: id, fp, sketch, row (each fp and sketch once); sets: row, five."""
+    return decided(candidates(nodes, similarity, tile), nodes, sets, similarity)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -437,15 +535,15 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int
     `similarity` by texts whose five-word shingles agree in that share. component is a number
     of the same group that is never null.
     """
-    signed = materialize(fingerprints(docs, words, id_col, text_col, keep, similarity is not None))
+    signed = materialize(fingerprints(docs, words, id_col, text_col, keep, similarity is not None).withColumn("row", F.monotonically_increasing_id()))
     if similarity is None:
         of = ["fp"]
         nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")))
         found = links(nodes.select("fp"), budget, tile)
     else:
         of = ["fp", "sketch"]
-        nodes = materialize(signed.groupBy(*of).agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64(*of)))
-        found = similar_links(nodes.select("id", *of), similarity, tile)
+        nodes = materialize(signed.groupBy(*of).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")).withColumn("id", F.xxhash64(*of)))
+        found = similar_links(nodes.select("id", "row", *of), signed.select("row", "five"), similarity, tile)
     reach = materialize(components(found))
     member = materialize(reach.join(nodes, reach["node"] == nodes["id"]).select("id", "root", "least"))
     first = materialize(member.groupBy("root").agg(F.min("least").alias("first")))

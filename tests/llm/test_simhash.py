@@ -142,3 +142,48 @@ def test_nearest_forest_takes_the_nearest_pairs():
     a, b = np.array([0, 0, 1, 0, 3]), np.array([1, 2, 2, 3, 4])
     keep = simhash.nearest_forest(len(v), a, b, np.bitwise_count(v[a] ^ v[b]))
     assert sorted(keep.tolist()) == [0, 2, 3, 4]
+
+
+def template_family(seed, families=2, words=300, own=5):
+    """Texts of one template: members share most of its words in places of their own, and each has one copy of about 0.8 to 0.9."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    out = []
+    for _ in range(families):
+        base = [word() for _ in range(words)]
+        for _ in range(60):
+            text = list(base)
+            for k in rng.choice(words, own, replace=False):
+                text[k] = word()
+            near = list(text)
+            for k in rng.choice(words, 4, replace=False):
+                near[k] = word()
+            out += [" ".join(text), " ".join(near)]
+    return out
+
+
+def exact_components(texts, similarity):
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= similarity]
+    return simhash.forest(len(texts), np.array([i for i, _ in pairs], dtype=np.int64), np.array([j for _, j in pairs], dtype=np.int64)).tolist()
+
+
+def test_members_of_a_template_are_joined_as_their_shingles_say(spark):
+    """A wrong pair that outranks the true one must not cost it."""
+    texts = template_family(3)
+    want = exact_components(texts, 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8).collect()}
+    pairs = [(k, j) for k in range(len(texts)) for j in range(k) if want[k] == want[j]]
+    assert len(pairs) > 50
+    assert np.mean([got[k] == got[j] for k, j in pairs]) > 0.9
+    assert all(want[k] == want[j] for k in got for j in got if got[k] == got[j]), "only true pairs connect"
+
+
+def test_forest_of_similar_pairs_replaces_those_that_fail():
+    sets = [np.array(x, dtype=np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 2, 3, 4, 5, 7], [9])]
+    sketches = np.ones((4, simhash.BINS), dtype=np.uint8)
+    a, b = simhash.similar_forest(sketches, sets, np.zeros(4, dtype=bool), 0.8)
+    assert simhash.forest(4, a, b).tolist() == [0, 1, 0, 3]
+    a, b = simhash.similar_forest(sketches, sets, np.array([False, False, True, True]), 0.8)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 2)]
