@@ -13,13 +13,11 @@ its group's pairs level by level in numpy and reports a spanning forest, not all
 Components come from alternating star contractions over tables in the shared folder.
 
 `similarity` asks for more than near fingerprints: texts whose five-word shingles agree in that
-share. Such texts differ in up to about a dozen bits, so node pairs are walked with a budget of
-WIDE bits, of which at most FRONT fall into the block that is turned to the front (one of four
-blocks of 16 bits has no more). A task compares two tiles of fingerprints whose first bits differ
-in FRONT at most, and keeps a forest of the pairs whose parts of sketches (PART bins) agree. Such
-pairs only connect: all texts of a connected group are then held against each other, and those
-are linked whose sets of five-word shingles agree. One-permutation MinHash sketches (BINS bins)
-spare the sets of clearly unlike pairs.
+share. Such texts may differ in many bits of a fingerprint, so they are sought by one-permutation
+MinHash (BINS bins) instead: texts that share a band of ROWS whole minima are connected. A band
+only connects: all texts of a connected group are then held against each other, and those are
+linked whose sets of five-word shingles agree. Sketches of a byte a bin spare the sets of clearly
+unlike pairs. Every distinct fingerprint and sketch takes part.
 
 Words are runs of anything but space and \\t..\\r, with A-Z in lower case; a text of fewer words
 than a shingle is one shingle, one without words (or null) has fingerprint zero and is linked
@@ -40,11 +38,9 @@ from terrafold.llm.common import materialize, plain, ragged
 SEED = 42
 
 
-#: Bits that texts of a similarity asked for may differ in, and of these in the front block.
-WIDE, FRONT, BINS = 11, 2, 256
-#: Bins of a sketch that go with a fingerprint where pairs are sought, and how far below the
-#: similarity asked for such a part may put a pair that is kept (three standard errors).
-PART, SLACK = 32, 0.25
+#: Bins of a sketch, and rows of the bands by which texts are sought: a pair of similarity s
+#: shares none of the BINS // ROWS bands with a chance of (1 - s^ROWS)^(BINS // ROWS).
+BINS, ROWS = 256, 6
 EMPTY = np.uint64(2**64 - 1)
 #: A group whose pairs are compared holds so many nodes and bytes of shingle sets a side.
 SIDE, SIDE_BYTES = 512, 8 << 20
@@ -99,12 +95,26 @@ def minima_of(five: np.ndarray) -> np.ndarray:
     return low
 
 
-def sketch_of(hashes: np.ndarray) -> bytes:
-    """One-permutation MinHash of the five-word shingles: a byte a bin, 0 for an empty bin."""
-    low = minima_of(five_of(hashes))
+def sketch_bytes(low: np.ndarray) -> bytes:
+    """A byte a bin, 0 for an empty bin."""
     return np.where(low == EMPTY, 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """One-permutation MinHash of the five-word shingles, from the hashes of three-word ones."""
+    return sketch_bytes(minima_of(five_of(hashes)))
+
+
+def bands_of(low: np.ndarray) -> np.ndarray:
+    """A hash of each band of whole minima (signed); bands without any are left out."""
+    rows = low[: BINS // ROWS * ROWS].reshape(-1, ROWS)
+    key = np.arange(len(rows), dtype=np.uint64)
+    for column in rows.T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key[(rows != EMPTY).any(axis=1)].view(np.int64)
+
+
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of bins that agree, of those that either text fills; rows of BINS bytes."""
     used = (a > 0) | (b > 0)
@@ -114,28 +124,30 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sketches: bool = False) -> DataFrame:
     """(doc_id, fp, and the columns `keep`) of every row; fp as a signed long.
 
-    With sketches also sketch and five, the ascending distinct hashes of the five-word shingles.
+    With sketches also sketch, five (the ascending distinct hashes of the five-word shingles) and bands.
     """
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                fp, sketch, five = [], [], []
+                fp, sketch, five, bands = [], [], [], []
                 for x in b.column(1).to_pylist():
                     h = shingle_hashes(x or b"", words)
                     fp.append(fingerprint_of(h))
                     if sketches:
-                        sketch.append(sketch_of(h))
-                        five.append(np.unique(five_of(h)).tobytes())
-                more = [pa.array(sketch, pa.binary()), pa.array(five, pa.binary())] if sketches else []
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *more, *(b.column(c) for c in keep)], names=["doc_id", "fp", *(["sketch", "five"] if sketches else []), *keep])
+                        five.append(np.unique(five_of(h)))
+                        low = minima_of(five[-1])
+                        sketch.append(sketch_bytes(low))
+                        bands.append(bands_of(low))
+                more = [pa.array(sketch, pa.binary()), pa.array([x.tobytes() for x in five], pa.binary()), pa.array(bands, pa.list_(pa.int64()))] if sketches else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *more, *(b.column(c) for c in keep)], names=["doc_id", "fp", *(["sketch", "five", "bands"] if sketches else []), *keep])
 
     if sketches and words != 3:
         raise ValueError("sketches of five-word shingles are made of three-word ones")
     rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary"), **{c: c for c in keep})
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", kinds["doc_id"]), ("fp", "bigint"), *([("sketch", "binary"), ("five", "binary")] if sketches else []), *((c, kinds[c]) for c in keep)])
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", kinds["doc_id"]), ("fp", "bigint"), *([("sketch", "binary"), ("five", "binary"), ("bands", "array<bigint>")] if sketches else []), *((c, kinds[c]) for c in keep)])
     return rows.mapInArrow(run, schema)
 
 
@@ -218,16 +230,6 @@ def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def certificate(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of pairs of fingerprints, the nearest first.
-
-    The forest of several forests is one of all their pairs, so tasks merge as they go.
-    """
-    names, node = np.unique(np.concatenate((a, b)), return_inverse=True)
-    kept = nearest_forest(len(names), node[: len(a)], node[len(a) :], far)
-    return a[kept], b[kept], far[kept]
-
-
 def links_of(groups: np.ndarray, turn: np.ndarray, v: np.ndarray, budget: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of each group's links, as unturned fingerprints."""
     lo = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
@@ -329,92 +331,15 @@ def links(fps: DataFrame, budget: int = 3, tile: int = 2048) -> DataFrame:
     return out.unionByName(walk(spots.join(sides, ["r", "depth", "node"]).select("g", "r", "v"), budget, width))
 
 
-def near_pairs(fps: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
-    """(a, b): pairs of fingerprints within WIDE bits whose parts of sketches are near enough.
-
-    fps: distinct fp, part. A task keeps a forest of its pairs, the likely most similar first.
-    """
-    n = fps.count()
-    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / tile)), 8, 16))
-    fp = F.col("fp")
-    turned = F.array(*[F.struct(F.lit(k).cast("long").alias("r"), (fp if not k else F.shiftleft(fp, k * 16).bitwiseOR(F.shiftrightunsigned(fp, 64 - k * 16))).alias("v")) for k in range(4)])
-    rows = fps.select("part", F.explode(turned).alias("t")).select("t.r", "t.v", F.col("part").alias("s")).withColumn("p", F.shiftrightunsigned("v", 64 - depth))
-    # A tile is a node of at most about `tile` fingerprints; a larger node is dealt into several.
-    sizes = rows.groupBy("r", "p").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("parts"))  # 4 * 2^16 rows at most
-    dealt = rows.join(F.broadcast(sizes), ["r", "p"]).withColumn("part", F.pmod(F.xxhash64("v"), "parts"))
-    tiles = materialize(dealt.groupBy("r", "p", "part").agg(F.collect_list(F.struct("v", "s")).alias("v")))
-    masks = [m for m in range(1 << depth) if m.bit_count() <= FRONT]
-    other = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    left = tiles.withColumn("mask", other).withColumn("q", F.col("p").bitwiseXOR(F.col("mask"))).where("q >= p").select("r", "q", F.col("part").alias("part_a"), F.col("p").alias("p_a"), F.col("v").alias("v_a"))
-    right = tiles.select("r", F.col("p").alias("q"), F.col("part").alias("part_b"), F.col("v").alias("v_b"))
-    both = left.join(right, ["r", "q"]).where("p_a < q OR part_a <= part_b").select("r", (F.col("p_a") == F.col("q")).alias("same_p"), (F.col("part_a") == F.col("part_b")).alias("same_part"), "p_a", "q", "v_a", "v_b")
-
-    def budget(bit: int) -> int:
-        return FRONT if bit >= 48 else WIDE
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def tile_of(x) -> tuple[np.ndarray, np.ndarray]:
-            v = x.values.field("v").to_numpy(zero_copy_only=False).view(np.uint64)
-            order = np.argsort(v, kind="stable")
-            return v[order], np.frombuffer(b"".join(x.values.field("s").to_pylist()), dtype=np.uint8).reshape(-1, PART)[order]
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4):
-                b = whole.slice(at, 4)
-                values, sketches, pairs, turns, end = [], [], [], [], 0
-                for k in range(b.num_rows):
-                    (one, sketch_one), (two, sketch_two) = (tile_of(b.column(c)[k]) for c in ("v_a", "v_b"))
-                    own = b.column("same_p")[k].as_py() and b.column("same_part")[k].as_py()
-                    err = (b.column("p_a")[k].as_py() ^ b.column("q")[k].as_py()).bit_count()
-                    parts = [one] if own else [one, two]
-                    values += parts
-                    sketches += [sketch_one] if own else [sketch_one, sketch_two]
-                    turns += [np.full(len(x), b.column("r")[k].as_py()) for x in parts]
-                    pairs.append((end, end + len(one), *((end, end + len(one)) if own else (end + len(one), end + len(one) + len(two))), err))
-                    end += sum(map(len, parts))
-                v, r = np.concatenate(values), np.concatenate(turns).astype(np.uint64) * np.uint64(16)
-                i, j = walk_pairs(v, np.array(pairs, dtype=np.int64).T, 63 - depth, budget)
-                flat = ((v >> r) | np.where(r > 0, v << ((np.uint64(64) - r) & np.uint64(63)), np.uint64(0))).view(np.int64)
-                # A pair belongs to the first turn that finds it: elsewhere it would come again.
-                apart, again = (flat[i] ^ flat[j]).view(np.uint64), np.zeros(len(i), dtype=bool)
-                for k in range(3):
-                    block = apart >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)
-                    again |= (r[i] > 16 * k) & (np.bitwise_count(block) <= FRONT)
-                i, j, sketch = i[~again], j[~again], np.concatenate(sketches)
-                share, told = np.zeros(len(i)), np.zeros(len(i), dtype=bool)
-                for at in range(0, len(i), 100_000):
-                    one, two = sketch[i[at : at + 100_000]], sketch[j[at : at + 100_000]]
-                    share[at : at + 100_000] = sketch_similarity(one, two)
-                    told[at : at + 100_000] = ((one > 0) | (two > 0)).sum(axis=1) >= 8  # else too few bins to tell
-                near = ~told | (share >= similarity - SLACK)
-                i, j, share = i[near], j[near], share[near]
-                if not len(i):
-                    continue
-                apart = np.bitwise_count((flat[i] ^ flat[j]).view(np.uint64)).astype(np.int64)
-                held.append(certificate(flat[i], flat[j], np.rint((1 - share) * PART).astype(np.int64) * 64 + apart))
-                if sum(len(x[0]) for x in held) > 200_000:
-                    held = [certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-        if held:
-            one, two, _ = certificate(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
-
-    return both.select("r", "same_p", "same_part", "p_a", "q", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def candidates(nodes: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
-    """(a, b): links that connect the nodes which may be similar. nodes: id, fp, sketch.
+def candidates(banded: DataFrame) -> DataFrame:
+    """(a, b): links that connect all nodes that share a band. banded: id, bands.
 
-    Nodes of one fingerprint are linked to that of its smallest sketch, and these to those of
-    near fingerprints. Nothing is decided here: only connected nodes are compared later, all.
+    Each member of a band is linked to the smallest: rows grow with the members, not the pairs.
+    Nothing is decided here: connected nodes are compared later, all.
     """
-    own = materialize(nodes.groupBy("fp").agg(F.min(F.struct("sketch", "id")).alias("m")).select("fp", F.col("m.sketch").alias("sketch"), F.col("m.id").alias("b")))
-    found = materialize(near_pairs(own.select("fp", F.substring("sketch", 1, PART).alias("part")), similarity, tile))
-    within = nodes.select("fp", F.col("id").alias("a")).join(own.select("fp", "b"), "fp").where("a <> b").select("a", "b")
-    of = own.select(F.col("fp").alias("b"), F.col("b").alias("id"))
-    across = found.join(of, "b").select("a", F.col("id").alias("to")).join(own.select(F.col("fp").alias("a"), "b"), "a").select(F.col("b").alias("a"), F.col("to").alias("b"))
-    return within.unionByName(across)
+    keyed = banded.select("id", F.explode("bands").alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("b")).where("n > 1").select("key", "b"))
+    return keyed.join(shared, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def share_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -502,9 +427,10 @@ def decided(found: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: flo
     return rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
-    """(a, b): links of similar texts. nodes: id, fp, sketch, row (each fp and sketch once); sets: row, five."""
-    return decided(candidates(nodes, similarity, tile), nodes, sets, similarity)
+def similar_links(nodes: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of similar texts. nodes: id, row, sketch (each fp and sketch once); signed: row, five, bands."""
+    banded = materialize(nodes.select("id", "row").join(signed.select("row", "bands"), "row").select("id", "bands"))
+    return decided(candidates(banded), nodes, signed, similarity)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -543,7 +469,7 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int
     else:
         of = ["fp", "sketch"]
         nodes = materialize(signed.groupBy(*of).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")).withColumn("id", F.xxhash64(*of)))
-        found = similar_links(nodes.select("id", "row", *of), signed.select("row", "five"), similarity, tile)
+        found = similar_links(nodes.select("id", "row", "sketch"), signed, similarity)
     reach = materialize(components(found))
     member = materialize(reach.join(nodes, reach["node"] == nodes["id"]).select("id", "root", "least"))
     first = materialize(member.groupBy("root").agg(F.min("least").alias("first")))

@@ -187,3 +187,24 @@ def test_forest_of_similar_pairs_replaces_those_that_fail():
     assert simhash.forest(4, a, b).tolist() == [0, 1, 0, 3]
     a, b = simhash.similar_forest(sketches, sets, np.array([False, False, True, True]), 0.8)
     assert sorted(zip(a.tolist(), b.tolist())) == [(0, 2)]
+
+
+def test_pairs_just_over_and_under_the_share_are_told_apart(spark):
+    """A block replaced or cut off: such pairs often differ in over a dozen bits of their fingerprints."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for k in range(300):
+        base = [word() for _ in range(305)]
+        if k % 2:
+            texts += [" ".join(base), " ".join(base[: 305 - int(rng.integers(54, 70))])]  # a shorter text: 0.77 to 0.82
+        else:
+            block = int(rng.integers(26, 36))  # both lose the block's shingles and four
+            texts += [" ".join(base), " ".join(base[:100] + [word() for _ in range(block)] + base[100 + block :])]
+    sets = [shingle_set(t) for t in texts]
+    want = [jaccard(sets[k], sets[k + 1]) >= 0.8 for k in range(0, len(texts), 2)]
+    assert 100 < sum(want) < 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8).collect()}
+    joined = [got[k] == got[k + 1] for k in range(0, len(texts), 2)]
+    assert joined == want
