@@ -208,3 +208,15 @@ def test_pairs_just_over_and_under_the_share_are_told_apart(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8).collect()}
     joined = [got[k] == got[k + 1] for k in range(0, len(texts), 2)]
     assert joined == want
+
+
+def test_near_copies_of_one_fingerprint_are_joined_whatever_its_smallest_sketch(spark):
+    """A repeated line outvotes the rest of every text: one fingerprint, several groups of near copies."""
+    texts = []
+    for k in range(40):
+        own = [f"other{k}x{j}" for j in range(60)]
+        texts += ["same same same " * 300 + " ".join(own), "same same same " * 300 + " ".join([*own[:-1], "end"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len({r.fp for r in simhash.fingerprints(df).collect()}) == 1
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8).collect()}
+    assert got == {k: k // 2 * 2 for k in range(len(texts))}
