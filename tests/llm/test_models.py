@@ -147,3 +147,30 @@ def test_chunk_size_changes_no_count(monkeypatch, larger):
     got = lm_score.score(larger, split_remainder("doc_id", 7) == 2).orderBy("doc_id").toPandas()
     same = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
     assert got[same].equals(want[same]) and np.allclose(got.base_score, want.base_score)
+
+
+def spoken(languages, seed, rows=24, words=40):
+    """(language, text): every language has words of its own over one alphabet."""
+    rng = np.random.default_rng(seed)
+    own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(60)] for _ in range(languages)]
+    return [(f"l{k:02d}", " ".join(rng.choice(own[k], words))) for _ in range(rows) for k in range(languages)]
+
+
+def test_certainty_does_not_fall_with_the_number_of_languages():
+    for n in (2, 3, 4, 20, 64, 200):
+        ideal = np.full((1, n), -1.0)
+        ideal[0, n // 2] = 1
+        assert language_id.certainty(ideal)[0] == pytest.approx(0.948, abs=0.001)
+        assert language_id.certainty(np.ones((1, n)))[0] == pytest.approx(0.25)
+    f = np.random.default_rng(1).normal(size=(50, 4))
+    e = np.exp(4 * f / np.linalg.norm(f, axis=1, keepdims=True))
+    assert np.allclose(language_id.certainty(f), (e / e.sum(axis=1, keepdims=True)).max(axis=1)), "as ever for four"
+
+
+def test_clear_documents_of_many_languages_stay():
+    for n in (4, 24, 60):
+        rows = spoken(n, 2)
+        model = language_id.fit(rows[: len(rows) // 2])
+        names, scores = model.score([t for _, t in rows[len(rows) // 2 :]])
+        assert np.mean([a == b for a, (b, _) in zip(names, rows[len(rows) // 2 :])]) > 0.95
+        assert (scores >= 0.35).mean() > 0.95
