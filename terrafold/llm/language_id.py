@@ -7,8 +7,11 @@ ridge regression is fitted on them. As the kernel with a landmark is a product o
 vectors, the regression folds into one matrix (n-grams of the landmarks by languages): a batch
 of whole texts is scored by one product of its presence matrix with it.
 
-The fit uses a bounded sample: `landmarks` + `train` rows at most, none over `max_chars`, of the
-`max_classes` most frequent languages, in equal parts. Scoring covers all rows and whole texts.
+The n-grams are of all letters of all scripts, hashed into a presence space of 2^SPACE columns.
+
+The fit uses a bounded sample of every language: `train_rows` rows over their number, 8 at least;
+of a text over `max_chars` seeded windows of the whole. With many languages the windows get
+shorter, so that the sample stays bounded. Scoring covers all rows and whole texts.
 
 A null text, or one without a letter, is `und` with score 0. Without any row to learn from,
 every other text is `und` too. Equal outputs go to the language that sorts first.
@@ -25,46 +28,52 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import bounded_sample, plain
 
-#: Symbols of the alphabet: 0 separator, 1 any other letter, then the learned letters.
-SYMBOLS = 128
+#: Columns of the presence space, in bits, and windows of a long text that is learned from.
+SPACE, WINDOWS = 21, 8
 
 
 class KernelModel:
     """Folded kernel ridge regression over presence n-grams."""
 
-    def __init__(self, letters: list[str], grams: np.ndarray, matrix: np.ndarray, classes: list[str]) -> None:
-        self.letters, self.grams, self.matrix, self.classes = letters, grams, matrix, classes
+    def __init__(self, grams: np.ndarray, matrix: np.ndarray, classes: list[str]) -> None:
+        self.grams, self.matrix, self.classes = grams, matrix, classes
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("letters", "grams", "matrix", "classes")}
+        return {k: self.__dict__[k] for k in ("grams", "matrix", "classes")}
 
     @cached_property
     def symbol_of(self) -> np.ndarray:
-        own = {c: k + 2 for k, c in enumerate(self.letters)}
-        table = np.zeros(0x110000, dtype=np.uint8)
+        """The lower-case letter of each code point, 0 for anything but letters."""
+        table = np.zeros(0x110000, dtype=np.uint32)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
-                table[code] = own.get(c.lower(), 1)
+                low = c.lower()
+                table[code] = ord(low) if len(low) == 1 else code
         return table
 
     @cached_property
     def column_of(self) -> np.ndarray:
-        table = np.full(SYMBOLS + SYMBOLS**2 + SYMBOLS**3, len(self.grams), dtype=np.int32)
+        table = np.full(1 << SPACE, len(self.grams), dtype=np.int32)
         table[self.grams] = np.arange(len(self.grams))
         return table
 
     @cached_property
     def stamp(self) -> np.ndarray:
-        return np.zeros(SYMBOLS + SYMBOLS**2 + SYMBOLS**3, dtype=np.int32)
+        return np.zeros(1 << SPACE, dtype=np.int32)
 
     def codes(self, text: str) -> np.ndarray:
-        """A code for each place and length of n-gram; none for separators alone."""
-        s = self.symbol_of[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)].astype(np.int32)
+        """A code for each place and length of n-gram; none for separators alone, or without letters."""
+        s = self.symbol_of[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)].astype(np.uint64)
         s = s[np.append(True, (s[1:] > 0) | (s[:-1] > 0))] if len(s) else s
-        two = s[:-1] * SYMBOLS + s[1:]
-        three = two[:-1] * SYMBOLS + s[2:]
-        return np.concatenate((s[s > 0], two + SYMBOLS, three + (SYMBOLS + SYMBOLS**2)))
+        if not s.any():
+            return np.zeros(0, dtype=np.int64)
+        # 21 bits a letter make an n-gram one number, which is hashed; the top bit marks pairs.
+        two = s[:-1] << np.uint64(21) | s[1:]
+        three = two[:-1] << np.uint64(21) | s[2:]
+        mixed = np.concatenate((s[s > 0], two + np.uint64(1 << 63), three)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(64 - SPACE)).astype(np.int64)
 
     def distinct(self, codes: np.ndarray) -> np.ndarray:
         order = np.arange(len(codes), dtype=np.int32)
@@ -77,7 +86,7 @@ class KernelModel:
         sizes = np.zeros(len(texts))
         for k, t in enumerate(texts):
             codes = self.codes(t)
-            if codes.any() and (codes < SYMBOLS).any():
+            if len(codes):
                 own = self.distinct(codes)
                 sizes[k] = len(own)
                 out[k, self.column_of[own]] = 1
@@ -113,13 +122,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 256, ridge: float = 1e-3)
     """rows: (language, text), in a fixed order that is as good as random."""
     classes = sorted({c for c, _ in rows})
     if not rows:
-        return KernelModel([], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32), [])
-    counts: dict[str, int] = {}
-    for _, t in rows:
-        for c in t.lower():
-            if c.isalpha():
-                counts[c] = counts.get(c, 0) + 1
-    letters = sorted(sorted(counts), key=lambda c: -counts[c])[: SYMBOLS - 2]
+        return KernelModel(np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32), [])
     per = max(1, landmarks // len(classes))
     seen: dict[str, int] = {}
     chosen = []
@@ -127,7 +130,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 256, ridge: float = 1e-3)
         seen[c] = seen.get(c, 0) + 1
         if seen[c] <= per and t:
             chosen.append(t)
-    model = KernelModel(letters, np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32), classes)
+    model = KernelModel(np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32), classes)
     found = [model.distinct(model.codes(t)) for t in chosen]
     model.grams = np.unique(np.concatenate(found)).astype(np.int64) if found else model.grams
     marks, sizes = model.presence(chosen)
@@ -148,20 +151,28 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 256, ridge: float = 1e-3)
     return model
 
 
-def train(docs: DataFrame, learn: Column, landmarks: int = 256, train_rows: int = 1600, max_chars: int = 20_000, max_classes: int = 64) -> KernelModel:
+def windows(text: Column, key: Column, chars: int) -> Column:
+    """The text, or of one over `chars` characters WINDOWS windows at places that a hash of key chooses."""
+    width = (chars - WINDOWS) // WINDOWS
+    places = [F.pmod(F.xxhash64(key, F.lit(k)), F.length(text) - width + 1).cast("int") + 1 for k in range(WINDOWS)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *[F.substring(text, at, F.lit(width)) for at in places]))
+
+
+def train(docs: DataFrame, learn: Column, landmarks: int = 256, train_rows: int = 1600, max_chars: int = 20_000) -> KernelModel:
     """docs: doc_id, text, lang. learn: which rows may be learned from."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes).collect()]
-    if not most:
+    n = known.select("lang").distinct().count()
+    if not n:
         return fit([])
-    per = max(8, train_rows // len(most))
-    rows = bounded_sample(known.where(F.col("lang").isin(most)).select("lang", "text", "doc_id"), "lang", F.col("doc_id"), per, max_chars)
+    chars = max(800, min(max_chars, max_chars * 64 // n))
+    short = known.select("lang", windows(F.col("text"), F.col("doc_id"), chars).alias("text"), "doc_id")
+    rows = bounded_sample(short, "lang", F.col("doc_id"), max(8, train_rows // n), chars)
     return fit([(r["lang"], r["text"]) for r in rows], landmarks)
 
 
 def predict(docs: DataFrame, model: KernelModel) -> DataFrame:
     """docs: doc_id, text and any others, which stay; adds lang_pred and score, drops text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_classes and the sample bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the number of languages and the sample bound it
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string", "score double"])
 

@@ -174,3 +174,30 @@ def test_clear_documents_of_many_languages_stay():
         names, scores = model.score([t for _, t in rows[len(rows) // 2 :]])
         assert np.mean([a == b for a, (b, _) in zip(names, rows[len(rows) // 2 :])]) > 0.95
         assert (scores >= 0.35).mean() > 0.95
+
+
+def test_every_language_is_learned(spark):
+    """More than 64 languages, some of long texts alone."""
+    rows = spoken(80, 4, rows=8)
+    long = [("long", " ".join(["zqx wvq"] * 4000))] * 6
+    df = spark.createDataFrame([(k, t, c) for k, (c, t) in enumerate(rows + long)], "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True))
+    assert len(model.classes) == 81
+    names, _ = model.score([t for _, t in rows + long])
+    assert np.mean([a == b for a, (b, _) in zip(names, rows + long)]) > 0.95
+
+
+def test_rare_scripts_keep_their_letters():
+    """Languages that differ only in letters which are rare over all of them together."""
+    rng = np.random.default_rng(6)
+    crowd = [chr(k) for k in range(0x4E00, 0x4E00 + 160)]
+    rows = []
+    for _ in range(60):
+        rows.append(("zh", " ".join("".join(rng.choice(crowd, 4)) for _ in range(60))))
+    for k, first in ((0, 0xAC00), (1, 0xB000)):
+        letters = [chr(first + j) for j in range(40)]
+        rows += [(f"ko{k}", " ".join("".join(rng.choice(letters, 2)) for _ in range(8))) for _ in range(20)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    model = language_id.fit(rows[:60])
+    names, _ = model.score([t for _, t in rows[60:]])
+    assert np.mean([a == b for a, (b, _) in zip(names, rows[60:])]) > 0.95
