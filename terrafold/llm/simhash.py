@@ -42,6 +42,8 @@ SEED = 42
 #: shares none of the BINS // ROWS bands with a chance of (1 - s^ROWS)^(BINS // ROWS).
 BINS, ROWS = 256, 6
 EMPTY = np.uint64(2**64 - 1)
+#: For each bin an order of all bins.
+ORDERS = np.random.default_rng(SEED).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 #: A group whose pairs are compared holds so many nodes and bytes of shingle sets a side.
 SIDE, SIDE_BYTES = 512, 8 << 20
 
@@ -106,13 +108,22 @@ def sketch_of(hashes: np.ndarray) -> bytes:
 
 
 def bands_of(low: np.ndarray) -> np.ndarray:
-    """A hash of each band of whole minima (signed); bands without any are left out."""
+    """A hash of each band of whole minima (signed); none without a shingle.
+
+    An empty bin takes the minimum of the first filled one in an order of its own: else one
+    shared shingle would make a band of short texts.
+    """
+    filled = low != EMPTY
+    if not filled.any():
+        return np.zeros(0, dtype=np.int64)
+    if not filled.all():
+        low = np.where(filled, low, low[ORDERS[np.arange(BINS), filled[ORDERS].argmax(axis=1)]])
     rows = low[: BINS // ROWS * ROWS].reshape(-1, ROWS)
     key = np.arange(len(rows), dtype=np.uint64)
     for column in rows.T:
         key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key[(rows != EMPTY).any(axis=1)].view(np.int64)
+    return key.view(np.int64)
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,30 +135,29 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sketches: bool = False) -> DataFrame:
     """(doc_id, fp, and the columns `keep`) of every row; fp as a signed long.
 
-    With sketches also sketch, five (the ascending distinct hashes of the five-word shingles) and bands.
+    With sketches also sketch, bands, and body: the text in bytes.
     """
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                fp, sketch, five, bands = [], [], [], []
+                fp, sketch, bands = [], [], []
                 for x in b.column(1).to_pylist():
                     h = shingle_hashes(x or b"", words)
                     fp.append(fingerprint_of(h))
                     if sketches:
-                        five.append(np.unique(five_of(h)))
-                        low = minima_of(five[-1])
+                        low = minima_of(five_of(h))
                         sketch.append(sketch_bytes(low))
                         bands.append(bands_of(low))
-                more = [pa.array(sketch, pa.binary()), pa.array([x.tobytes() for x in five], pa.binary()), pa.array(bands, pa.list_(pa.int64()))] if sketches else []
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *more, *(b.column(c) for c in keep)], names=["doc_id", "fp", *(["sketch", "five", "bands"] if sketches else []), *keep])
+                more = [pa.array(sketch, pa.binary()), b.column(1), pa.array(bands, pa.list_(pa.int64()))] if sketches else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *more, *(b.column(c) for c in keep)], names=["doc_id", "fp", *(["sketch", "body", "bands"] if sketches else []), *keep])
 
     if sketches and words != 3:
         raise ValueError("sketches of five-word shingles are made of three-word ones")
     rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary"), **{c: c for c in keep})
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", kinds["doc_id"]), ("fp", "bigint"), *([("sketch", "binary"), ("five", "binary"), ("bands", "array<bigint>")] if sketches else []), *((c, kinds[c]) for c in keep)])
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [("doc_id", kinds["doc_id"]), ("fp", "bigint"), *([("sketch", "binary"), ("body", "binary"), ("bands", "array<bigint>")] if sketches else []), *((c, kinds[c]) for c in keep)])
     return rows.mapInArrow(run, schema)
 
 
@@ -385,15 +395,24 @@ def similar_forest(sketches: np.ndarray, sets: list[np.ndarray], second: np.ndar
     return np.concatenate(one), np.concatenate(two)
 
 
-def decided(found: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def decided(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that connect just what pairs of similar sets within components of `found` connect.
 
-    nodes: id, row, sketch; sets: row, five. All nodes of a component meet: a large one is dealt
+    nodes: id, row, sketch; texts: row, body. All nodes of a component meet: a large one is dealt
     into parts, and each pair of parts is a group of its own.
     """
     reach = materialize(components(found))
     inner = reach.join(nodes.select("id", "row", "sketch"), reach["node"] == F.col("id")).select("id", "row", "sketch", "root")
-    member = materialize(inner.join(sets.select("row", "five"), "row").select("id", "root", "sketch", "five"))
+
+    def shingles(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                five = pa.array([np.unique(five_of(shingle_hashes(x or b"", 3))).tobytes() for x in b.column("body").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "root", "sketch")), five], names=["id", "root", "sketch", "five"])
+
+    body = inner.join(texts.select("row", "body"), "row").select("id", "root", "sketch", "body")
+    member = materialize(body.mapInArrow(shingles, "id bigint, root bigint, sketch binary, five binary"))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / SIDE, F.sum(F.length("five")) / SIDE_BYTES)).cast("int")
     sizes = materialize(member.groupBy("root").agg(parts.alias("parts")))
     dealt = member.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts").cast("int"))
@@ -428,7 +447,7 @@ def decided(found: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: flo
 
 
 def similar_links(nodes: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links of similar texts. nodes: id, row, sketch (each fp and sketch once); signed: row, five, bands."""
+    """(a, b): links of similar texts. nodes: id, row, sketch (each fp and sketch once); signed: row, body, bands."""
     banded = materialize(nodes.select("id", "row").join(signed.select("row", "bands"), "row").select("id", "bands"))
     return decided(candidates(banded), nodes, signed, similarity)
 
