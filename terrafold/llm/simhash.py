@@ -15,8 +15,9 @@ Components come from alternating star contractions over tables in the shared fol
 `similarity` asks for more than near fingerprints: texts whose five-word shingles agree in that
 share. Such texts may differ in many bits of a fingerprint, so they are sought by one-permutation
 MinHash (BINS bins) instead: texts that share a band of ROWS whole minima are connected. A band
-only connects: all texts of a connected group are then held against each other, and those are
-linked whose sets of five-word shingles agree. Sketches of a byte a bin spare the sets of clearly
+only connects: all texts of a connected group are then held against each other, but for pairs
+that other links join already (see groups), and those are linked whose sets of five-word shingles
+agree. Sketches of a byte a bin spare the sets of clearly
 unlike pairs. Every distinct fingerprint and sketch takes part.
 
 Words are runs of anything but space and \\t..\\r, with A-Z in lower case; a text of fewer words
@@ -33,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, plain, ragged
+from terrafold.llm.common import materialize, plain
+from terrafold.llm.groups import SIDE, components, group_links
 
 SEED = 42
 
@@ -44,8 +46,6 @@ BINS, ROWS = 256, 6
 EMPTY = np.uint64(2**64 - 1)
 #: For each bin an order of all bins.
 ORDERS = np.random.default_rng(SEED).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
-#: A group whose pairs are compared holds so many nodes and bytes of shingle sets a side.
-SIDE, SIDE_BYTES = 512, 8 << 20
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -360,17 +360,19 @@ def share_of(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar_forest(sketches: np.ndarray, sets: list[np.ndarray], second: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of all pairs of a group whose sets agree in `similarity`.
+def similar_forest(sketches: np.ndarray, sets: list[np.ndarray], label: np.ndarray, second: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all pairs of a tile whose sets agree in `similarity`.
 
-    second: which nodes are of the second side; if any is, only pairs of two sides count. Pairs
-    that are joined already need no check; one that fails is replaced by the next, until none is left.
+    label: rows of one label are joined already. second: which rows are of the second side; if
+    given, only pairs of two sides count. Pairs that are joined already need no check; one that
+    fails is replaced by the next, until none is left.
     """
-    n, cross = len(sets), second.any() and not second.all()
+    n = len(sets)
     a, b, far = [], [], []
     for i in range(n):
-        j = np.flatnonzero(second) if cross else np.arange(i + 1, n)
-        if not len(j) or (cross and second[i]):
+        j = np.arange(i + 1, n) if second is None else np.flatnonzero(second)
+        j = j[label[j] != label[i]]
+        if not len(j) or (second is not None and second[i]):
             continue
         used = np.maximum(((sketches[j] > 0) | (sketches[i] > 0)).sum(axis=1), 1)
         share = sketch_similarity(sketches[j], sketches[i][None])
@@ -382,24 +384,23 @@ def similar_forest(sketches: np.ndarray, sets: list[np.ndarray], second: np.ndar
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(far)
-    label, one, two = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    now, one, two = label, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(a):
-        kept = nearest_forest(n, label[a], label[b], far)
+        kept = nearest_forest(n, now[a], now[b], far)
         good = kept[np.array([share_of(sets[x], sets[y]) >= similarity for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True)], dtype=bool)]
         one.append(a[good])
         two.append(b[good])
-        label = forest(n, np.concatenate(one), np.concatenate(two))
-        left = label[a] != label[b]
+        now = forest(n, label[np.concatenate(one)], label[np.concatenate(two)])[label]
+        left = now[a] != now[b]
         left[kept] = False
         a, b, far = a[left], b[left], far[left]
     return np.concatenate(one), np.concatenate(two)
 
 
-def decided(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def decided(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, side: int = SIDE) -> DataFrame:
     """(a, b): links that connect just what pairs of similar sets within components of `found` connect.
 
-    nodes: id, row, sketch; texts: row, body. All nodes of a component meet: a large one is dealt
-    into parts, and each pair of parts is a group of its own.
+    nodes: id, row, sketch; texts: row, body. All nodes of a component meet (see groups).
     """
     reach = materialize(components(found))
     inner = reach.join(nodes.select("id", "row", "sketch"), reach["node"] == F.col("id")).select("id", "row", "sketch", "root")
@@ -408,72 +409,27 @@ def decided(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: fl
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                five = pa.array([np.unique(five_of(shingle_hashes(x or b"", 3))).tobytes() for x in b.column("body").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "root", "sketch")), five], names=["id", "root", "sketch", "five"])
+                five = [np.unique(five_of(shingle_hashes(x or b"", 3))).tobytes() for x in b.column("body").to_pylist()]
+                sizes = pa.array([len(x) for x in five], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "root", "sketch")), pa.array(five, pa.binary()), sizes], names=["id", "root", "sketch", "five", "size"])
 
     body = inner.join(texts.select("row", "body"), "row").select("id", "root", "sketch", "body")
-    member = materialize(body.mapInArrow(shingles, "id bigint, root bigint, sketch binary, five binary"))
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / SIDE, F.sum(F.length("five")) / SIDE_BYTES)).cast("int")
-    sizes = materialize(member.groupBy("root").agg(parts.alias("parts")))
-    dealt = member.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = dealt.select("root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"), "id", "sketch", "five")
+    member = materialize(body.mapInArrow(shingles, "id bigint, root bigint, sketch binary, five binary, size bigint"))
 
-    def run(batches):
-        held, last = [], None
-
-        def flush():
-            ids = np.array([x[0] for x in held], dtype=np.int64)
-            sketches = np.frombuffer(b"".join(x[1] for x in held), dtype=np.uint8).reshape(-1, BINS)
-            second = np.array([x[3] for x in held])
-            if last[1] != last[2] and (second.all() or not second.any()):
-                return []  # one side is empty
-            one, two = similar_forest(sketches, [np.frombuffer(x[2], dtype=np.uint64) for x in held], second, similarity)
-            return [pa.RecordBatch.from_arrays([pa.array(ids[one]), pa.array(ids[two])], names=["a", "b"])] if len(one) else []
+    def compare(rows, label, second):
+        sketches = np.frombuffer(b"".join(x[0] for x in rows), dtype=np.uint8).reshape(-1, BINS)
+        return similar_forest(sketches, [np.frombuffer(x[1], dtype=np.uint64) for x in rows], label, second, similarity)
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                for root, p, q, *x in zip(*(b.column(c).to_pylist() for c in ("root", "p", "q", "id", "sketch", "five", "second")), strict=True):
-                    if (root, p, q) != last and held:
-                        yield from flush()
-                        held = []
-                    last = root, p, q
-                    held.append(x)
-        if held:
-            yield from flush()
+    return group_links(member, ["sketch", "five"], compare, side)
 
-    return rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
-
-def similar_links(nodes: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+def similar_links(nodes: DataFrame, signed: DataFrame, similarity: float, side: int = SIDE) -> DataFrame:
     """(a, b): links of similar texts. nodes: id, row, sketch (each fp and sketch once); signed: row, body, bands."""
     banded = materialize(nodes.select("id", "row").join(signed.select("row", "bands"), "row").select("id", "bands"))
-    return decided(candidates(banded), nodes, signed, similarity)
-
+    return decided(candidates(banded), nodes, signed, similarity, side)
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of an edge. edges: a, b.
 
-    Large-star and small-star steps in turn, until nothing changes. The minima are tables of
-    their own, so that a join on a node of very many edges can be split.
-    """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
-        both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-
-
-def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), similarity: float | None = None) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), similarity: float | None = None, side: int = SIDE) -> DataFrame:
     """(doc_id, fp, component_id, component, and the columns `keep`) of every row.
 
     component_id is the smallest doc_id reachable: by fingerprints within the budget, or with
@@ -488,7 +444,7 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int
     else:
         of = ["fp", "sketch"]
         nodes = materialize(signed.groupBy(*of).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")).withColumn("id", F.xxhash64(*of)))
-        found = similar_links(nodes.select("id", "row", "sketch"), signed, similarity)
+        found = similar_links(nodes.select("id", "row", "sketch"), signed, similarity, side)
     reach = materialize(components(found))
     member = materialize(reach.join(nodes, reach["node"] == nodes["id"]).select("id", "root", "least"))
     first = materialize(member.groupBy("root").agg(F.min("least").alias("first")))

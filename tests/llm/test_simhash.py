@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -168,12 +169,13 @@ def exact_components(texts, similarity):
     return simhash.forest(len(texts), np.array([i for i, _ in pairs], dtype=np.int64), np.array([j for _, j in pairs], dtype=np.int64)).tolist()
 
 
-def test_members_of_a_template_are_joined_as_their_shingles_say(spark):
+@pytest.mark.parametrize("side", [512, 16])
+def test_members_of_a_template_are_joined_as_their_shingles_say(spark, side):
     """A wrong pair that outranks the true one must not cost it."""
     texts = template_family(3)
     want = exact_components(texts, 0.8)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8, side=side).collect()}
     pairs = [(k, j) for k in range(len(texts)) for j in range(k) if want[k] == want[j]]
     assert len(pairs) > 50
     assert np.mean([got[k] == got[j] for k, j in pairs]) > 0.9
@@ -183,9 +185,9 @@ def test_members_of_a_template_are_joined_as_their_shingles_say(spark):
 def test_forest_of_similar_pairs_replaces_those_that_fail():
     sets = [np.array(x, dtype=np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 2, 3, 4, 5, 7], [9])]
     sketches = np.ones((4, simhash.BINS), dtype=np.uint8)
-    a, b = simhash.similar_forest(sketches, sets, np.zeros(4, dtype=bool), 0.8)
+    a, b = simhash.similar_forest(sketches, sets, np.arange(4), None, 0.8)
     assert simhash.forest(4, a, b).tolist() == [0, 1, 0, 3]
-    a, b = simhash.similar_forest(sketches, sets, np.array([False, False, True, True]), 0.8)
+    a, b = simhash.similar_forest(sketches, sets, np.arange(4), np.array([False, False, True, True]), 0.8)
     assert sorted(zip(a.tolist(), b.tolist())) == [(0, 2)]
 
 
