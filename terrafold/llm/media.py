@@ -3,21 +3,27 @@
 An image (a binary column: PGM, PPM or PNG of 8 bits) becomes grey levels. On each scale of a
 pyramid corners are the local maxima of Harris' measure over their neighbourhood; each has an
 orientation (centroid of its disc) and 128 binary tests of smoothed pixels, turned by it. The
-tests are four words of 32 bits: descriptors meet in a Hamming table keyed by one word, which
-finds every pair within 3 bits, and pairs with up to `budget` bits that agree in one word. Each
-meeting votes for the shift, turn and scale that carries one image into the other; images are
-linked where at least `votes` corners, and `share` of those of the image with fewer, agree on
-one such geometry (consensus). Links give components.
-
-Images of equal pixels are one class first; only its representative (the smallest id) is
-matched. A table's key may be very common (a shared banner): its members, in the order of
-their images' corners and class, meet their `window` successors, not all others, so work stays in proportion; members are
-dealt by ranges of (key, class), and the rows at the seams of the ranges are matched apart.
-Copies share many keys, most of them of few members, where all meet.
+tests are four words of 32 bits: two corners agree if they have a word in common (which any two
+within 3 bits have) and differ in at most `budget` bits. Two images are copies where at least
+`votes` corners, and `share` of those of the image with fewer, agree on one shift, turn and scale
+that carries one image into the other (consensus). Copies give components.
+
+Images of equal pixels are one class first. Classes meet in a Hamming table keyed by one word:
+
+- In a key of at most `hot` corners all meet. A pair of classes that agrees there is a candidate,
+  unless even all corners of hot keys wouldn't make up what it lacks; candidates are verified
+  with all corners of both. The image with more corners is sent once for many partners.
+- Copies that agree in hot keys alone (a banner on very many pages) need `votes` corners there,
+  so both have that many. Classes that have, and share a hot key, are a group whose pairs are all
+  compared, but for those that other links join already (see groups).
+
+So every pair of copies is linked or joined by links; no key and no group has a cap.
 
 Null or undecodable images have null class, component and corners. An image without a corner
-only has exact copies. Rows that repeat an id and pixels are reported each. An empty table gives
-no rows.
+only has exact copies; one with under `votes` corners too. Of equal descriptors within an image
+the first eight are corners. Rows that repeat an id and pixels are
+reported each. A very long page is one tall image, worked on whole. Other columns of the input
+play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,26 +36,47 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import materialize, plain, ragged
-from terrafold.llm.simhash import components
+from terrafold.llm.groups import SIDE, components, group_links
 
 #: A corner is the highest within SUPPRESS pixels; its tests lie within RADIUS.
 SUPPRESS, RADIUS, DISC, TURNS, TESTS = 12, 10, 7, 16, 128
 
-_HIDDEN = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|h\d|li|ul|ol|nav|article|section|header|footer|table|tr|td|th|br|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+_MARK = re.compile(r"<!--|-->|<(/?)(script|style|head)\b[^<>]*>", re.I)
+_BLOCK = re.compile(r"</?(?:p|div|h\d|li|ul|ol|nav|article|section|header|footer|table|tr|td|th|br|blockquote|pre)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<[^<>]*>")
+
+
+def without_hidden(page: str) -> str:
+    """The page without comments, scripts, styles and head, in one walk; unclosed ones hide nothing."""
+    marks = [(m.start(), m.end(), m.group(0)[:4], (m.group(2) or "").lower(), bool(m.group(1))) for m in _MARK.finditer(page)]
+    closers: dict[str, int] = {}
+    ends = [-1] * len(marks)  # for each opening mark the next closing one of its kind
+    for k in range(len(marks) - 1, -1, -1):
+        _, _, head, kind, closing = marks[k]
+        if head.startswith("--"):
+            closers["--"] = k
+        elif head == "<!--":
+            ends[k] = closers.get("--", -1)
+        elif closing:
+            closers[kind] = k
+        else:
+            ends[k] = closers.get(kind, -1)
+    out, at = [], 0
+    for k, (start, _, _, _, _) in enumerate(marks):
+        if start >= at and ends[k] >= 0:
+            out += [page[at:start], "\n"]
+            at = marks[ends[k]][1]
+    return "".join([*out, page[at:]])
 
 
 def render_page(page: str, width: int = 64) -> bytes:
     """A picture (PGM) of a page's visible text: a block a paragraph, a pixel a byte."""
-    text = html_lib.unescape(_TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("\n", page))))
+    text = html_lib.unescape(_TAG.sub("", _BLOCK.sub("\n", without_hidden(page))))
     rows = []
     for line in text.split("\n"):
         raw = line.strip().encode()
@@ -148,10 +175,12 @@ def _highest(a: np.ndarray, r: int) -> np.ndarray:
     return m
 
 
-def corners(grey: np.ndarray, scales: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def corners(grey: np.ndarray, scales: int = 3, repeats: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, turn, scale) of each corner, in pixels of the full image, and its 4 words.
 
-    Sums are of integers, so a copied patch gives the same numbers wherever it lies.
+    Sums are of integers, so a copied patch gives the same numbers wherever it lies. Texture
+    that repeats within the image says little of place: of equal descriptors the first `repeats`
+    are corners.
     """
     disc, tests = pattern()
     places, words = [], []
@@ -182,7 +211,11 @@ def corners(grey: np.ndarray, scales: int = 2) -> tuple[np.ndarray, np.ndarray]:
         places.append(np.stack(((x - 2 * RADIUS) << scale, (y - 2 * RADIUS) << scale, turn, np.full(len(x), scale)), axis=1))
     if not places:
         return np.zeros((0, 4), dtype=np.int64), np.zeros((0, 4), dtype=np.int64)
-    return np.concatenate(places), np.concatenate(words)
+    places, words = np.concatenate(places), np.concatenate(words)
+    order = np.lexsort((np.arange(len(words)), *words.T))
+    starts = np.flatnonzero(np.append(True, (words[order[1:]] != words[order[:-1]]).any(axis=1)))
+    keep = np.sort(order[ragged(np.diff(np.append(starts, len(order)))) < repeats])
+    return places[keep], words[keep]
 
 
 def pixel_class(grey: np.ndarray) -> int:
@@ -190,12 +223,11 @@ def pixel_class(grey: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(struct.pack("<II", *grey.shape) + np.rint(grey).astype(np.uint8).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-#: A corner in a table. key: table, word and (in the low COUNT bits) how many corners its image
-#: has; w1 and w2: its four words; g: its number, x, y, turn and scale.
-ENTRY = "key bigint, cls bigint, w1 bigint, w2 bigint, g bigint"
-FIELDS = ["key", "cls", "w1", "w2", "g"]
-COUNT = 28
-VOTE = "a bigint, b bigint, kp int, geometry bigint, least int"
+#: A corner in a table. key: table and word; kp: its number; w1 and w2: its four words.
+ENTRY = "key bigint, cls bigint, kp int, w1 bigint, w2 bigint"
+FIELDS = ["key", "cls", "kp", "w1", "w2"]
+#: Matches of corners that are expanded at once.
+EXPAND = 2_000_000
 
 
 def features(images: DataFrame) -> DataFrame:
@@ -215,111 +247,212 @@ def features(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, f"id {dict(images.dtypes)['id']}, cls bigint, corners binary")
 
 
+def unpacked(raw: bytes) -> np.ndarray:
+    """x, y, turn, scale and the four words of each corner."""
+    return np.frombuffer(raw, dtype="<u4").reshape(-1, 8).astype(np.int64)
+
+
 def entries(classes: DataFrame) -> DataFrame:
     """classes: cls, corners. Four entries for each corner."""
 
     def run(batches):
-        for b in batches:
-            raw = b.column("corners").to_pylist()
-            n = np.array([len(x) // 32 for x in raw])
-            if not n.sum():
-                continue
-            f = np.frombuffer(b"".join(raw), dtype="<u4").reshape(-1, 8).astype(np.int64)
-            cls, kp = np.repeat(b.column("cls").to_numpy(), n), ragged(n)
-            g = (kp << 46) | (f[:, 0] << 28) | (f[:, 1] << 10) | (f[:, 2] << 4) | f[:, 3]
-            w1, w2 = (f[:, 4] << 32) | f[:, 5], (f[:, 6] << 32) | f[:, 7]
-            every = lambda x: pa.array(np.repeat(x, 4))
-            key = (((np.arange(4)[None, :] << 32) | f[:, 4:]) << COUNT) | np.repeat(n, n)[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), every(cls), every(w1), every(w2), every(g)], names=FIELDS)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                raw = b.column("corners").to_pylist()
+                n = np.array([len(x) // 32 for x in raw])
+                if not n.sum():
+                    continue
+                f = unpacked(b"".join(raw))
+                cls, kp = np.repeat(b.column("cls").to_numpy(), n), ragged(n).astype(np.int32)
+                w1, w2 = (f[:, 4] << 32) | f[:, 5], (f[:, 6] << 32) | f[:, 7]
+                every = lambda x: pa.array(np.repeat(x, 4))
+                key = (np.arange(4)[None, :] << 32) | f[:, 4:]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), every(cls), every(kp), every(w1), every(w2)], names=FIELDS)
 
     return classes.mapInArrow(run, ENTRY)
 
 
-def vote(f: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, budget: int, cell: int = 6) -> dict[str, np.ndarray]:
-    """Votes of entries i against j (positions in f) whose descriptors are near enough."""
-    bits = lambda w: np.bitwise_count((f[w][i] ^ f[w][j]).view(np.uint64))
-    near = bits("w1").astype(int) + bits("w2") <= budget
-    i, j = i[near], j[near]
-    swap = f["cls"][i] > f["cls"][j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    part = lambda k, shift, width: (f["g"][k] >> shift) & ((1 << width) - 1)
-    (xi, yi, ti, si), (xj, yj, tj, sj) = ([part(k, 28, 18), part(k, 10, 18), part(k, 4, 6), part(k, 0, 4)] for k in (i, j))
+def expanded(lo: np.ndarray, hi: np.ndarray):
+    """For ranges [lo, hi): (which range, position), some EXPAND of them at a time."""
+    n = hi - lo
+    for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // EXPAND)) + 1):
+        if len(part) and n[part].sum():
+            yield np.repeat(part, n[part]), np.repeat(lo[part], n[part]) + ragged(n[part])
+
+
+def copies(one: np.ndarray, many: np.ndarray, owner: np.ndarray, sizes: np.ndarray, votes: int, share: float, budget: int, cell: int = 6) -> np.ndarray:
+    """Which images agree with the image `one` on a geometry.
+
+    many: the corners of all of them, owner: whose each is, sizes: how many each has. Places vote
+    in four grids of cells, half a cell apart, so that no border parts votes that agree.
+    """
+    out = np.zeros(len(sizes), dtype=bool)
+    need = np.maximum(votes, np.ceil(share * np.minimum(sizes, len(one)) - 1e-9).astype(np.int64))
+    found = []
+    for table in range(4):
+        order = np.argsort(one[:, 4 + table], kind="stable")
+        words = one[order, 4 + table]
+        lo, hi = (np.searchsorted(words, many[:, 4 + table], side=s) for s in ("left", "right"))
+        for j, at in expanded(lo, hi):
+            i = order[at]
+            differing = one[i, 4:] ^ many[j, 4:]
+            # A pair of corners counts at the first word they share.
+            ok = (differing[:, :table] != 0).all(axis=1) & (np.bitwise_count(differing).sum(axis=1) <= budget)
+            found.append(np.stack((i[ok], j[ok])))
+    if not found:
+        return out
+    i, j = np.concatenate(found, axis=1)
+    # Only images with enough matches at all.
+    enough = np.bincount(owner[j], minlength=len(sizes)) >= need
+    i, j = i[enough[owner[j]]], j[enough[owner[j]]]
+    if not len(i):
+        return out
+    (xi, yi, ti, si), (xj, yj, tj, sj) = one[i, :4].T, many[j, :4].T
     turn, scale = (tj - ti) % TURNS, sj - si
     angle, grow = 2 * np.pi * turn / TURNS, 2.0**scale
     dx = xj - grow * (np.cos(angle) * xi - np.sin(angle) * yi)
     dy = yj - grow * (np.sin(angle) * xi + np.cos(angle) * yi)
-    mask = (1 << COUNT) - 1
-    code = (((scale + 8) * TURNS + turn) << 48) + ((np.rint(dx / cell).astype(np.int64) + (1 << 23)) << 24) + np.rint(dy / cell).astype(np.int64) + (1 << 23)
-    return {"a": f["cls"][i], "b": f["cls"][j], "kp": part(i, 46, 17).astype(np.int32), "geometry": code, "least": (np.minimum(f["key"][i] & mask, f["key"][j] & mask)).astype(np.int32)}
+    for sx in (0.0, 0.5):
+        for sy in (0.0, 0.5):
+            cx, cy = np.floor(dx / cell + sx).astype(np.int64), np.floor(dy / cell + sy).astype(np.int64)
+            order = np.lexsort((cy, cx, turn, scale, owner[j]))
+            where = np.stack((owner[j], scale, turn, cx, cy))[:, order]
+            group = np.cumsum(np.append(False, (where[:, 1:] != where[:, :-1]).any(axis=0)))
+            # Distinct corners of either image: one corner can't vote for many.
+            support = np.minimum(*(np.bincount(np.unique(group * 2**26 + k[order]) >> 26, minlength=group[-1] + 1) for k in (i, j - (np.cumsum(sizes) - sizes)[owner[j]])))
+            first = np.flatnonzero(np.append(True, np.diff(group)))
+            whose = where[0, first]
+            out[whose[support >= need[whose]]] = True
+    return out
+
+
+def all_of_key(f: dict[str, np.ndarray], budget: int) -> pa.RecordBatch:
+    """(a, b, and the corners' numbers ka, kb): pairs of classes with a corner each in one key that agree; f is sorted by key."""
+    lo = np.flatnonzero(np.append(True, f["key"][1:] != f["key"][:-1]))
+    ends = np.repeat(np.append(lo[1:], len(f["key"])), np.diff(np.append(lo, len(f["key"]))))
+    out = [np.zeros((4, 0), dtype=np.int64)]
+    for i, j in expanded(np.arange(1, len(ends) + 1), ends):
+        differ = sum(np.bitwise_count(f[w][i] ^ f[w][j]).astype(np.int64) for w in ("w1", "w2"))
+        ok = (differ <= budget) & (f["cls"][i] != f["cls"][j])
+        i, j = i[ok], j[ok]
+        swap = f["cls"][i] > f["cls"][j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out.append(np.stack((f["cls"][i], f["cls"][j], f["kp"][i].astype(np.int64), f["kp"][j].astype(np.int64))))
+    a, b, ka, kb = np.concatenate(out, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ka.astype(np.int32)), pa.array(kb.astype(np.int32))], names=["a", "b", "ka", "kb"])
+
+
+def agreeing(rows: DataFrame, budget: int) -> DataFrame:
+    """(a, b, ka, kb): agreeing corners of two classes, by keys that few corners have."""
 
+    def run(batches):
+        rest = None
+        for b in batches:
+            f = {c: b.column(c).to_numpy() for c in FIELDS}
+            if rest is not None:
+                f = {c: np.concatenate((rest[c], x)) for c, x in f.items()}
+            if not len(f["key"]):
+                continue
+            last = int(np.searchsorted(f["key"], f["key"][-1]))  # its key may go on
+            whole, rest = {c: x[:last] for c, x in f.items()}, {c: x[last:] for c, x in f.items()}
+            if last:
+                yield all_of_key(whole, budget)
+        if rest is not None and len(rest["key"]):
+            yield all_of_key(rest, budget)
+
+    return rows.select(*FIELDS).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, ka int, kb int")
 
-def meetings(f: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of entries of one key and two classes, at most `window` apart in order."""
-    word, i, j = f["key"] >> COUNT, [], []
-    for step in range(1, window + 1):
-        at = np.flatnonzero((word[:-step] == word[step:]) & (f["cls"][:-step] != f["cls"][step:]))
-        i.append(at)
-        j.append(at + step)
-    return np.concatenate(i), np.concatenate(j)
 
+def verified(pairs: DataFrame, corners_of: DataFrame, votes: int, share: float, budget: int, partners: int = 2048) -> DataFrame:
+    """(a, b): the pairs that are copies. pairs: big, small (classes); corners_of: cls, corners.
+
+    A big image goes once to each part of at most about `partners` of its partners.
+    """
+    many = materialize(pairs.groupBy("big").agg(F.ceil(F.count(F.lit(1)) / partners).cast("long").alias("parts")))
+    smaller = pairs.join(many, "big").withColumn("part", F.pmod(F.xxhash64("small"), "parts")).join(corners_of, F.col("small") == F.col("cls")).select("big", "part", F.lit(1).alias("kind"), "small", "corners")
+    bigger = many.join(corners_of, F.col("big") == F.col("cls")).select("big", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("small"), "corners")
+
+    def run(batches):
+        big, one, held = None, None, []
 
-def find_copies(images: DataFrame, votes: int = 4, share: float = 0.3, budget: int = 12, window: int = 8, id_col: str = "id", image_col: str = "image") -> DataFrame:
-    """(id, image_class, component_id, corners, links) of every row.
+        def flush():
+            sizes = np.array([len(c) // 32 for _, c in held])
+            ok = copies(one, unpacked(b"".join(c for _, c in held)), np.repeat(np.arange(len(held)), sizes), sizes, votes, share, budget)
+            small = np.array([s for s, _ in held], dtype=np.int64)[ok]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(small), big, dtype=np.int64)), pa.array(small)], names=["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                for key, kind, small, corners_ in zip(*(b.column(c).to_pylist() for c in ("big", "kind", "small", "corners")), strict=True):
+                    if kind == 0 or len(held) >= 256:
+                        if held:
+                            yield flush()
+                        held = []
+                    if kind == 0:
+                        big, one = key, unpacked(corners_)
+                    else:
+                        held.append((small, corners_))
+        if held:
+            yield flush()
+
+    rows = bigger.unionByName(smaller).repartition("big", "part").sortWithinPartitions("big", "part", "kind")
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def find_copies(images: DataFrame, votes: int = 4, share: float = 0.3, budget: int = 12, hot: int = 32, side: int = SIDE, id_col: str = "id", image_col: str = "image") -> DataFrame:
+    """(id, image_class, component_id, corners) of every row.
 
     image_class: the smallest id of the same pixels; component_id: the smallest id reachable
-    by links; links: classes that the row's class is linked to.
+    by links between copies.
     """
     known = materialize(features(plain(images, id=id_col, image=F.col(f"`{image_col}`").cast("binary"))))
     classes = known.where("cls is not null").groupBy("cls").agg(F.min("id").alias("image_class"), (F.max(F.length("corners")) / 32).cast("int").alias("corners"))
-    one = known.where("corners is not null").select("cls", "corners").dropDuplicates(["cls"])
-    names = [*FIELDS, "a", "b", "kp", "geometry", "least", "seam", "side"]
-    kinds = [*[pa.int64()] * 7, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-
-    def batch(n: int, own: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(own[c], k) if c in own else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
-
-    def pairs(batches):
-        task, head, tail, old = TaskContext.get().partitionId(), None, None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            f = {c: b.column(c).to_numpy() for c in FIELDS}
-            if head is None:
-                head = {c: x[:window] for c, x in f.items()}
-            if tail is not None:
-                f = {c: np.concatenate((tail[c], x)) for c, x in f.items()}
-            i, j = meetings(f, window)
-            v = vote(f, i[j >= old], j[j >= old], budget)
-            if len(v["a"]):
-                yield batch(len(v["a"]), v)
-            tail = {c: x[-window:] for c, x in f.items()}
-            old = len(tail["key"])
-        if head is not None:
-            # The seams: this range's last entries meet the next range's first ones.
-            for part, seam, side in ((tail, task, 0), (head, task - 1, 1)):
-                n = len(part["key"])
-                yield batch(n, part | {"seam": np.full(n, seam), "side": np.full(n, side, dtype=np.int32)})
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "key", "cls", "g"], kind="stable")
-        f = {c: pdf[c].to_numpy(dtype=np.int64) for c in FIELDS}
-        i, j = meetings(f, window)
-        side = pdf["side"].to_numpy()
-        cross = side[i] != side[j]
-        return pd.DataFrame(vote(f, i[cross], j[cross], budget))
-
-    table = entries(one.repartition("cls"))
-    met = materialize(table.repartitionByRange("key", "cls", "g").sortWithinPartitions("key", "cls", "g").mapInArrow(pairs, ", ".join([ENTRY, VOTE, "seam bigint", "side int"])))
-    seams = met.where("seam is not null").select(*FIELDS, "seam", "side").groupBy("seam").applyInPandas(across, VOTE)
-    cast = met.where("a is not null").select("a", "b", "kp", "geometry", "least").unionByName(seams)
-    agreed = cast.distinct().groupBy("a", "b", "geometry").agg(F.count(F.lit(1)).alias("votes"), F.max("least").alias("least"))
-    linked = materialize(agreed.where((F.col("votes") >= votes) & (F.col("votes") >= share * F.col("least"))).select("a", "b").distinct())
+    # A class of fewer corners than votes is nobody's copy.
+    one = known.where(F.length("corners") >= 32 * votes).select("cls", "corners").dropDuplicates(["cls"])
+    one = materialize(one)
+    table = entries(one)
+    shared = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")))
+    paired = materialize(table.join(shared, "key"))
+    few = agreeing(paired.where("not hot"), budget).groupBy("a", "b").agg(*[F.size(F.collect_set(f"k{c}")).alias(f"few_{c}") for c in ("a", "b")])
+    in_hot = paired.where("hot").select("cls", "kp").distinct().groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("more"))
+    about = materialize(one.select("cls", (F.length("corners") / 32).cast("int").alias("n")).join(in_hot, "cls", "left").select("cls", "n", F.coalesce("more", F.lit(0)).alias("more")))
+    left, right = (about.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("more").alias(f"more_{c}")) for c in ("a", "b"))
+    need = F.greatest(F.lit(votes), F.ceil(F.least("n_a", "n_b") * share - 1e-9))
+    maybe = few.join(left, "a").join(right, "b").where(F.least(F.col("few_a") + F.col("more_a"), F.col("few_b") + F.col("more_b")) >= need)
+    first_is_big = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
+    pairs = materialize(maybe.select(F.when(first_is_big, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(first_is_big, F.col("b")).otherwise(F.col("a")).alias("small")))
+    linked = verified(pairs, one, votes, share, budget)
+    group = paired.where("hot").join(about.where(F.col("more") >= votes).select("cls"), "cls").select("key", "cls").distinct()
+    least_of = materialize(group.groupBy("key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b"))
+    if not least_of.isEmpty():
+        reach = materialize(components(group.join(least_of, "key").where("cls <> b").select(F.col("cls").alias("a"), "b")))
+        member = materialize(reach.join(one, reach["node"] == one["cls"]).select("root", F.col("node").alias("id"), F.length("corners").cast("long").alias("size"), "corners"))
+
+        def compare(rows, label, second):
+            sizes = np.array([len(x[0]) // 32 for x in rows])
+            every, first = unpacked(b"".join(x[0] for x in rows)), np.cumsum(sizes) - sizes
+            label, out = label.copy(), []
+            for i in range(len(rows)):
+                others = np.arange(i + 1, len(rows)) if second is None else np.flatnonzero(second)
+                others = others[label[others] != label[i]]
+                if not len(others) or (second is not None and second[i]):
+                    continue
+                at = np.repeat(first[others], sizes[others]) + ragged(sizes[others])
+                ok = copies(every[first[i] : first[i] + sizes[i]], every[at], np.repeat(np.arange(len(others)), sizes[others]), sizes[others], votes, share, budget)
+                for j in others[ok].tolist():
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        out.append((i, j))
+            return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
+        linked = linked.unionByName(group_links(member, ["corners"], compare, side))
     reach = materialize(components(linked))
-    degree = linked.select(F.col("a").alias("cls")).unionByName(linked.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     least = materialize(classes.join(reach.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     first = materialize(least.groupBy("root").agg(F.min("image_class").alias("component_id")))
-    about = materialize(least.join(first, "root").join(degree, "cls", "left").select("cls", "image_class", "component_id", "corners", F.coalesce("links", F.lit(0)).alias("links")))
-    return known.select("id", "cls").join(about, "cls", "left").select("id", "image_class", "component_id", "corners", "links")
+    about = materialize(least.join(first, "root").select("cls", "image_class", "component_id", "corners"))
+    return known.select("id", "cls").join(about, "cls", "left").select("id", "image_class", "component_id", "corners")
 
 
 def page_images(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Token counts, exact search, license scan, media copies and the pipeline."""
+"""Token counts, exact search, license scan."""
 
 import random
 import re
@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terrafold.llm import license_scan, media, token_counts, topk
+from terrafold.llm import license_scan, token_counts, topk
 
 PIECES = public.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -116,64 +116,3 @@ def test_bands_meet_surely():
         held = int(np.ceil(0.8 * m))
         jaccard = held / (license_scan.geometry(m)[1] + m - held)
         assert 1 - (1 - jaccard) ** license_scan.bands_for(m, 0.8) >= 0.9999
-
-
-def pgm(a):
-    a = np.clip(np.rint(a), 0, 255).astype(np.uint8)
-    return b"P5\n%d %d\n255\n" % (a.shape[1], a.shape[0]) + a.tobytes()
-
-
-def png(a):
-    a = np.clip(np.rint(a), 0, 255).astype(np.uint8)
-    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
-    rows = bytearray()
-    for y in range(len(a)):
-        kind = y % 3
-        row = a[y].astype(int)
-        before = np.concatenate(([0], row[:-1])) if kind == 1 else (a[y - 1].astype(int) if kind == 2 else 0)
-        rows += bytes([kind]) + ((row - before) & 255).astype(np.uint8).tobytes()
-    head = a.shape[1].to_bytes(4, "big") + a.shape[0].to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(bytes(rows))) + chunk(b"IEND", b"")
-
-
-def test_decoders():
-    a = np.random.default_rng(0).integers(0, 256, (17, 23))
-    assert (media.decode(pgm(a)) == a).all() and (media.decode(png(a)) == a).all()
-    assert media.decode(b"junk") is None and media.decode(None) is None and media.decode(b"P5\n9 9\n255\n") is None
-
-
-def test_copies_are_found_and_others_left(spark):
-    rng = np.random.default_rng(0)
-    rows = []
-    for k in range(20):
-        s = np.kron(rng.normal(128, 60, (40, 40)), np.ones((4, 4)))
-        for _ in range(2):
-            s = (s + np.roll(s, 1, 0) + np.roll(s, 1, 1) + np.roll(s, -1, 0) + np.roll(s, -1, 1)) / 5
-        edited = s.copy()
-        edited[30:60, 40:70] = 128
-        copies = [s, s[20:140, 10:150], edited, s + rng.normal(0, 2, s.shape), np.rot90(s)]
-        rows += [(100 * k + i, pgm(c)) for i, c in enumerate(copies)] + [(100 * k + 9, png(s))]
-    rows += [(5000, None), (5001, b"junk"), (5002, pgm(np.zeros((30, 30))))]
-    df = spark.createDataFrame(rows, "id long, image binary").withColumn("cls", F.lit("clash")).repartition(4)
-    got = media.find_copies(df).toPandas()
-    own = got[got.id < 5000]
-    assert (own.component_id == own.id // 100 * 100).mean() > 0.98
-    assert (own.component_id // 100 == own.id // 100).all()
-    assert (own[own.id % 100 == 9].image_class == own[own.id % 100 == 9].id - 9).all()
-    odd = got[got.id >= 5000].set_index("id")
-    assert odd.loc[[5000, 5001]].component_id.isna().all() and odd.loc[5002].component_id == 5002
-    assert media.find_copies(df.where("false")).count() == 0
-
-
-def test_seams_lose_no_meeting(spark):
-    """The same matches whatever the number of ranges."""
-    rng = np.random.default_rng(3)
-    s = np.kron(rng.normal(128, 60, (30, 30)), np.ones((4, 4)))
-    rows = [(k, pgm(np.roll(s, k, axis=0)[:100])) for k in range(0, 20, 4)]
-    df = spark.createDataFrame(rows, "id long, image binary")
-    got = []
-    for n in ("1", "7"):
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        got.append(sorted(map(tuple, media.find_copies(df).collect())))
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert got[0] == got[1]
