@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='terrafold-')}"
@@ -62,19 +64,23 @@ def plain(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, by: str, key: Column, per_class: int, max_chars: int) -> list:
-    """At most per_class rows of each value of `by`, chosen by a hash of `key`; collected.
+    """At most per_class rows of each value of `by`, chosen by a hash of `key` and text; collected.
 
-    df has the columns `by` and text. A row longer than max_chars isn't chosen. The number of
-    rows asked of the executors is bounded in expectation (1.5 * per_class + 50 a class); the
-    rest is cut on the driver in the order of the hash, so reruns agree.
+    df has the columns `by` and text. A row longer than max_chars isn't chosen; rows of one key
+    and text count once, so a row repeated any number of times is one for each task at most. The
+    number of rows asked of the executors is bounded in expectation (1.5 * per_class + 50 a
+    class); the rest is cut on the driver in the order of the hash, so reruns agree, whatever the
+    partitions.
     """
-    df = df.where(F.col(by).isNotNull() & (F.length("text") <= max_chars)).withColumn("_u", F.shiftrightunsigned(F.xxhash64(key, F.lit(17)), 11).cast("double") / float(2**53))
-    sizes = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    df = df.where(F.col(by).isNotNull() & (F.length("text") <= max_chars)).withColumn("_h", F.xxhash64(key, "text", F.lit(17)))
+    df = df.withColumn("_u", F.shiftrightunsigned("_h", 11).cast("double") / float(2**53))
+    sizes = {r[0]: max(r[1], 1) for r in df.groupBy(by).agg(F.approx_count_distinct("_h", 0.02)).collect()}  # a row for each class
     if not sizes:
         return []
-    want = (1.5 * per_class + 50)
+    want = 1.5 * per_class + 50
     limit = F.coalesce(*[F.when(F.col(by) == F.lit(k), F.lit(min(1.0, want / n))) for k, n in sizes.items()])
-    rows = sorted(df.where(F.col("_u") <= limit).collect(), key=lambda r: (r["_u"], str(r[by])))
+    once = df.where(F.col("_u") <= limit).groupBy(by, "_h").agg(F.first("_u").alias("_u"), F.first("text").alias("text"))
+    rows = sorted(once.collect(), key=lambda r: (r["_u"], str(r[by]), r["_h"]))
     seen: dict = {}
     kept = []
     for r in rows:
@@ -123,6 +129,12 @@ def copies_of(df: DataFrame, chosen: DataFrame) -> DataFrame:
     return one.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
+def repeated(df: DataFrame, times: str, step: int = 1 << 16) -> DataFrame:
+    """Each row as often as its column `times` says, without an array of that length."""
+    outer = df.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / step))))
+    return outer.withColumn("_k", F.explode(F.sequence(F.col("_s") * step, F.least(F.col(times), (F.col("_s") + 1) * step) - 1))).drop("_s", "_k")
+
+
 def ragged(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for every n of lengths, one after the other."""
     ends = np.cumsum(lengths)

@@ -13,8 +13,10 @@ The fit uses a bounded sample of every language: `train_rows` rows over their nu
 of a text over `max_chars` seeded windows of the whole. With many languages the windows get
 shorter, so that the sample stays bounded. Scoring covers all rows and whole texts.
 
-A null text, or one without a letter, is `und` with score 0. Without any row to learn from,
-every other text is `und` too. Equal outputs go to the language that sorts first.
+A null text, or one without a letter, is `und` with score 0. Without any row to learn from (an
+empty table gives no rows), every other text is `und` too. Equal outputs go to the language that
+sorts first. Rows of one id and text count once in the sample and are predicted each. A very long
+text is predicted whole. Other columns of the input play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,11 @@ Fitted on a bounded sample: `positives` and `unlabelled` rows at most, none over
 Features are those whose share among the positives differs clearly (`least_z`) from that in
 unlabelled text. Scoring covers all rows and whole texts.
 
-A null text is scored as the empty one: no features. Without any positive, every score is 0.
-Repeated rows and repeated labels change nothing but the weight of the sample.
+A null text is scored as the empty one: no features. Without any positive (an empty table of
+labels, too), every score is 0. Repeated rows and repeated labels count once in the sample; an id
+of several texts counts with each. A very long text is scored whole, and not learned from beyond
+`max_chars`. Other columns of the input play no part, whatever their names. An empty table of
+documents gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from terrafold.llm.common import bounded_sample, plain
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+#: Words whose features a worker remembers.
+MEMO = 300_000
 
 
 def words(text: str) -> set[str]:
@@ -42,20 +47,49 @@ def features(text: str) -> set[str]:
 
 class Model:
     def __init__(self, weights: dict[str, float], bias: float | None) -> None:
-        self.weights, self.bias = weights, bias
+        self.bias = bias
+        self.column = {f: k for k, f in enumerate(weights)}
+        self.weights = np.array(list(weights.values()), dtype=float)
         self.heads = {f[:3].rstrip("*") for f in weights}
+        self.known: dict[str, list[int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def columns(self, word: str) -> list[int]:
+        """The columns of a word's features."""
+        if word[:3] not in self.heads:
+            return []
+        own = (word, *(word[:k] + "*" for k in PREFIXES if len(word) > k))
+        return [self.column[f] for f in own if f in self.column]
 
     def score(self, text: str) -> float:
+        return float(self.scores([text])[0])
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The score of every text: one sparse product of its presence rows with the weights."""
         if self.bias is None:
-            return 0.0
-        found: set[str] = set()
-        heads, weights = self.heads, self.weights
-        for w in words(text):
-            if w[:3] in heads:
-                found.add(w)
-                found.update(w[:k] + "*" for k in PREFIXES if len(w) > k)
-        z = self.bias + sum(weights[f] for f in sorted(found) if f in weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            return np.zeros(len(texts))
+        if len(self.known) > MEMO:
+            self.known.clear()
+        known, who, what = self.known, [], []
+        for k, t in enumerate(texts):
+            own: list[int] = []
+            for w in words(t):
+                found = known.get(w)
+                if found is None:
+                    found = self.columns(w)
+                    if len(w) <= 32:
+                        known[w] = found
+                own += found
+            who += [k] * len(own)
+            what += own
+        if not what:
+            return np.full(len(texts), 1 / (1 + np.exp(-np.clip(self.bias, -30, 30))))
+        # A feature counts once a text; in the order of columns, so that sums agree everywhere.
+        cells = np.unique(np.array(who, dtype=np.int64) * len(self.weights) + np.array(what, dtype=np.int64))
+        z = self.bias + np.bincount(cells // len(self.weights), self.weights[cells % len(self.weights)], len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float, least_z: float = 4.0, most: int = 20_000, rounds: int = 1600, rate: float = 0.05, decay: float = 1e-4) -> Model:
@@ -113,22 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 20
     n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     if not toxic:
         return Model({}, None)
-    # A hash threshold bounds the rows that are broadcast: 1.2 * positives + 50 in expectation.
+    # A hash threshold bounds the ids that are broadcast: 1.2 * positives + 50 in expectation.
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11).cast("double") / float(2**53)
     chosen = known.where(F.col("toxic") == 1).where(u <= min(1.0, (1.2 * positives + 50) / toxic)).select("doc_id")
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    confirmed = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").collect()
-    confirmed = sorted(confirmed, key=lambda r: (hash_order(str(r["doc_id"])), r["text"]))[:positives]
-    free = bounded_sample(texts.where(learn).select("doc_id", "text", F.lit(1).alias("all")), "all", F.col("doc_id"), unlabelled, max_chars)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.lit(1).alias("all"))
+    confirmed = bounded_sample(texts.join(F.broadcast(chosen), "doc_id"), "all", F.col("doc_id"), positives, max_chars)
+    free = bounded_sample(texts.where(learn), "all", F.col("doc_id"), unlabelled, max_chars)
     return fit([r["text"] for r in confirmed], [r["text"] for r in free], toxic / n)
 
 
-def hash_order(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(f"order {text}".encode())
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs: doc_id, text and any others, which stay; adds score, drops text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # `most` features at most
@@ -136,11 +163,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "score double"])
 
     def run(batches):
-        one = shared.value.score
+        model = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                scores = [one((x or b"").decode("utf-8", "replace")) for x in b.column("text").to_pylist()]
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                scores = model.scores([(x or b"").decode("utf-8", "replace") for x in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.array(scores, pa.float64())], names=[*(f.name for f in rest), "score"])
 
     return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
