@@ -1,18 +1,21 @@
 """Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks.
 
 Sizes are words. Targets share the whole size by weight; a target stops at `ceiling` times its
-source's size and the excess is shared again. Blocks of `block` words are then allotted by
-highest quotients target / (2 s + 1), first to sources, then to the shards of each source
-(pieces of a source dealt by a hash), and each shard draws its quota of blocks with a seed:
-every block quota // n times, and quota % n of them once more. A document takes the words of
-its blocks.
+source's size and the excess is shared again. Blocks of `block` words, or of fewer if the smallest
+target would have under LEAST_BLOCKS of them, are then allotted by highest quotients
+target / (2 s + 1), first to sources, then to the shards of each source (pieces of a source dealt
+by a hash), and each shard draws its quota of blocks with a seed: every block quota // n times,
+and quota % n of them once more. A document takes the words of its blocks. So a source's words
+are within a block of its target, unless its shards are drawn in full.
 
 Bounds: a shard holds about `shard_words` words or `shard_rows` rows, or more when the corpus
 would else have over MAX_SHARDS shards; the driver sees a row for each source and shard.
 Sources are the mixture's configuration: over `max_sources` of them is an error.
 
 A null or empty text has size 0 and takes 0. Null sources are one source, the last. Rows that
-are the same in all columns are interchangeable. An empty table gives no rows.
+are the same in all columns are numbered and dealt like others, so any number of them is spread
+over the shards; which of them takes what is left open. A very long text is one document of many
+blocks. Other columns of the input play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import WORD, materialize, plain
 
 MAX_SHARDS = 1 << 18
+#: The smallest target is at least so many blocks, or blocks are single words.
+LEAST_BLOCKS = 64
+#: Equal rows that one row is expanded to in one step.
+EQUAL = 1 << 16
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, ceiling: float = 3.0) -> np.ndarray:
@@ -80,17 +87,27 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
-def draw(size: np.ndarray, quota: int, block: int, seed: list[int]) -> np.ndarray:
-    """Words each of a shard's documents, in this order, takes by `quota` blocks."""
+def draw(size: np.ndarray, quota: int, block: int, seed: list[int], ceiling: int = 3) -> np.ndarray:
+    """Words each of a shard's documents, in this order, takes by `quota` blocks.
+
+    The last block may be short: what it lacks is taken from the first words of the next blocks drawn.
+    """
     ends = np.cumsum(size)
     n = -(-int(ends[-1]) // block) if len(ends) else 0
     if not n:
         return np.zeros(len(size), dtype=np.int64)
-    times = np.full(n, quota // n, dtype=np.int64)
-    times[np.random.default_rng(seed).permutation(n)[: quota % n]] += 1
-    before = np.concatenate(([0], np.cumsum(times))) * block
-    times = np.append(times, 0)
-    taken = lambda x: before[x // block] + times[x // block] * (x % block)
+    times, more = np.full(n + 1, quota // n, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    drawn = np.random.default_rng(seed).permutation(n)
+    times[drawn[: quota % n]] += 1
+    times[n] = 0
+    lengths = np.append(np.minimum(block, int(ends[-1]) - block * np.arange(n)), 0)
+    short = quota * block - int((times * lengths).sum())
+    for b in drawn[quota % n :] if short else ():
+        if times[b] < ceiling and short:
+            more[b] = min(short, lengths[b])
+            short -= int(more[b])
+    before = np.concatenate(([0], np.cumsum(times * lengths + more)))
+    taken = lambda x: before[x // block] + times[x // block] * (x % block) + np.minimum(x % block, more[x // block])
     return taken(ends) - taken(ends - size)
 
 
@@ -110,7 +127,30 @@ def whole_copies(size: np.ndarray, taken: np.ndarray, ceiling: int) -> np.ndarra
     return out
 
 
-def mix(docs: DataFrame, weight: Callable[[int], float] = by_position, block: int = 16, seed: int = 42, ceiling: int = 3, shard_words: int = 1 << 18, shard_rows: int = 1 << 16, max_sources: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with `copy`: 0, 1, .. among rows that are the same in all columns."""
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count(F.lit(1)).alias("_m"))
+    few = counted.where(F.col("_m") <= EQUAL).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    # Very many: spread the steps first.
+    steps = counted.where(F.col("_m") > EQUAL).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / EQUAL)))).repartition("dealt", "_s")
+    many = steps.withColumn("copy", F.explode(F.sequence(F.col("_s") * EQUAL, F.least(F.col("_m"), (F.col("_s") + 1) * EQUAL) - 1))).drop("_s")
+    return few.unionByName(many).drop("_m")
+
+
+def mix(
+    docs: DataFrame,
+    weight: Callable[[int], float] = by_position,
+    block: int = 16,
+    seed: int = 42,
+    ceiling: int = 3,
+    shard_words: int = 1 << 18,
+    shard_rows: int = 1 << 16,
+    max_sources: int = 1 << 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, copies, and the columns `keep`).
 
     copies: how often to write the whole document so that the source's words come near its
@@ -118,7 +158,9 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = by_position, block: in
 
     weight: of the source at each position, in the order of code points with null last.
     """
-    sized = materialize(plain(docs, doc_id=id_col, source=F.col(f"`{source_col}`").cast("string"), size=F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"), dealt=F.xxhash64(f"`{id_col}`", f"`{text_col}`", F.lit(seed)), **{c: c for c in keep}))
+    words_of = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = plain(docs, doc_id=id_col, source=F.col(f"`{source_col}`").cast("string"), size=words_of, dealt=F.xxhash64(f"`{id_col}`", f"`{text_col}`", F.lit(seed)), **{c: c for c in keep})
+    sized = materialize(numbered(rows).withColumn("dealt", F.xxhash64("dealt", "copy")).drop("copy"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"over {max_sources} sources: group them, or raise max_sources")
@@ -135,7 +177,8 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = by_position, block: in
     cells = dealt.where("size > 0").groupBy("source_no", "shard").agg(F.sum("size").alias("size")).collect()  # at most MAX_SHARDS + sources rows
     quotas = []
     if cells:
-        seats = apportion(target, round(words / block), np.array([ceiling * int(s) // block for s in sizes]))
+        block = max(1, min(block, int(target[target > 0].min()) // LEAST_BLOCKS))
+        seats = apportion(target, round(target.sum() / block), np.array([ceiling * int(s) // block for s in sizes]))
         own: dict[int, list] = {}
         for r in sorted(cells):
             own.setdefault(r["source_no"], []).append(r)
@@ -147,7 +190,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = by_position, block: in
 
     def select(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["dealt", "doc_id", "size"], kind="stable")
-        pdf["taken"] = draw(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), block, [seed, int(key[0]), int(key[1])])
+        pdf["taken"] = draw(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), block, [seed, int(key[0]), int(key[1])], ceiling)
         pdf["copies"] = whole_copies(pdf["size"].to_numpy(), pdf["taken"].to_numpy(), ceiling)
         return pdf[["doc_id", "size", "source_size", "target", "taken", "source", "copies", *keep]]
 
