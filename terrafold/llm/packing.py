@@ -11,11 +11,14 @@ and its number among the pieces of that length; the numbers come from counts by
 so no task ever sees all pieces of a length.
 
 Null text is empty; an empty document is one piece of one id. Repeated rows are packed each.
-An empty table gives an empty plan and no rows.
+A very long text is encoded whole and cut. Other columns of the input play no part, whatever
+their names. An empty table gives an empty plan and no rows.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -29,32 +32,22 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import materialize, plain
 
-#: Texts of more characters go to the slower library, which bounds its work on long runs.
-LONG_TEXT = 300_000
-
-
 class Encoder:
     """Ids as the tokenizers library gives them without added special tokens.
 
-    The same vocabulary as ranks is merged by tiktoken, which is about four times as fast; texts
-    that hold a special string, or are very long, go to tokenizers itself.
+    The same vocabulary as ranks is merged by tiktoken, which is about four times as fast and
+    bounds its work on long runs; texts that hold a special string go to tokenizers itself.
     """
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None) -> None:
-        import json
-
         self.json_path = json_path
         with open(json_path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.fast = None
         if ranks_path and pattern:
-            import base64
-
             import tiktoken
 
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
 
     @cached_property
     def slow(self):
@@ -64,11 +57,38 @@ class Encoder:
         return Tokenizer.from_file(self.json_path)
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or len(text) > LONG_TEXT or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache(maxsize=4)
+def same_vocabulary(json_path: str, ranks_path: str) -> bool:
+    """Whether merging by ranks gives the ids that the library's merges give.
+
+    It does if both hold the same tokens, merges are in the order of what they make, and each
+    token comes out of its own bytes: then a pair that makes a token is its listed merge whenever
+    it is the lowest, as nothing that crosses the token's ends has been merged.
+    """
+    from tokenizers import Tokenizer
+
+    with open(json_path, encoding="utf-8") as f:
+        own = json.load(f)
+    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    code = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in kept)}
+    ranks = {"".join(code[b] for b in token): rank for token, rank in read_ranks(ranks_path).items()}
+    special = {t["content"] for t in own.get("added_tokens", [])}
+    vocabulary = {t: k for t, k in own["model"]["vocab"].items() if t not in special}
+    made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in own["model"]["merges"]]
+    model = Tokenizer.from_file(json_path).model
+    return ranks == vocabulary and made == sorted(set(made)) and all([x.id for x in model.tokenize(t)] == [k] for t, k in vocabulary.items())
+
+
 @lru_cache(maxsize=1)
 def encoder(json_path: str, ranks_path: str | None, pattern: str | None) -> Encoder:
     return Encoder(json_path, ranks_path, pattern)
@@ -226,6 +246,9 @@ def runs(plan: list[tuple[int, tuple[int, ...]]], capacity: int) -> np.ndarray:
 
 def pack(docs: DataFrame, encoder_args: tuple, capacity: int = 2048, end_id: int = 0, **names: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+    json_path, ranks_path, _ = encoder_args
+    if ranks_path and not same_vocabulary(json_path, ranks_path):
+        raise ValueError("the ranks are not those of the tokenizer's file")
     cuts = materialize(pieces(docs, encoder_args, capacity, end_id, **names))
     # A few numbers a row are read again here, which is cheaper than to write the counts.
     before = cuts.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")).select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
