@@ -3,27 +3,33 @@
 Vectors are integers (floor of `scale` times each component). Inner products become distances
 with one more coordinate: a vector x gets sqrt(M^2 - |x|^2), M the largest norm, and a query 0,
 so that |q - x|^2 = |q|^2 + M^2 - 2 <q, x>. The index keys every vector by its nearest pivot and
-the distance to it; vectors with near distances form an annulus of about `annulus` rows (more
-with the same distance are dealt into several). By the triangle inequality no vector of an
-annulus [low, high] around a pivot at distance d from the query is nearer than
-max(low - d, d - high), so its score is at most (|q|^2 + M^2 - that^2) / 2.
-
-A query first looks into its `first` most promising annuli, which gives a score that the k-th
-best can't be under; then it expands to every annulus whose bound reaches that score, and to no
-other. Scores are exact integers; bounds carry a margin for rounding. Both steps are
-joins by annulus and query chunk, each evaluated as one matrix product.
-
-The pivots come from a bounded sample (`sample` rows); every row is indexed. The list of annuli
-(at most 256 for a pivot, whatever the corpus) is read by every task; one of over `annulus` rows
-is dealt into parts of that size, which a query that needs it visits one by one.
-
-Vectors that are null or hold a null or non-finite component take no part; shorter vectors count
-as filled with zeros. Rows of one id and the same vector count once; a query is compared with
-every row but those of its own id and vector. Fewer than k others: all of them.
+the distance to it; vectors with near distances form an annulus (more than a tile holds are dealt
+into several). By the triangle inequality no vector of an annulus [low, high] around a pivot at
+distance d from the query is nearer than max(low - d, d - high), so its score is at most
+(|q|^2 + M^2 - that^2) / 2.
+
+A query expands the annuli in the order of these bounds, in rounds of growing size. After each
+round its k-th best score is known; it goes on only to annuli whose bound reaches that score and
+stops where none is left. Scores are exact integers; bounds carry a margin for rounding. A round
+is a join of the asked annuli with chunks of queries, each pair one matrix product; annuli that
+no query of a chunk asks for are not sent to it.
+
+The pivots come from a bounded sample (`sample` rows); every row is indexed. Tiles grow with the
+table up to TILE_BYTES a side, and so do the pivots (to 512), which bounds the annuli: at most
+256 for a pivot, a list that every task reads.
+
+A row is a candidate of every query but itself, so rows of one id and vector count each, and
+a repeated query row has its own results. Ties go to the smaller vec_id, a null one last; a row
+without id is no query. Vectors that are null or hold a null or non-finite component take no part;
+shorter vectors count as filled with zeros, and one of any length is worked on whole. Vectors so
+long that a score might exceed a long are refused with an error. Fewer than k others: all of them.
+Other columns play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +40,8 @@ from terrafold.llm.common import materialize, plain, ragged
 
 #: Products of integers below this are exact in float64.
 EXACT = float(1 << 53)
+#: Bytes of vectors in a side of a tile, and annuli that a query expands in its rounds.
+TILE_BYTES, GROWTH = 32 << 20, 8
 
 
 def unpack(rows, dim: int) -> np.ndarray:
@@ -51,68 +59,78 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if most < EXACT else a @ b.T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id; ids ascend."""
-    if len(scores) <= k:
-        return np.lexsort((ids, -scores))
-    edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-    over = np.flatnonzero(scores > edge)
-    at = np.concatenate((over, np.flatnonzero(scores == edge)[: k - len(over)]))
-    return at[np.lexsort((ids[at], -scores[at]))]
+def best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k highest scores, ties to the smaller position."""
+    if len(scores) > k:
+        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+        over = np.flatnonzero(scores > edge)
+        at = np.concatenate((over, np.flatnonzero(scores == edge)[: k - len(over)]))
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((at, -scores[at]))]
 
 
 def integers(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): the integer vector as bytes; only vectors of finite components."""
+    """(vec_id, v, norm2): the integer vector as bytes and its squared length; only vectors of finite components."""
     whole = plain(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), x=F.col(f"`{vector_col}`").cast("array<double>"))
-    finite = whole.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    finite = whole.where(F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
 
     def run(batches):
         for b in batches:
-            out = [np.floor(scale * np.array(x, dtype=float)).astype("<i8").tobytes() for x in b.column("x").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "v"])
+            whole = [np.floor(scale * np.array(x, dtype=float)) for x in b.column("x").to_pylist()]
+            with np.errstate(over="ignore"):
+                norms = [float((x * x).sum()) for x in whole]
+            # What doesn't fit is refused by its length later on.
+            out = [np.clip(x, -(2.0**62), 2.0**62).astype("<i8").tobytes() for x in whole]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary()), pa.array(norms, pa.float64())], names=["vec_id", "v", "norm2"])
 
-    return finite.mapInArrow(run, "vec_id bigint, v binary")
+    return finite.mapInArrow(run, "vec_id bigint, v binary, norm2 double")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int = 64, sample: int = 8192, annulus: int = 4096, chunk: int = 2048, first: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score). is_query: a condition on vec_id."""
-    spark = vectors.sparkSession
-    # Sort order of equal (id, vector) rows doesn't matter: they are one.
-    rows = materialize(integers(vectors, scale, id_col, vector_col).dropDuplicates(["vec_id", "v"]))
-    n, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("v")), F.lit(0)) / 8).first()
-    dim = int(dim)
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not n or not dim:
-        return spark.createDataFrame([], schema) if not n else _all_zero(rows, is_query, k)
-    u = F.shiftrightunsigned(F.xxhash64("vec_id", "v", F.lit(5)), 11).cast("double") / float(2**53)
-    drawn = sorted(bytes(r["v"]) for r in rows.where(u <= min(1.0, sample / n)).limit(4 * sample).collect()) or [bytes(rows.first()["v"])]
-
-    def norms(batches):
-        for b in batches:
-            most = max((float((np.frombuffer(raw, dtype="<i8").astype(float) ** 2).sum()) for raw in b.column("v").to_pylist()), default=0.0)
-            yield pa.RecordBatch.from_arrays([pa.array([most], pa.float64())], names=["m"])
+def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int | None = None, sample: int = 8192, annulus: int | None = None, chunk: int | None = None, first: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score). is_query: a condition on vec_id.
 
-    top2 = rows.mapInArrow(norms, "m double").agg(F.max("m")).first()[0] * (1 + 1e-12)
+    pivots, annulus, chunk: rows of each; by default they grow with the table.
+    """
+    spark = vectors.sparkSession
+    rows = materialize(integers(vectors, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    n, size, top2 = rows.agg(F.count(F.lit(1)), F.max(F.length("v")), F.max("norm2")).first()
+    if not n:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    if top2 >= 2.0**62:
+        raise ValueError("scores of vectors this long don't fit a long: scale them down")
+    dim = max(1, size // 8)
+    most = max(256, TILE_BYTES // (8 * dim))
+    pivots = pivots or max(64, min(512, math.isqrt(n) // 64))
+    annulus = annulus or max(1024, min(most, n // 1024))
+    chunk = chunk or most
+    u = F.shiftrightunsigned(F.xxhash64("row", F.lit(5)), 11).cast("double") / float(2**53)
+    drawn = sorted(bytes(r["v"]) for r in rows.where(u <= min(1.0, sample / n)).select("v").limit(4 * sample).collect()) or [bytes(rows.first()["v"])]
+    top2 *= 1 + 1e-12
     points = unpack(drawn, dim).astype(float)
     centres = _centres(np.column_stack((points, np.sqrt(np.maximum(top2 - (points**2).sum(axis=1), 0)))), pivots)
 
     def place(batches):
-        for b in batches:
-            x = unpack(b.column("v").to_pylist(), dim).astype(float)
-            x = np.column_stack((x, np.sqrt(np.maximum(top2 - (x**2).sum(axis=1), 0))))
-            d2 = (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
-            at = d2.argmin(axis=1)
-            away = np.sqrt(((x - centres[at]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(at.astype(np.int32)), pa.array(away)], names=["vec_id", "v", "pivot", "away"])
-
-    placed = materialize(rows.mapInArrow(place, "vec_id bigint, v binary, pivot int, away double"))
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, 1000):
+                b = whole.slice(at_row, 1000)
+                x = unpack(b.column("v").to_pylist(), dim).astype(float)
+                x = np.column_stack((x, np.sqrt(np.maximum(top2 - (x**2).sum(axis=1), 0))))
+                d2 = (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
+                at = d2.argmin(axis=1)
+                away = np.sqrt(((x - centres[at]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "row", "v")), pa.array(at.astype(np.int32)), pa.array(away)], names=["vec_id", "row", "v", "pivot", "away"])
+
+    keyed = "vec_id bigint, row bigint, v binary, pivot int, away double"
+    placed = materialize(rows.mapInArrow(place, keyed))
     # Cut points of distance for each pivot by a sketch of quantiles; too many rows at one
-    # distance are dealt further by a hash of the id.
+    # distance are dealt further by a hash of the row.
     share = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("away", [i / 256 for i in range(257)], 2000).alias("q")).collect()  # a row for each pivot
     cuts = {r["pivot"]: np.unique(np.array(r["q"][:: max(1, 256 * annulus // max(annulus, r["n"]))])) for r in share}
-    keys = np.concatenate([np.full(len(c), p) for p, c in sorted(cuts.items())])
-    edges = np.concatenate([c for _, c in sorted(cuts.items())])
-    ring_of = {p: int(np.flatnonzero(keys == p)[0]) for p in cuts}
+    ring_of, total = {}, 0
+    for p in sorted(cuts):
+        ring_of[p] = total
+        total += len(cuts[p])
 
     def ring(batches):
         for b in batches:
@@ -123,17 +141,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                 out[own] = ring_of[int(p)] + np.maximum(np.searchsorted(cuts[int(p)], away[own], side="right") - 1, 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "ring"])
 
-    ringed = materialize(placed.mapInArrow(ring, "vec_id bigint, v binary, pivot int, away double, ring bigint"))
-    per = ringed.groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
-    parts = per.select("ring", F.ceil(F.col("n") / annulus).cast("long").alias("parts"))  # a row for each ring: bounded by pivots * 257
-    index = materialize(ringed.join(F.broadcast(parts), "ring").withColumn("block", F.shiftleft("ring", 32) + F.pmod(F.xxhash64("vec_id", F.lit(9)), "parts")).drop("parts"))
-    found = index.groupBy("ring", "pivot").agg(F.min("away").alias("low"), F.max("away").alias("high"), (F.max(F.col("block") % (1 << 32)) + 1).alias("parts")).orderBy("ring").toPandas()  # 256 a pivot
+    ringed = placed.mapInArrow(ring, f"{keyed}, ring bigint")
+    found = ringed.groupBy("ring", "pivot").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts")).orderBy("ring").toPandas()  # 256 a pivot
     rings, at_pivot, dealt = found["ring"].to_numpy(), found["pivot"].to_numpy(), found["parts"].to_numpy()
     low, high = found["low"].to_numpy(), found["high"].to_numpy()
+    parts = F.broadcast(spark.createDataFrame([(int(r), int(d)) for r, d in zip(rings, dealt, strict=True)], "ring long, parts long"))  # 256 a pivot
+    block = F.shiftleft("ring", 32) + F.pmod(F.xxhash64("row", F.lit(9)), "parts")
+    index = materialize(ringed.join(parts, "ring").select(block.alias("block"), "vec_id", "row", "v"))
 
-    queries = rows.where(is_query).select("vec_id", "v")
+    queries = rows.where(is_query).select("vec_id", "row", "v")
     chunks = max(1, -(-queries.count() // chunk))
-    queries = materialize(queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks))))
+    queries = materialize(queries.withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(chunks))))
 
     def bounds(raw: list) -> np.ndarray:
         """The highest score each query can have in each annulus."""
@@ -144,61 +162,52 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         near = np.maximum(np.maximum(low[None, :] - d, d - high[None, :]) - margin, 0)
         return (q2[:, None] + top2 - near**2) / 2 + 1e-9 * (q2[:, None] + top2) + 1
 
-    def ask(choose):
+    def ask(start: int, stop: int):
+        """The annuli at these places of each query's order whose bound reaches its floor."""
+
         def run(batches):
             for whole in batches:
                 for at in range(0, whole.num_rows, 256):
                     b = whole.slice(at, 256)
-                    who, what = choose(bounds(b.column("v").to_pylist()), b)
-                    parts = dealt[what]
-                    who, block = np.repeat(who, parts), np.repeat(rings[what] << 32, parts) + ragged(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(block), *(b.column(c).take(pa.array(who)) for c in ("chunk", "vec_id", "v"))], names=["block", "chunk", "vec_id", "v"])
+                    most_score = bounds(b.column("v").to_pylist())
+                    order = np.argsort(-most_score, axis=1, kind="stable")[:, start:stop]
+                    floor = np.nan_to_num(b.column("floor").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+                    who, place = np.nonzero(np.take_along_axis(most_score, order, axis=1) >= floor[:, None])
+                    what = order[who, place]
+                    who, block = np.repeat(who, dealt[what]), np.repeat(rings[what] << 32, dealt[what]) + ragged(dealt[what])
+                    yield pa.RecordBatch.from_arrays([pa.array(block), *(b.column(c).take(pa.array(who)) for c in ("chunk", "vec_id", "row", "v"))], names=["block", "chunk", "vec_id", "row", "v"])
 
         return run
 
-    def opening(most: np.ndarray, b) -> tuple[np.ndarray, np.ndarray]:
-        n = min(first, most.shape[1])
-        return np.repeat(np.arange(len(most)), n), np.argpartition(-most, n - 1, axis=1)[:, :n].ravel()
-
-    def rest(most: np.ndarray, b) -> tuple[np.ndarray, np.ndarray]:
-        n = min(first, most.shape[1])
-        most[np.arange(len(most))[:, None], np.argpartition(-most, n - 1, axis=1)[:, :n]] = -np.inf
-        floor = b.column("floor").to_numpy(zero_copy_only=False).astype(float)
-        return np.nonzero(most >= np.where(np.isnan(floor), -1e300, floor)[:, None])
-
     def evaluate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("vec_id", kind="stable")
-        ids, x = left["vec_id"].to_numpy(), unpack(left["v"].tolist(), dim)
+        left = left.sort_values(["vec_id", "row"], kind="stable", na_position="last")
+        ids, own, x = left["vec_id"].astype("Int64").array, left["row"].to_numpy(), unpack(left["v"].tolist(), dim)
         out = []
-        for at in range(0, len(right), 256) if len(ids) else ():
+        for at in range(0, len(right), 256) if len(own) else ():
             part = right.iloc[at : at + 256]
             scores = products(unpack(part["v"].tolist(), dim), x)
-            for row, (own, raw) in zip(scores, zip(part["vec_id"], part["v"], strict=True), strict=True):
-                others = row
-                same = np.flatnonzero(ids == own)
-                keep = None
-                if len(same):
-                    same = [j for j in same if bytes(left["v"].iloc[j]) == bytes(raw)]
-                    keep = np.delete(np.arange(len(ids)), same)
-                    others = row[keep]
-                top = best(others, ids if keep is None else ids[keep], k)
-                names = (ids if keep is None else ids[keep])[top]
-                out.append(pd.DataFrame({"query_id": own, "q": raw, "vec_id": names, "score": others[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
-
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-
-    def run(asked: DataFrame) -> DataFrame:
-        body = index.select("block", copies.alias("chunk"), "vec_id", "v") if chunks > 1 else index.select("block", F.lit(0).cast("long").alias("chunk"), "vec_id", "v")
-        return body.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(evaluate, "query_id bigint, q binary, vec_id bigint, score bigint")
-
-    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    asked = "block bigint, chunk bigint, vec_id bigint, v binary"
-    early = materialize(run(queries.mapInArrow(ask(opening), asked)))
-    kth = early.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("q").alias("v"), F.col("score").alias("floor"))
-    late = run(queries.join(kth, ["vec_id", "v"], "left").mapInArrow(ask(rest), asked))
-    ranked = early.unionByName(late).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            for line, query, key in zip(scores, part["row"], part["vec_id"], strict=True):
+                others = np.flatnonzero(own != query)
+                top = others[best(line[others], k)] if len(others) < len(own) else best(line, k)
+                out.append(pd.DataFrame({"query": query, "query_id": key, "vec_id": ids[top], "row": own[top], "score": line[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "row": [], "score": []}).astype("int64")
+
+    result = "query bigint, query_id bigint, vec_id bigint, row bigint, score bigint"
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    have, start, stop = spark.createDataFrame([], result).withColumn("rank", F.lit(0)), 0, first
+    while start < len(rings):
+        floors = have.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("floor"))
+        wanted = queries.join(floors, "row", "left").select("vec_id", "row", "v", "chunk", "floor").mapInArrow(ask(start, stop), "block bigint, chunk bigint, vec_id bigint, row bigint, v binary")
+        wanted = materialize(wanted)
+        tiles = materialize(wanted.select("block", "chunk").distinct())
+        if tiles.isEmpty():
+            break
+        body = index.join(tiles, "block")
+        got = body.groupBy("block", "chunk").cogroup(wanted.groupBy("block", "chunk")).applyInPandas(evaluate, result)
+        ranked = have.select(*got.columns).unionByName(got).withColumn("rank", F.row_number().over(order))
+        have = materialize(ranked.where(F.col("rank") <= k))
+        start, stop = stop, stop * GROWTH
+    return have.select("query_id", "rank", "vec_id", "score")
 
 
 def _centres(points: np.ndarray, n: int) -> np.ndarray:
@@ -210,11 +219,3 @@ def _centres(points: np.ndarray, n: int) -> np.ndarray:
         at = d2.argmin(axis=1)
         centres = np.array([own[at == j].mean(axis=0) if (at == j).any() else centres[j] for j in range(len(centres))])
     return centres
-
-
-def _all_zero(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """Vectors without components: every score is 0, so the smallest ids come first."""
-    least = rows.select("vec_id").orderBy("vec_id").limit(k + 1)  # k + 1 rows
-    pairs = rows.where(is_query).select(F.col("vec_id").alias("query_id")).join(F.broadcast(least), F.col("query_id") != F.col("vec_id"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.lit(0).cast("long").alias("score"))
