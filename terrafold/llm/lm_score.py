@@ -1,25 +1,34 @@
 """Language-model scores by a hashed maximum-entropy model.
 
 The model is a class-factored softmax: log P(word | history) = log P(class | history) +
-log P(word | class). The class part is log-linear in hashed features of the history: the
-previous word (n-gram), the word before it (skip), the pair of both words' classes, and the bias
-(class totals). A word's class follows from its ending, so that words never seen have one too;
-words seen once form a class with everything unseen, whose share of that class follows
-Good-Turing. Words are in lower case (A-Z); each text closes with an end token.
-
-Work goes by chunks of texts (one task's input, at most CHUNK_BYTES each). A chunk is
-written once as word numbers of its own vocabulary; its vocabulary with counts is what is
-shuffled, by a 64-bit hash of the word: counts add up over the corpus and come back to the
-chunks that use the word. So a frequent word costs a row for each chunk, not for each
-occurrence. Training runs over all learned texts: each task takes gradient steps (AdaGrad,
-minibatches) over its chunks from the shared weights and sends its change, and the changes are
-averaged by block of features (iterative parameter mixing). Texts are scored in numpy batches of
+log P(part | class, history) + log P(word | part). Classes and their parts are chosen by softmaxes
+that are log-linear in hashed features of the history: the previous word (n-gram) and the word
+before it (skip), for the class also the pair of both words' classes, for the part each of the two
+together with the class. Class and part totals are the bias. Inside a part a word's share is that
+of its count. A word's class follows from its ending, so that words never seen have one too, its
+part from its hash; words seen once form a class with everything unseen, whose share of that
+class follows Good-Turing. Words are in lower case (A-Z); each text closes with an end token.
+
+Counts are of all learned words, whatever their number. The buckets of history features grow
+with the learned tokens, from 2^12 to 2^16 (MOST_BUCKETS): what each task holds of the weights is
+bounded, so beyond some thousand million tokens more contexts share a bucket.
+
+Work goes by chunks of texts (one task's input, about CHUNK_BYTES each). Texts are dealt to
+chunks by a hash of id and text and ordered in them, so scores don't depend on the partitions
+of the input. A row repeated over REPEATED times goes once, with its number. A chunk is written
+once as word numbers of its own vocabulary; its vocabulary with counts is what is shuffled, by a
+64-bit hash of the word: counts add up over the corpus and come back to the chunks that use the
+word. So a frequent word costs a row for each chunk, not for each occurrence. Training takes all
+learned texts in SYNCS rounds: each chunk of a round takes gradient steps (AdaGrad, minibatches)
+from the shared weights and sends its change, and changes are averaged by row of the weights, by
+how often the row was used (iterative parameter mixing). Texts are scored in numpy batches of
 sparse features. Words whose hashes (XXH64) agree would count as one: for ten thousand million
 different words that is to be expected for a few.
 
 Null and empty texts have the end token alone. Without any text to learn from, all counts are 0
 and the only event is the unseen one: every base score and score is 0. Repeated rows are scored
-and counted one by one.
+and counted one by one. A very long text is one chunk's, scored whole. Other columns of the input
+play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,16 +42,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, plain
+from terrafold.llm.common import materialize, plain, repeated
 
-CHUNK_BYTES = 24 << 20
-#: Classes: the rare and unseen words, the end token, and SUFFIXES of word endings.
-RARE, END, SUFFIXES = 0, 1, 62
+CHUNK_BYTES = 16 << 20
+#: Copies of a row from which they go as one.
+REPEATED = 256
+#: Classes: the rare and unseen words, the end token, and SUFFIXES of word endings; parts of a class.
+RARE, END, SUFFIXES, PARTS = 0, 1, 62, 32
 CLASSES = SUFFIXES + 2
-#: Buckets of hashed words.
-BUCKETS = 1 << 12
-#: Rows of the weights: previous word, skipped word, pair of classes.
-ROWS = 2 * BUCKETS + CLASSES * CLASSES
+#: Buckets of hashed words, and learned tokens for each.
+LEAST_BUCKETS, MOST_BUCKETS, TOKENS = 1 << 12, 1 << 16, 1 << 14
+#: Rounds of training, between which the weights are averaged.
+SYNCS = 2
 #: Tokens in a piece (or one text), words in a piece, and tokens in a gradient step. Pieces keep
 #: rows far smaller than the chunks, which spares the JVM large objects.
 PIECE, WORDS, STEP = 1 << 16, 1 << 15, 1 << 13
@@ -81,20 +92,38 @@ def expand(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, held_out, text as binary. Rows of three kinds for each chunk.
+def placed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (doc_id, held_out, text) with `times`, in as many partitions as chunks, and their number.
+
+    Place and order follow a hash of the row.
+    """
+    keyed = rows.withColumn("h", F.xxhash64("doc_id", "held_out", "text"))
+    sizes = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("bytes")))
+    total = sizes.agg(F.sum(F.when(F.col("n") > REPEATED, F.col("bytes") / F.col("n")).otherwise(F.col("bytes")))).first()[0] or 0
+    hot = sizes.where(F.col("n") > REPEATED).select("h")
+    every = keyed.withColumn("times", F.lit(1).cast("long"))
+    if not hot.isEmpty():
+        once = keyed.join(hot, "h").groupBy("doc_id", "held_out", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+        every = every.join(hot, "h", "left_anti").unionByName(once)
+    n = max(1, -(-int(total) // CHUNK_BYTES))
+    return every.repartition(n, "h").sortWithinPartitions("h", "doc_id"), n
+
+
+def chunks(docs: DataFrame, number_of: int) -> DataFrame:
+    """docs: doc_id, held_out, times, text as binary. Rows of three kinds for each chunk.
 
     VOCABULARY: a word's number (part), hash, class and count in the learned texts. TEXTS: some
-    texts as numbers (body, ends) with their ids. ABOUT: class and bucket of some words.
+    texts as numbers (body, ends) with their ids. ABOUT: hash and class of some words. A chunk's
+    number modulo number_of is its task.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk bigint, kind int, part int, h bigint, n bigint, class int, ids array<{id_type}>, held array<boolean>, ends binary, body binary"
+    schema = f"chunk bigint, kind int, part int, h bigint, n bigint, class int, ids array<{id_type}>, held array<boolean>, times array<bigint>, ends binary, body binary"
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
         number: dict[bytes, int] = {b"": 0}
-        ids, held, ends, parts, total, size = [], [], [], [], 0, 0
-        names = ["chunk", "kind", "part", "h", "n", "class", "ids", "held", "ends", "body"]
+        ids, held, times, ends, parts, total, size = [], [], [], [], [], 0, 0
+        names = ["chunk", "kind", "part", "h", "n", "class", "ids", "held", "times", "ends", "body"]
         kinds: list = []
 
         def rows(many: int, chunk: int, sort: int, part, **own) -> pa.RecordBatch:
@@ -102,31 +131,32 @@ def chunks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(own[c], k) if c in own else pa.nulls(many, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
         def flush():
-            nonlocal made, number, ids, held, ends, parts, total, size
-            chunk, words = (task << 24) + made, list(number)
+            nonlocal made, number, ids, held, times, ends, parts, total, size
+            chunk, words = task + made * number_of, list(number)
             number = {b"": 0}
             tokens, ends_, out = np.concatenate(parts), np.array(ends), np.array(held)
             parts = []
             lengths = np.diff(np.concatenate(([0], ends_)))
-            n = np.bincount(tokens, np.repeat(~out, lengths), minlength=len(words)).astype(np.int64)
+            n = np.bincount(tokens, np.repeat(np.where(out, 0, times), lengths), minlength=len(words)).astype(np.int64)
             for part, texts in enumerate(np.split(np.arange(len(ends_)), np.flatnonzero(np.diff((ends_ - lengths) // PIECE)) + 1)):
                 first, last = int(texts[0]), int(texts[-1]) + 1
                 at = int(ends_[first] - lengths[first])
-                yield rows(1, chunk, TEXTS, [part], ids=[ids[first:last]], held=[held[first:last]], ends=[(ends_[first:last] - at).astype("<i8").tobytes()], body=[pack_tokens(tokens[at : int(ends_[last - 1])])])
+                yield rows(1, chunk, TEXTS, [part], ids=[ids[first:last]], held=[held[first:last]], times=[times[first:last]], ends=[(ends_[first:last] - at).astype("<i8").tobytes()], body=[pack_tokens(tokens[at : int(ends_[last - 1])])])
             for part, at in enumerate(range(0, len(words), WORDS)):
                 some = words[at : at + WORDS]
                 kind = classes_of(some)
                 h = np.array([xxhash.xxh64_intdigest(w) for w in some], dtype=np.uint64)
-                yield rows(1, chunk, ABOUT, [part], body=[squeeze(np.stack((kind, (h >> np.uint64(40)).astype(np.int64) % BUCKETS)).astype("<u2"))])
+                yield rows(1, chunk, ABOUT, [part], body=[squeeze(np.stack(((h >> np.uint64(32)).astype(np.int64), kind.astype(np.int64))).astype("<u4"))])
                 yield rows(len(some), chunk, VOCABULARY, np.arange(at, at + len(some), dtype=np.int32), h=h.view(np.int64), n=n[at : at + WORDS], **{"class": kind})
             made += 1
-            ids, held, ends, total, size = [], [], [], 0, 0
+            ids, held, times, ends, total, size = [], [], [], [], 0, 0
 
         for whole in batches:
-            kinds[:] = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(whole.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+            kinds[:] = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(whole.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                for key, out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist(), strict=True):
+                columns = (b.column(c).to_pylist() for c in ("doc_id", "held_out", "times", "text"))
+                for key, out, many, text in zip(*columns, strict=True):
                     own = (text or b"").lower().split()
                     put = number.setdefault
                     parts.append(np.array([*(put(w, len(number)) for w in own), 0], dtype=np.int32))
@@ -134,13 +164,14 @@ def chunks(docs: DataFrame) -> DataFrame:
                     size += len(text or b"")
                     ids.append(key)
                     held.append(bool(out))
+                    times.append(many)
                     ends.append(total)
-                    if size >= CHUNK_BYTES:
+                    if size >= 2 * CHUNK_BYTES:
                         yield from flush()
         if ids:
             yield from flush()
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "held_out", "times", "text").mapInArrow(run, schema)
 
 
 def by_chunk(counted: DataFrame) -> DataFrame:
@@ -173,31 +204,41 @@ def by_chunk(counted: DataFrame) -> DataFrame:
 
 
 class Prior:
-    """What the counts alone say: class totals and the shares inside the rare class."""
+    """What the counts alone say: totals of classes and parts, and the shares inside the rare class."""
 
     def __init__(self, n: int, v: int, once: int, twice: int, sums: np.ndarray) -> None:
+        """sums: tokens of each class and part; of RARE the words seen once, in its first part."""
         self.n, self.v, self.once = n, v, once
-        self.sums = sums.astype(float)  # tokens of each class; of RARE the words seen once
-        weight = self.sums.copy()
+        self.parts = sums.astype(float)
+        weight = self.parts.sum(axis=1)
+        total = np.maximum(weight, 1e-6)
         weight[RARE] += 1
         self.bias = np.log(np.maximum(weight, 1e-6) / weight.sum()).astype(np.float32)
+        self.part_bias = np.log(np.maximum(self.parts, 1e-6) / total[:, None]).astype(np.float32)
         unseen = (once + 1) / (once + 2 * twice + 2) if once else 1.0
         self.log_unseen = float(np.log(unseen))
         self.log_once = float(np.log((1 - unseen) / once)) if once and unseen < 1 else float(np.log(0.5 / max(once, 1)))
 
-    def log_in_class(self, c: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """log P(word | class) for counts and effective classes."""
-        return np.where(c == 0, self.log_unseen, np.where(kind == RARE, self.log_once, np.log(np.maximum(c, 1) / np.maximum(self.sums[kind], 1))))
+    def log_in_part(self, c: np.ndarray, kind: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """log P(word | class and part), of RARE log P(word | class), for counts and effective classes."""
+        own = np.log(np.maximum(c, 1) / np.maximum(self.parts[kind, part], 1))
+        return np.where(c == 0, self.log_unseen, np.where(kind == RARE, self.log_once, own))
+
+    def buckets(self) -> int:
+        return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (self.n // TOKENS).bit_length() - 1 if self.n >= TOKENS else 0))
 
-    def weights(self) -> np.ndarray:
-        """Nothing but the class totals, held by the rows of the class pairs (one fires always)."""
-        w = np.zeros((ROWS, CLASSES), dtype=np.float32)
-        w[2 * BUCKETS :] = self.bias
-        return w
+    def weights(self) -> list[np.ndarray]:
+        """For the class by previous word, skipped word and pair of classes (with the bias: one
+        fires always), for the part by previous and skipped word."""
+        b = self.buckets()
+        shapes = [(b, CLASSES), (b, CLASSES), (CLASSES * CLASSES, CLASSES), (min(MOST_BUCKETS, 4 * b), PARTS), (min(MOST_BUCKETS, 4 * b), PARTS)]
+        out = [np.zeros(shape, dtype=np.float32) for shape in shapes]
+        out[2] += self.bias
+        return out
 
 
-def history(kind: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weights that fire at each token. starts: a text begins here."""
+def history(kind: np.ndarray, word: np.ndarray, starts: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of each of the weights that fire at each token. starts: a text begins here."""
     second = np.append(False, starts[:-1])
 
     def before(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,26 +247,71 @@ def history(kind: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> list[np
         two[starts | second] = none
         return one, two
 
-    (one, two), (kind1, kind2) = before(bucket, 0), before(kind, END)
-    return [r.astype(np.uint16) for r in (one, BUCKETS + two, 2 * BUCKETS + kind1 * CLASSES + kind2)]
+    (one, two), (kind1, kind2) = before(word, 0), before(kind, END)
+    b, p = len(weights[0]), len(weights[3])
+
+    def with_class(x: np.ndarray) -> np.ndarray:
+        mixed = (x.astype(np.uint64) + kind.astype(np.uint64) * np.uint64(0x9E3779B1)) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(40)) % np.uint64(p)
 
+    return [r.astype(np.uint16) for r in (one % b, two % b, kind1 * CLASSES + kind2, with_class(one), with_class(two))]
 
-def logits(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights.take(rows[0], axis=0)
-    z += weights.take(rows[1], axis=0)
-    z += weights.take(rows[2], axis=0)
+
+def logits(weights: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
+    z = weights[0].take(rows[0], axis=0)
+    for w, r in zip(weights[1:], rows[1:], strict=True):
+        z += w.take(r, axis=0)
+    if bias is not None:
+        z += bias
     return np.clip(z, -60, 60, out=z)
 
 
-def together(packed: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Each chunk's counts, word classes and texts in one task, in this order."""
+def descend(own: list[np.ndarray], grown: list[np.ndarray], used: list[np.ndarray], rows: list[np.ndarray], target: np.ndarray, rate: float, bias: np.ndarray | None = None) -> None:
+    """A gradient step of one softmax. grown: sums of squares; used: how often each row fired."""
+    g = logits(own, rows, bias)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
+    g[np.arange(len(g)), target] -= 1
+    for w, squares, often, r in zip(own, grown, used, rows, strict=True):
+        order = np.argsort(r, kind="stable")
+        ordered = r[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        sums = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+        at = ordered[first]
+        squares[at] += sums * sums
+        w[at] -= rate * sums / np.sqrt(squares[at])
+        often[at] += np.diff(np.append(first, len(r))).astype(np.float32)
+
+
+class Model:
+    """The factors' weights and the prior."""
+
+    def __init__(self, prior: Prior, weights: list[np.ndarray]) -> None:
+        self.prior, self.weights = prior, weights
+
+    def log_probabilities(self, c: np.ndarray, effective: np.ndarray, part: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """log P of each token."""
+        p = self.prior.log_in_part(c, effective, part)
+        for at in range(0, len(c), STEP):
+            cut = slice(at, at + STEP)
+            z = logits(self.weights[:3], [r[cut] for r in rows[:3]])
+            p[cut] += z[np.arange(len(z)), effective[cut]] - np.log(np.exp(z).sum(axis=1))
+            common = np.flatnonzero(effective[cut] != RARE)
+            own = effective[cut][common]
+            z = logits(self.weights[3:], [r[cut][common] for r in rows[3:]], self.prior.part_bias[own])
+            p[at + common] += z[np.arange(len(z)), part[cut][common]] - np.log(np.exp(z).sum(axis=1))
+        return p
+
+
+def together(packed: DataFrame, arrays: DataFrame, number_of: int) -> DataFrame:
+    """Each chunk's counts, words and texts in one task, in this order."""
     counts = arrays.withColumn("kind", F.lit(COUNTS))
-    rows = packed.where(F.col("kind").isin(ABOUT, TEXTS)).select("chunk", "kind", "part", "ids", "held", "ends", "body").unionByName(counts, allowMissingColumns=True)
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    rows = packed.where(F.col("kind").isin(ABOUT, TEXTS)).select("chunk", "kind", "part", "ids", "held", "times", "ends", "body").unionByName(counts, allowMissingColumns=True)
+    return rows.repartitionById(number_of, (F.col("chunk") % number_of).cast("int")).sortWithinPartitions("chunk", "kind", "part")
 
 
-def pieces(batches, keep_held: bool):
-    """(ids, held, c, effective class, rows, lengths) of the texts of each piece."""
+def pieces(batches, keep_held: bool, weights: list[np.ndarray]):
+    """(ids, held, times, c, effective class, part, rows of the weights, lengths) of the texts of each piece."""
     chunk, counts, about, known = None, [], [], None
     for b in batches:
         for k in range(b.num_rows):
@@ -236,14 +322,16 @@ def pieces(batches, keep_held: bool):
                 counts.append(expand(row["body"], "<i8"))
                 continue
             if row["kind"] == ABOUT:
-                about.append(expand(row["body"], "<u2").reshape(2, -1))
+                about.append(expand(row["body"], "<u4").reshape(2, -1))
                 continue
             if known is None:
                 c = np.concatenate(counts)
-                kind, bucket = np.concatenate(about, axis=1).astype(np.int32)
-                known = c, kind, bucket, np.where((c == 0) | ((c < 2) & (kind != END)), RARE, kind).astype(np.int32)
-            c, kind, bucket, effective = known
-            tokens, ids, held = unpack_tokens(row["body"]), row["ids"], row["held"]
+                word, kind = np.concatenate(about, axis=1)
+                kind = kind.astype(np.int32)
+                known = c, word, kind, np.where((c == 0) | ((c < 2) & (kind != END)), RARE, kind).astype(np.int32)
+                counts, about = [], []
+            c, word, kind, effective = known
+            tokens, ids, held, times = unpack_tokens(row["body"]), row["ids"], row["held"], row["times"]
             lengths = np.diff(np.concatenate(([0], np.frombuffer(row["ends"], dtype="<i8"))))
             learn = np.ones(len(ids), dtype=bool) if keep_held else ~np.array(held, dtype=bool)
             if not learn.all():
@@ -251,97 +339,112 @@ def pieces(batches, keep_held: bool):
             if len(tokens):
                 starts = np.zeros(len(tokens), dtype=bool)
                 starts[np.cumsum(lengths) - lengths] = True
-                yield ids, held, c[tokens], effective[tokens], history(kind[tokens], bucket[tokens], starts), lengths
+                own = word[tokens]
+                # The part comes from the hash's lowest of these bits; RARE has one part.
+                part = np.where(effective[tokens] == RARE, 0, own % PARTS).astype(np.int32)
+                yield ids, held, times, c[tokens], effective[tokens], part, history(kind[tokens], own, starts, weights), lengths
 
 
-def train_step(ready: DataFrame, weights: np.ndarray, rate: float = 0.3) -> np.ndarray:
-    """One pass of gradient steps over all learned texts; the tasks' changes averaged."""
-    sc = ready.sparkSession.sparkContext
-    shared = sc.broadcast(weights)  # ROWS * CLASSES numbers, whatever the corpus
+def train_round(ready: DataFrame, model: Model, rate: float = 0.3) -> list[np.ndarray]:
+    """Gradient steps over the learned texts of some chunks; the tasks' changes averaged."""
+    shared = ready.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_BUCKETS, whatever the corpus
 
     def run(batches):
-        start = shared.value
-        own, grown = start.copy(), np.full(start.shape, 1.0, dtype=np.float32)
-        seen = 0
-        for _, _, _, kind, rows, _ in pieces(batches, keep_held=False):
-            seen += len(kind)
+        start, bias = shared.value.weights, shared.value.prior.part_bias
+        own, grown = [w.copy() for w in start], [np.full(w.shape, 1.0, dtype=np.float32) for w in start]
+        used = [np.zeros(len(w), dtype=np.float32) for w in start]
+        for _, _, _, _, kind, part, rows, _ in pieces(batches, False, start):
             for at in range(0, len(kind), STEP):
-                part = [r[at : at + STEP] for r in rows]
-                g = logits(own, part)
-                np.exp(g, out=g)
-                g /= g.sum(axis=1, keepdims=True)
-                g[np.arange(len(g)), kind[at : at + STEP]] -= 1
-                for r in part:
-                    order = np.argsort(r, kind="stable")
-                    ordered = r[order]
-                    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                    sums = np.add.reduceat(g.take(order, axis=0), first, axis=0)
-                    at_row = ordered[first]
-                    grown[at_row] += sums * sums
-                    own[at_row] -= rate * sums / np.sqrt(grown[at_row])
-        if seen:
-            change = (own - start) * np.float32(seen)
-            at = range(0, len(change), BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK for k in at], pa.int64()), pa.array(np.full(len(at), TaskContext.get().partitionId())), pa.array(np.full(len(at), float(seen))), pa.array([change[k : k + BLOCK].astype("<f4").tobytes() for k in at], pa.binary())], names=["block", "part", "seen", "change"])
+                cut = slice(at, at + STEP)
+                descend(own[:3], grown[:3], used[:3], [r[cut] for r in rows[:3]], kind[cut], rate)
+                common = np.flatnonzero(kind[cut] != RARE)
+                if len(common):
+                    descend(own[3:], grown[3:], used[3:], [r[cut][common] for r in rows[3:]], part[cut][common], rate, bias[kind[cut][common]])
+        task = TaskContext.get().partitionId()
+        for k, (new, old, often) in enumerate(zip(own, start, used, strict=True)):
+            # A row's change counts by how often it fired here.
+            change = np.concatenate(((new - old) * often[:, None], often[:, None]), axis=1)
+            at = [x for x in range(0, len(change), BLOCK) if often[x : x + BLOCK].any()]
+            if at:
+                blocks = [change[x : x + BLOCK].astype("<f4").tobytes() for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array([x // BLOCK for x in at], pa.int64()), pa.array(np.full(len(at), task)), pa.array(blocks, pa.binary())], names=["array", "block", "part", "change"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part", kind="stable")
         total = np.sum([np.frombuffer(x, dtype="<f4") for x in pdf["change"]], axis=0, dtype=np.float64).astype("<f4")
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [pdf["part"].iloc[0]], "seen": [pdf["seen"].sum()], "change": [total.tobytes()]})
+        return pd.DataFrame({"array": [pdf["array"].iloc[0]], "block": [pdf["block"].iloc[0]], "part": [pdf["part"].iloc[0]], "change": [total.tobytes()]})
 
-    schema = "block bigint, part bigint, seen double, change binary"
+    schema = "array bigint, block bigint, part bigint, change binary"
     changes = ready.mapInArrow(run, schema)
     for _ in range(3):  # FAN changes are added in one task: enough for FAN^3 tasks
-        changes = changes.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInPandas(add, schema)
-    total, seen = np.zeros(weights.shape, dtype=np.float64), np.zeros((len(weights), 1))
-    for r in changes.collect():  # ROWS * CLASSES numbers
-        own = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
-        total[own] += np.frombuffer(r["change"], dtype="<f4").reshape(-1, CLASSES)
-        seen[own] += r["seen"]
-    return (weights + total / np.maximum(seen, 1)).astype(np.float32)
-
-
-def score(docs: DataFrame, held_out: Column, passes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        changes = changes.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("array", "block", "part").applyInPandas(add, schema)
+    out = [w.copy() for w in model.weights]
+    for r in changes.collect():  # a row for each block of the weights
+        w = out[r["array"]]
+        change = np.frombuffer(r["change"], dtype="<f4").reshape(-1, w.shape[1] + 1)
+        w[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += change[:, :-1] / np.maximum(change[:, -1:], 1)
+    return out
+
+
+class Learned:
+    """The texts as chunks with the counts of their words, and the model."""
+
+    def __init__(self, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> None:
+        rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+        self.id_type = rows.schema["doc_id"].dataType.simpleString()
+        ordered, self.number_of = placed(rows)
+        self.packed = materialize(chunks(ordered, self.number_of))
+        # A word has a row for each chunk that uses it: its rows meet once, and go back with the sum.
+        word = Window.partitionBy("h")
+        words = self.packed.where(F.col("kind") == VOCABULARY).select("h", "chunk", "part", "n", "class")
+        mod = F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("sub")
+        counted = words.withColumn("c", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("chunk")) == 1)
+        counted = materialize(counted.select("chunk", "part", "c", "class", mod, "first"))
+        rare = (F.col("c") < 2) & (F.col("class") != END)
+        kind, sub = F.when(rare, RARE).otherwise(F.col("class")), F.when(rare, 0).otherwise(F.col("sub"))
+        totals = [F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")]
+        sums, n, v, once, twice = np.zeros((CLASSES, PARTS)), 0, 0, 0, 0
+        for r in counted.where("first and c > 0").groupBy(kind.alias("kind"), sub.alias("sub")).agg(*totals).collect():  # CLASSES * PARTS rows
+            sums[r["kind"], r["sub"]] = r["c"]
+            n, v, once, twice = n + r["c"], v + r["v"], once + r["once"], twice + r["twice"]
+        self.arrays = materialize(by_chunk(counted))
+        prior = Prior(n, v, once, twice, sums)
+        self.model = Model(prior, prior.weights())
+        for k in range(min(SYNCS, self.number_of) if n else 0):
+            own = F.pmod(F.col("chunk") % self.number_of, F.lit(min(SYNCS, self.number_of))) == k
+            ready = together(self.packed.where(own), self.arrays.where(own), self.number_of)
+            self.model = Model(prior, train_round(ready, self.model))
+
+    def scores(self) -> DataFrame:
+        shared = self.packed.sparkSession.sparkContext.broadcast(self.model)
+
+        def run(batches):
+            model = shared.value
+            prior, id_kind = model.prior, []
+
+            def typed(batches):
+                for b in batches:
+                    id_kind[:] = [b.schema.field("ids").type.value_type]
+                    yield b
+
+            for ids, held, times, c, effective, part, rows, lengths in pieces(typed(batches), True, model.weights):
+                base = np.log10(c + 1.0) - np.log10(prior.n + prior.v + 1.0)
+                p = model.log_probabilities(c, effective, part, rows) / np.log(10)
+                first = np.cumsum(lengths) - lengths
+                add = lambda x: pa.array(np.add.reduceat(x, first))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, id_kind[0]), pa.array(held, pa.bool_()), pa.array(times, pa.int64()), pa.array(lengths), add((c > 0).astype(np.int64)), pa.array(np.full(len(lengths), prior.n)), add(base), add(p)],
+                    names=["doc_id", "held_out", "times", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+        schema = f"doc_id {self.id_type}, held_out boolean, times bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        scored = together(self.packed, self.arrays, self.number_of).mapInArrow(run, schema)
+        return repeated(scored, "times").drop("times")
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     held_out: a condition on doc_id; those rows are scored and never learned from.
     """
-    rows = plain(docs, doc_id=id_col, text=F.col(f"`{text_col}`").cast("binary")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    packed = materialize(chunks(rows))
-    # A word has a row for each chunk that uses it: its rows meet once, and go back with the sum.
-    word = Window.partitionBy("h")
-    words = packed.where(F.col("kind") == VOCABULARY).select("h", "chunk", "part", "n", "class")
-    counted = materialize(words.withColumn("c", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("chunk")) == 1).select("chunk", "part", "c", "class", "first"))
-    kind = F.when((F.col("c") < 2) & (F.col("class") != END), RARE).otherwise(F.col("class"))
-    sums, n, v, once, twice = np.zeros(CLASSES), 0, 0, 0, 0
-    for r in counted.where("first and c > 0").groupBy(kind.alias("kind")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect():  # CLASSES rows
-        sums[r["kind"]] = r["c"]
-        n, v, once, twice = n + r["c"], v + r["v"], once + r["once"], twice + r["twice"]
-    prior = Prior(n, v, once, twice, sums)
-    ready = together(packed, materialize(by_chunk(counted)))
-    weights = prior.weights()
-    for _ in range(passes if n else 0):
-        weights = train_step(ready, weights)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, prior))
-
-    def run(batches):
-        weights, prior = shared.value
-        id_kind: list = []
-
-        def typed(batches):
-            for b in batches:
-                id_kind[:] = [b.schema.field("ids").type.value_type]
-                yield b
-
-        for ids, held, c, effective, rows, lengths in pieces(typed(batches), keep_held=True):
-            base = np.log10(c + 1.0) - np.log10(prior.n + prior.v + 1.0)
-            p = prior.log_in_class(c, effective)
-            for at in range(0, len(c), STEP):
-                z = logits(weights, [r[at : at + STEP] for r in rows])
-                p[at : at + STEP] += z[np.arange(len(z)), effective[at : at + STEP]]
-                p[at : at + STEP] -= np.log(np.exp(z, out=z).sum(axis=1))
-            first = np.cumsum(lengths) - lengths
-            add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind[0]), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(lengths), prior.n)), pa.array(add(base)), pa.array(add(p) / np.log(10))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return ready.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return Learned(docs, held_out, id_col, text_col).scores()

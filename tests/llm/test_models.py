@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from terrafold.llm import language_id, lm_score, toxicity
-from terrafold.llm.common import split_remainder
+from terrafold.llm.common import bounded_sample, split_remainder
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +62,44 @@ def test_language_on_held_out_rows(larger):
     assert (out.lang == out.lang_pred).mean() > 0.97 and rows.score.between(0, 1).all()
 
 
+def test_toxicity_query_equals_brute_force(larger, labels):
+    """Every score again, feature by feature."""
+    model = toxicity.train(larger.select("doc_id", "text"), labels.select("doc_id", "toxic"), ~held())
+    weight = {f: model.weights[k] for f, k in model.column.items()}
+    got = {r.doc_id: r for r in toxicity.detect(larger, labels, held()).collect()}
+    for r in larger.collect():
+        z = model.bias + sum(weight.get(f, 0.0) for f in sorted(toxicity.features(r.text or "")))
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert math.isclose(got[r.doc_id].score, score, rel_tol=1e-9, abs_tol=1e-12)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_language_query_equals_brute_force(larger):
+    """Every prediction again, n-gram by n-gram."""
+    model = language_id.train(larger.select("doc_id", "text", "lang"), ~held())
+    row = {int(g): model.matrix[k].astype(float) for k, g in enumerate(model.grams)}
+    got = {r.doc_id: r for r in language_id.identify(larger, held()).collect()}
+    for r in larger.collect():
+        grams = set(model.codes(r.text or "").tolist())
+        assert (got[r.doc_id].lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+        if grams:
+            f = sum((row[g] for g in grams if g in row), np.zeros(len(model.classes))) / math.sqrt(len(grams))
+            assert abs(got[r.doc_id].score - language_id.certainty(f[None])[0]) < 1e-3
+            close = np.sort(f)[-2:]
+            assert got[r.doc_id].lang_pred == model.classes[int(f.argmax())] or close[1] - close[0] < 1e-4
+
+
+def test_samples_are_bounded_however_often_a_row_repeats(spark):
+    """One row very often, and one id with many texts."""
+    many = spark.range(20_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "'the same text again' AS text", "'en' AS lang")
+    other = spark.range(3000).selectExpr("7 AS doc_id", "concat('text number ', id) AS text", "'fr' AS lang")
+    df = many.unionByName(other)
+    rows = bounded_sample(df, "lang", F.col("doc_id"), 50, 1000)
+    assert sum(r["lang"] == "en" for r in rows) == 1 and sum(r["lang"] == "fr" for r in rows) == 50
+    assert [r["text"] for r in rows] == [r["text"] for r in bounded_sample(df.repartition(7), "lang", F.col("doc_id"), 50, 1000)]
+
+
 def test_kernel_folds_into_one_matrix():
     """The folded product equals kernel rows times the regression's coefficients."""
     texts = [("en", "the cat and the dog"), ("fr", "le chat et le chien"), ("en", "a dog that sees the cat"), ("fr", "un chien qui voit le chat")]
@@ -117,17 +156,77 @@ def test_lm_is_a_distribution(spark):
     assert 10**end < 1 and rows.score.max() < 0
 
 
-def test_class_softmax_sums_to_one():
+def test_softmaxes_sum_to_one():
     rng = np.random.default_rng(0)
-    w = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
-    rows = [rng.integers(0, lm_score.BUCKETS, 50).astype(np.uint16), (lm_score.BUCKETS + rng.integers(0, lm_score.BUCKETS, 50)).astype(np.uint16), (2 * lm_score.BUCKETS + rng.integers(0, lm_score.CLASSES**2, 50)).astype(np.uint16)]
-    p = np.exp(lm_score.logits(w, rows))
-    assert p.shape == (50, lm_score.CLASSES)
-    counts = np.array([5, 3, 1, 1, 0])
-    kinds = np.array([7, 7, 0, 0, 0])
-    prior = lm_score.Prior(10, 4, 2, 0, np.bincount([7, 7, 0, 0], [5, 3, 1, 1], lm_score.CLASSES))
-    q = np.exp(prior.log_in_class(counts, kinds))
-    assert q[:2].sum() == pytest.approx(1) and q[2:].sum() == pytest.approx(1)
+    sums = rng.integers(2, 30, (lm_score.CLASSES, lm_score.PARTS))
+    sums[lm_score.RARE] = 0
+    sums[lm_score.RARE, 0] = 2
+    prior = lm_score.Prior(int(sums.sum()), 4000, 2, 0, sums)
+    weights = [w + rng.normal(size=w.shape).astype(np.float32) for w in prior.weights()]
+    rows = [rng.integers(0, len(w), 1) for w in weights]
+    model = lm_score.Model(prior, weights)
+    total = 0.0
+    for kind in range(lm_score.CLASSES):
+        for part in range(lm_score.PARTS if kind != lm_score.RARE else 1):
+            own = (np.array([int(sums[kind, part])]), np.array([kind]), np.array([part]))
+            if kind == lm_score.RARE:  # two words seen once, and the unseen
+                total += sum(n * float(np.exp(model.log_probabilities(np.array([c]), own[1], own[2], rows)[0])) for c, n in ((1, 2), (0, 1)))
+            else:  # one word that has all of its part's count
+                total += float(np.exp(model.log_probabilities(*own, rows)[0]))
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_query_equals_brute_force(spark, larger, monkeypatch):
+    """Every score again, token by token, from the learned weights."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 300_000)
+    learned = lm_score.Learned(larger.limit(150), split_remainder("doc_id", 7) == 2)
+    got = {r.doc_id: r.score for r in learned.scores().collect()}
+    texts = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in larger.limit(150).collect()}
+    c = collections.Counter(w for k, own in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in own)
+    model = learned.model
+    w = [x.astype(float) for x in model.weights]
+    assert learned.number_of > 1 and model.prior.n == sum(c.values())
+
+    def softmax(z, k):
+        z = np.clip(z, -60, 60)
+        return float(z[k] - np.log(np.exp(z).sum()))
+
+    def bucket(x, kind, size):
+        return ((x + kind * 0x9E3779B1) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % size
+
+    for doc, own in texts.items():
+        h = [xxhash.xxh64_intdigest(x) >> 32 for x in own]
+        kind = lm_score.classes_of(own).tolist()
+        total = 0.0
+        for k, word in enumerate(own):
+            one, two = (h[k - 1] if k > 0 else 0), (h[k - 2] if k > 1 else 0)
+            one_kind, two_kind = (kind[k - 1] if k > 0 else lm_score.END), (kind[k - 2] if k > 1 else lm_score.END)
+            rare = c[word] < 2 and not (word == b"" and c[word])
+            effective = lm_score.RARE if rare else kind[k]
+            total += softmax(w[0][one % len(w[0])] + w[1][two % len(w[1])] + w[2][one_kind * lm_score.CLASSES + two_kind], effective)
+            if rare:
+                total += model.prior.log_once if c[word] else model.prior.log_unseen
+            else:
+                part = h[k] % lm_score.PARTS
+                z = w[3][bucket(one, kind[k], len(w[3]))] + w[4][bucket(two, kind[k], len(w[4]))] + model.prior.part_bias[effective]
+                total += softmax(z, part) + math.log(c[word] / model.prior.parts[effective, part])
+        assert got[doc] == pytest.approx(total / math.log(10), rel=1e-3, abs=1e-3)
+
+
+def test_lm_scores_do_not_depend_on_partitions(larger, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 300_000)
+    held_out = split_remainder("doc_id", 7) == 2
+    a, b = (lm_score.score(larger.repartition(n), held_out).orderBy("doc_id").toPandas() for n in (2, 9))
+    assert a.equals(b)
+
+
+def test_lm_rows_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "REPEATED", 5)
+    rows = [(1, "one two three")] * 40 + [(None, "four five")] * 9 + [(k, f"one two w{k}") for k in range(2, 9)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).toPandas()
+    assert len(got) == len(rows) and (got.train_tokens == 40 * 4 + 9 * 3 + 7 * 4).all()
+    assert (got.doc_id == 1).sum() == 40 and got.doc_id.isna().sum() == 9
+    assert got[got.doc_id == 1].score.nunique() == 1
 
 
 def test_lm_on_odd_rows(odd, empty):
