@@ -6,6 +6,7 @@ so work spreads over cells whatever the cloud's size.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,19 +121,41 @@ def near_pairs(source: DataFrame, target: DataFrame, reach: float, strict: bool
     return out.where(F.col("d2") < limit if strict else F.col("d2") <= limit).select("pid", "qid", "d2")
 
 
+def near_others(points: DataFrame, reach: float) -> DataFrame:
+    """(pid, qid, d2) of all pairs of different points of one cloud nearer than reach, both ways round.
+
+    A pair is met once, by the half of the cells around that come later in order (14 of 27 with
+    its own), and then told both ways: half the copies of a join with all of them.
+    """
+    later = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
+    offsets = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(("dx", "dy", "dz"), o, strict=True)]) for o in later])
+    celled = with_cells(points.select("pid", "x", "y", "z"), reach)
+    a = celled.withColumn("o", F.explode(offsets)).select(F.col("pid").alias("pa"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"), (F.col("o") == F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("dx", "dy", "dz")])).alias("own"), *[(F.col(f"i{d}") + F.col(f"o.d{d}")).alias(f"i{d}") for d in "xyz"])
+    b = celled.select(F.col("pid").alias("pb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"), "ix", "iy", "iz")
+    d2 = sum((F.pow(F.col(f"{d}a") - F.col(f"{d}b"), F.lit(2)) for d in "yz"), F.pow(F.col("xa") - F.col("xb"), F.lit(2)))
+    met = a.join(b, ["ix", "iy", "iz"]).where(~F.col("own") | (F.col("pa") < F.col("pb"))).select("pa", "pb", d2.alias("d2")).where(F.col("d2") < reach * reach)
+    ways = F.array(F.struct(F.col("pa").alias("pid"), F.col("pb").alias("qid")), F.struct(F.col("pb").alias("pid"), F.col("pa").alias("qid")))
+    return met.select(F.explode(ways).alias("w"), "d2").select("w.pid", "w.qid", "d2")
+
+
 def as_target(points: DataFrame) -> DataFrame:
     return points.select(F.col("pid").alias("qid"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
 
 
 def neighbour_means(points: DataFrame, reach: float, k: int = 12) -> DataFrame:
     """(pid, mean): mean distance to the k nearest others within reach; lonely points are absent."""
-    near = near_pairs(points, as_target(points), reach).where("pid <> qid")
+    near = near_others(points, reach)
     rank = Window.partitionBy("pid").orderBy("d2", "qid")
     return near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("mean"))
 
 
 def outlier_filter(points: DataFrame, reach: float, k: int = 12, std_ratio: float = 1.5) -> DataFrame:
-    """Statistical outlier filter: drops lonely points and those with a mean above mu + ratio sigma."""
+    """Statistical outlier filter: drops lonely points and those with a mean above mu + ratio sigma.
+
+    Fewer than three points come back as they are.
+    """
+    if points.limit(3).count() < 3:
+        return points
     means = neighbour_means(points, reach, k)
     limit = means.agg((F.avg("mean") + std_ratio * F.stddev_pop("mean")).alias("limit"))  # one row
     kept = means.join(F.broadcast(limit)).where("mean <= limit").select("pid")

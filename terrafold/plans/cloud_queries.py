@@ -47,25 +47,26 @@ def isolated_cells(spark, d):
     return C.remove_isolated(V.points(spark, d), 1.5, min_neighbours=7).select("pid")
 
 
-_NEAR = "near AS (SELECT a.pid, b.pid AS qid, (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 AS d2 FROM sparse a JOIN sparse b ON a.pid <> b.pid AND (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 < 36)"
+_OTHERS = V.near_sql(2.0, extra=" AND a.pid <> b.pid")
 
 
-@query(f"WITH {V.SPARSE}, {_NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, qid) rn FROM near), m AS (SELECT pid, avg(sqrt(d2)) AS mean FROM k WHERE rn <= 12 GROUP BY 1) SELECT pid FROM m WHERE mean <= (SELECT avg(mean) + 1.5 * stddev_pop(mean) FROM m)")
+@query(f"WITH {V.POINTS}, {_OTHERS}, k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, qid) rn FROM near), m AS (SELECT pid, avg(sqrt(d2)) AS mean FROM k WHERE rn <= 12 GROUP BY 1) SELECT pid FROM m WHERE mean <= (SELECT avg(mean) + 1.5 * stddev_pop(mean) FROM m)")
 def outlier_filter(spark, d):
-    return C.outlier_filter(V.sparse_points(spark, d), 6.0).select("pid")
+    return C.outlier_filter(V.points(spark, d), 2.0).select("pid")
 
 
-@query(f"WITH {V.SPARSE}, {_NEAR} SELECT pid, count(*) n, round(min(d2),6) nearest FROM near GROUP BY 1")
+@query(f"WITH {V.POINTS}, {_OTHERS} SELECT pid, count(*) n, round(min(d2),6) nearest FROM near GROUP BY 1")
 def radius_neighbours(spark, d):
-    p = V.sparse_points(spark, d)
-    return C.near_pairs(p, C.as_target(p), 6.0).where("pid <> qid").groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("d2"), 6).alias("nearest"))
+    pairs = C.near_others(V.points(spark, d), 2.0)
+    return pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("d2"), 6).alias("nearest"))
 
 
-@query(f"WITH {V.SPARSE}, a AS (SELECT * FROM sparse WHERE pid // 64 % 8 = 0), b AS (SELECT * FROM sparse WHERE pid // 64 % 8 = 4), k AS (SELECT a.pid, b.pid AS qid, (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 AS d2 FROM a JOIN b ON (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 < 100), m AS (SELECT pid, min(d2) d2 FROM k GROUP BY 1) SELECT a.pid, round(sqrt(m.d2),6) distance FROM a LEFT JOIN m USING (pid)")
+@query(f"WITH {V.POINTS}, a AS (SELECT * FROM points WHERE pid // 64 % 2 = 0), b AS (SELECT * FROM points WHERE pid // 64 % 2 = 1), {V.near_sql(3.0, 'a', 'b')}, m AS (SELECT pid, min(d2) d2 FROM near GROUP BY 1) SELECT a.pid, round(sqrt(m.d2),6) distance FROM a LEFT JOIN m USING (pid)")
 def cloud_distance(spark, d):
-    p = V.sparse_points(spark, d)
-    epoch = F.floor(F.col("pid") / 64) % 8
-    return C.cloud_distance(p.where(epoch == 0), p.where(epoch == 4), 10.0).select("pid", F.round("distance", 6).alias("distance"))
+    """The two epochs are the even and the odd orders: every point belongs to one."""
+    p = V.points(spark, d)
+    epoch = F.floor(F.col("pid") / 64) % 2
+    return C.cloud_distance(p.where(epoch == 0), p.where(epoch == 1), 3.0).select("pid", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {V.POINTS}, e AS (SELECT *, pid // 64 % 2 AS src, floor(x/4) ia, floor(y/4) ib, floor(z/4) ic FROM points), o AS (SELECT ia,ib,ic,min(src) owner FROM e GROUP BY 1,2,3) SELECT src, count(*) n, sum(pid)::BIGINT s FROM e JOIN o USING (ia,ib,ic) WHERE src = owner GROUP BY 1")
@@ -106,9 +107,9 @@ def transform_cloud(spark, d):
     return C.transform(V.points(spark, d), m).agg(*[F.round(F.avg(c), 6).alias(c) for c in "xyz"])
 
 
-@query(f"WITH {V.SPARSE}, k AS (SELECT a.pid, b.x, b.y, b.z FROM sparse a JOIN sparse b ON (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 < 49) SELECT pid, count(*) n, round(covar_pop(x,x)+3.14e-8,6) cxx, round(covar_pop(x,y)+3.14e-8,6) cxy, round(covar_pop(x,z)+3.14e-8,6) cxz, round(covar_pop(y,y)+3.14e-8,6) cyy, round(covar_pop(y,z)+3.14e-8,6) cyz, round(covar_pop(z,z)+3.14e-8,6) czz FROM k GROUP BY 1")
+@query(f"WITH {V.POINTS}, {V.near_sql(2.0)} SELECT pid, count(*) n, round(covar_pop(x,x)+3.14e-8,6) cxx, round(covar_pop(x,y)+3.14e-8,6) cxy, round(covar_pop(x,z)+3.14e-8,6) cxz, round(covar_pop(y,y)+3.14e-8,6) cyy, round(covar_pop(y,z)+3.14e-8,6) cyz, round(covar_pop(z,z)+3.14e-8,6) czz FROM near GROUP BY 1")
 def covariance_normals(spark, d):
-    out = C.covariance_normals(V.sparse_points(spark, d), 7.0)
+    out = C.covariance_normals(V.points(spark, d), 2.0)
     # Coordinates in tenths give exact ties; the shift takes them off the rounding edge.
     return out.select("pid", "n", *[F.round(F.col(c) + 3.14e-8, 6).alias(c) for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
 
@@ -214,13 +215,26 @@ def core_histogram(spark, d):
     return R.core_histogram(V.points(spark, d), 64, (0.0, 0.0), (105.0, 105.0))
 
 
-@query(f"WITH {V.CELLS}, p AS (SELECT id, id*1.5 AS distance, 10 + id*1.5*0.8 x, 20 + id*1.5*0.6 y FROM range(0,54) t(id)), f AS (SELECT id, distance, x/4-0.5 fc, (104.0-y)/4-0.5 fr FROM p), v AS (SELECT id, distance, fc-floor(fc) tx, fr-floor(fr) ty, {_V(0, 0).replace('holed', 'cells')} v00, {_V(0, 1).replace('holed', 'cells')} v01, {_V(1, 0).replace('holed', 'cells')} v10, {_V(1, 1).replace('holed', 'cells')} v11 FROM f) SELECT id, distance, round(coalesce((v00*(1-tx)+v01*tx)*(1-ty)+(v10*(1-tx)+v11*tx)*ty, CASE WHEN ty >= 0.5 THEN CASE WHEN tx >= 0.5 THEN v11 ELSE v10 END ELSE CASE WHEN tx >= 0.5 THEN v01 ELSE v00 END END, v00, v01, v10, v11),6) z FROM v")
+_PLACE = "SELECT *, x/4-0.5 fc, (104.0-y)/4-0.5 fr FROM p"
+_BETWEEN = f"SELECT id, distance, x, y, fc-floor(fc) tx, fr-floor(fr) ty, {_V(0, 0)} v00, {_V(0, 1)} v01, {_V(1, 0)} v10, {_V(1, 1)} v11 FROM f".replace("holed", "cells")
+_HEIGHT = "coalesce((v00*(1-tx)+v01*tx)*(1-ty)+(v10*(1-tx)+v11*tx)*ty, CASE WHEN ty >= 0.5 THEN CASE WHEN tx >= 0.5 THEN v11 ELSE v10 END ELSE CASE WHEN tx >= 0.5 THEN v01 ELSE v00 END END, v00, v01, v10, v11)"
+_HELD = "(floor((104.0-y)/4), floor(x/4)) IN (SELECT (CAST(row AS DOUBLE), CAST(col AS DOUBLE)) FROM cells)"
+
+
+@query(f"WITH {V.CELLS}, p AS (SELECT id, id*80.0/54 AS distance, 10 + 64.0*id/54 x, 20 + 48.0*id/54 y FROM range(0,55) t(id)), f AS ({_PLACE}), v AS ({_BETWEEN}) SELECT id, round(distance,6) distance, CASE WHEN {_HELD} THEN round({_HEIGHT},6) END z FROM v")
 def line_profile(spark, d):
-    out = R.profile(V.cells(spark, d), (10, 20), (74, 68), 1.5, 4.0, 0.0, 104.0)
-    return out.withColumns(r6("z"))
+    out = R.profile(V.cells(spark, d), [(10, 20), (74, 68)], 1.5, 4.0, 0.0, 104.0)
+    return out.withColumns(r6("z", "distance"))
+
+
+@query(f"WITH {V.CELLS}, p AS (SELECT id, id*200.0/4094 AS distance, CASE WHEN id <= 2047 THEN 2 + 100.0*id/2047 ELSE 102 END x, CASE WHEN id <= 2047 THEN 2 ELSE 2 + 100.0*(id-2047)/2047 END y FROM range(0,4095) t(id)), f AS ({_PLACE}), v AS ({_BETWEEN}) SELECT id, round(distance,6) distance, CASE WHEN {_HELD} THEN round({_HEIGHT},6) END z FROM v")
+def long_profile(spark, d):
+    """A polyline of over 4,096 steps: the spacing widens, and the whole line is covered."""
+    out = R.profile(V.cells(spark, d), [(2, 2), (102, 2), (102, 102)], 0.01, 4.0, 0.0, 104.0)
+    return out.withColumns(r6("z", "distance"))
 
 
 @query()
 def octree_levels(spark, d):
     """A level and node for every point; checked by its own rules in the tests."""
-    return C.octree_levels(V.sparse_points(spark, d).select("pid", "x", "y", "z"), (0.0, 0.0, 0.0), 106.0, 16, 200)
+    return C.octree_levels(V.points(spark, d).select("pid", "x", "y", "z"), (0.0, 0.0, 0.0), 106.0, 16, 200)

@@ -172,28 +172,32 @@ def graph_degree(spark, d):
     return G.degrees(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), V.edges(spark, d))
 
 
-_THIN = V.EDGES.replace("edges AS (", "every AS (") + ", edges AS (SELECT * FROM every WHERE (id_a * 31 + id_b * 17) % 43 = 0)"
-_THIN += ", ways AS (SELECT id_a a, id_b b FROM edges UNION SELECT id_b, id_a FROM edges)"
+_WAYS = "ways AS (SELECT id_a a, id_b b FROM edges UNION SELECT id_b, id_a FROM edges)"
 _REACH = "reach AS (SELECT s_suppkey id, s_suppkey AS node FROM supplier UNION SELECT r.id, b.b FROM reach r JOIN ways b ON b.a = r.node)"
 
 
-def _thin(spark, d):
-    return V.edges(spark, d).where((F.col("id_a") * 31 + F.col("id_b") * 17) % 43 == 0)
-
-
-@query(f"WITH RECURSIVE {_THIN}, {_REACH} SELECT id, min(node) component FROM reach GROUP BY 1")
+@query(f"WITH RECURSIVE {V.EDGES}, {_WAYS}, {_REACH} SELECT id, min(node) component FROM reach GROUP BY 1")
 def graph_components(spark, d):
-    return G.components(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), _thin(spark, d))
+    return G.components(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), V.edges(spark, d))
 
 
-@query(f"WITH RECURSIVE {_THIN}, {_REACH}, c AS (SELECT id, min(node) component FROM reach GROUP BY 1), g AS (SELECT s_suppkey id, (SELECT count(*) FROM edges WHERE id_a = s_suppkey OR id_b = s_suppkey) degree FROM supplier), h AS (SELECT component, count(*) size, count(*) FILTER (degree = 0) isolated, count(*) FILTER (degree = 1) weakly FROM c JOIN g USING (id) GROUP BY 1) SELECT *, row_number() OVER (ORDER BY size DESC, component) rank FROM h")
+@query(f"WITH RECURSIVE {V.EDGES}, {_WAYS}, {_REACH}, c AS (SELECT id, min(node) component FROM reach GROUP BY 1), g AS (SELECT s_suppkey id, (SELECT count(*) FROM edges WHERE id_a = s_suppkey OR id_b = s_suppkey) degree FROM supplier), h AS (SELECT component, count(*) size, count(*) FILTER (degree = 0) isolated, count(*) FILTER (degree = 1) weakly FROM c JOIN g USING (id) GROUP BY 1) SELECT *, row_number() OVER (ORDER BY size DESC, component) rank FROM h")
 def graph_health(spark, d):
-    return G.graph_health(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), _thin(spark, d))
+    return G.graph_health(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), V.edges(spark, d))
+
+
+_PARTED = "cut AS (SELECT e.id_a, e.id_b, e.id_a AS node FROM edges e UNION SELECT c.id_a, c.id_b, b.b FROM cut c JOIN ways b ON b.a = c.node AND NOT (b.a = c.id_a AND b.b = c.id_b) AND NOT (b.a = c.id_b AND b.b = c.id_a))"
 
 
-@query(f"WITH RECURSIVE {_THIN}, cut AS (SELECT e.id_a, e.id_b, e.id_a AS node FROM edges e UNION SELECT c.id_a, c.id_b, b.b FROM cut c JOIN ways b ON b.a = c.node AND NOT (b.a = c.id_a AND b.b = c.id_b) AND NOT (b.a = c.id_b AND b.b = c.id_a)) SELECT id_a, id_b FROM edges WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.id_a = edges.id_a AND cut.id_b = edges.id_b AND cut.node = edges.id_b)")
+@query(f"WITH RECURSIVE {V.TERRITORIES}, {_WAYS}, {_PARTED} SELECT id_a, id_b FROM edges WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.id_a = edges.id_a AND cut.id_b = edges.id_b AND cut.node = edges.id_b)")
 def graph_bridges(spark, d):
-    return G.bridges(_thin(spark, d))
+    return G.bridges(V.territories(spark, d))
+
+
+@query(f"WITH RECURSIVE {V.TERRITORIES}, {_WAYS}, n AS (SELECT DISTINCT a AS id FROM ways), reach AS (SELECT id, id AS node FROM n UNION SELECT r.id, b.b FROM reach r JOIN ways b ON b.a = r.node) SELECT id, min(node) component FROM reach GROUP BY 1")
+def territory_components(spark, d):
+    e = V.territories(spark, d)
+    return G.components(e.select(F.col("id_a").alias("id")), e)
 
 
 @query(f"WITH {V.OBSERVATIONS} SELECT a.image_id image_a, b.image_id image_b, count(*) shared FROM observations a JOIN observations b ON a.pt = b.pt AND a.image_id < b.image_id GROUP BY 1, 2")
@@ -207,9 +211,9 @@ def track_hist(spark, d):
     return G.track_histogram(o).withColumns(r6("pct"))
 
 
-@query("SELECT s_suppkey image_id, count(l_tax) n, round(sqrt(avg((l_tax+0.0)*(l_tax+0.0))),6) rms, list_sort(list(l_tax+0.0) FILTER (l_tax IS NOT NULL))[count(l_tax)//2+1] median, max(l_tax+0.0) worst FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 45 GROUP BY 1")
+@query("SELECT s_suppkey image_id, count(l_tax) n, round(sqrt(avg((l_tax+0.0)*(l_tax+0.0))),6) rms, list_sort(list(l_tax+0.0) FILTER (l_tax IS NOT NULL))[count(l_tax)//2+1] median, max(l_tax+0.0) worst FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def residuals_by_image(spark, d):
-    e = V.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("image_id"), (F.col("l_tax") + 0.0).alias("e"))
+    e = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image_id"), (F.col("l_tax") + 0.0).alias("e"))
     return G.residuals_by_image(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id")), e).withColumns(r6("rms"))
 
 
@@ -339,10 +343,10 @@ def health_rows(spark, d):
     return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), E.classify(v, "high", 2000, 0).alias("high"), E.classify(v, "low", 5000, 8000).alias("low"), E.classify(v, "low-abs", 500, 8000).alias("low_abs"), E.gate(v, ">=", 100).alias("gate"))
 
 
-@query("SELECT l_returnflag flag, round(median(l_extendedprice),4) m, round(quantile_cont(l_extendedprice,0.9),4) q90, list_sort(list(l_extendedprice))[count(*)//2+1] upper, list_sort(list(l_extendedprice))[CAST(floor((count(*)-1)*0.9+0.5) AS BIGINT)+1] nearest, list_sort(list(l_extendedprice))[CAST(least(floor(count(*)*0.9), count(*)-1) AS BIGINT)+1] rank FROM lineitem WHERE l_quantity > 48 GROUP BY 1")
+@query("SELECT l_returnflag flag, round(median(l_extendedprice),4) m, round(quantile_cont(l_extendedprice,0.9),4) q90, list_sort(list(l_extendedprice))[count(*)//2+1] upper, list_sort(list(l_extendedprice))[CAST(floor((count(*)-1)*0.9+0.5) AS BIGINT)+1] nearest, list_sort(list(l_extendedprice))[CAST(least(floor(count(*)*0.9), count(*)-1) AS BIGINT)+1] rank FROM lineitem GROUP BY 1")
 def quantile_conventions(spark, d):
     x = "l_extendedprice"
-    li = V.table(spark, d, "lineitem").where("l_quantity > 48")
+    li = V.table(spark, d, "lineitem")
     return li.groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(S.median(x), 4).alias("m"), F.round(S.quantile(x, 0.9), 4).alias("q90"), S.upper_median(x).alias("upper"), S.quantile_nearest(x, 0.9).alias("nearest"), S.quantile_rank(x, 0.9).alias("rank"))
 
 
@@ -352,9 +356,9 @@ def ndvi(spark, d):
     return V.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.avg(v), 6).alias("ndvi"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V.POINTS} SELECT pid, round(CASE WHEN r+g+b = 0 THEN 0 ELSE (2*g-r-b)/(r+g+b) END,6) exg, round(r*256.0+g+b/256.0-32768.0,6) height, CAST(floor(255*pow(greatest(0.0,least(1.0,(z-2)/43.0)),0.5)+0.5) AS INT) stretched, round(CASE WHEN r/255.0 <= 0.04045 THEN r/255.0/12.92 ELSE pow((r/255.0+0.055)/1.055,2.4) END,6) linear FROM points WHERE pid % 64 = 1")
+@query(f"WITH {V.POINTS} SELECT pid, round(CASE WHEN r+g+b = 0 THEN 0 ELSE (2*g-r-b)/(r+g+b) END,6) exg, round(r*256.0+g+b/256.0-32768.0,6) height, CAST(floor(255*pow(greatest(0.0,least(1.0,(z-2)/43.0)),0.5)+0.5) AS INT) stretched, round(CASE WHEN r/255.0 <= 0.04045 THEN r/255.0/12.92 ELSE pow((r/255.0+0.055)/1.055,2.4) END,6) linear FROM points")
 def colour_functions(spark, d):
-    p = V.points(spark, d).where("pid % 64 = 1")
+    p = V.points(spark, d)
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     return p.select("pid", F.round(color.excess_green(r, g, b), 6).alias("exg"), F.round(color.terrarium(r, g, b), 6).alias("height"), color.stretch(F.col("z"), 2, 45, 2.0).alias("stretched"), F.round(color.srgb_to_linear(r), 6).alias("linear"))
 
@@ -380,13 +384,13 @@ def map_tiles(spark, d):
     return _lonlat(spark, d).select("id", geom.utm_zone(lon, lat).alias("zone"), F.round(tx, 6).alias("tx"), F.round(ty, 6).alias("ty"))
 
 
-@query(f"WITH {V.POINTS}, k AS (SELECT pid, x-50 cx, y-50 cy, z+100 cz FROM points WHERE pid % 64 = 1) SELECT pid, round(1000*(0.8*cx-0.6*cy)/cz+640,5) u, round(1000*(0.6*cx+0.8*cy)/cz+480,5) v, cz depth FROM k")
+@query(f"WITH {V.POINTS}, k AS (SELECT pid, x-50 cx, y-50 cy, z+100 cz FROM points) SELECT pid, round(1000*(0.8*cx-0.6*cy)/cz+640,5) u, round(1000*(0.6*cx+0.8*cy)/cz+480,5) v, cz depth FROM k")
 def project_points(spark, d):
     r = [F.lit(float(v)) for v in (0.8, -0.6, 0, 0.6, 0.8, 0, 0, 0, 1)]
     t = tuple(F.lit(v) for v in (0.8 * -50 + 0.6 * 50, 0.6 * -50 + 0.8 * -50, 100.0))
     k = tuple(F.lit(v) for v in (1000.0, 1000.0, 640.0, 480.0))
     u, v, depth = geom.project(r, t, k, (F.col("x"), F.col("y"), F.col("z")))
-    return V.points(spark, d).where("pid % 64 = 1").select("pid", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"), F.round(depth, 9).alias("depth"))
+    return V.points(spark, d).select("pid", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"), F.round(depth, 9).alias("depth"))
 
 
 @query("SELECT l_orderkey*8+l_linenumber id, min(l_suppkey*2147483647+l_partkey) pair, min(CASE WHEN (l_linenumber % 100) BETWEEN 11 AND 13 THEN l_linenumber || 'th' WHEN l_linenumber % 10 = 1 THEN l_linenumber || 'st' WHEN l_linenumber % 10 = 2 THEN l_linenumber || 'nd' WHEN l_linenumber % 10 = 3 THEN l_linenumber || 'rd' ELSE l_linenumber || 'th' END) line FROM lineitem WHERE l_suppkey <= l_partkey GROUP BY 1")

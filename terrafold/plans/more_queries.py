@@ -106,11 +106,11 @@ def depth_stats(spark, d):
     return out.select("map_id", F.round("valid", 6).alias("valid"), "nearest", "farthest", F.round("cost", 6).alias("cost"), F.round("cost_p95", 6).alias("cost_p95"))
 
 
-_MESH = "tri AS (SELECT l_orderkey*8+l_linenumber tid, l_partkey % 300 v0, l_suppkey % 300 + 300 v1, l_orderkey % 300 v2 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0), e AS (SELECT least(v0,v1) a, greatest(v0,v1) b, tid FROM tri UNION ALL SELECT least(v1,v2), greatest(v1,v2), tid FROM tri UNION ALL SELECT least(v2,v0), greatest(v2,v0), tid FROM tri), p AS (SELECT a, b, count(*) n FROM e WHERE a <> b GROUP BY 1,2)"
+_MESH = "tri AS (SELECT l_orderkey*8+l_linenumber tid, l_partkey % 300 v0, l_suppkey % 300 + 300 v1, l_orderkey % 300 v2 FROM lineitem), e AS (SELECT least(v0,v1) a, greatest(v0,v1) b, tid FROM tri UNION ALL SELECT least(v1,v2), greatest(v1,v2), tid FROM tri UNION ALL SELECT least(v2,v0), greatest(v2,v0), tid FROM tri), p AS (SELECT a, b, count(*) n FROM e WHERE a <> b GROUP BY 1,2)"
 
 
 def _triangles(spark, d):
-    li = V.table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 3 = 0")
+    li = V.table(spark, d, "lineitem")
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tid"), (F.col("l_partkey") % 300).alias("v0"), (F.col("l_suppkey") % 300 + 300).alias("v1"), (F.col("l_orderkey") % 300).alias("v2"))
 
 
@@ -162,12 +162,12 @@ def crs_search(spark, d):
     return text.crs_search(c, "12").select("code", F.col("rank").cast("int").alias("rank"))
 
 
-_PAIR = f"{V.SPARSE}, s AS (SELECT x sx, y sy, z sz, 1.5*(0.8*x-0.6*y)+7 tx, 1.5*(0.6*x+0.8*y)-3 ty, 1.5*z+2 tz FROM sparse)"
+_PAIR = f"{V.POINTS}, s AS (SELECT x sx, y sy, z sz, 1.5*(0.8*x-0.6*y)+7 tx, 1.5*(0.6*x+0.8*y)-3 ty, 1.5*z+2 tz FROM points)"
 
 
 @query(f"WITH {_PAIR} SELECT count(*) n, round(avg(sx),6) msx, round(avg(tx),6) mtx, round(covar_pop(sx,tx),5) cxx, round(covar_pop(sx,ty),5) cxy, round(var_pop(sx)+var_pop(sy)+var_pop(sz),5) vs FROM s")
 def similarity_sums(spark, d):
-    p = V.sparse_points(spark, d)
+    p = V.points(spark, d)
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     s = p.select(x.alias("sx"), y.alias("sy"), z.alias("sz"), (1.5 * (0.8 * x - 0.6 * y) + 7).alias("tx"), (1.5 * (0.6 * x + 0.8 * y) - 3).alias("ty"), (1.5 * z + 2).alias("tz"))
     out = E.similarity_sums(s)
@@ -193,21 +193,24 @@ def vignette(spark, d):
 
 @query()
 def cloth_ground(spark, d):
-    """Ground classes of a thin cloud; held against a made scene in the tests."""
-    return K.cloth_ground(V.sparse_points(spark, d), 4.0).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    """Ground classes of the cloud; held against a made scene in the tests."""
+    return K.cloth_ground(V.points(spark, d), 4.0).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def cloud_normals(spark, d):
     """Eigenvectors by batches; held against a known plane in the tests."""
-    out = K.normals(V.sparse_points(spark, d), 7.0)
+    out = K.normals(V.points(spark, d), 2.0)
     return out.select("pid", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "planarity")])
 
 
-@query()
+_SOLID = "r AS (SELECT *, floor(x/3.0) ca, floor(y/3.0) cb, floor(z/3.0) cc FROM points WHERE z >= 2), c AS (SELECT ca, cb, cc, count(*) n FROM r GROUP BY 1,2,3), m AS (SELECT p.ca, p.cb, p.cc, count(q.ca) m FROM c p LEFT JOIN c q ON q.ca BETWEEN p.ca-1 AND p.ca+1 AND q.cb BETWEEN p.cb-1 AND p.cb+1 AND q.cc BETWEEN p.cc-1 AND p.cc+1 AND NOT (q.ca=p.ca AND q.cb=p.cb AND q.cc=p.cc) WHERE p.n <= 2 GROUP BY 1,2,3), solid AS (SELECT r.pid, r.x, r.y, r.z FROM r JOIN c USING (ca, cb, cc) LEFT JOIN m USING (ca, cb, cc) WHERE c.n > 2 OR m.m >= 2)"
+
+
+@query(f"WITH {V.POINTS}, {_SOLID}, {V.near_sql(2.0, 'solid', 'solid', ' AND a.pid <> b.pid')}, k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, qid) rn FROM near), o AS (SELECT pid, avg(sqrt(d2)) AS mean FROM k WHERE rn <= 12 GROUP BY 1) SELECT pid FROM o WHERE mean <= (SELECT avg(mean) + 1.5 * stddev_pop(mean) FROM o)")
 def filter_chain(spark, d):
-    steps = [("range", {"z_min": 2}), ("isolated", {"size": 3.0}), ("outlier", {"reach": 8.0})]
-    return C.filter_chain(V.sparse_points(spark, d), steps).select("pid")
+    steps = [("range", {"z_min": 2}), ("isolated", {"size": 3.0}), ("outlier", {"reach": 2.0})]
+    return C.filter_chain(V.points(spark, d), steps).select("pid")
 
 
 _PAIRS = V.EDGES + ", p AS (SELECT id_a, id_b, inliers, CASE WHEN (id_a+id_b) % 13 = 0 THEN 'error' ELSE 'done' END status, inliers < 10 weak, (id_a*id_b) % 7 <> 0 enabled, CASE WHEN (id_a+id_b) % 3 = 0 THEN inliers ELSE 0 END shared FROM edges)"
@@ -246,13 +249,13 @@ def ring_measures(spark, d):
     return rings.select("id", F.round(survey.polyline("p"), 6).alias("length"), F.round(survey.shoelace("p"), 6).alias("area"))
 
 
-@query("WITH t AS (SELECT DISTINCT l_suppkey image_id, l_partkey kp, l_partkey % 700 pt FROM lineitem), u AS (SELECT image_id, kp, min(pt) pt FROM t GROUP BY 1,2), m AS (SELECT l_suppkey id_a, l_suppkey % 40 + 1 id_b, l_partkey kp_a, l_orderkey % 2000 kp_b, l_quantity / 10.0 AS err FROM lineitem WHERE l_linenumber = 2), j AS (SELECT m.*, a.pt pa, b.pt pb FROM m LEFT JOIN u a ON a.image_id = id_a AND a.kp = kp_a LEFT JOIN u b ON b.image_id = id_b AND b.kp = kp_b), s AS (SELECT id_a, id_b, count(*) n, count(*) FILTER (pa = pb) together, count(*) FILTER (pa <> pb) split, count(*) FILTER (pa = pb OR ((pa IS NULL OR pb IS NULL) AND err <= 4)) fits FROM j GROUP BY 1,2) SELECT id_a, id_b, n, together, split, CASE WHEN n < 8 THEN 'unknown' WHEN fits >= 0.5*n THEN 'agrees' ELSE 'conflicts' END verdict FROM s")
+@query("WITH t AS (SELECT DISTINCT l_suppkey image_id, l_partkey kp, l_partkey % 700 pt FROM lineitem), u AS (SELECT image_id, kp, min(pt) pt FROM t GROUP BY 1,2), m AS (SELECT l_suppkey id_a, l_suppkey % 40 + 1 id_b, l_partkey kp_a, l_orderkey % 2000 kp_b, l_quantity / 10.0 AS err FROM lineitem), j AS (SELECT m.*, a.pt pa, b.pt pb FROM m LEFT JOIN u a ON a.image_id = id_a AND a.kp = kp_a LEFT JOIN u b ON b.image_id = id_b AND b.kp = kp_b), s AS (SELECT id_a, id_b, count(*) n, count(*) FILTER (pa = pb) together, count(*) FILTER (pa <> pb) split, count(*) FILTER (pa = pb OR ((pa IS NULL OR pb IS NULL) AND err <= 4)) fits FROM j GROUP BY 1,2) SELECT id_a, id_b, n, together, split, CASE WHEN n < 8 THEN 'unknown' WHEN fits >= 0.5*n THEN 'agrees' ELSE 'conflicts' END verdict FROM s")
 def pair_agreement(spark, d):
     from terrafold.operators import survey
 
     li = V.table(spark, d, "lineitem")
     tracks = li.groupBy(F.col("l_suppkey").alias("image_id"), F.col("l_partkey").alias("kp")).agg(F.min(F.col("l_partkey") % 700).alias("pt"))
-    matches = li.where("l_linenumber = 2").select(F.col("l_suppkey").alias("id_a"), (F.col("l_suppkey") % 40 + 1).alias("id_b"), F.col("l_partkey").alias("kp_a"), (F.col("l_orderkey") % 2000).alias("kp_b"), (F.col("l_quantity") / 10.0).alias("error"))
+    matches = li.select(F.col("l_suppkey").alias("id_a"), (F.col("l_suppkey") % 40 + 1).alias("id_b"), F.col("l_partkey").alias("kp_a"), (F.col("l_orderkey") % 2000).alias("kp_b"), (F.col("l_quantity") / 10.0).alias("error"))
     return survey.pair_agreement(matches, tracks)
 
 
@@ -361,17 +364,17 @@ def gap_plan(spark, d):
     return rules.gap_plan(pieces, tried, none, 15, 200, 8)
 
 
-_TRACKS = "m AS (SELECT l_suppkey % 12 id_a, l_partkey % 40 kp_a, (l_suppkey + 1 + l_linenumber) % 12 id_b, l_orderkey % 40 kp_b FROM lineitem WHERE l_orderkey % 211 = 5 AND (l_suppkey + 1 + l_linenumber) % 12 <> l_suppkey % 12), e AS (SELECT id_a*1000+kp_a a, id_b*1000+kp_b b FROM m UNION SELECT id_b*1000+kp_b, id_a*1000+kp_a FROM m), r AS (SELECT DISTINCT a n, a x FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.x), c AS (SELECT n, min(x) pt FROM r GROUP BY 1), s AS (SELECT pt, n // 1000 i, min(n % 1000) kp FROM c GROUP BY 1, 2 HAVING count(*) = 1)"
+_TRACKS = "m AS (SELECT a.l_suppkey*4294967296 + a.l_orderkey*8+a.l_linenumber a, b.l_suppkey*4294967296 + b.l_orderkey*8+b.l_linenumber b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1), e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), r AS (SELECT DISTINCT a n, a x FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.x), c AS (SELECT n, min(x) pt FROM r GROUP BY 1), s AS (SELECT pt, n // 4294967296 i, min(n % 4294967296) kp FROM c GROUP BY 1, 2 HAVING count(*) = 1)"
 
 
-@query(f"WITH RECURSIVE {_TRACKS} SELECT (pt // 1000) * 4294967296 + pt % 1000 pt, i image_id, kp FROM s WHERE pt IN (SELECT pt FROM s GROUP BY 1 HAVING count(*) >= 2)")
+@query(f"WITH RECURSIVE {_TRACKS} SELECT pt, i image_id, kp FROM s WHERE pt IN (SELECT pt FROM s GROUP BY 1 HAVING count(*) >= 2)")
 def build_tracks(spark, d):
+    """Consecutive lines of an order match; suppliers are the photographs."""
     from terrafold.operators import graph
 
-    s = F.col("l_suppkey")
-    other = (s + 1 + F.col("l_linenumber")) % 12
-    m = V.table(spark, d, "lineitem").where("l_orderkey % 211 = 5").where(other != s % 12)
-    return graph.build_tracks(m.select((s % 12).alias("id_a"), (F.col("l_partkey") % 40).alias("kp_a"), other.alias("id_b"), (F.col("l_orderkey") % 40).alias("kp_b")))
+    li = V.table(spark, d, "lineitem")
+    lines = lambda c, shift: li.select("l_orderkey", (F.col("l_linenumber") - shift).alias("step"), F.col("l_suppkey").alias(f"id_{c}"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(f"kp_{c}"))
+    return graph.build_tracks(lines("a", 0).join(lines("b", 1), ["l_orderkey", "step"]).select("id_a", "kp_a", "id_b", "kp_b"))
 
 
 @query("SELECT l_orderkey*8+l_linenumber id, min(CASE WHEN hag < 0.3 THEN 2 WHEN hag >= 2 AND p <= 0.02 AND g < 0.05 THEN 6 WHEN g >= 0.05 OR p > 0.02 THEN CASE WHEN hag < 0.5 THEN 3 WHEN hag < 2 THEN 4 ELSE 5 END ELSE 1 END) classification FROM (SELECT *, l_quantity/10.0 hag, l_tax+0.0 p, l_discount-0.03 g FROM lineitem) GROUP BY 1")

@@ -34,12 +34,13 @@ POINTS = """points AS (
   FROM lineitem)"""
 
 
-def sparse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points of every fourth order's first line: a thinner cloud for distances."""
-    return points(spark, sf_dir).where((F.col("pid") % 64 == 1) & (F.floor(F.col("pid") / 64) % 4 == 0))
-
-
-SPARSE = POINTS + """, sparse AS (SELECT * FROM points WHERE pid % 64 = 1 AND (pid // 64) % 4 = 0)"""
+def near_sql(reach: float, a: str = "points", b: str = "points", extra: str = "") -> str:
+    """near(pid, qid, d2): points of a and b nearer than reach, by cells of that size."""
+    d2 = "(a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2"
+    steps = ", ".join(f"(SELECT unnest([-1,0,1]) {d})" for d in ("da", "db", "dc"))
+    left = f"SELECT pid, x, y, z, floor(x/{reach})+da AS ca, floor(y/{reach})+db AS cb, floor(z/{reach})+dc AS cc FROM {a}, {steps}"
+    right = f"SELECT pid, x, y, z, floor(x/{reach}) AS ca, floor(y/{reach}) AS cb, floor(z/{reach}) AS cc FROM {b}"
+    return f"near AS (SELECT a.pid, b.pid AS qid, b.x, b.y, b.z, {d2} AS d2 FROM ({left}) a JOIN ({right}) b USING (ca, cb, cc) WHERE {d2} < {reach}*{reach}{extra})"
 
 
 def cells(spark: SparkSession, sf_dir: str, gsd: float = 4.0) -> DataFrame:
@@ -93,6 +94,30 @@ EDGES = OBSERVATIONS + """, edges AS (
   SELECT a.image_id AS id_a, b.image_id AS id_b, count(*) AS inliers FROM observations a JOIN observations b ON a.pt = b.pt AND a.image_id < b.image_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
+def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b): regions and their nations, nations and their customers and suppliers, and the next nation of a region."""
+    n, c, s = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    region, nation, customer, supplier = (F.lit(k * 1_000_000_000).cast("bigint") for k in (1, 2, 3, 4))
+    after = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    parts = [
+        n.select((region + F.col("n_regionkey")).alias("id_a"), (nation + F.col("n_nationkey")).alias("id_b")),
+        n.select((nation + F.col("n_nationkey")).alias("id_a"), (nation + F.lead("n_nationkey").over(after)).alias("id_b")).where("id_b is not null"),
+        c.select((nation + F.col("c_nationkey")).alias("id_a"), (customer + F.col("c_custkey")).alias("id_b")),
+        s.select((nation + F.col("s_nationkey")).alias("id_a"), (supplier + F.col("s_suppkey")).alias("id_b")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+TERRITORIES = """edges AS (
+  SELECT CAST(1000000000 + n_regionkey AS BIGINT) AS id_a, CAST(2000000000 + n_nationkey AS BIGINT) AS id_b FROM nation
+  UNION ALL SELECT * FROM (SELECT 2000000000 + n_nationkey, 2000000000 + lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation) WHERE b IS NOT NULL
+  UNION ALL SELECT 2000000000 + c_nationkey, 3000000000 + c_custkey FROM customer
+  UNION ALL SELECT 2000000000 + s_nationkey, 4000000000 + s_suppkey FROM supplier)"""
+
+
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders against their customers, as three residuals by segment; some heights are missing."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
