@@ -185,11 +185,15 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
 
 
 def vincenty(lon1, lat1, lon2, lat2):
-    """Ellipsoidal distance in metres as a vectorised function (a pandas UDF): it iterates."""
+    """Ellipsoidal distance in metres as a vectorised function (a pandas UDF): it iterates.
+
+    Where it doesn't converge (nearly antipodal places), the great circle of the mean sphere stands in.
+    """
     def solve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         u1, u2 = np.arctan((1 - _F) * np.tan(np.radians(b))), np.arctan((1 - _F) * np.tan(np.radians(d)))
-        away = np.radians(c - a)
-        lam = away.to_numpy(float).copy()
+        turn = (c - a) - 360 * np.round((c - a) / 360)
+        away = np.radians(turn).to_numpy(float)
+        lam, done = away.copy(), np.zeros(len(a), dtype=bool)
         s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
         with np.errstate(invalid="ignore", divide="ignore"):
             for _ in range(200):
@@ -201,16 +205,19 @@ def vincenty(lon1, lat1, lon2, lat2):
                 mid = np.where(cos2 > 1e-15, cos_s - 2 * s1 * s2 / np.where(cos2 > 1e-15, cos2, 1), 0)
                 k = _F / 16 * cos2 * (4 + _F * (4 - 3 * cos2))
                 new = away + (1 - k) * _F * sin_a * (sigma + k * sin_s * (mid + k * cos_s * (2 * mid**2 - 1)))
-                done = np.nanmax(np.abs(new - lam), initial=0) < 1e-13
-                lam = np.asarray(new, dtype=float)
-                if done:
+                new = np.asarray(new, dtype=float)
+                done = ~(np.abs(new - lam) >= 1e-12) & (np.abs(new) <= np.pi)
+                lam = new
+                if done.all():
                     break
             b2 = (A * (1 - _F)) ** 2
             u = cos2 * (A * A - b2) / b2
             ka = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
             kb = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
             step = kb * sin_s * (mid + kb / 4 * (cos_s * (2 * mid**2 - 1) - kb / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
-            return pd.Series(A * (1 - _F) * ka * (sigma - step))
+            h = np.sin(np.radians(d - b) / 2) ** 2 + np.cos(np.radians(b)) * np.cos(np.radians(d)) * np.sin(away / 2) ** 2
+            sphere = 2 * (2 * A + A * (1 - _F)) / 3 * np.arcsin(np.minimum(1, np.sqrt(h)))
+            return pd.Series(np.where(done, A * (1 - _F) * ka * (sigma - step), sphere))
 
     return pandas_udf(solve, "double")(lon1, lat1, lon2, lat2)
 

@@ -18,7 +18,8 @@ def summarize_differences(d: DataFrame, value: str = "dz", by: list[str] | None
     v = F.col(value)
     whole = d.where(v.isNotNull())
     first = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.sqrt(F.avg(v * v)).alias("rmse"), F.percentile(v, 0.5).alias("median"), F.percentile(F.abs(v), 0.9).alias("le90"), F.percentile(F.abs(v), 0.95).alias("le95"), F.percentile(v, 0.02).alias("q02"), F.percentile(v, 0.98).alias("q98"))
-    centred = whole.join(F.broadcast(first.select(*by, "median")), by) if by else whole.join(F.broadcast(first.select("median")))
+    # By groups a plain join: adaptive execution broadcasts the medians if they are few.
+    centred = whole.join(first.select(*by, "median"), by) if by else whole.join(F.broadcast(first.select("median")))
     second = centred.groupBy(*by).agg((F.percentile(F.abs(v - F.col("median")), 0.5) * 1.4826).alias("nmad"))
     return first.join(second, by) if by else first.join(F.broadcast(second))  # one row each
 

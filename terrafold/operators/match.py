@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,15 @@ def ratio_matches(left: DataFrame, right: DataFrame, pair: list[str], ratio: flo
     return ahead.join(back.select(*pair, F.col("ia").alias("ib"), F.col("ib").alias("ia")), [*pair, "ia", "ib"], "left_semi")
 
 
-def top_similar(vectors: DataFrame, k: int, group: list[str] | None = None, blocks: int = 32) -> DataFrame:
+def top_similar(vectors: DataFrame, k: int, group: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """(id, rank, other, score): the k largest dot products within each group, ties to the smaller id.
 
-    Without a group every vector is a query against all others, in blocks dealt by a hash: a
-    task holds one block, and sends at most k candidates of a query.
+    Without a group every vector is a query against all others, in blocks dealt by a hash (of
+    about 4,096 vectors, 32 blocks at least): a task holds one block, and sends at most k
+    candidates of a query.
     """
+    if not group and blocks is None:
+        blocks = max(32, vectors.count() // 4096)
     keys = group or ["_block"]
     a = vectors.select(*(group or []), F.col("id"), F.col("v").alias("va"))
     b = vectors.select(*(group or []), F.col("id").alias("other"), F.col("v").alias("vb"))
@@ -109,13 +114,31 @@ def cap_keypoints(keypoints: DataFrame, cap: int) -> DataFrame:
     return keypoints.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
 
-def assign_words(vectors: DataFrame, words: DataFrame) -> DataFrame:
+def assign_words(vectors: DataFrame, words: DataFrame, most: int = 1 << 16) -> DataFrame:
     """(id, word): the nearest word of a codebook (words: word, c), ties to the smaller.
 
-    A codebook is a model parameter of a fixed number of rows, so it is broadcast.
+    A codebook is a model parameter; one of over `most` words is refused. Vectors are compared
+    with it in Arrow batches, so no row is multiplied by the words.
     """
-    pairs = vectors.select("id", "v").join(F.broadcast(words.select("word", "c"))).withColumn("d", squared_distance("v", "c"))
-    return pairs.groupBy("id").agg(F.min(F.struct("d", "word")).alias("m")).select("id", F.col("m.word").alias("word"))
+    rows = words.select("word", "c").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} words")
+    rows.sort(key=lambda r: r["word"])
+    names, centres = np.array([r["word"] for r in rows], dtype=np.int64), np.array([r["c"] for r in rows], dtype=float)
+    book = vectors.sparkSession.sparkContext.broadcast((names, centres))  # `most` rows, checked
+
+    def nearest(batches):
+        names, centres = book.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                x = np.array(b.column("v").to_pylist(), dtype=float)
+                # Word by word, in the order of the dimensions, so that equal vectors get equal words.
+                d = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names[d.argmin(axis=1)])], names=["id", "word"])
+
+    kind = dict(vectors.dtypes)["id"]
+    return vectors.select("id", "v").mapInArrow(nearest, f"id {kind}, word bigint")
 
 
 def train_codebook(vectors: DataFrame, k: int, rounds: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,14 +138,25 @@ def volume(cells: DataFrame, gsd: float, origin_x: float, origin_y: float, rings
     return inside.agg((F.sum(F.greatest(dz, F.lit(0.0))) * area).alias("cut"), (F.sum(F.greatest(-dz, F.lit(0.0))) * area).alias("fill"), (F.sum(dz) * area).alias("net"), F.count("z").alias("measured"))
 
 
-def profile(cells: DataFrame, a: tuple[float, float], b: tuple[float, float], step: float, gsd: float, origin_x: float, origin_y: float) -> DataFrame:
-    """(id, distance, z) every step along a line; null over holes."""
+def profile(cells: DataFrame, line: list[tuple[float, float]], step: float, gsd: float, origin_x: float, origin_y: float, most: int = 4096) -> DataFrame:
+    """(id, distance, z) along a polyline; null over holes.
+
+    Each segment is parted evenly, by `step` at most. A line of over `most` places gets a wider
+    spacing, so that the whole of it is covered.
+    """
     spark = cells.sparkSession
-    length = ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5
-    n = min(4096, int(length / step + 1e-9) + 1)
-    along = spark.range(n).select(F.col("id"), (F.col("id") * step).alias("distance"))
-    places = along.select("id", (F.lit(a[0]) + F.col("distance") * ((b[0] - a[0]) / length)).alias("x"), (F.lit(a[1]) + F.col("distance") * ((b[1] - a[1]) / length)).alias("y"))
-    return along.join(sample(cells, places, gsd, origin_x, origin_y), "id", "left")
+    sizes = [math.dist(a, b) for a, b in zip(line, line[1:], strict=False)]
+    spacing = max(step, sum(sizes) / max(1, most - len(line)))
+    places, distance = [(0, 0.0, float(line[0][0]), float(line[0][1]))], 0.0
+    for (ax, ay), (bx, by), size in zip(line, line[1:], sizes, strict=False):
+        n = max(1, math.ceil(size / spacing)) if size else 0
+        places += [(len(places) + k - 1, distance + size * k / n, ax + (bx - ax) * k / n, ay + (by - ay) * k / n) for k in range(1, n + 1)]
+        distance += size
+    along = spark.createDataFrame(places, "id long, distance double, x double, y double")  # `most` rows
+    own = (F.floor((F.lit(origin_y) - F.col("y")) / gsd).cast("long").alias("row"), F.floor((F.col("x") - origin_x) / gsd).cast("long").alias("col"))
+    held = along.select("id", *own).join(cells.select("row", "col"), ["row", "col"], "left_semi").select("id")
+    heights = sample(cells, along.select("id", "x", "y"), gsd, origin_x, origin_y).join(held, "id", "left_semi")
+    return along.select("id", "distance").join(heights, "id", "left")
 
 
 def compare(cells: DataFrame, reference: DataFrame) -> DataFrame:

@@ -61,12 +61,15 @@ def spread(candidates: DataFrame, width: float, height: float, limit: int = 30,
     return candidates.groupBy(by).applyInPandas(greedy, f"{by} {kinds[by]}, id {kinds['id']}")
 
 
-def reduce_overlap(visibility: DataFrame, coverage: int = 3) -> DataFrame:
+def reduce_overlap(visibility: DataFrame, coverage: int = 3, most: int = 10_000_000) -> DataFrame:
     """(image_id) of photographs that may go while each point keeps min(coverage, seen) views.
 
     visibility: pt, image_id (a bounded sample of points). A photograph whose points all have
-    views to spare goes, the most redundant first; greedy, so it runs in one task.
+    views to spare goes, the most redundant first; greedy, so it runs in one task, and over
+    `most` rows are refused.
     """
+    if visibility.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} views: sample the points first")
     kind = dict(visibility.dtypes)["image_id"]
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -53,16 +53,16 @@ def pick_keyframes(travel: np.ndarray, sharp: np.ndarray, step: float) -> list[i
     if not len(travel):
         return []
     taken, at = [0], 0
+    # travel never falls: the frames in reach are a span.
     while True:
-        lead = travel - travel[at]
-        near = [k for k in range(at + 1, len(travel)) if step / 2 < lead[k] <= step]
-        if near:
-            at = max(near, key=lambda k: (sharp[k], -k))
+        first = max(at + 1, int(np.searchsorted(travel, travel[at] + step / 2, side="right")))
+        last = int(np.searchsorted(travel, travel[at] + step, side="right"))
+        if first < last:
+            at = first + int(np.argmax(sharp[first:last]))
+        elif last < len(travel):
+            at = last
         else:
-            beyond = [k for k in range(at + 1, len(travel)) if lead[k] > step]
-            if not beyond:
-                return taken
-            at = beyond[0]
+            return taken
         taken.append(at)
 
 

@@ -166,13 +166,15 @@ def point_triangle(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -
     return np.where(inside, height, np.minimum.reduce([segment(a, b), segment(b, c), segment(c, a)]))
 
 
-def fit_gains(overlaps: DataFrame, images: int, prior: float = 0.1, rounds: int = 100) -> dict[int, float]:
+def fit_gains(overlaps: DataFrame, images: int, prior: float = 0.1, rounds: int = 100, most: int = 5_000_000) -> dict[int, float]:
     """Log gains by image that even out brightness in overlaps: normal equations by pairs, conjugate gradient.
 
     overlaps: i, j, n, d (mean log brightness of i less that of j over n common points): a row a pair
-    of images, so the driver solves a system as sparse as the match graph.
+    of images, so the driver solves a system as sparse as the match graph. Over `most` pairs are refused.
     """
-    rows = overlaps.collect()
+    rows = overlaps.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} overlapping pairs")
     i, j = np.array([r["i"] for r in rows], dtype=int), np.array([r["j"] for r in rows], dtype=int)
     w, d = np.array([r["n"] for r in rows], dtype=float), np.array([r["d"] for r in rows], dtype=float)
 

@@ -6,6 +6,7 @@ says how late a row may come, on a batch it has no effect.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,10 +54,22 @@ def motion(events: DataFrame, by: str = "user_id", ts: str = "ts", value: str =
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything a stream gives until its source is empty, as a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Everything a stream gives until its source is empty, as a Parquet table in the shared folder."""
+    from terrafold.operators.graph import shared_folder
+
+    spark, schema = stream.sparkSession, stream.schema
+    where = f"{shared_folder(spark)}/terrafold-streams/{name}-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        # A batch that is run again writes the same folder again.
+        rows.write.mode("overwrite").parquet(f"{where}/rows/batch={batch}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/rows")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{where}/rows")
 
 
 def replay(spark, path: str, files: int = 1) -> DataFrame:
