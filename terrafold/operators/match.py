@@ -141,15 +141,48 @@ def assign_words(vectors: DataFrame, words: DataFrame, most: int = 1 << 16) -> D
     return vectors.select("id", "v").mapInArrow(nearest, f"id {kind}, word bigint")
 
 
-def train_codebook(vectors: DataFrame, k: int, rounds: int = 5) -> DataFrame:
-    """Lloyd's iterations from the k vectors of the smallest ids; an empty word keeps its place."""
+def spread_seeds(sample: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """k rows: each next one drawn by its squared distance to the nearest so far (k-means++)."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(sample)))]
+    d = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(sample)):
+        total = d.sum()
+        pick = int(np.searchsorted(np.cumsum(d), rng.random() * total)) if total > 0 else int(rng.integers(len(sample)))
+        chosen.append(min(pick, len(sample) - 1))
+        d = np.minimum(d, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
+
+
+def train_codebook(vectors: DataFrame, k: int, rounds: int = 5, seeding: str = "first", sample: int = 20_000) -> DataFrame:
+    """(word, c): Lloyd's iterations over all vectors.
+
+    seeding: `first`, the k vectors of the smallest ids, or `spread`, drawn apart from each other from a
+    sample (by a hash of the id) of about `sample` vectors. A word that is left empty moves onto the vector
+    farthest from its own word, ties to the smaller id.
+    """
     from terrafold.operators.graph import settled
 
-    words = settled(vectors.orderBy("id").limit(k).select((F.row_number().over(Window.orderBy("id")) - 1).cast("bigint").alias("word"), F.transform("v", lambda x: x.cast("double")).alias("c")))
-    for _ in range(rounds):
-        owned = assign_words(vectors, words).join(vectors, "id").select("word", F.posexplode("v").alias("d", "x"))
-        moved = owned.groupBy("word", "d").agg(F.avg("x").alias("x")).groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("m"))
-        words = settled(words.join(moved, "word", "left").select("word", F.coalesce("m", "c").alias("c")))
+    spark = vectors.sparkSession
+    v = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    if seeding == "first":
+        first = [r["v"] for r in v.orderBy("id").limit(k).collect()]  # k rows
+    else:
+        n = v.count()
+        u = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11).cast("double") / float(2**53)
+        drawn = v.where(u <= min(1.0, sample / max(n, 1))).limit(2 * sample).collect()
+        drawn = sorted(drawn, key=lambda r: r["id"]) or v.orderBy("id").limit(k).collect()
+        first = spread_seeds(np.array([r["v"] for r in drawn], dtype=float), k).tolist() if drawn else []
+    words = spark.createDataFrame([(j, [float(x) for x in c]) for j, c in enumerate(first)], "word bigint, c array<double>")
+    for _ in range(rounds if first else 0):
+        owned = settled(assign_words(v, words).join(v, "id"))
+        moved = owned.select("word", F.posexplode("v").alias("d", "x")).groupBy("word", "d").agg(F.avg("x").alias("x")).groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("m"))
+        found = {r["word"]: r["m"] for r in moved.collect()}  # k rows
+        empty = [j for j in range(len(first)) if j not in found]
+        if empty:
+            far = owned.join(F.broadcast(words), "word").select("id", "v", squared_distance("v", "c").alias("d")).orderBy(F.desc("d"), "id").limit(len(empty)).collect()
+            found |= {j: r["v"] for j, r in zip(empty, far, strict=False)}
+        words = spark.createDataFrame([(j, found[j]) for j in sorted(found)], "word bigint, c array<double>")
     return words
 
 

@@ -123,10 +123,23 @@ def vlad_encode(spark, d):
     return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
-@query()
+def _lloyd(k: int, rounds: int) -> str:
+    """Lloyd's rounds, written out one after the other."""
+    apart = "list_sum(list_transform(list_zip(v.v, w.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    parts = ["v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)", f"w0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS word, v AS c FROM (SELECT * FROM v ORDER BY id LIMIT {k}))"]
+    for n in range(rounds):
+        parts.append(f"a{n} AS (SELECT id, v, word FROM (SELECT v.id, v.v, w.word, row_number() OVER (PARTITION BY v.id ORDER BY {apart}, w.word) AS rn FROM v, w{n} w) WHERE rn = 1)")
+        parts.append(f"e{n} AS (SELECT word, unnest(v) AS x, unnest(range(len(v))) AS d FROM a{n})")
+        parts.append(f"m{n} AS (SELECT word, d, avg(x) AS x FROM e{n} GROUP BY 1, 2)")
+        parts.append(f"w{n + 1} AS (SELECT word, list(x ORDER BY d) AS c FROM m{n} GROUP BY 1)")
+    return f"WITH {', '.join(parts)} SELECT word, d AS dim, round(x, 6) AS value FROM m{rounds - 1}"
+
+
+@query(_lloyd(8, 4))
 def kmeans_codebook(spark, d):
-    """Lloyd's rounds; held against numpy in the tests."""
-    return M.train_codebook(V.descriptors(spark, d), 8, 4).select("word", F.transform("c", lambda x: F.round(x, 6)).alias("c"))
+    """Lloyd's rounds over all vectors (none of these words is left empty)."""
+    words = M.train_codebook(V.descriptors(spark, d), 8, 4)
+    return words.select("word", F.posexplode("c").alias("dim", "value")).select("word", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
 _BASE = "regexp_extract({0}, '([^/\\\\]*)$', 1)"

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,6 +257,54 @@ def colmap_points(lines: DataFrame) -> DataFrame:
     return rows.select(at(0, "bigint").alias("point_id"), *[at(i + 1, "double").alias(c) for i, c in enumerate("xyz")], *[at(i + 4, "int").alias(c) for i, c in enumerate("rgb")], at(7, "double").alias("error"), F.transform(F.slice("w", 9, F.greatest(F.lit(0), F.size("w") - 8)), lambda x: x.try_cast("int")).alias("track"))
 
 
+#: Terms of each camera model by its number.
+CAMERA_TERMS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10: 12}
+
+
+def colmap_binary(raw: bytes, kind: str) -> list[dict]:
+    """Records of cameras.bin, images.bin or points3D.bin (kind: cameras, images, points3D)."""
+    out, at = [], 8
+    for _ in range(struct.unpack_from("<Q", raw, 0)[0]):
+        if kind == "cameras":
+            camera, model, width, height = struct.unpack_from("<iiQQ", raw, at)
+            if model not in CAMERA_TERMS:
+                raise ValueError(f"camera model {model} isn't known")
+            n = CAMERA_TERMS[model]
+            out.append({"camera_id": camera, "model": model, "width": width, "height": height, "params": list(struct.unpack_from(f"<{n}d", raw, at + 24))})
+            at += 24 + 8 * n
+        elif kind == "images":
+            image, *pose = struct.unpack_from("<I7d", raw, at)
+            camera = struct.unpack_from("<I", raw, at + 60)[0]
+            end = raw.index(b"\0", at + 64)
+            n = struct.unpack_from("<Q", raw, end + 1)[0]
+            points = np.frombuffer(raw, dtype=[("x", "<f8"), ("y", "<f8"), ("p", "<i8")], count=n, offset=end + 9)
+            out.append({"image_id": image, **dict(zip(["qw", "qx", "qy", "qz", "tx", "ty", "tz"], pose, strict=True)), "camera_id": camera, "name": raw[at + 64 : end].decode("utf-8", "replace"), "points": [(float(x), float(y), None if p < 0 else int(p)) for x, y, p in points.tolist()]})
+            at = end + 9 + 24 * n
+        elif kind == "points3D":
+            point, x, y, z, r, g, b, error, n = struct.unpack_from("<Q3d3BdQ", raw, at)
+            out.append({"point_id": point, "x": x, "y": y, "z": z, "r": r, "g": g, "b": b, "error": error, "track": list(struct.unpack_from(f"<{2 * n}i", raw, at + 51))})
+            at += 51 + 8 * n
+        else:
+            raise ValueError(f"{kind} isn't a part of a model")
+    return out
+
+
+COLMAP_SCHEMAS = {
+    "cameras": "camera_id int, model int, width long, height long, params array<double>",
+    "images": "image_id long, qw double, qx double, qy double, qz double, tx double, ty double, tz double, camera_id long, name string, points array<struct<x:double,y:double,point_id:bigint>>",
+    "points3D": "point_id long, x double, y double, z double, r int, g int, b int, error double, track array<int>",
+}
+
+
+def read_colmap_binary(files: DataFrame, kind: str) -> DataFrame:
+    """Records of binary model files (path, content), one task a file; kind as of colmap_binary."""
+
+    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([r for raw in pdf["content"] for r in colmap_binary(bytes(raw), kind)], columns=[c.split()[0] for c in COLMAP_SCHEMAS[kind].split(", ")])
+
+    return files.select("path", "content").groupBy("path").applyInPandas(parse, COLMAP_SCHEMAS[kind])
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(n, value): content lines of one text file in order, comments left out.
 
