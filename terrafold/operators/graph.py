@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written as a table into the shared folder and read back, its lineage cut.
+
+    Unlike a checkpoint a table keeps its statistics, so what follows is planned adaptively. The
+    files go when the JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/terrafold/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -611,3 +611,96 @@ def face_views(vertices: DataFrame, triangles: DataFrame, photos: DataFrame, lea
     seen = met.withColumns({"area": area, "ok": whole & (cosine >= least_cosine)}).where("ok and area > 0")
     best = F.max(F.struct("area", (-F.col("image_id")).alias("n"))).alias("m")
     return seen.groupBy("tid").agg(best).select("tid", (-F.col("m.n")).alias("image_id"), F.col("m.area").alias("area"))
+
+
+def bilinear(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values at places of a picture, clamped to it."""
+    x0, y0 = np.clip(np.floor(x).astype(int), 0, a.shape[1] - 2), np.clip(np.floor(y).astype(int), 0, a.shape[0] - 2)
+    ax, ay = np.clip(x - x0, 0, 1), np.clip(y - y0, 0, 1)
+    return (1 - ay) * ((1 - ax) * a[y0, x0] + ax * a[y0, x0 + 1]) + ay * ((1 - ax) * a[y0 + 1, x0] + ax * a[y0 + 1, x0 + 1])
+
+
+def smoothed(a: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian blur; edges repeat."""
+    r = max(1, int(np.ceil(3 * sigma)))
+    kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
+    kernel /= kernel.sum()
+    for axis in (0, 1):
+        p = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(2)], mode="edge")
+        a = sum(w * np.take(p, np.arange(k, k + a.shape[axis]), axis=axis) for k, w in enumerate(kernel))
+    return a
+
+
+def checker_corner(grey: np.ndarray, guess: tuple[float, float], sigma: float = 1.5, radius: float = 30, reach: float = 8) -> tuple[float, float, float] | None:
+    """(x, y, contrast) of a black-and-white target's centre near a guess, or None.
+
+    The centre is a saddle of brightness: of the eight strongest ones within `radius` (none under a fifth of
+    the strongest) the first counts whose quarter circles look like a target, opposite ones alike and
+    neighbours apart. It is then moved to where the gradients around it are square to the way to it.
+    """
+    if min(grey.shape) < 7:
+        return None
+    s = smoothed(grey.astype(float), sigma)
+    xx, yy, xy = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s)
+    xx[:, 1:-1], yy[1:-1] = s[:, 2:] - 2 * s[:, 1:-1] + s[:, :-2], s[2:] - 2 * s[1:-1] + s[:-2]
+    xy[1:-1, 1:-1] = (s[2:, 2:] + s[:-2, :-2] - s[2:, :-2] - s[:-2, 2:]) / 4
+    saddle = np.maximum(0, xy * xy - xx * yy)
+    saddle[[0, -1]], saddle[:, [0, -1]] = 0, 0
+    p = np.pad(saddle, 2)
+    highest = np.max([p[i : i + s.shape[0], j : j + s.shape[1]] for i in range(5) for j in range(5)], axis=0)
+    y, x = np.mgrid[: s.shape[0], : s.shape[1]]
+    inside = (x >= 2) & (y >= 2) & (x < s.shape[1] - 2) & (y < s.shape[0] - 2)
+    y, x = np.nonzero((saddle > 0) & (saddle == highest) & inside & (np.hypot(x - guess[0], y - guess[1]) <= radius))
+    if not len(x):
+        return None
+    strength = saddle[y, x]
+    angle = 2 * np.pi * np.arange(32) / 32
+    for k in np.lexsort((x, y, -strength))[:8]:
+        if strength[k] < 0.2 * strength.max():
+            break
+        far = np.array([1, 2, 3])[:, None] * reach / 3
+        ray = bilinear(s, x[k] + far * np.cos(angle), y[k] + far * np.sin(angle)).mean(axis=0)
+        quarters = np.array([np.roll(ray, -o).reshape(4, 8).mean(axis=1) for o in range(8)])
+        contrast = np.abs(quarters[:, 0] + quarters[:, 2] - quarters[:, 1] - quarters[:, 3]) / 510
+        best = int(contrast.argmax())
+        q = quarters[best]
+        if contrast[best] <= 0.12 or max(abs(q[0] - q[2]), abs(q[1] - q[3])) / 255 >= 0.6 * contrast[best]:
+            continue
+        half = max(3, round(reach / 2))
+        dy, dx = np.mgrid[-half : half + 1, -half : half + 1]
+        weight = np.exp(-(dx**2 + dy**2) / (2 * (half / 2) ** 2))
+        at = np.array([x[k], y[k]], dtype=float)
+        for _ in range(20):
+            px, py = at[0] + dx, at[1] + dy
+            gx, gy = (bilinear(s, px + 1, py) - bilinear(s, px - 1, py)) / 2, (bilinear(s, px, py + 1) - bilinear(s, px, py - 1)) / 2
+            m = np.array([[(weight * gx * gx).sum(), (weight * gx * gy).sum()], [(weight * gx * gy).sum(), (weight * gy * gy).sum()]])
+            if abs(np.linalg.det(m)) <= 1e-9:
+                break
+            new = np.linalg.solve(m, [(weight * gx * (gx * px + gy * py)).sum(), (weight * gy * (gx * px + gy * py)).sum()])
+            moved, at = np.hypot(*(new - at)), new
+            if moved < 1e-3:
+                break
+        if np.hypot(at[0] - x[k], at[1] - y[k]) <= 3:
+            return float(at[0]), float(at[1]), float(contrast[best])
+    return None
+
+
+def find_targets(chips: DataFrame, radius: float = 30, reach: float = 8) -> DataFrame:
+    """(image_id, name, u, v, contrast): targets found in windows of photographs; windows without one are absent.
+
+    chips: image_id, name, x0, y0 (the window's place), width, height, grey (bytes), gu, gv (where it is expected).
+    """
+    kinds = dict(chips.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                grey = np.frombuffer(r["grey"], dtype=np.uint8).reshape(int(r["height"]), int(r["width"]))
+                found = checker_corner(grey, (r["gu"] - r["x0"], r["gv"] - r["y0"]), radius=radius, reach=reach)
+                if found:
+                    out.append((r["image_id"], r["name"], found[0] + r["x0"], found[1] + r["y0"], found[2]))
+            yield pd.DataFrame(out, columns=["image_id", "name", "u", "v", "contrast"])
+
+    columns = ["image_id", "name", "x0", "y0", "width", "height", "grey", "gu", "gv"]
+    return chips.select(*columns).mapInPandas(run, f"image_id {kinds['image_id']}, name {kinds['name']}, u double, v double, contrast double")

@@ -24,6 +24,11 @@ def test_the_rest_imports_without_llm(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) > 100
+    run = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_rules.py", "tests/test_queries.py::test_entry_has_rows"]
+    out = subprocess.run(run, cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stdout[-2000:]
+    out = subprocess.run([*run[:4], "--collect-only", "tests"], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stdout[-2000:]
 
 
 def test_no_local_checkpoint_and_no_cross_join():

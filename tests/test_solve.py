@@ -193,3 +193,22 @@ def test_binary_models(spark):
     assert read(points, "points3D")[0].track == [3, 0, 4, 1]
     with pytest.raises(ValueError):
         formats.colmap_binary(cameras, "other")
+
+
+def test_targets_are_found_to_parts_of_a_pixel(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(6):
+        cx, cy, a = *rng.uniform(35, 45, 2), rng.uniform(0, np.pi)
+        fine = np.arange(0, 80, 0.25) + 0.125 - 0.5
+        x, y = np.meshgrid(fine, fine)
+        u, v = (x - cx) * np.cos(a) + (y - cy) * np.sin(a), -(x - cx) * np.sin(a) + (y - cy) * np.cos(a)
+        mat = np.where((np.abs(u) < 15) & (np.abs(v) < 15), np.where(u * v > 0, 230, 20), 120)
+        chip = mat.reshape(80, 4, 80, 4).mean(axis=(1, 3)) + rng.normal(0, 2, (80, 80))
+        want[k] = cx + 100, cy + 200
+        rows.append((k, f"g{k}", 100, 200, 80, 80, np.clip(chip, 0, 255).astype(np.uint8).tobytes(), 138.0, 242.0))
+    rows.append((9, "none", 0, 0, 80, 80, rng.integers(100, 110, 6400).astype(np.uint8).tobytes(), 40.0, 40.0))
+    chips = spark.createDataFrame(rows, "image_id int, name string, x0 int, y0 int, width int, height int, grey binary, gu double, gv double")
+    got = {r.image_id: (r.u, r.v) for r in solve.find_targets(chips).collect()}
+    assert set(got) == set(want) and all(np.hypot(got[k][0] - want[k][0], got[k][1] - want[k][1]) < 0.15 for k in want)
+    assert solve.checker_corner(np.zeros((5, 5)), (2, 2)) is None
