@@ -128,13 +128,14 @@ def whole_copies(size: np.ndarray, taken: np.ndarray, ceiling: int) -> np.ndarra
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with `copy`: 0, 1, .. among rows that are the same in all columns."""
+    """rows with `copy`: 0, 1, .. among rows that are the same in all columns.
+
+    Rows are counted first; a row of very many copies is dealt in steps of EQUAL over the tasks.
+    """
     counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count(F.lit(1)).alias("_m"))
-    few = counted.where(F.col("_m") <= EQUAL).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
-    # Very many: spread the steps first.
-    steps = counted.where(F.col("_m") > EQUAL).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / EQUAL)))).repartition("dealt", "_s")
-    many = steps.withColumn("copy", F.explode(F.sequence(F.col("_s") * EQUAL, F.least(F.col("_m"), (F.col("_s") + 1) * EQUAL) - 1))).drop("_s")
-    return few.unionByName(many).drop("_m")
+    steps = counted.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / EQUAL)))).repartition("dealt", "_s")
+    last = F.least(F.col("_m"), (F.col("_s") + 1) * EQUAL) - 1
+    return steps.withColumn("copy", F.explode(F.sequence(F.col("_s") * EQUAL, last))).drop("_m", "_s")
 
 
 def mix(
