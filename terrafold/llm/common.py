@@ -40,7 +40,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation. The files go
-    when the JVM ends (FileSystem.deleteOnExit).
+    with `discard`, or when the JVM ends (FileSystem.deleteOnExit).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrafold/{uuid.uuid4().hex}"
@@ -49,7 +49,17 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._table)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def split_remainder(doc_id: str | Column, modulus: int) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize
+from terrafold.llm.common import discard, materialize
 
 #: A side of a tile holds so many members and bytes of payload.
 SIDE, SIDE_BYTES = 512, 8 << 20
@@ -46,11 +46,12 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(ends)
         state = now
         both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old, both, near, large, low)
 
 
 def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:

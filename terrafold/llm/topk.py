@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, plain, ragged
+from terrafold.llm.common import discard, materialize, plain, ragged
 
 #: Products of integers below this are exact in float64.
 EXACT = float(1 << 53)
@@ -152,6 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     queries = rows.where(is_query).select("vec_id", "row", "v")
     chunks = max(1, -(-queries.count() // chunk))
     queries = materialize(queries.withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(chunks))))
+    discard(rows, placed)
 
     def bounds(raw: list) -> np.ndarray:
         """The highest score each query can have in each annulus."""
@@ -201,11 +202,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         wanted = materialize(wanted)
         tiles = materialize(wanted.select("block", "chunk").distinct())
         if tiles.isEmpty():
+            discard(wanted, tiles)
             break
         body = index.join(tiles, "block")
         got = body.groupBy("block", "chunk").cogroup(wanted.groupBy("block", "chunk")).applyInPandas(evaluate, result)
         ranked = have.select(*got.columns).unionByName(got).withColumn("rank", F.row_number().over(order))
-        have = materialize(ranked.where(F.col("rank") <= k))
+        found, old = materialize(ranked.where(F.col("rank") <= k)), have
+        have = found
+        discard(wanted, tiles, *([old] if start else []))
         start, stop = stop, stop * GROWTH
     return have.select("query_id", "rank", "vec_id", "score")
 

@@ -1,9 +1,36 @@
 import collections
 
+import numpy as np
+
 import corpus_pipeline as pipeline
-from terrafold.llm import language_id, toxicity
+from terrafold.llm import language_id, mixing, toxicity
 from terrafold.llm.common import materialize, split_remainder
 
+def representatives(docs):
+    """The smallest id of each group of texts whose five-word shingles agree in 0.8 or more, by all pairs."""
+    sets = []
+    for t in docs.text:
+        own = (t or "").encode().lower().split()
+        sets.append({b" ".join(own[k : k + 5]) for k in range(len(own) - 4)} or ({b" ".join(own)} if own else set()))
+    ids = docs.doc_id.tolist()
+    label = list(range(len(ids)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    first = {}
+    for k in range(len(ids)):
+        first[root(k)] = min(ids[k], first.get(root(k), ids[k]))
+    return set(first.values())
+
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,8 +52,21 @@ def test_stages_on_their_own_input(spark, sf):
     first = before.groupby("text").doc_id.min()
     assert set(after.doc_id) <= set(first), "of copies the smallest id stays"
 
+    assert set(after.doc_id) == representatives(before), "as all pairs of shingle sets say"
+
     before, after = seen["mixture"]
     times = collections.Counter(after.doc_id)
+    words = {r.doc_id: len((r.text or "").encode().split()) for r in before.itertuples()}
+    sources = collections.Counter()
+    for r in before.itertuples():
+        sources[r.source] += words[r.doc_id]
+    taken = collections.Counter()
+    for r in after.itertuples():
+        taken[r.source] += words[r.doc_id]
+    names = sorted(sources, key=lambda x: (x is None, (x or "").encode()))
+    want = mixing.targets(np.array([sources[n] for n in names]), np.array([k % 3 + 1.0 for k in range(len(names))]))
+    longest = max(words.values())
+    assert all(abs(taken[n] - w) <= longest for n, w in zip(names, want)), "whole documents near the targets"
     assert set(times) <= set(before.doc_id) and max(times.values()) <= 3
 
     before, after = seen["packing"]
