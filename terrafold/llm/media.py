@@ -10,7 +10,8 @@ that carries one image into the other (consensus). Copies give components.
 
 Images of equal pixels are one class first. Classes meet in a Hamming table keyed by one word:
 
-- In a key of at most `hot` corners all meet. A pair of classes that agrees there is a candidate,
+- In a key of at most `hot` corners all meet; very common keys are known by a sample and aren't
+  sent to one place. A pair of classes that agrees there is a candidate,
   unless even all corners of hot keys wouldn't make up what it lacks; candidates are verified
   with all corners of both. The image with more corners is sent once for many partners.
 - Copies that agree in hot keys alone (a banner on very many pages) need `votes` corners there,
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import materialize, plain, ragged
-from terrafold.llm.groups import SIDE, components, group_links
+from terrafold.llm.groups import components, group_links
 
 #: A corner is the highest within SUPPRESS pixels; its tests lie within RADIUS.
 SUPPRESS, RADIUS, DISC, TURNS, TESTS = 12, 10, 7, 16, 128
@@ -223,9 +224,11 @@ def pixel_class(grey: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(struct.pack("<II", *grey.shape) + np.rint(grey).astype(np.uint8).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-#: A corner in a table. key: table and word; kp: its number; w1 and w2: its four words.
-ENTRY = "key bigint, cls bigint, kp int, w1 bigint, w2 bigint"
-FIELDS = ["key", "cls", "kp", "w1", "w2"]
+#: A corner in a table. at: table, word and (in the low NUMBER bits) the corner's number; two and one:
+#: the words of the other tables, in their order.
+ENTRY = "at bigint, cls bigint, two bigint, one int"
+FIELDS = ["at", "cls", "two", "one"]
+NUMBER = 24
 #: Matches of corners that are expanded at once.
 EXPAND = 2_000_000
 
@@ -252,8 +255,8 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u4").reshape(-1, 8).astype(np.int64)
 
 
-def entries(classes: DataFrame) -> DataFrame:
-    """classes: cls, corners. Four entries for each corner."""
+def entries(classes: DataFrame, heavy: np.ndarray | None = None, only: bool = False) -> DataFrame:
+    """classes: cls, corners. Four entries for each corner; of keys that are heavy none, or `only` those."""
 
     def run(batches):
         for whole in batches:
@@ -264,15 +267,27 @@ def entries(classes: DataFrame) -> DataFrame:
                 if not n.sum():
                     continue
                 f = unpacked(b"".join(raw))
-                cls, kp = np.repeat(b.column("cls").to_numpy(), n), ragged(n).astype(np.int32)
-                w1, w2 = (f[:, 4] << 32) | f[:, 5], (f[:, 6] << 32) | f[:, 7]
-                every = lambda x: pa.array(np.repeat(x, 4))
+                cls, kp = np.repeat(b.column("cls").to_numpy(), n), ragged(n)
                 key = (np.arange(4)[None, :] << 32) | f[:, 4:]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), every(cls), every(kp), every(w1), every(w2)], names=FIELDS)
+                rest = f[:, 4:][:, [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]]
+                two, one = (rest[..., 0] << 32) | rest[..., 1], rest[..., 2].astype(np.uint32).view(np.int32)
+                columns = [((key << NUMBER) | kp[:, None]).ravel(), np.repeat(cls, 4), two.ravel(), one.ravel()]
+                if heavy is not None:
+                    own = np.isin(key.ravel(), heavy) == only
+                    columns = [x[own] for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=FIELDS)
 
     return classes.mapInArrow(run, ENTRY)
 
 
+def heavy_keys(classes: DataFrame, most: int = 1 << 14, share: int = 64) -> np.ndarray:
+    """Keys so common that their entries aren't sent to one place: at most `most`, by a sample of classes."""
+    sample = entries(classes.where(F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(share)) == 0)).groupBy(F.shiftright("at", NUMBER).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    total = sample.agg(F.sum("n")).first()[0] or 0
+    found = sample.where(F.col("n") > max(share, total // most)).select("key").collect()  # `most` rows
+    return np.sort(np.array([r["key"] for r in found], dtype=np.int64))
+
+
 def expanded(lo: np.ndarray, hi: np.ndarray):
     """For ranges [lo, hi): (which range, position), some EXPAND of them at a time."""
     n = hi - lo
@@ -327,41 +342,123 @@ def copies(one: np.ndarray, many: np.ndarray, owner: np.ndarray, sizes: np.ndarr
     return out
 
 
-def all_of_key(f: dict[str, np.ndarray], budget: int) -> pa.RecordBatch:
-    """(a, b, and the corners' numbers ka, kb): pairs of classes with a corner each in one key that agree; f is sorted by key."""
-    lo = np.flatnonzero(np.append(True, f["key"][1:] != f["key"][:-1]))
-    ends = np.repeat(np.append(lo[1:], len(f["key"])), np.diff(np.append(lo, len(f["key"]))))
-    out = [np.zeros((4, 0), dtype=np.int64)]
+def all_of_key(f: dict[str, np.ndarray], budget: int) -> list[pa.Array]:
+    """(a, b): classes with a corner each in one key that agree, once for each; f is sorted by key.
+
+    Corners that have several words in common count in the first of these tables alone.
+    """
+    key = f["at"] >> NUMBER
+    lo = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.repeat(np.append(lo[1:], len(key)), np.diff(np.append(lo, len(key))))
+    out = [np.zeros((2, 0), dtype=np.int64)]
     for i, j in expanded(np.arange(1, len(ends) + 1), ends):
-        differ = sum(np.bitwise_count(f[w][i] ^ f[w][j]).astype(np.int64) for w in ("w1", "w2"))
-        ok = (differ <= budget) & (f["cls"][i] != f["cls"][j])
-        i, j = i[ok], j[ok]
-        swap = f["cls"][i] > f["cls"][j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        out.append(np.stack((f["cls"][i], f["cls"][j], f["kp"][i].astype(np.int64), f["kp"][j].astype(np.int64))))
-    a, b, ka, kb = np.concatenate(out, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ka.astype(np.int32)), pa.array(kb.astype(np.int32))], names=["a", "b", "ka", "kb"])
+        x, y, table = f["two"][i] ^ f["two"][j], f["one"][i] ^ f["one"][j], key[i] >> 32
+        differ = np.bitwise_count(x.view(np.uint64)).astype(np.int64) + np.bitwise_count(y.view(np.uint32))
+        low = np.int64(0xFFFFFFFF)
+        seen = ((x >> 32) & low == 0) & (table > 0) | (x & low == 0) & (table > 1) | (y == 0) & (table > 2)
+        ok = (differ <= budget) & (f["cls"][i] != f["cls"][j]) & ~seen
+        a, b = f["cls"][i[ok]], f["cls"][j[ok]]
+        out.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
+    return [pa.array(x) for x in np.concatenate(out, axis=1)]
+
 
+def meetings(table: DataFrame, budget: int, hot: int) -> DataFrame:
+    """(a, b) for agreeing corners of two classes in keys of at most `hot` entries; (a, key, kp) for the entries of others."""
+    names = ["a", "b", "key", "kp"]
 
-def agreeing(rows: DataFrame, budget: int) -> DataFrame:
-    """(a, b, ka, kb): agreeing corners of two classes, by keys that few corners have."""
+    def pairs(f) -> pa.RecordBatch:
+        a, b = all_of_key(f, budget)
+        return pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], names=names)
+
+    def alone(f) -> pa.RecordBatch:
+        key, kp = f["at"] >> NUMBER, (f["at"] & ((1 << NUMBER) - 1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(f["cls"]), pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(kp)], names=names)
 
     def run(batches):
-        rest = None
-        for b in batches:
-            f = {c: b.column(c).to_numpy() for c in FIELDS}
+        rest, hot_key = None, None
+        for whole in batches:
+            f = {c: whole.column(c).to_numpy() for c in FIELDS}
             if rest is not None:
                 f = {c: np.concatenate((rest[c], x)) for c, x in f.items()}
-            if not len(f["key"]):
+            if not len(f["at"]):
                 continue
-            last = int(np.searchsorted(f["key"], f["key"][-1]))  # its key may go on
-            whole, rest = {c: x[:last] for c, x in f.items()}, {c: x[last:] for c, x in f.items()}
-            if last:
-                yield all_of_key(whole, budget)
-        if rest is not None and len(rest["key"]):
-            yield all_of_key(rest, budget)
+            key = f["at"] >> NUMBER
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(first, len(key)))
+            many = sizes > hot
+            many[0] |= key[0] == hot_key
+            hot_key = key[-1] if many[-1] else None
+            kind = np.where(many, 1, 0)
+            if not many[-1]:
+                kind[-1] = 2  # its key may go on
+            kind = np.repeat(kind, sizes)
+            few, most, rest = ({c: x[kind == k] for c, x in f.items()} for k in (0, 1, 2))
+            if len(few["at"]):
+                yield pairs(few)
+            if len(most["at"]):
+                yield alone(most)
+        if rest is not None and len(rest["at"]):
+            yield pairs(rest)
+
+    return table.repartition(F.shiftright("at", NUMBER)).sortWithinPartitions("at").mapInArrow(run, "a bigint, b bigint, key bigint, kp int")
+
+
+def similar_in_tile(corners_of: list[bytes], label: np.ndarray, second: np.ndarray | None, votes: int, share: float, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the copies in a tile (see groups): pairs with enough agreeing corners are verified."""
+    n, sizes = len(corners_of), np.array([len(x) // 32 for x in corners_of])
+    every, first, owner = unpacked(b"".join(corners_of)), np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
+    agreed = np.zeros(n * n, dtype=np.int64)
+    for table in range(4):
+        order = np.argsort(every[:, 4 + table], kind="stable")
+        words = every[order, 4 + table]
+        starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        ends = np.repeat(np.append(starts[1:], len(words)), np.diff(np.append(starts, len(words))))
+        for i, j in expanded(np.arange(1, len(words) + 1), ends):
+            i, j = order[i], order[j]
+            differing = every[i, 4:] ^ every[j, 4:]
+            ok = (differing[:, :table] != 0).all(axis=1) & (np.bitwise_count(differing).sum(axis=1) <= budget)
+            i, j = owner[i[ok]], owner[j[ok]]
+            agreed += np.bincount(np.minimum(i, j) * n + np.maximum(i, j), minlength=n * n)
+    need = np.maximum(votes, np.ceil(share * np.minimum(sizes[:, None], sizes[None, :]) - 1e-9))
+    maybe = np.triu(agreed.reshape(n, n) >= need, 1)
+    if second is not None:
+        maybe &= second[:, None] != second[None, :]
+    label, out = label.copy(), []
+    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+        others = np.flatnonzero(maybe[i] & (label != label[i]))
+        if not len(others):
+            continue
+        at = np.repeat(first[others], sizes[others]) + ragged(sizes[others])
+        ok = copies(every[first[i] : first[i] + sizes[i]], every[at], np.repeat(np.arange(len(others)), sizes[others]), sizes[others], votes, share, budget)
+        for j in others[ok].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
 
-    return rows.select(*FIELDS).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, ka int, kb int")
+def with_enough(lacking: DataFrame) -> DataFrame:
+    """The pairs whose agreeing corners and those in hot keys that both have may be as many as they need."""
+    names = ["a", "b", "n_a", "n_b", "agreed", "need"]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                lists = [b.column(c) for c in ("hot_a", "hot_b")]
+                (va, oa), (vb, ob) = ((x.values.to_numpy(), x.offsets.to_numpy()) for x in lists)
+                lack = b.column("need").to_numpy() - b.column("agreed").to_numpy()
+                keep = np.zeros(b.num_rows, dtype=bool)
+                for k in range(b.num_rows):
+                    x, y = va[oa[k] : oa[k + 1]], vb[ob[k] : ob[k + 1]]
+                    both = np.intersect1d(x >> NUMBER, y >> NUMBER)
+                    if len(both):
+                        corners_of = (len(np.unique(z[np.isin(z >> NUMBER, both)] & ((1 << NUMBER) - 1))) for z in (x, y))
+                        keep[k] = min(corners_of) >= lack[k]
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names=names).filter(pa.array(keep))
+
+    rows = lacking.select(*names, "hot_a", "hot_b")
+    return rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in rows.select(*names).dtypes))
 
 
 def verified(pairs: DataFrame, corners_of: DataFrame, votes: int, share: float, budget: int, partners: int = 2048) -> DataFrame:
@@ -401,7 +498,7 @@ def verified(pairs: DataFrame, corners_of: DataFrame, votes: int, share: float,
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def find_copies(images: DataFrame, votes: int = 4, share: float = 0.3, budget: int = 12, hot: int = 32, side: int = SIDE, id_col: str = "id", image_col: str = "image") -> DataFrame:
+def find_copies(images: DataFrame, votes: int = 4, share: float = 0.3, budget: int = 12, hot: int = 32, side: int = 2048, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """(id, image_class, component_id, corners) of every row.
 
     image_class: the smallest id of the same pixels; component_id: the smallest id reachable
@@ -410,43 +507,37 @@ def find_copies(images: DataFrame, votes: int = 4, share: float = 0.3, budget: i
     known = materialize(features(plain(images, id=id_col, image=F.col(f"`{image_col}`").cast("binary"))))
     classes = known.where("cls is not null").groupBy("cls").agg(F.min("id").alias("image_class"), (F.max(F.length("corners")) / 32).cast("int").alias("corners"))
     # A class of fewer corners than votes is nobody's copy.
-    one = known.where(F.length("corners") >= 32 * votes).select("cls", "corners").dropDuplicates(["cls"])
-    one = materialize(one)
-    table = entries(one)
-    shared = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")))
-    paired = materialize(table.join(shared, "key"))
-    few = agreeing(paired.where("not hot"), budget).groupBy("a", "b").agg(*[F.size(F.collect_set(f"k{c}")).alias(f"few_{c}") for c in ("a", "b")])
-    in_hot = paired.where("hot").select("cls", "kp").distinct().groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("more"))
-    about = materialize(one.select("cls", (F.length("corners") / 32).cast("int").alias("n")).join(in_hot, "cls", "left").select("cls", "n", F.coalesce("more", F.lit(0)).alias("more")))
+    # Only rows of repeated pixels are reduced to one: corners of the others needn't move.
+    able = known.where(F.length("corners") >= 32 * votes).select("cls", "corners")
+    again = materialize(known.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls"))
+    one = materialize(able.join(again, "cls", "left_anti").unionByName(able.join(again, "cls", "left_semi").dropDuplicates(["cls"])))
+    heavy = heavy_keys(one)
+    met = materialize(meetings(entries(one, heavy), budget, hot))
+    few = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("agreed"))
+    in_hot = met.where("b is null").select(F.col("a").alias("cls"), "key", "kp").unionByName(entries(one, heavy, only=True).select("cls", F.shiftright("at", NUMBER).alias("key"), F.col("at").bitwiseAND(F.lit((1 << NUMBER) - 1)).cast("int").alias("kp")))
+    # A corner in a hot key: 31 bits of the key's hash, and the corner's number.
+    mark = F.shiftleft(F.xxhash64("key").bitwiseAND(F.lit(0x7FFFFFFF)), NUMBER).bitwiseOR(F.col("kp").cast("long"))
+    common = materialize(in_hot.groupBy("cls").agg(F.count_distinct("kp").cast("int").alias("more"), F.collect_list(mark).alias("hot")))
+    about = materialize(one.select("cls", (F.length("corners") / 32).cast("int").alias("n")).join(common.select("cls", "more"), "cls", "left").select("cls", "n", F.coalesce("more", F.lit(0)).alias("more")))
     left, right = (about.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("more").alias(f"more_{c}")) for c in ("a", "b"))
     need = F.greatest(F.lit(votes), F.ceil(F.least("n_a", "n_b") * share - 1e-9))
-    maybe = few.join(left, "a").join(right, "b").where(F.least(F.col("few_a") + F.col("more_a"), F.col("few_b") + F.col("more_b")) >= need)
+    maybe = few.join(left, "a").join(right, "b").withColumn("need", need).where(F.col("agreed") + F.least("more_a", "more_b") >= F.col("need"))
+    # A pair that lacks some may only find them in hot keys that both have.
+    maybe = materialize(maybe.select("a", "b", "n_a", "n_b", "agreed", F.col("need").cast("long").alias("need")))
+    lacking = maybe.where("agreed < need")
+    for c in ("a", "b"):
+        lacking = lacking.join(common.select(F.col("cls").alias(c), F.col("hot").alias(f"hot_{c}")), c)
+    maybe = maybe.where("agreed >= need").unionByName(with_enough(lacking))
     first_is_big = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
     pairs = materialize(maybe.select(F.when(first_is_big, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(first_is_big, F.col("b")).otherwise(F.col("a")).alias("small")))
     linked = verified(pairs, one, votes, share, budget)
-    group = paired.where("hot").join(about.where(F.col("more") >= votes).select("cls"), "cls").select("key", "cls").distinct()
+    group = in_hot.join(about.where(F.col("more") >= votes).select("cls"), "cls").select("key", "cls").distinct()
+    group = materialize(group)
     least_of = materialize(group.groupBy("key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b"))
     if not least_of.isEmpty():
         reach = materialize(components(group.join(least_of, "key").where("cls <> b").select(F.col("cls").alias("a"), "b")))
         member = materialize(reach.join(one, reach["node"] == one["cls"]).select("root", F.col("node").alias("id"), F.length("corners").cast("long").alias("size"), "corners"))
-
-        def compare(rows, label, second):
-            sizes = np.array([len(x[0]) // 32 for x in rows])
-            every, first = unpacked(b"".join(x[0] for x in rows)), np.cumsum(sizes) - sizes
-            label, out = label.copy(), []
-            for i in range(len(rows)):
-                others = np.arange(i + 1, len(rows)) if second is None else np.flatnonzero(second)
-                others = others[label[others] != label[i]]
-                if not len(others) or (second is not None and second[i]):
-                    continue
-                at = np.repeat(first[others], sizes[others]) + ragged(sizes[others])
-                ok = copies(every[first[i] : first[i] + sizes[i]], every[at], np.repeat(np.arange(len(others)), sizes[others]), sizes[others], votes, share, budget)
-                for j in others[ok].tolist():
-                    if label[j] != label[i]:
-                        label[label == label[j]] = label[i]
-                        out.append((i, j))
-            return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
-
+        compare = lambda rows, label, second: similar_in_tile([x[0] for x in rows], label, second, votes, share, budget)
         linked = linked.unionByName(group_links(member, ["corners"], compare, side))
     reach = materialize(components(linked))
     least = materialize(classes.join(reach.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
