@@ -42,13 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, plain, repeated
+from terrafold.llm.common import discard, materialize, plain, repeated
 
 CHUNK_BYTES = 16 << 20
 #: Copies of a row from which they go as one.
 REPEATED = 256
 #: Classes: the rare and unseen words, the end token, and SUFFIXES of word endings; parts of a class.
-RARE, END, SUFFIXES, PARTS = 0, 1, 62, 32
+RARE, END, SUFFIXES, PARTS = 0, 1, 62, 16
 CLASSES = SUFFIXES + 2
 #: Buckets of hashed words, and learned tokens for each.
 LEAST_BUCKETS, MOST_BUCKETS, TOKENS = 1 << 12, 1 << 16, 1 << 14
@@ -408,6 +408,7 @@ class Learned:
             sums[r["kind"], r["sub"]] = r["c"]
             n, v, once, twice = n + r["c"], v + r["v"], once + r["once"], twice + r["twice"]
         self.arrays = materialize(by_chunk(counted))
+        discard(counted)
         prior = Prior(n, v, once, twice, sums)
         self.model = Model(prior, prior.weights())
         for k in range(min(SYNCS, self.number_of) if n else 0):
