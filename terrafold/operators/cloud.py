@@ -29,6 +29,11 @@ def crop_box(points: DataFrame, low: dict[str, float | None], high: dict[str, fl
     return points.where(~inside if invert else inside)
 
 
+def mask_cloud(points: DataFrame, selected: DataFrame, keep: bool = True) -> DataFrame:
+    """The selected points (by pid), or with keep=False the others. Repeated ids select once."""
+    return points.join(selected.select("pid").distinct(), "pid", "left_semi" if keep else "left_anti")
+
+
 def luma(r: str = "r", g: str = "g", b: str = "b") -> Column:
     """Rec. 709 luma."""
     return F.col(r) * 0.2126 + F.col(g) * 0.7152 + F.col(b) * 0.0722

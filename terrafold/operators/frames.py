@@ -281,3 +281,28 @@ def focals_from_pairs(pairs: DataFrame, most: int = 60, least: int = 5, least_ra
     fit = F.coalesce(F.col("n") > 0, F.lit(False))
     pick = lambda a, b: F.when(fit, F.col(a)).otherwise(F.col(b)).alias(a)
     return told.select("grp", pick("s", "ws"), pick("n", "wn"), pick("of", "wo"), fit.alias("own")).where("n > 0")
+
+
+def guided_matches(points: DataFrame, photos: DataFrame, keypoints: DataFrame, known: DataFrame, radius: float = 8.0, most: float = 0.5) -> DataFrame:
+    """(pt, image_id, kp, distance): keypoints that tie points can be extended by.
+
+    points: pt, x, y, z, d (descriptor); photos: of surface.PHOTO; keypoints: image_id, kp, u, v, d; known: pt,
+    image_id, kp (observations already held). A point is looked for where it projects to, within `radius` pixels,
+    among keypoints that no point holds, in photographs that don't see it yet; descriptors are at most `most`
+    apart (squared). Of a point's keypoints the nearest descriptor counts, and of a keypoint's points; ties go
+    to the smaller id. Both must choose each other.
+    """
+    from terrafold.operators.match import squared_distance
+    from terrafold.operators.surface import PHOTO, _seen
+
+    seen = _seen(points.select("pt", "x", "y", "z"), photos.select(*PHOTO)).where((F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") < F.col("height")))
+    fresh = seen.select("pt", "image_id", F.col("u").alias("pu"), F.col("v").alias("pv")).join(known.select("pt", "image_id"), ["pt", "image_id"], "left_anti")
+    at = lambda c: F.floor(F.col(c) / radius).cast("bigint")
+    near = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
+    asked = fresh.withColumn("gx", near("pu")).withColumn("gy", near("pv"))
+    free = keypoints.select("image_id", "kp", "u", "v", F.col("d").alias("kd")).join(known.select("image_id", "kp"), ["image_id", "kp"], "left_anti").withColumns({"gx": at("u"), "gy": at("v")})
+    met = asked.join(free, ["image_id", "gx", "gy"]).where(F.pow(F.col("pu") - F.col("u"), F.lit(2)) + F.pow(F.col("pv") - F.col("v"), F.lit(2)) <= radius * radius)
+    told = met.join(points.select("pt", "d"), "pt").withColumn("distance", squared_distance("d", "kd")).where(F.col("distance") <= most).select("pt", "image_id", "kp", "distance")
+    own = told.groupBy("pt", "image_id").agg(F.min(F.struct("distance", "kp")).alias("m")).select("pt", "image_id", F.col("m.kp").alias("kp"), F.col("m.distance").alias("distance"))
+    back = told.groupBy("image_id", "kp").agg(F.min(F.struct("distance", "pt")).alias("m")).select("image_id", "kp", F.col("m.pt").alias("pt"))
+    return own.join(back, ["image_id", "kp", "pt"]).select("pt", "image_id", "kp", "distance")

@@ -61,12 +61,12 @@ def radius_neighbours(spark, d):
     return pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("d2"), 6).alias("nearest"))
 
 
-@query(f"WITH {V.POINTS}, a AS (SELECT * FROM points WHERE pid // 64 % 2 = 0), b AS (SELECT * FROM points WHERE pid // 64 % 2 = 1), {V.near_sql(3.0, 'a', 'b')}, m AS (SELECT pid, min(d2) d2 FROM near GROUP BY 1) SELECT a.pid, round(sqrt(m.d2),6) distance FROM a LEFT JOIN m USING (pid)")
+@query(f"WITH {V.POINTS}, a AS (SELECT * FROM points WHERE pid // 64 % 2 = 0), b AS (SELECT * FROM points WHERE pid // 64 % 2 = 1), {V.near_sql(2.0, 'a', 'b')}, m AS (SELECT pid, min(d2) d2 FROM near GROUP BY 1) SELECT a.pid, round(sqrt(m.d2),6) distance FROM a LEFT JOIN m USING (pid)")
 def cloud_distance(spark, d):
     """The two epochs are the even and the odd orders: every point belongs to one."""
     p = V.points(spark, d)
     epoch = F.floor(F.col("pid") / 64) % 2
-    return C.cloud_distance(p.where(epoch == 0), p.where(epoch == 1), 3.0).select("pid", F.round("distance", 6).alias("distance"))
+    return C.cloud_distance(p.where(epoch == 0), p.where(epoch == 1), 2.0).select("pid", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {V.POINTS}, e AS (SELECT *, pid // 64 % 2 AS src, floor(x/4) ia, floor(y/4) ib, floor(z/4) ic FROM points), o AS (SELECT ia,ib,ic,min(src) owner FROM e GROUP BY 1,2,3) SELECT src, count(*) n, sum(pid)::BIGINT s FROM e JOIN o USING (ia,ib,ic) WHERE src = owner GROUP BY 1")

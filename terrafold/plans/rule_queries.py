@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from terrafold.functions import color, geom, text
-from terrafold.operators import match, rules, select, survey
+from terrafold.operators import cloud, match, rules, select, survey
 from terrafold.plans import views as V
 from terrafold.plans.cloud_queries import r6
 from terrafold.plans.register import Catalog
@@ -263,3 +263,11 @@ def mirrored_pairs(spark, d):
 def near_equal_parts(spark, d):
     items = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     return rules.chunks(items, 7, "id").select("id", F.col("part").cast("bigint").alias("part"))
+
+
+@query(f"WITH {V.POINTS}, s AS (SELECT pid FROM points WHERE (pid * 7) % 5 < 2) SELECT (SELECT count(*) FROM points JOIN s USING (pid)) kept, (SELECT count(*) FROM points WHERE pid NOT IN (SELECT pid FROM s)) gone")
+def masked_points(spark, d):
+    p = V.points(spark, d)
+    chosen = p.where("(pid * 7) % 5 < 2").select("pid")
+    count = lambda keep, name: cloud.mask_cloud(p, chosen, keep).agg(F.count(F.lit(1)).alias(name))
+    return count(True, "kept").join(count(False, "gone"))  # one row each

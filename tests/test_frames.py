@@ -333,3 +333,28 @@ def test_history_and_log(spark):
     assert sorted((r.source, r.level, r.n) for r in digest.collect()) == [("Sparse", "error", 1), ("Sparse", "info", 1), ("System", "info", 2)]
     assert history.digest_markdown(digest).splitlines()[2:] == ["| Sparse | error | 1 |", "| Sparse | info | 1 |", "| System | info | 2 |"]
     assert math.isfinite(len(history.LOG_SOURCES))
+
+
+def test_guided_matches(spark):
+    rng = np.random.default_rng(9)
+    x = np.column_stack((rng.uniform(0, 20, (60, 2)), rng.uniform(0, 2, 60)))
+    d = rng.normal(size=(60, 4))
+    down = [1.0, 0, 0, 0, -1, 0, 0, 0, -1]
+    photos, keypoints, known, places = [], [], [], {}
+    for k, (cx, cy, h) in enumerate([(8.0, 8.0, 30.0), (12.0, 11.0, 28.0)]):
+        photos.append((k, *map(float, down), -cx, cy, h, 500.0, 500.0, 200.0, 200.0, 400, 400, cx - 60, cy - 60, cx + 60, cy + 60))
+        depth = h - x[:, 2]
+        u, v = 500 * (x[:, 0] - cx) / depth + 200, 500 * (cy - x[:, 1]) / depth + 200
+        for j in range(60):
+            if 0 <= u[j] < 400 and 0 <= v[j] < 400:
+                places[j, k] = j
+                keypoints.append((k, j, float(u[j] + rng.normal(0, 0.5)), float(v[j] + rng.normal(0, 0.5)), [float(c) for c in d[j] + rng.normal(0, 0.01, 4)]))
+                keypoints.append((k, 1000 + j, float(u[j] + 3), float(v[j]), [float(c) for c in d[j] + 5]))
+                if j % 4 == 0 and k == 0:
+                    known.append((j, k, j))
+    schema = "image_id long, " + ", ".join(f"{c} {'int' if c in ('width', 'height') else 'double'}" for c in surface.PHOTO[1:])
+    points = spark.createDataFrame([(j, *map(float, x[j]), d[j].tolist()) for j in range(60)], "pt long, x double, y double, z double, d array<double>")
+    keys = spark.createDataFrame(keypoints, "image_id long, kp long, u double, v double, d array<double>")
+    held = spark.createDataFrame(known, "pt long, image_id long, kp long")
+    got = {(r.pt, r.image_id): r.kp for r in frames.guided_matches(points, spark.createDataFrame(photos, schema), keys, held).collect()}
+    assert got == {k: v for k, v in places.items() if (k[0], k[1], v) not in set(known)}
