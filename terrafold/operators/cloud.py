@@ -159,9 +159,11 @@ def outlier_filter(points: DataFrame, reach: float, k: int = 12, std_ratio: floa
 
     Fewer than three points come back as they are.
     """
+    from terrafold.operators.graph import settled
+
     if points.limit(3).count() < 3:
         return points
-    means = neighbour_means(points, reach, k)
+    means = settled(neighbour_means(points, reach, k))  # read twice
     limit = means.agg((F.avg("mean") + std_ratio * F.stddev_pop("mean")).alias("limit"))  # one row
     kept = means.join(F.broadcast(limit)).where("mean <= limit").select("pid")
     return points.join(kept, "pid", "left_semi")
