@@ -121,8 +121,8 @@ def test_small_sources_meet_their_targets(spark):
 
 
 def test_repeated_rows_are_spread_and_counted(spark):
-    df = spark.createDataFrame([(1, "one two three", "a")], "doc_id long, text string, source string")
-    many = df.crossJoin(spark.range(70_000)).drop("id").unionByName(spark.createDataFrame([(k, "four five " * 9, "b") for k in range(2, 200)], df.schema))
+    df = spark.range(70_000).selectExpr("CAST(1 AS bigint) AS doc_id", "'one two three' AS text", "'a' AS source")
+    many = df.unionByName(spark.createDataFrame([(k, "four five " * 9, "b") for k in range(2, 200)], "doc_id long, text string, source string"))
     mixed = mixing.mix(many, shard_words=1 << 14)
     got = mixed.groupBy("source").agg({"taken": "sum", "target": "first", "doc_id": "count"}).toPandas().set_index("source")
     assert got.loc["a", "count(doc_id)"] == 70_000 and got.loc["b", "count(doc_id)"] == 198
