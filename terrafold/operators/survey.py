@@ -209,13 +209,18 @@ def shoelace(points: str) -> Column:
     return F.when(n < 3, 0.0).otherwise(F.abs(F.aggregate(part, F.lit(0.0), lambda a, b: a + b)) / 2)
 
 
-def screen_select(points: DataFrame, matrix: list[list[float]], rings: list[list[tuple[float, float]]]) -> DataFrame:
-    """Points whose clip-space projection lies inside a lasso (even-odd), in front of the camera."""
-    from terrafold.operators.raster import inside_polygon
+def screen_select(points: DataFrame, matrix: list[list[float]], rings: list[list[tuple[float, float]]], edge: bool = True) -> DataFrame:
+    """Points whose clip-space projection lies inside a lasso (even-odd), in front of the camera.
+
+    Edges are half-open, as in a polygon's other uses; with edge=False no point on one is selected.
+    """
+    from terrafold.operators.raster import inside_polygon, on_edge
 
     row = lambda r: r[0] * F.col("x") + r[1] * F.col("y") + r[2] * F.col("z") + r[3]
     w = row([float(v) for v in matrix[3]])
-    return points.where((w > 0) & inside_polygon(row([float(v) for v in matrix[0]]) / w, row([float(v) for v in matrix[1]]) / w, rings))
+    u, v = row([float(c) for c in matrix[0]]) / w, row([float(c) for c in matrix[1]]) / w
+    inside = (w > 0) & inside_polygon(u, v, rings)
+    return points.where(inside if edge else inside & ~on_edge(u, v, rings))
 
 
 def classify_selection(points: DataFrame, selected: DataFrame, value: int) -> DataFrame:

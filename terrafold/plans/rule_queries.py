@@ -187,7 +187,7 @@ def screen_rules(spark, d):
     eye = [[2.0, 0.0, 0.0, -100.0], [0.0, 2.0, 0.0, -100.0], [0.0, 0.0, 1.0, 60.0], [0.0, 0.0, 1.0, 60.0]]
     p = V.points(spark, d)
     ring = [(-0.505, -0.505), (0.495, -0.505), (0.495, 0.495), (-0.505, 0.495)]
-    inside = survey.screen_select(p, eye, [ring]).agg(F.count(F.lit(1)).alias("inside"))
+    inside = survey.screen_select(p, eye, [ring], edge=False).agg(F.count(F.lit(1)).alias("inside"))
     parts = [inside, rules.pick_nearest(p, eye, (0.1, 0.0), (0.2, 0.2)).withColumnRenamed("pid", "picked"), rules.max_abs(p)]
     return reduce(lambda a, b: a.join(b), parts)  # one row each
 
