@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.operators.cloud import covariance_normals
+from terrafold.operators import near
 
 
 def normals(points: DataFrame, reach: float) -> DataFrame:
     """(pid, nx, ny, nz, planarity): the least principal axis of the points within reach, turned up.
 
-    Covariances are an aggregation; only the 3 x 3 eigenproblems run in numpy, by batches. Under
+    Covariances and the 3 x 3 eigenproblems run in numpy, once a place. Under
     three points, or points in line, give (0, 0, 1) and a null planarity.
     """
 
@@ -32,10 +32,11 @@ def normals(points: DataFrame, reach: float) -> DataFrame:
             bad = (f["n"].to_numpy() < 4) | (value[:, 1] <= 1e-12 * np.maximum(total, 1e-300))
             n[bad] = (0, 0, 1)
             flat = np.where(bad, np.nan, value[:, 0] / np.maximum(total, 1e-300))
-            yield pd.DataFrame({"pid": f["pid"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "planarity": flat})
+            yield pd.DataFrame({"x": f["x"], "y": f["y"], "z": f["z"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "planarity": flat})
 
-    out = covariance_normals(points, reach).mapInPandas(solve, "pid bigint, nx double, ny double, nz double, planarity double")
-    return out.withColumn("planarity", F.when(~F.isnan("planarity"), F.col("planarity")))
+    out = near.around(points, reach, spread=True).mapInPandas(solve, "x double, y double, z double, nx double, ny double, nz double, planarity double")
+    out = out.withColumn("planarity", F.when(~F.isnan("planarity"), F.col("planarity")))
+    return near.at_places(points.select("pid", "x", "y", "z"), out).select("pid", "nx", "ny", "nz", "planarity")
 
 
 def undistort(x, y, k1: float = 0.0, k2: float = 0.0, k3: float = 0.0, p1: float = 0.0, p2: float = 0.0):
