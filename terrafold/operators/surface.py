@@ -160,8 +160,9 @@ def sample_ortho(cells: DataFrame, photos: DataFrame, pixels: DataFrame, depth_t
     """
     seen = _seen(cells.select("row", "col", "x", "y", "z"), photos.select(*PHOTO))
     seen = seen.withColumns({"pu": F.floor(F.col("u") + 0.5).cast("bigint"), "pv": F.floor(F.col("v") + 0.5).cast("bigint"), "away": F.col("depth")}).where("pu >= 0 and pv >= 0 and pu < width and pv < height")
-    stored = pixels.select("image_id", "pu", "pv", F.col("depth").alias("stored"), "cost", "r", "g", "b").where("stored > 0")
-    met = seen.select("row", "col", "image_id", "pu", "pv", "away").join(stored, ["image_id", "pu", "pv"]).where((F.abs(F.col("stored") - F.col("away")) <= depth_tol * F.col("away")) & (F.col("cost") <= max_cost))
+    stored = pixels.select("image_id", "pu", "pv", F.col("depth").alias("stored"), "cost", "r", "g", "b").where((F.col("stored") > 0) & (F.col("cost") <= max_cost))
+    # Neither side is ever broadcast: both may come of an explode, of which a plan's estimate knows nothing.
+    met = seen.select("row", "col", "image_id", "pu", "pv", "away").hint("merge").join(stored.hint("merge"), ["image_id", "pu", "pv"]).where(F.abs(F.col("stored") - F.col("away")) <= depth_tol * F.col("away"))
     if blend == "average":
         w = 1 / (F.col("cost") + 1e-3)
         mean = lambda c: F.floor(F.sum(w * F.col(c)) / F.sum(w) + 0.5).cast("bigint").alias(c)
