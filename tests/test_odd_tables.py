@@ -119,3 +119,11 @@ def test_null_and_short_vectors_have_null_scores(spark):
     df = spark.createDataFrame(rows, "id long, v array<float>")
     got = {(r.id, r.rank): (r.other, r.score) for r in match.top_similar(df, 2).collect()}
     assert got[1, 1] == (2, 4.0) and got[1, 2] == (3, None) and got[3, 1] == (1, None) and got[4, 2] == (2, None) and len(got) == 10
+
+
+@pytest.mark.parametrize("name", ["ortho_best", "ortho_average"])
+def test_exploded_pixels_are_not_sent_to_the_driver(spark, name):
+    # Whatever the estimate says: pixels come of an explode of a small table.
+    tree = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in tree.splitlines() if "Join" in x and "image_id" in x and "pu" in x)
+    assert "SortMergeJoin" in join
