@@ -145,8 +145,7 @@ def tile_gate(spark, d):
 def cone_visibility(spark, d):
     k = F.col("s_suppkey")
     cameras = V.table(spark, d, "supplier").select(k.alias("image_id"), (k * 37 % 101).cast("double").alias("x"), (k * 53 % 101).cast("double").alias("y"), (55.0 + k % 9).alias("z"))
-    points = V.points(spark, d).select(F.col("pid").alias("pt"), "x", "y", "z")
-    return rules.visibility(points, cameras, 20.0, 35.001).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    return rules.visible_counts(V.points(spark, d), cameras, 20.0, 35.001)
 
 
 @query(f"WITH {V.POINTS}, a AS (SELECT pid AS pt, round(z - (r % 50), 6) dz, b % 6 AS views FROM points WHERE r % 3 > 0), k AS (SELECT *, row_number() OVER (ORDER BY views DESC, abs(dz), pt) rn FROM a WHERE views >= 3) SELECT pt, dz, 0.25 AS weight FROM k WHERE rn <= 2000")

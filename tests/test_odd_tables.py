@@ -127,3 +127,11 @@ def test_exploded_pixels_are_not_sent_to_the_driver(spark, name):
     tree = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     join = next(x for x in tree.splitlines() if "Join" in x and "image_id" in x and "pu" in x)
     assert "SortMergeJoin" in join
+
+
+def test_crowded_cameras_over_a_crowded_place(spark, made):
+    # All cameras stand at (0, 0, 55), the points at (0, 0, 45) and (0, 1, 45).
+    points = CROWD.replace("CAST(50 AS BIGINT) AS l_partkey", "CAST(0 AS BIGINT) AS l_partkey").replace("THEN 50 ELSE 51", "THEN 0 ELSE 1").replace("20.0::DOUBLE", "45.0::DOUBLE")
+    where = made(lineitem=points, supplier="SELECT CAST(k * 909 AS BIGINT) AS s_suppkey FROM range(40000) t(k)")
+    got = within(spark, 40, lambda: catalog.QUERIES["cone_visibility"](spark, where).collect())
+    assert len(got) == 40000 and {r.n for r in got} == {40003}
