@@ -13,9 +13,10 @@ its group's pairs level by level in numpy and reports a spanning forest, not all
 Components come from alternating star contractions over tables in the shared folder.
 
 `similarity` asks for more than near fingerprints: texts whose five-word shingles agree in that
-share. Such texts may differ in many bits of a fingerprint, so they are sought by one-permutation
-MinHash (BINS bins) instead: texts that share a band of ROWS whole minima are connected. A band
-only connects: all texts of a connected group are then held against each other, but for pairs
+share. The walk finds candidates among them as above: texts of fingerprints within the budget are
+connected. Such texts may also differ in many bits of a fingerprint, so one-permutation
+MinHash (BINS bins) connects more: texts that share a band of ROWS whole minima. Both
+only connect: all texts of a connected group are then held against each other, but for pairs
 that other links join already (see groups), and those are linked whose sets of five-word shingles
 agree. Sketches of a byte a bin spare the sets of clearly
 unlike pairs. Every distinct fingerprint and sketch takes part.
@@ -423,17 +424,28 @@ def decided(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: fl
     return group_links(member, ["sketch", "five"], compare, side)
 
 
-def similar_links(nodes: DataFrame, signed: DataFrame, similarity: float, side: int = SIDE) -> DataFrame:
-    """(a, b): links of similar texts. nodes: id, row, sketch (each fp and sketch once); signed: row, body, bands."""
+def walked(nodes: DataFrame, budget: int, tile: int) -> DataFrame:
+    """(a, b): links that connect all nodes whose fingerprints are equal or within the budget. nodes: id, fp."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    of = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+    across = links(first.select("fp"), budget, tile).join(of("a"), "a").join(of("b"), "b")
+    within = nodes.select("id", "fp").join(first, "fp").where("id <> first")
+    return across.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).unionByName(within.select(F.col("id").alias("a"), F.col("first").alias("b")))
+
+
+def similar_links(nodes: DataFrame, signed: DataFrame, similarity: float, side: int = SIDE, budget: int = 3, tile: int = 1024) -> DataFrame:
+    """(a, b): links of similar texts. nodes: id, row, fp, sketch (each fp and sketch once); signed: row, body, bands."""
     banded = materialize(nodes.select("id", "row").join(signed.select("row", "bands"), "row").select("id", "bands"))
-    return decided(candidates(banded), nodes, signed, similarity, side)
+    found = materialize(walked(nodes, budget, tile).unionByName(candidates(banded)).distinct())
+    return decided(found, nodes, signed, similarity, side)
 
 
 def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), similarity: float | None = None, side: int = SIDE) -> DataFrame:
     """(doc_id, fp, component_id, component, and the columns `keep`) of every row.
 
     component_id is the smallest doc_id reachable: by fingerprints within the budget, or with
-    `similarity` by texts whose five-word shingles agree in that share. component is a number
+    `similarity` by texts whose five-word shingles agree in that share, of those that fingerprints
+    within the budget or bands connect. component is a number
     of the same group that is never null.
     """
     signed = materialize(fingerprints(docs, words, id_col, text_col, keep, similarity is not None).withColumn("row", F.monotonically_increasing_id()))
@@ -444,7 +456,7 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 3, tile: int
     else:
         of = ["fp", "sketch"]
         nodes = materialize(signed.groupBy(*of).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")).withColumn("id", F.xxhash64(*of)))
-        found = similar_links(nodes.select("id", "row", "sketch"), signed, similarity, side)
+        found = similar_links(nodes.select("id", "row", "fp", "sketch"), signed, similarity, side, budget, tile)
     reach = materialize(components(found))
     member = materialize(reach.join(nodes, reach["node"] == nodes["id"]).select("id", "root", "least"))
     first = materialize(member.groupBy("root").agg(F.min("least").alias("first")))

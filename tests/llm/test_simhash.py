@@ -222,3 +222,19 @@ def test_near_copies_of_one_fingerprint_are_joined_whatever_its_smallest_sketch(
     assert len({r.fp for r in simhash.fingerprints(df).collect()}) == 1
     got = {r.doc_id: r.component_id for r in simhash.near_components(df, similarity=0.8).collect()}
     assert got == {k: k // 2 * 2 for k in range(len(texts))}
+
+
+def test_similar_texts_are_found_by_the_walk_alone(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "bands_of", lambda low: np.zeros(0, dtype=np.int64))
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(20):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+        texts += [" ".join(own), " ".join([*own[:-1], "other"]), " ".join(own[: 60])]
+    fps = [simhash.fingerprint(t.encode(), 3) for t in texts]
+    near = [k for k in range(20) if (fps[3 * k] ^ fps[3 * k + 1]).bit_count() <= 3]
+    assert len(near) > 10
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs, similarity=0.8).collect()}
+    assert [k for k in range(20) if got[3 * k + 1] == 3 * k] == near
+    assert all(got[3 * k + 2] == 3 * k + 2 for k in range(20)), "a tenth of a text is no near duplicate"
