@@ -5,6 +5,8 @@ A cell's centre is origin_x + (col + 0.5) gsd, origin_y - (row + 0.5) gsd.
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from terrafold.functions import geom
 
 #: How far outside a triangle a cell's centre may lie: both triangles of a shared edge cover it.
 SLACK = 1e-9
+#: Blocks of cells across the widest footprint of a photograph.
+BLOCKS = 6
 
 
 def mesh_surface(vertices: DataFrame, triangles: DataFrame, gsd: float, origin_x: float, origin_y: float, width: int, height: int) -> DataFrame:
@@ -134,12 +138,15 @@ def _seen(cells: DataFrame, photos: DataFrame) -> DataFrame:
     """Every cell with the photographs whose frame its point may lie in, with u, v and depth.
 
     A photograph is told to the blocks of cells that its ground footprint's box meets (photos: x0, y0,
-    x1, y1 over the cells' heights), so cells and photographs meet by block.
+    x1, y1 over the cells' heights), so cells and photographs meet by block. The widest box spans
+    BLOCKS blocks, so none is told to more than (BLOCKS + 1)^2 of them.
     """
-    block = 256
+    side = photos.agg(F.max(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))))).first()[0]
+    block = side / BLOCKS if side and isfinite(side) else 256.0
     size = lambda c, k: F.floor(F.col(c) / k).cast("bigint")
     spread = lambda a, b: F.explode(F.sequence(size(a, block), size(b, block)))
-    dealt = photos.withColumn("bx", spread("x0", "x1")).withColumn("by", spread("y0", "y1"))
+    # Never broadcast: the estimate of what an explode of the photographs gives knows nothing of it.
+    dealt = photos.withColumn("bx", spread("x0", "x1")).withColumn("by", spread("y0", "y1")).hint("merge")
     near = cells.withColumn("bx", size("x", block)).withColumn("by", size("y", block)).join(dealt, ["bx", "by"])
     r, t, k = [F.col(f"r{i}") for i in range(9)], tuple(F.col(f"t{i}") for i in range(3)), tuple(F.col(c) for c in ("fx", "fy", "cx", "cy"))
     u, v, depth = geom.project(r, t, k, (F.col("x"), F.col("y"), F.col("z")))

@@ -129,6 +129,13 @@ def test_exploded_pixels_are_not_sent_to_the_driver(spark, name):
     assert "SortMergeJoin" in join
 
 
+@pytest.mark.parametrize("name", ["nadir_captures", "ortho_best", "ortho_average"])
+def test_exploded_photographs_are_not_sent_to_the_driver(spark, name):
+    # Photographs are told to blocks by an explode as well.
+    tree = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [bx" in tree and "Broadcast" not in tree
+
+
 def test_crowded_cameras_over_a_crowded_place(spark, made):
     # All cameras stand at (0, 0, 55), the points at (0, 0, 45) and (0, 1, 45).
     points = CROWD.replace("CAST(50 AS BIGINT) AS l_partkey", "CAST(0 AS BIGINT) AS l_partkey").replace("THEN 50 ELSE 51", "THEN 0 ELSE 1").replace("20.0::DOUBLE", "45.0::DOUBLE")
