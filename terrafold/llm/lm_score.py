@@ -57,6 +57,10 @@ SYNCS = 2
 #: Tokens in a piece (or one text), words in a piece, and tokens in a gradient step. Pieces keep
 #: rows far smaller than the chunks, which spares the JVM large objects.
 PIECE, WORDS, STEP = 1 << 16, 1 << 15, 1 << 13
+#: Rows of a gradient step that fire one row of the weights up to which they are added with those of others.
+SHORT = 16
+#: Tokens whose logits are worked out at once: they stay in a core's cache.
+SLICE = 1 << 10
 #: Rows of the weights in a block, and changes that are added up at once.
 BLOCK, FAN = 256, 128
 
@@ -266,21 +270,48 @@ def logits(weights: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray |
     return np.clip(z, -60, 60, out=z)
 
 
+def summed(g: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the rows of g that order lists from each of first on, size of them each; longest come first.
+
+    Long runs are added up one by one, the j-th rows of all short ones together: add.reduceat
+    takes a call for each run and column.
+    """
+    long = int(np.searchsorted(-size, -SHORT))
+    out = g.take(order[first], axis=0)
+    for k in range(long):
+        out[k] = g.take(order[first[k] : first[k] + size[k]], axis=0).sum(axis=0)
+    for j in range(1, int(size[long]) if long < len(size) else 0):
+        to = int(np.searchsorted(-size, -j))
+        out[long:to] += g.take(order[first[long:to] + j], axis=0)
+    return out
+
+
 def descend(own: list[np.ndarray], grown: list[np.ndarray], used: list[np.ndarray], rows: list[np.ndarray], target: np.ndarray, rate: float, bias: np.ndarray | None = None) -> None:
     """A gradient step of one softmax. grown: sums of squares; used: how often each row fired."""
-    g = logits(own, rows, bias)
-    np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    g = np.empty((len(target), own[0].shape[1]), dtype=np.float32)
+    for at in range(0, len(g), SLICE):
+        cut = slice(at, at + SLICE)
+        z = logits(own, [r[cut] for r in rows], None if bias is None else bias[cut])
+        np.exp(z, out=z)
+        np.divide(z, np.einsum("ij->i", z)[:, None], out=g[cut])
     g[np.arange(len(g)), target] -= 1
     for w, squares, often, r in zip(own, grown, used, rows, strict=True):
         order = np.argsort(r, kind="stable")
         ordered = r[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        sums = np.add.reduceat(g.take(order, axis=0), first, axis=0)
-        at = ordered[first]
-        squares[at] += sums * sums
-        w[at] -= rate * sums / np.sqrt(squares[at])
-        often[at] += np.diff(np.append(first, len(r))).astype(np.float32)
+        size = np.diff(np.append(first, len(r)))
+        by = np.argsort(-size, kind="stable")
+        first, size = first[by], size[by]
+        sums = summed(g, order, first, size)
+        at = ordered[first].astype(np.intp)
+        square = squares.take(at, axis=0)
+        square += sums * sums
+        squares[at] = square
+        np.sqrt(square, out=square)
+        sums *= np.float32(rate)
+        sums /= square
+        w[at] = w.take(at, axis=0) - sums
+        often[at] += size.astype(np.float32)
 
 
 class Model:
@@ -292,14 +323,14 @@ class Model:
     def log_probabilities(self, c: np.ndarray, effective: np.ndarray, part: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         """log P of each token."""
         p = self.prior.log_in_part(c, effective, part)
-        for at in range(0, len(c), STEP):
-            cut = slice(at, at + STEP)
+        for at in range(0, len(c), SLICE):
+            cut = slice(at, at + SLICE)
             z = logits(self.weights[:3], [r[cut] for r in rows[:3]])
-            p[cut] += z[np.arange(len(z)), effective[cut]] - np.log(np.exp(z).sum(axis=1))
+            p[cut] += z[np.arange(len(z)), effective[cut]] - np.log(np.einsum("ij->i", np.exp(z)))
             common = np.flatnonzero(effective[cut] != RARE)
             own = effective[cut][common]
             z = logits(self.weights[3:], [r[cut][common] for r in rows[3:]], self.prior.part_bias[own])
-            p[at + common] += z[np.arange(len(z)), part[cut][common]] - np.log(np.exp(z).sum(axis=1))
+            p[at + common] += z[np.arange(len(z)), part[cut][common]] - np.log(np.einsum("ij->i", np.exp(z)))
         return p
 
 

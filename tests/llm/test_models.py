@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 import zlib
 
 import numpy as np
@@ -176,6 +177,47 @@ def test_softmaxes_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def runs_of(r):
+    order = np.argsort(r, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(r[order].astype(int)) != 0))
+    size = np.diff(np.append(first, len(r)))
+    by = np.argsort(-size, kind="stable")
+    return order, first[by], size[by]
+
+
+@pytest.mark.parametrize("sizes", [[1], [1, 1, 1], [16, 17, 1, 2], [900, 16, 15, 40, 1, 1], [17, 18], [3] * 50])
+def test_lm_step_equals_brute_force(sizes):
+    """Rows of the weights that fire once, up to SHORT times and over it."""
+    rng = np.random.default_rng(len(sizes))
+    r = rng.permutation(np.repeat(np.arange(len(sizes)) * 3, sizes)).astype(np.uint16)
+    start, target = rng.normal(size=(200, 7)).astype(np.float32), rng.integers(0, 7, len(r))
+    own, grown, used = start.copy(), np.ones_like(start), np.zeros(200, dtype=np.float32)
+    lm_score.descend([own], [grown], [used], [r], target, 0.3)
+    g = np.exp(start.astype(float)[r])
+    g /= g.sum(axis=1, keepdims=True)
+    g[np.arange(len(g)), target] -= 1
+    total = np.zeros(start.shape)
+    np.add.at(total, r, g)
+    assert np.allclose(grown, 1 + total**2, rtol=1e-4) and (used == np.bincount(r, minlength=200)).all()
+    assert np.allclose(own, start - 0.3 * total / np.sqrt(1 + total**2), atol=1e-4)
+
+
+def test_lm_sums_of_a_step_are_cheaper_than_a_call_for_each_run():
+    rng = np.random.default_rng(0)
+    r = (rng.zipf(1.2, lm_score.STEP) % 65536).astype(np.uint16)
+    g = rng.normal(size=(len(r), lm_score.CLASSES)).astype(np.float32)
+    order, first, size = runs_of(r)
+
+    def seconds(job):
+        began = time.process_time()
+        job()
+        return time.process_time() - began
+
+    starts = np.sort(first)
+    each = min(seconds(lambda: np.add.reduceat(g.take(order, axis=0), starts, axis=0)) for _ in range(9))
+    assert min(seconds(lambda: lm_score.summed(g, order, first, size)) for _ in range(9)) < 0.7 * each
+
+
 def test_lm_query_equals_brute_force(spark, larger, monkeypatch):
     """Every score again, token by token, from the learned weights."""
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 300_000)
