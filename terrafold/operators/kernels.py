@@ -6,36 +6,34 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators import near
 
 
-def normals(points: DataFrame, reach: float) -> DataFrame:
+def normals(points: DataFrame, reach: float, digits: int | None = None) -> DataFrame:
     """(pid, nx, ny, nz, planarity): the least principal axis of the points within reach, turned up.
 
-    Covariances and the 3 x 3 eigenproblems run in numpy, once a place. Under
-    three points, or points in line, give (0, 0, 1) and a null planarity.
+    Covariances and the 3 x 3 eigenproblems run in numpy, once a place; with digits, results are rounded there.
+    Under three points, or points in line, give (0, 0, 1) and a null planarity.
     """
 
-    def solve(frames):
-        for f in frames:
-            m = np.zeros((len(f), 3, 3))
-            for i, a in enumerate("xyz"):
-                for j, b in enumerate("xyz"):
-                    m[:, i, j] = f[f"c{min(a, b)}{max(a, b)}"]
-            value, vector = np.linalg.eigh(m)
-            n = vector[:, :, 0]
-            n = n * np.where(n[:, 2:] < 0, -1, 1)
-            total = value.sum(axis=1)
-            bad = (f["n"].to_numpy() < 4) | (value[:, 1] <= 1e-12 * np.maximum(total, 1e-300))
-            n[bad] = (0, 0, 1)
-            flat = np.where(bad, np.nan, value[:, 0] / np.maximum(total, 1e-300))
-            yield pd.DataFrame({"x": f["x"], "y": f["y"], "z": f["z"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "planarity": flat})
-
-    out = near.around(points, reach, spread=True).mapInPandas(solve, "x double, y double, z double, nx double, ny double, nz double, planarity double")
-    out = out.withColumn("planarity", F.when(~F.isnan("planarity"), F.col("planarity")))
+    def tell(count, c):
+        m = np.empty((len(count), 3, 3))
+        for k, (i, j) in enumerate((i, j) for i in range(3) for j in range(i, 3)):
+            m[:, i, j] = m[:, j, i] = c[k]
+        value, vector = np.linalg.eigh(m)
+        n = vector[:, :, 0]
+        n = n * np.where(n[:, 2:] < 0, -1, 1)
+        total = value.sum(axis=1)
+        bad = (count < 4) | (value[:, 1] <= 1e-12 * np.maximum(total, 1e-300))
+        n[bad] = (0, 0, 1)
+        flat = value[:, 0] / np.maximum(total, 1e-300)
+        return [*near.decimals(n, digits).T, pa.array(near.decimals(flat, digits), mask=bad)]
+
+    out = near.spread(points, reach, tell, "nx double, ny double, nz double, planarity double")
     return near.at_places(points.select("pid", "x", "y", "z"), out).select("pid", "nx", "ny", "nz", "planarity")
 
 

@@ -1,7 +1,7 @@
 """Neighbourhoods without pairs: each distinct place once, by tiles with their surroundings, in numpy.
 
 A table of pairs grows with the square of a cloud's density. Here equal coordinates are one place
-with a weight, places are dealt to tiles (four reaches wide) and those around them, and a task works
+with a weight, places are dealt to tiles (some reaches wide) and those around them, and a task works
 through its tiles in chunks of pairs, so that only what is asked of a place leaves it. Distances are
 those of the pairs' join, in the same order of operations.
 """
@@ -9,6 +9,7 @@ those of the pairs' join, in the same order of operations.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,29 @@ def places(points: DataFrame, dims: str = "xyz", *more: Column) -> DataFrame:
 
 
 def at_places(points: DataFrame, found: DataFrame, dims: str = "xyz", how: str = "inner") -> DataFrame:
-    """points with what was found at their places."""
-    named = found.withColumnsRenamed({d: f"_{d}" for d in dims})
-    met = [F.col(d).cast("double") == F.col(f"_{d}") for d in dims]
-    return points.join(named, met, how).drop(*[f"_{d}" for d in dims])
+    """points with what was found at their places.
 
+    They meet by a hash of the place, which sorts as one number; the places themselves are compared where they meet.
+    """
+
+    def spot(names: list[str]) -> Column:
+        at = [F.col(d).cast("double") + 0.0 for d in names]
+        return F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in at]), F.xxhash64(*at))
+
+    other = [f"_{d}" for d in dims]
+    named = found.withColumnsRenamed(dict(zip(dims, other, strict=True))).withColumn("_place", spot(other))
+    # A difference, as an equality would be one more key to sort by.
+    met = [spot(list(dims)) == F.col("_place"), *[F.col(d).cast("double") - F.col(o) == 0 for d, o in zip(dims, other, strict=True)]]
+    return points.join(named, met, how).drop("_place", *other)
 
-def by_tiles(rows: DataFrame, reach: float, solve: Callable, schema: str, dims: str = "xyz") -> DataFrame:
+
+def by_tiles(rows: DataFrame, reach: float, solve: Callable, schema: str, dims: str = "xyz", across: int = 4) -> DataFrame:
     """What solve(tile, at, id of those that ask; tile, at, id, w of the others) yields, by tiles.
 
     rows: dims, id, w (its weight as another's neighbour, 0 for none), ask (boolean). Those of a tile that ask
-    meet all rows of a weight within reach of the tile.
+    meet all rows of a weight within reach of the tile, which is so many reaches across.
     """
-    side = 4 * reach * SLACK
+    side = across * reach * SLACK
     wide = F.when(F.col("w") > 0, reach * SLACK).otherwise(0.0)
     spot = lambda c: F.floor(c / side).cast("bigint")
     dealt = rows.select(*dims, F.col("id").cast("bigint").alias("id"), F.col("w").cast("bigint").alias("w"), "ask")
@@ -53,7 +64,8 @@ def by_tiles(rows: DataFrame, reach: float, solve: Callable, schema: str, dims:
     spark = rows.sparkSession
     # A given number of parts: their work isn't told by their bytes.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = dealt.withColumn("own", own).repartition(parts, *tile).sortWithinPartitions(*tile)
+    # A hash sorts as one number; tiles that share one are told apart below.
+    dealt = dealt.withColumns({"own": own, "key": F.xxhash64(*tile)}).repartition(parts, "key").sortWithinPartitions("key")
     names = [s.split()[0] for s in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,15 +75,15 @@ def by_tiles(rows: DataFrame, reach: float, solve: Callable, schema: str, dims:
         def flush(whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal rest, held, limit
             columns = [np.concatenate(c) for c in zip(*rest, strict=True)]
-            t = np.stack(columns[: len(dims)], axis=1)
-            new = np.append(False, (t[1:] != t[:-1]).any(axis=1))
-            cut = len(t) if whole else int(np.flatnonzero(new)[-1]) if new.any() else 0
-            rest, held = [[c[cut:] for c in columns]], len(t) - cut
+            key = columns[0]
+            new = key[1:] != key[:-1]
+            cut = len(key) if whole else int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+            rest, held = [[c[cut:] for c in columns]], len(key) - cut
             limit = max(2 * ROWS, 2 * held)  # a tile of more rows is looked at again when it has doubled
             if cut:
-                g = np.cumsum(new[:cut])
-                at = np.stack([c[:cut] for c in columns[len(dims) : 2 * len(dims)]], axis=1)
-                ident, w, q = (c[:cut] for c in columns[-3:])
+                g, columns = numbered([c[:cut] for c in columns], len(dims))
+                at = np.stack(columns[1 + len(dims) : 1 + 2 * len(dims)], axis=1)
+                ident, w, q = columns[-3:]
                 o = w > 0
                 if q.any() and o.any():
                     for out in solve(g[q], at[q], ident[q], g[o], at[o], ident[o], w[o]):
@@ -79,14 +91,25 @@ def by_tiles(rows: DataFrame, reach: float, solve: Callable, schema: str, dims:
 
         for b in batches:
             if b.num_rows:
-                rest.append([b.column(c).to_numpy(zero_copy_only=False) for c in (*tile, *dims, "id", "w", "own")])
+                rest.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *tile, *dims, "id", "w", "own")])
                 held += b.num_rows
                 if held > limit:
                     yield from flush(False)
         if rest:
             yield from flush(True)
 
-    return dealt.select(*tile, *dims, "id", "w", "own").mapInArrow(run, schema)
+    return dealt.select("key", *tile, *dims, "id", "w", "own").mapInArrow(run, schema)
+
+
+def numbered(columns: list[np.ndarray], dims: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(number of its tile of each row, columns in the order of tiles) of columns in the order of their first, the tiles' hash, and then a tile's numbers."""
+    key, t = columns[0], np.stack(columns[1 : 1 + dims], axis=1)
+    new = (t[1:] != t[:-1]).any(axis=1)
+    if (new & (key[1:] == key[:-1])).any():
+        order = np.lexsort((*t.T, key))
+        columns, t = [c[order] for c in columns], t[order]
+        new = (t[1:] != t[:-1]).any(axis=1)
+    return np.cumsum(np.append(False, new)), columns
 
 
 def met(gq: np.ndarray, q: np.ndarray, go: np.ndarray, o: np.ndarray, cell: float, steps: int) -> Iterator[tuple]:
@@ -146,34 +169,137 @@ def met(gq: np.ndarray, q: np.ndarray, go: np.ndarray, o: np.ndarray, cell: floa
         at = end
 
 
-def around(points: DataFrame, reach: float, spread: bool = False) -> DataFrame:
-    """(x, y, z, n, nearest, and with spread cxx..czz) of every place: of the points nearer than reach.
+def on_lines(q: np.ndarray, o: np.ndarray, w: np.ndarray, reach: float) -> tuple | None:
+    """(n, [cxx..czz]) as around gives them, of the queries q (all of them among o) of one tile, without pairs.
 
-    n counts them, the place's own included; nearest: the least squared distance to another point, null without
-    any; spread: the covariance, summed about the place.
+    Where coordinates repeat, places lie on lines along an axis, and those nearer than reach on a line are a run of
+    it: sums of a run are a difference of sums up to its ends. Runs end where the pairs' own distances, in their order
+    of operations, reach the limit. None if pairs are no dearer, or if a line weighs so much that differences lose digits.
+    """
+    r2, known = reach * reach, [np.unique(o[:, d]) for d in range(3)]
+    c = max(range(3), key=lambda d: len(known[d]))
+    a, b = (d for d in range(3) if d != c)
+    na, nb, nc = (len(known[d]) for d in (a, b, c))
+    if na * nb * nc > 16 * len(o):
+        return None
+    ask = [np.unique(q[:, d]) for d in range(3)]
+    d2 = [(ask[d][:, None] - known[d][None]) ** 2 for d in range(3)]
+    within = [x < r2 for x in d2]
+    some = np.unique(np.searchsorted(ask[a], q[:, a]) * len(ask[b]) + np.searchsorted(ask[b], q[:, b]))
+    steps = [np.unique(d2[d][within[d]]) for d in range(3)]
+    # In units of a look at a run's ends: a pair of a cell around takes as long as two, a line's calls as 5,000.
+    runs = within[a].sum() / len(ask[a]) * (within[b].sum() / len(ask[b])) * len(ask[c])
+    around = np.prod([min(1.0, 2.5 * reach / max(known[d][-1] - known[d][0], reach)) for d in range(3)])
+    if len(some) * (runs + 5000) > 2 * around * len(q) * len(o) or len(steps[a]) * len(steps[b]) > 1 << 22:
+        return None
+    sums = np.zeros((na * nb, nc + 1, 3))
+    middle = (known[c][0] + known[c][-1]) / 2
+    at = [np.searchsorted(known[d], o[:, d]) for d in range(3)]
+    line, off = at[a] * nb + at[b], o[:, c] - middle
+    for k in range(3):
+        sums[line, at[c] + 1, k] = w * off**k
+    np.cumsum(sums, axis=1, out=sums)
+    if sums[:, -1, 0].max() > 1 << 14:
+        return None
+    sums = sums.reshape(-1, 3)
+    # far[i, j]: how many of the steps along c are within reach, with the i-th step along a and the j-th along b.
+    u, sa, sb = steps[c], steps[a][:, None], steps[b][None]
+
+    def inside(k):
+        part = {a: sa, b: sb, c: u[np.clip(k, 0, len(u) - 1)]}
+        return (part[0] + part[1]) + part[2] < r2
+
+    far = np.searchsorted(u, r2 - sa - sb)
+    while (more := (far < len(u)) & inside(far)).any():
+        far = far + more
+    while (less := (far > 0) & ~inside(far - 1)).any():
+        far = far - less
+    # Ends of the run of each c that is asked for, by how many steps are within reach.
+    count = np.arange(len(u) + 1)
+    low, high = (np.empty((len(u) + 1, len(ask[c])), dtype=np.int64) for _ in range(2))
+    for i, p in enumerate(np.searchsorted(known[c], ask[c])):
+        rank = np.searchsorted(u, d2[c][i])
+        high[:, i] = p + np.searchsorted(rank[p:], count)
+        low[:, i] = p - np.searchsorted(rank[:p][::-1], count)
+    rank = {d: np.searchsorted(steps[d], d2[d]) for d in (a, b)}
+    near = {d: [np.flatnonzero(x) for x in within[d]] for d in (a, b)}
+    found = np.zeros((len(ask[a]) * len(ask[b]), len(ask[c]), 6, 3))
+    for s in some:
+        i, j = divmod(int(s), len(ask[b]))
+        la, lb = near[a][i], near[b][j]
+        k = far[rank[a][i, la][:, None], rank[b][j, lb][None]]
+        ka, kb = np.nonzero(k)
+        k, la, lb = k[ka, kb], la[ka], lb[kb]
+        base = ((la * nb + lb) * (nc + 1))[:, None]
+        run = np.take(sums, base + high[k], axis=0) - np.take(sums, base + low[k], axis=0)
+        da, db = known[a][la] - ask[a][i], known[b][lb] - ask[b][j]
+        total = np.stack((np.ones(len(da)), da, db, da * da, da * db, db * db)) @ run.reshape(len(da), -1)
+        found[s] = total.reshape(6, -1, 3).transpose(1, 0, 2)
+    mine = [np.searchsorted(ask[d], q[:, d]) for d in range(3)]
+    total = found[mine[a] * len(ask[b]) + mine[b], mine[c]]
+    n = total[:, 0, 0]
+    total = total / n[:, None, None]
+    mean = {a: total[:, 1, 0], b: total[:, 2, 0], c: total[:, 0, 1]}
+    product = {(a, a): total[:, 3, 0], (a, b): total[:, 4, 0], (b, b): total[:, 5, 0], (a, c): total[:, 1, 1], (b, c): total[:, 2, 1], (c, c): total[:, 0, 2]}
+    both = lambda i, j: product[i, j] if (i, j) in product else product[j, i]
+    return n, [both(i, j) - mean[i] * mean[j] for i in range(3) for j in range(i, 3)]
+
+
+def around(points: DataFrame, reach: float) -> DataFrame:
+    """(x, y, z, n, nearest) of every place: of the points nearer than reach.
+
+    n counts them, the place's own included; nearest: the least squared distance to another point, null without any.
     """
-    names = [a + b for k, a in enumerate("xyz") for b in "xyz"[k:]]
 
     def solve(gq, q, _, go, o, __, w):
         for own, i, by_o, j, d2 in met(gq, q, go, o, reach / 2 * SLACK, 2):
             inside = np.flatnonzero(d2 < reach * reach)
             i, j, d2 = i[inside], by_o[j[inside]], d2[inside]
+            n = np.bincount(i, weights=w[j], minlength=len(own))  # at least the place itself
+            other = (d2 > 0) | (w[j] > 1)
+            nearest = np.full(len(own), np.inf)
+            np.minimum.at(nearest, i[other], d2[other])
+            yield [*q[own].T, n.astype(np.int64), pa.array(nearest, mask=np.isinf(nearest))]
+
+    rows = places(points).withColumns({"id": F.lit(0), "ask": F.lit(True)})
+    return by_tiles(rows, reach, solve, "x double, y double, z double, n bigint, nearest double")
+
+
+def spread(points: DataFrame, reach: float, tell: Callable, schema: str) -> DataFrame:
+    """(x, y, z, what tell gives) of every place, worked out once.
+
+    tell(n, [cxx..czz]): from the number of the points nearer than reach, the place's own included, and their
+    covariance, columns of the schema.
+    """
+
+    def solve(gq, q, _, go, o, __, w):
+        left = np.ones(int(max(gq[-1], go[-1])) + 1, dtype=bool)
+        edges = [np.searchsorted(g, np.arange(len(left) + 1)) for g in (gq, go)]
+        for g in range(len(left)):
+            mine, others = (slice(e[g], e[g + 1]) for e in edges)
+            if mine.start < mine.stop and (told := on_lines(q[mine], o[others], w[others], reach)):
+                left[g] = False
+                yield [*q[mine].T, *tell(*told)]
+        gq, q, go, o, w = gq[left[gq]], q[left[gq]], go[left[go]], o[left[go]], w[left[go]]
+        if not len(q):
+            return
+        for own, i, by_o, j, d2 in met(gq, q, go, o, reach / 2 * SLACK, 2):
+            inside = np.flatnonzero(d2 < reach * reach)
+            i, j = i[inside], by_o[j[inside]]
             wj, size = w[j], len(own)
             total = lambda v: np.bincount(i, weights=v, minlength=size)  # noqa: B023, E731
             n = total(wj)  # at least the place itself
-            other = (d2 > 0) | (wj > 1)
-            nearest = np.full(size, np.inf)
-            np.minimum.at(nearest, i[other], d2[other])
-            out = [*q[own].T, n.astype(np.int64), pa.array(nearest, mask=np.isinf(nearest))]
-            if spread:
-                off = [o[j, d] - q[own, d][i] for d in range(3)]
-                mean = [total(wj * x) / n for x in off]
-                out += [total(wj * off[a] * off[b]) / n - mean[a] * mean[b] for a in range(3) for b in range(a, 3)]
-            yield out
-
-    schema = "x double, y double, z double, n bigint, nearest double" + "".join(f", c{c} double" for c in names if spread)
+            off = [o[j, d] - q[own, d][i] for d in range(3)]
+            mean = [total(wj * x) / n for x in off]
+            yield [*q[own].T, *tell(n, [total(wj * off[a] * off[b]) / n - mean[a] * mean[b] for a in range(3) for b in range(a, 3)])]
+
     rows = places(points).withColumns({"id": F.lit(0), "ask": F.lit(True)})
-    return by_tiles(rows, reach, solve, schema)
+    return by_tiles(rows, reach, solve, f"x double, y double, z double, {schema}", across=6)
+
+
+def decimals(v: np.ndarray, digits: int | None) -> np.ndarray:
+    """v rounded, halves away from zero; as it is without digits."""
+    return v if digits is None else np.copysign(np.floor(np.abs(v) * 10.0**digits + 0.5), v) / 10.0**digits + 0.0
 
 
 def closest(gq, q, go, o, ident, w, reach: float, k: int, strict: bool, less: Callable) -> Iterator[tuple]:

@@ -200,8 +200,7 @@ def cloth_ground(spark, d):
 @query()
 def cloud_normals(spark, d):
     """Eigenvectors by batches; held against a known plane in the tests."""
-    out = K.normals(V.points(spark, d), 2.0)
-    return out.select("pid", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "planarity")])
+    return K.normals(V.points(spark, d), 2.0, 6)
 
 
 _SOLID = "r AS (SELECT *, floor(x/3.0) ca, floor(y/3.0) cb, floor(z/3.0) cc FROM points WHERE z >= 2), c AS (SELECT ca, cb, cc, count(*) n FROM r GROUP BY 1,2,3), m AS (SELECT p.ca, p.cb, p.cc, count(q.ca) m FROM c p LEFT JOIN c q ON q.ca BETWEEN p.ca-1 AND p.ca+1 AND q.cb BETWEEN p.cb-1 AND p.cb+1 AND q.cc BETWEEN p.cc-1 AND p.cc+1 AND NOT (q.ca=p.ca AND q.cb=p.cb AND q.cc=p.cc) WHERE p.n <= 2 GROUP BY 1,2,3), solid AS (SELECT r.pid, r.x, r.y, r.z FROM r JOIN c USING (ca, cb, cc) LEFT JOIN m USING (ca, cb, cc) WHERE c.n > 2 OR m.m >= 2)"

@@ -3,9 +3,10 @@
 from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
+import numpy as np
 import pytest
 
-from terrafold.operators import match
+from terrafold.operators import match, near
 from terrafold.plans import catalog
 from tests.test_queries import plain
 
@@ -154,3 +155,52 @@ def test_photographs_of_one_view_are_met_once(spark, made):
 def test_views_in_copies_equal_sql(spark, made):
     where = made(supplier="SELECT CAST(id * 3 + 505 * k AS BIGINT) AS s_suppkey FROM range(40) s(id), range(4) t(k) WHERE k <= id % 4")
     equals_sql(spark, "view_candidates", where, ["supplier"])
+
+
+@pytest.mark.parametrize("name", ["cloud_normals"])
+def test_normals_are_rounded_once_a_place(spark, name):
+    # After the join with the points each copy of a place would be rounded again.
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
+
+
+#: 25,650 places in tenths, some with copies: hundreds of neighbours each, many at the reach itself.
+LATTICE = "SELECT CAST(row_number() OVER () AS BIGINT) AS l_orderkey, CAST(a AS BIGINT) AS l_partkey, CAST(b AS BIGINT) AS l_suppkey, c::DOUBLE AS l_quantity, d / 100.0::DOUBLE AS l_discount, e / 100.0::DOUBLE AS l_tax, o.* EXCLUDE (l_orderkey, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) FROM range(5) p(a), range(5) q(b), range(9) r(c), range(10) s(d), range(9) t(e), range(3) u(k), (SELECT * FROM old_lineitem LIMIT 1) o WHERE (a * 7 + b * 5 + c * 3 + d + e) % 19 < 18 AND k <= (a + b + d) % 3 % 2"
+
+
+def test_a_crowded_lattice_equals_sql(spark, made):
+    equals_sql(spark, "covariance_normals", made(lineitem=LATTICE), ["lineitem"])
+
+
+@pytest.mark.parametrize("run", [(0, 1, 2), (2, 0, 1), (1, 2, 0)])
+def test_sums_on_lines_equal_pairs(run):
+    axes = [np.arange(40) * 0.1, np.arange(20) * 0.2, np.arange(6) * 1.0]
+    o = np.stack([x.ravel() for x in np.meshgrid(*axes)], axis=1)[:, run]
+    o = o[np.arange(len(o)) % 7 < 6]
+    w = np.arange(len(o)) % 3 + 1
+    q = o[::2]
+    n, c = near.on_lines(q, o, w, 1.0)
+    x = q[:, None] - o[None]
+    met = np.where((x[..., 0] ** 2 + x[..., 1] ** 2) + x[..., 2] ** 2 < 1.0, w[None], 0)
+    assert (n == met.sum(axis=1)).all()
+    mean = (met[..., None] * x).sum(axis=1) / n[:, None]
+    for (i, j), got in zip([(i, j) for i in range(3) for j in range(i, 3)], c, strict=True):
+        assert np.allclose(got, (met * x[..., i] * x[..., j]).sum(axis=1) / n - mean[:, i] * mean[:, j], rtol=0, atol=1e-12)
+    # Scattered places have no lines, and heavy ones would lose digits.
+    assert near.on_lines(q + np.random.default_rng(0).random(q.shape), o + np.random.default_rng(1).random(o.shape), w, 1.0) is None
+    assert near.on_lines(q, o, w * 1000, 1.0) is None
+
+
+def test_tiles_of_one_hash_are_told_apart():
+    key, tile, row = np.array([5, 5, 5, 5, 9]), np.array([1, 2, 1, 2, 1]), np.arange(5)
+    g, (_, __, got) = near.numbered([key, tile, row], 1)
+    assert g.tolist() == [0, 0, 1, 1, 2] and got.tolist() == [0, 2, 1, 3, 4]
+
+
+def test_places_meet_by_value(spark):
+    rows = [(1, 0.0, 1.0, 2.0), (2, -0.0, 1.0, 2.0), (3, None, 1.0, 2.0), (4, float("nan"), 1.0, 2.0), (5, 0.0, 1.0, 3.0)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+    found = spark.createDataFrame([(0.0, 1.0, 2.0, 7)], "x double, y double, z double, v long")
+    got = {r.pid: r.v for r in near.at_places(points, found, how="left").collect()}
+    assert got == {1: 7, 2: 7, 3: None, 4: None, 5: None}
+    assert sorted(r.pid for r in near.at_places(points, found, how="left_semi").collect()) == [1, 2]
